@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,3 +48,20 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_shipped: set[str] = set()
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow, on executors that have been sent this package, whether or not it is installed there."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        path = Path(tempfile.mkdtemp(prefix="spark-package-")) / "package.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in (package / "__init__.py", *sorted((package / "llm").glob("*.py"))):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(path))
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(run, schema)

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import html, language, near_dup, quality, secrets, token_file, toxicity
 
 
 def queries() -> dict:
-    return {"op2_quality_rules": quality.op2_quality_rules}
+    return {
+        "op2_quality_rules": quality.op2_quality_rules,
+        "op3_html_extraction": html.op3_html_extraction,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_language_id": language.op7_language_id,
+        "op8_token_file": token_file.op8_token_file,
+        "op9_secret_scan": secrets.op9_secret_scan,
+        "op10_minhash_near_dedup": near_dup.op10_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict:
