@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import html, language, near_dup, quality, secrets, token_file, toxicity
+from . import html, language, mixing, near_dup, neighbours, pieces, quality, secrets, token_file, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_html_extraction": html.op3_html_extraction,
+        "op4_sentencepiece": pieces.op4_sentencepiece,
+        "op5_source_mixing": mixing.op5_source_mixing,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_language_id": language.op7_language_id,
         "op8_token_file": token_file.op8_token_file,
@@ -18,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_quality_rules": quality.oracle()}
+    return {"op2_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle()}
