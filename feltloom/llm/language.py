@@ -6,7 +6,7 @@ The popcounts of a text, one for each language, are corrected for false positive
 a foreign n-gram hits with probability f**hashes, so of n n-grams with c hits (c - n q) / (1 - q) belong to it, q = f**hashes.
 The language with the most wins, ties to the one that sorts first.
 
-N-grams are the runs of 1 to 5 letters of a padded word in lower case. A language's filter holds its most frequent ones
+N-grams are the runs of 2 to 4 letters of a padded word in lower case. A language's filter holds its most frequent ones
 (``grams``), counted by Spark over at most ``max_docs`` documents of each language, the first by a hash of doc_id; this bound does not grow with the corpus,
 and up to 63 languages fit a mask. Every document is judged over its whole text. A text that is null or has no letter is ``und`` with
 score 0, as is any text if nothing was learned. Rows with a null doc_id or lang are not learned from; repeated rows are judged alike.
@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,9 @@ CACHE_WORDS = 300_000
 
 @dataclass(frozen=True)
 class Params:
-    max_docs: int = 1500
-    grams: int = 12_000
-    sizes: tuple[int, ...] = (1, 2, 3, 4, 5)
+    max_docs: int = 1000
+    grams: int = 1500
+    sizes: tuple[int, ...] = (2, 3, 4)
     slot_bits: int = 19
     hashes: int = 3
     seed: int = 11
@@ -60,18 +60,21 @@ class Filter:
     masks: np.ndarray
     false_rate: np.ndarray
     params: Params
+    known: dict[str, int] = field(default_factory=dict)
 
     def languages(self, gram: str) -> int:
         """The mask of all languages that contain the n-gram."""
-        out = -1
-        for s in slots(gram, self.params):
-            out &= int(self.masks[s])
+        out = self.known.get(gram)
+        if out is None:
+            out = int(np.bitwise_and.reduce(self.masks[slots(gram, self.params)]))
+            if len(self.known) < CACHE_WORDS:
+                self.known[gram] = out
         return out
 
     def word(self, word: str) -> np.ndarray:
         """For each language, how many n-grams of the word it contains, and last how many there are."""
-        found = [self.languages(g) for g in grams(word, self.params.sizes)]
-        return np.array([sum(m >> i & 1 for m in found) for i in range(len(self.langs))] + [len(found)], np.int64)
+        found = Counter(map(self.languages, grams(word, self.params.sizes)))
+        return np.array([sum(n for m, n in found.items() if m >> i & 1) for i in range(len(self.langs))] + [found.total()], np.int64)
 
     def decide(self, counts: np.ndarray) -> tuple[str, float]:
         n = counts[-1]
@@ -98,7 +101,7 @@ def train(docs: DataFrame, p: Params = Params()) -> Filter:
     learned = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id")
     few = learned.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= p.max_docs).select("lang", "doc_id")
-    chosen = learned.select("doc_id", "lang", "text").join(few.distinct(), ["lang", "doc_id"]).select("lang", "text")
+    chosen = learned.select("doc_id", "lang", "text").join(few.distinct(), ["lang", "doc_id"]).select("lang", "text").repartition(64)
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

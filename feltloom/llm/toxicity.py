@@ -2,7 +2,8 @@
 
 A document is a bag of sentences. A sentence is toxic with p = sigmoid(bias + sum of the weights of its words' features);
 the document is toxic with 1 - prod(1 - p): one toxic sentence is enough, and no sentence is ever labelled.
-A word's features are itself and its prefixes of 3 to 6 letters, hashed, so the inflected forms of a stem share evidence.
+A word's features are itself and its prefixes of 3 to 6 letters, so the forms of a stem share evidence; those that speak for the label
+in the training documents are kept.
 The sum of a word's weights is looked up once for each distinct word, which makes a pass over the corpus cheap.
 
 The classifier is fitted on at most ``max_docs`` labelled documents (the first of each label by a hash of doc_id), a bound
@@ -13,7 +14,6 @@ sentence and score 0. Rows with a null doc_id are scored, but never learned from
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,10 +33,11 @@ CACHE_WORDS = 400_000
 @dataclass(frozen=True)
 class Params:
     max_docs: int = 8000
-    buckets: int = 1 << 18
-    epochs: int = 150
-    rate: float = 0.15
-    l2: float = 2e-4
+    least_gain: float = 12.0  # log-likelihood ratio of a feature and the label, over documents
+    least_docs: int = 3
+    epochs: int = 300
+    rate: float = 0.1
+    l2: float = 1e-4
     seed: int = 7
 
 
@@ -46,61 +47,80 @@ def sentences(text: str | None) -> list[list[str]]:
     return [s for s in found if s]
 
 
-def feature_ids(word: str, buckets: int) -> list[int]:
-    keys = [f"={word}", *(f"^{word[:n]}" for n in range(3, 7) if len(word) >= n)]
-    return [zlib.crc32(k.encode("utf-8", "surrogatepass")) % buckets for k in keys]
+def features(word: str) -> list[str]:
+    return [f"={word}", *(f"^{word[:n]}" for n in range(3, 7) if len(word) >= n)]
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: np.ndarray
+    weights: dict[str, float]
     bias: float
     at: float  # the fitted probability from which a document counts as toxic
 
     def word(self, word: str) -> float:
-        return float(self.weights[feature_ids(word, len(self.weights))].sum())
+        return sum(self.weights.get(f, 0.0) for f in features(word))
+
+
+def gain(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
+    """Log-likelihood ratio of presence and label; negative where a feature speaks against the label."""
+
+    def term(k: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(k > 0, k * np.log(np.maximum(k, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+
+    share = (pos + neg) / (n_pos + n_neg)
+    both = term(pos, n_pos * share) + term(neg, n_neg * share) + term(n_pos - pos, n_pos * (1 - share)) + term(n_neg - neg, n_neg * (1 - share))
+    return 2 * both * np.sign(pos / n_pos - neg / n_neg)
 
 
 def fit(texts: list[str | None], labels: list[int], p: Params = Params()) -> Model:
-    """Weights that maximise the noisy-or likelihood, by Adam over all bags at once, with classes of equal weight."""
+    """Features that speak for the label are chosen by their gain; their weights maximise the noisy-or likelihood, by Adam over all bags at once."""
+    y = np.array(labels, float)
+    if not 0 < y.sum() < len(y):
+        return Model({}, -20.0, 0.5)
     index: dict[str, int] = {}
-    words, sentence_of, doc_of = [], [], []
-    for d, text in enumerate(texts):
-        for s in sentences(text):
+    of_word: dict[str, np.ndarray] = {}
+    bags = [sentences(x) for x in texts]
+    for bag in bags:
+        for s in bag:
             for w in s:
-                words.append(index.setdefault(w, len(index)))
-                sentence_of.append(len(doc_of))
+                if w not in of_word:
+                    of_word[w] = np.array([index.setdefault(f, len(index)) for f in features(w)])
+    count = np.zeros((2, len(index)))
+    for bag, label in zip(bags, labels, strict=True):
+        if bag:
+            count[int(label), np.unique(np.concatenate([of_word[w] for w in {w for s in bag for w in s}]))] += 1
+    good = (gain(count[1], count[0], y.sum(), len(y) - y.sum()) >= p.least_gain) & (count.sum(0) >= p.least_docs)
+    place = np.cumsum(good) - 1
+    kept = {w: place[f[good[f]]] for w, f in of_word.items() if good[f].any()}
+    # Every sentence counts; only words with a chosen feature move it.
+    feature, sentence_of, doc_of = [], [], []
+    for d, bag in enumerate(bags):
+        for s in bag:
+            for w in s:
+                if w in kept:
+                    feature.extend(kept[w])
+                    sentence_of.extend([len(doc_of)] * len(kept[w]))
             doc_of.append(d)
-    y = np.array(labels, float)
-    if not words or not 0 < y.sum() < len(y):
-        return Model(np.zeros(p.buckets, np.float32), -20.0, 0.5)
-    words, sentence_of, doc_of = np.array(words), np.array(sentence_of), np.array(doc_of)
-    lists = [feature_ids(w, p.buckets) for w in index]
-    feature, feature_word = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    used, feature = np.unique(feature, return_inverse=True)
+    feature, sentence_of, doc_of = np.array(feature, np.int64), np.array(sentence_of, np.int64), np.array(doc_of, np.int64)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    w, bias = np.zeros(len(used)), -5.0
-    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+    n = int(good.sum())
+    theta, m, v = np.append(np.zeros(n), -5.0), np.zeros(n + 1), np.zeros(n + 1)
+
+    def probabilities() -> tuple[np.ndarray, np.ndarray]:
+        z = theta[n] + np.bincount(sentence_of, theta[feature], len(doc_of))
+        prob = np.minimum(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 - 1e-9)
+        return prob, np.exp(np.bincount(doc_of, np.log1p(-prob), len(y)))
+
     for step in range(1, p.epochs + 1):
-        of_word = np.bincount(feature_word, w[feature], len(lists))
-        z = bias + np.bincount(sentence_of, of_word[words], len(doc_of))
-        prob = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.exp(np.bincount(doc_of, np.log1p(-np.minimum(prob, 1 - 1e-9)), len(y)))
+        prob, none = probabilities()
         # d log-likelihood / dz: p * none / (1 - none) in a toxic bag, -p in another
         push = np.where(y == 1, none / np.maximum(1 - none, 1e-9), -1.0) * weight
         by_sentence = -prob * push[doc_of]
-        by_word = np.bincount(words, by_sentence[sentence_of], len(lists))
-        grad = np.bincount(feature, by_word[feature_word], len(used)) + p.l2 * w
-        grad_bias = by_sentence.sum()
+        grad = np.append(np.bincount(feature, by_sentence[sentence_of], n) + p.l2 * theta[:n], by_sentence.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        mb, vb = 0.9 * mb + 0.1 * grad_bias, 0.99 * vb + 0.01 * grad_bias**2
-        fix = np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-        w -= p.rate * fix * m / (np.sqrt(v) + 1e-8)
-        bias -= p.rate * fix * mb / (np.sqrt(vb) + 1e-8)
-    out = np.zeros(p.buckets, np.float32)
-    out[used] = w
-    score = 1 - np.exp(np.bincount(doc_of, np.log1p(-np.minimum(1 / (1 + np.exp(-np.clip(bias + np.bincount(sentence_of, np.bincount(feature_word, out[used][feature], len(lists))[words], len(doc_of)), -30, 30))), 1 - 1e-9)), len(y)))
-    return Model(out, float(bias), threshold(score, y))
+        theta = theta - p.rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * m / (np.sqrt(v) + 1e-8)
+    names = [f for f, i in index.items() if good[i]]
+    return Model(dict(zip(names, theta[:n].tolist(), strict=True)), float(theta[n]), threshold(1 - probabilities()[1], y))
 
 
 def threshold(score: np.ndarray, y: np.ndarray) -> float:
