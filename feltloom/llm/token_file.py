@@ -13,6 +13,7 @@ repeated ones by their ids' checksum.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,10 +28,16 @@ from .common import batch, map_batches, shared_dir, slices, table, written
 
 IDS = np.dtype("<u4")
 #: Words that a worker remembers; beyond it, further words are encoded anew each time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 BLOCK_IDS = 1 << 16
 
 
+#: A word of ASCII letters, perhaps with marks after it: the two are split apart, and case doesn't matter.
+PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+#: A character that stands alone between the words of one call, to tell their ids apart.
+APART = "\x01"
+
+
 class WordEncoder:
     """Ids of a text as bytes, word by word.
 
@@ -43,40 +50,52 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.apart = self.tokenizer.encode(APART, add_special_tokens=False).ids
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, IDS).tobytes()
 
+    def spelled(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of these distinct words from one call, cut where the ids of APART stand."""
+        if len(self.apart) != 1 or any(APART in w for w in words):
+            return {w: self.whole(w) for w in words}
+        ids = np.array(self.tokenizer.encode(f" {APART} ".join(words), add_special_tokens=False).ids, IDS)
+        ends = np.flatnonzero(ids == self.apart[0])
+        starts = np.concatenate([[0], ends + 1])
+        raw = ids.tobytes()
+        return {w: raw[4 * a : 4 * b] for w, a, b in zip(words, starts.tolist(), [*ends.tolist(), len(ids)], strict=True)}
+
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of these distinct words, from one call: an id belongs to the word in which its offset lies."""
-        if len(words) == 1:
-            return {words[0]: self.whole(words[0])}
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-        at = np.fromiter((x[0] for x in found.offsets), np.int64, len(found.ids))
-        ends = np.searchsorted(at, starts[1:])
-        ids, out, last = np.array(found.ids, IDS).tobytes(), {}, 0
-        for w, end in zip(words, ends.tolist(), strict=True):
-            out[w] = ids[4 * last : 4 * end]
-            last = end
-        return out
+        parts = {w: m.groups() for w in words if (m := PLAIN.fullmatch(w))}
+        known = self.known
+        new = {x for w in words for x in ((parts[w][0].lower(), parts[w][1]) if w in parts else (w,)) if x not in known}
+        found = self.spelled(sorted(new)) if new else {}
+        get = lambda x: known[x] if x in known else found[x]
+        return found | {w: get(stem.lower()) + get(marks) for w, (stem, marks) in parts.items()}
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         split = [None if x is None or "<|" in x else x.replace("\n", " ").split(" ") for x in texts]
-        extra: dict[str, bytes] = {}
-        if new := list(dict.fromkeys(w for x in split if x for w in x if w not in self.known)):
-            extra = self.learn(new)
-            if len(self.known) < CACHE_WORDS:
-                self.known |= extra
-                extra = {}
         known = self.known
-        if extra:
-            get = lambda w: known[w] if w in known else extra[w]
-        else:
-            get = known.__getitem__
+        get = known.__getitem__
+        if new := {w for x in split if x for w in x if w not in known}:
+            extra = self.learn(list(new))
+            if len(known) < CACHE_WORDS:
+                known |= extra
+            else:
+                get = lambda w: known[w] if w in known else extra[w]
         return [self.whole(x or "") if words is None else b"".join(map(get, words)) for x, words in zip(texts, split, strict=True)]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for each worker process and vocabulary, with the words it remembers."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
 
 
@@ -85,7 +104,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     end = np.array([end_id], IDS).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for b in slices(batches):
             ids = [x + end for x in encoder.texts(b.column(1).to_pylist())]
             yield batch(ENCODED, b.column(0), [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], ids)
