@@ -32,7 +32,7 @@ def with_errors(m: DataFrame, scale: float = 1000000.0) -> DataFrame:
     """Mean, sample variance (at least 0; 0 for one row) and standard error per hundred."""
     mean = F.col("s") / F.col("n") / scale
     var = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), (F.col("ss") / scale / scale - F.col("n") * mean * mean) / (F.col("n") - 1))).otherwise(0.0)
-    return m.select(*[c for c in m.columns if c not in ("s", "ss")], F.round(mean * 100, 6).alias("bb100"), F.round(F.sqrt(var / F.col("n")) * 100, 4).alias("se"))
+    return m.select(*[c for c in m.columns if c not in ("s", "ss")], (mean * 100).alias("bb100"), (F.sqrt(var / F.col("n")) * 100).alias("se"))
 
 
 def halves(m: DataFrame, key: tuple[str, ...]) -> DataFrame:
@@ -74,7 +74,7 @@ def pair_target(rows: DataFrame) -> DataFrame:
     """Rate, standard error and z of each directed pair."""
     out = pairs.meetings(rows).groupBy("player", "opponent").agg(F.count("*").alias("n"), F.avg("net_bb").alias("m"), F.stddev_samp("net_bb").alias("sd"))
     se = F.col("sd") / F.sqrt("n")
-    return out.select("player", "opponent", "n", F.round(F.col("m") * 100, 6).alias("bb100"), F.round(se * 100, 6).alias("se"), F.round(F.try_divide("m", se), 6).alias("z"))
+    return out.select("player", "opponent", "n", (F.col("m") * 100).alias("bb100"), (se * 100).alias("se"), F.try_divide("m", se).alias("z"))
 
 
 def unordered_split(rows: DataFrame) -> DataFrame:

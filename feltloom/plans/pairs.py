@@ -12,6 +12,12 @@ from feltloom.sources import bindings as b
 N, M, NM = f"WITH {b.N_SQL}", f"WITH {b.M_SQL}", f"WITH {b.N_SQL}, {b.M_SQL}"
 NMIN, MIN_HANDS = 10, 10
 
+
+def r6(c):
+    """Six digits; rates of whole cents over 8 or 16 hands lie half way between two often, so they are lifted off first."""
+    return F.round(F.col(c) + 1e-9, 6)
+
+
 MET = "met AS (SELECT p.*, o.player AS opponent FROM n p JOIN n o ON p.hand_id = o.hand_id AND p.player <> o.player)"
 ACTUAL = f"{MET}, act AS (SELECT player, opponent, count(*) AS n_hands, sum(net_c)::DOUBLE / count(net_c) / 10000.0 AS actual FROM met GROUP BY ALL)"
 
@@ -40,9 +46,9 @@ def _(spark, d):
     return pairs.meetings(b.n(spark, d)).select("player", "opponent", "hand_id", "net_c")
 
 
-@query("j2_pair_actual", f"{N}, {ACTUAL} SELECT player, opponent, n_hands, round(actual, 6) AS actual FROM act")
+@query("j2_pair_actual", f"{N}, {ACTUAL} SELECT player, opponent, n_hands, round(actual + 1e-9, 6) AS actual FROM act")
 def _(spark, d):
-    return pairs.actual(b.n(spark, d)).withColumn("actual", F.round("actual", 6))
+    return pairs.actual(b.n(spark, d)).withColumn("actual", r6("actual"))
 
 
 @query("j3_continuation_value", f"{M}, {policy_sql()} SELECT s, a, round(q, 6) AS q, n FROM qv")
@@ -73,9 +79,9 @@ def _(spark, d):
     return common.groupBy("player", "opponent").agg(F.count("*").alias("n_states"), F.round(F.sum("w"), 6).alias("total"), F.round(F.max("w"), 9).alias("heaviest"))
 
 
-@query("j8_pair_value_difference", f"{SCORED} SELECT player, opponent, n_hands, round(actual, 6) AS actual, round(score, 4) AS score, n_states FROM ev")
+@query("j8_pair_value_difference", f"{SCORED} SELECT player, opponent, n_hands, round(actual + 1e-9, 6) AS actual, round(score, 4) AS score, n_states FROM ev")
 def _(spark, d):
-    return _scored(spark, d).withColumns({"actual": F.round("actual", 6), "score": F.round("score", 4)})
+    return _scored(spark, d).withColumns({"actual": r6("actual"), "score": F.round("score", 4)})
 
 
 @query("j9_score_agreement", f"{SCORED}, r AS (SELECT round(score, 9) AS score, round(actual, 9) AS actual FROM ev) {corr_sql('score', 'actual', 'r')}")
@@ -88,13 +94,13 @@ LATERAL_SQL = f"""{NM}, {ACTUAL}, {policy_sql(STRICT)}, pr AS (SELECT player, op
     val AS (SELECT player, s, sum(p * q) AS v FROM pol JOIN qv USING (s, a) GROUP BY ALL),
     com AS (SELECT pr.player, pr.opponent, wt.w, x.v AS v1, y.v AS v2 FROM pr JOIN val x ON x.player = pr.player JOIN val y ON y.player = pr.opponent AND y.s = x.s JOIN wt ON wt.s = x.s),
     sc AS (SELECT player, opponent, sum(w * (v1 - v2)) / sum(w) * 100 AS score, count(*) AS n_states FROM com GROUP BY ALL)
-    SELECT player, opponent, n_hands, round(pr.actual, 6) AS actual, round(sc.score, 4) AS score, sc.n_states FROM pr LEFT JOIN sc USING (player, opponent)"""
+    SELECT player, opponent, n_hands, round(pr.actual + 1e-9, 6) AS actual, round(sc.score, 4) AS score, sc.n_states FROM pr LEFT JOIN sc USING (player, opponent)"""
 
 
 @query("j10_unsupported_pairs_kept", LATERAL_SQL)
 def _(spark, d):
     out = pairs.evaluated(b.n(spark, d), b.m(spark, d), STRICT, MIN_HANDS, keep_unsupported=True)
-    return out.withColumns({"actual": F.round("actual", 6), "score": F.round("score", 4)})
+    return out.withColumns({"actual": r6("actual"), "score": F.round("score", 4)})
 
 
 GRID = [("s_core", 10, "a"), ("s_core", 12, "a"), ("s_core", 10, "a_base")]
@@ -243,9 +249,9 @@ def _(spark, d):
 VAR = "(CASE WHEN n > 1 THEN greatest(0, (ss / 1000000.0 / 1000000.0 - n * (s::DOUBLE / n / 1000000.0) * (s::DOUBLE / n / 1000000.0)) / (n - 1)) ELSE 0 END)"
 
 
-@query("l4_standard_errors", f"{N}, {SPLIT} SELECT kind, player, opponent, split, n, round(s::DOUBLE / n / 1000000.0 * 100, 6) AS bb100, round(sqrt({VAR} / n) * 100, 4) AS se FROM mom")
+@query("l4_standard_errors", f"{N}, {SPLIT} SELECT kind, player, opponent, split, n, round(s::DOUBLE / n / 1000000.0 * 100 + 1e-9, 6) AS bb100, round(sqrt({VAR} / n) * 100, 4) AS se FROM mom")
 def _(spark, d):
-    return reliability.with_errors(_moments(spark, d))
+    return reliability.with_errors(_moments(spark, d)).withColumns({"bb100": r6("bb100"), "se": F.round("se", 4)})
 
 
 @query(
@@ -281,9 +287,9 @@ def _(spark, d):
     return joined.groupBy("net_source").agg(F.count("*").alias("n"))
 
 
-@query("l10_pair_target", f"{N}, {MET} SELECT player, opponent, count(*) AS n, round(avg(net_bb) * 100, 6) AS bb100, round(stddev_samp(net_bb) / sqrt(count(*)) * 100, 6) AS se, round(avg(net_bb) / nullif(stddev_samp(net_bb) / sqrt(count(*)), 0), 6) AS z FROM met GROUP BY ALL")
+@query("l10_pair_target", f"{N}, {MET} SELECT player, opponent, count(*) AS n, round(avg(net_bb) * 100 + 1e-9, 6) AS bb100, round(stddev_samp(net_bb) / sqrt(count(*)) * 100, 6) AS se, round(avg(net_bb) / nullif(stddev_samp(net_bb) / sqrt(count(*)), 0), 6) AS z FROM met GROUP BY ALL")
 def _(spark, d):
-    return reliability.pair_target(b.n(spark, d))
+    return reliability.pair_target(b.n(spark, d)).withColumns({"bb100": r6("bb100"), "se": F.round("se", 6), "z": F.round("z", 6)})
 
 
 @query("l11_player_halves", f"{N}, {SPLIT} SELECT player, bb_0, n_0, bb_1, n_1 FROM hv WHERE kind = 'player'")
