@@ -10,9 +10,11 @@ A document's set holds its distinct runs of ``words`` consecutive words, A-Z in
 * Banding: ``bands`` hashes of ``rows`` coordinates. A pair at similarity 0.8 is missed with probability
   (1 - 0.8**5)**32 = 3e-6 at the production parameters.
 * Exact copies of a set become one representative before banding, so that groups of copies cost nothing.
-* Verification is in two rounds, both on full sets. First every member of a bucket against the bucket's centre
-  (the least id of each thousand members, and these against the bucket's least). Then, only in buckets that still hold several
-  classes, every pair of members of different classes. No pair within a class is made, and none is left out.
+* Verification goes in rounds, all on full sets. First every member of a bucket against the bucket's centre
+  (the least id of each thousand members, and these against the bucket's least). Then, in buckets that still hold several
+  classes, against a centre chosen by a hash, another one in each bucket and round. What is still apart is settled last:
+  the members of different classes, if their sets' sizes and their sketches allow a link: of the 160 coordinates, two
+  bits each, those of a linked pair agree in ``agree`` or more but for one pair in a million. No pair within a class is made.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing; shorter texts are one
 shingle. Rows with a null doc_id are classes of their own (component_id null, kept). Repeated rows of a doc_id share a class.
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, map_batches, slices, table, written
@@ -39,6 +41,14 @@ class Params:
     bands: int = 32
     rows: int = 5
     centre_of: int = 1000
+    random_centres: int = 2
+
+    @property
+    def agree(self) -> int:
+        """Five standard deviations below the mean of the coordinates' two-bit codes that agree at the least similarity."""
+        t, s = self.bands * self.rows, self.percent / 100
+        p = s + (1 - s) / 4
+        return int(t * p - 5 * (t * p * (1 - p)) ** 0.5)
 
 
 U64 = np.uint64
@@ -85,7 +95,25 @@ def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
     return out.reshape(-1, t)
 
 
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def two_bits(rows: np.ndarray) -> np.ndarray:
+    """Two bits of every coordinate, 32 coordinates to a 64-bit integer."""
+    n, t = rows.shape
+    bits = np.zeros((n, -(-t // 32) * 32), U64)
+    bits[:, :t] = mix(rows) & U64(3)
+    return (bits.reshape(n, -1, 32) << (U64(2) * np.arange(32, dtype=U64))).sum(2, dtype=U64).astype(np.int64)
+
+
+def disagreements(x: Column, y: Column, words: int) -> Column:
+    """In how many coordinates two codes differ."""
+    out = None
+    for i in range(words):
+        d = x[i].bitwiseXOR(y[i])
+        n = F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        out = n if out is None else out + n
+    return out
+
+
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("codes", pa.list_(pa.int64()))])
 
 
 def features(docs: DataFrame, p: Params) -> DataFrame:
@@ -95,6 +123,7 @@ def features(docs: DataFrame, p: Params) -> DataFrame:
         for b in slices(batches):
             sets = [shingles(x, p.words) for x in b.column(1).to_pylist()]
             rows = sketch(sets, p.bands * p.rows).reshape(len(sets), p.bands, p.rows)
+            codes = two_bits(rows.reshape(len(sets), -1))
             keys = np.broadcast_to(np.arange(p.bands, dtype=U64), (len(sets), p.bands))
             for i in range(p.rows):
                 keys = mix(keys ^ rows[:, :, i])
@@ -103,9 +132,9 @@ def features(docs: DataFrame, p: Params) -> DataFrame:
                 a = [int(mix(s).sum(dtype=U64).astype(np.int64)) for s in sets]
                 c = [int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64).astype(np.int64)) for s in sets]
             bands = [k if len(s) else [] for k, s in zip(keys, sets, strict=True)]
-            yield batch(FEATURES, b.column(0), [len(s) for s in sets], a, c, bands)
+            yield batch(FEATURES, b.column(0), [len(s) for s in sets], a, c, bands, list(codes))
 
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, codes array<long>"
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
@@ -115,14 +144,15 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) that are linked, by their full sets.
 
-    The text of every b goes to its a, right after the text of a itself; a task holds one set at a time.
+    The text of every b goes to its a, right after the text of a itself; a task holds one set at a time. An a with many b
+    is sent once for each ``centre_of`` of them, so that no task gets them all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
         for b in slices(batches):
             out_a, out_b = [], []
-            for a, x, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for a, x, text in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 s = shingles(text, p.words)
                 if x == a:
                     at, own = a, s
@@ -133,9 +163,12 @@ def verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
                         out_b.append(x)
             yield batch(LINKS, out_a, out_b)
 
-    ends = pairs.select("a", F.col("b").alias("doc_id")).union(pairs.select("a", F.col("a").alias("doc_id")).distinct())
-    sent = ends.join(docs, "doc_id").select("a", "doc_id", "text")
-    sent = sent.repartition("a").sortWithinPartitions("a", F.col("doc_id") != F.col("a"), "doc_id")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.centre_of).cast("int").alias("parts"))
+    parted = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    own = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
+    ends = parted.withColumnRenamed("b", "doc_id").union(own)
+    sent = ends.join(docs, "doc_id").select("a", "part", "doc_id", "text")
+    sent = sent.repartition("a", "part").sortWithinPartitions("a", "part", F.col("doc_id") != F.col("a"), "doc_id")
     return map_batches(sent, run, "a long, b long")
 
 
@@ -144,35 +177,55 @@ def classes(docs: DataFrame, p: Params) -> DataFrame:
     found = written(features(docs, p), "features")
     nonempty = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = written(nonempty.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
-    reps = nonempty.join(first.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    members = reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", F.posexplode("bands").alias("band", "key"))
+    reps = nonempty.join(first.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id"])
+    members = reps.select(F.col("doc_id").alias("id"), "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(members.join(shared, ["band", "key"]), "members")
-
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / p.centre_of))
-    centres = members.withColumn("part", part).groupBy("band", "key", "part").agg(F.min("id").alias("centre"))
-    top = centres.groupBy("band", "key").agg(F.min("centre").alias("top"))
-    to_centre = members.withColumn("part", part).join(centres, ["band", "key", "part"]).select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    to_top = centres.join(top, ["band", "key"]).select(F.col("top").alias("a"), F.col("centre").alias("b"))
-    pairs = written(to_centre.union(to_top).where("a <> b").distinct(), "pairs")
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    links = written(verified(pairs, texts, p), "links")
+    members = written(members.join(shared, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / p.centre_of))), "members")
+    # Only documents that share a bucket are compared: theirs are the texts that later rounds send about.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = written(texts, "texts")
+
+    least = members.groupBy("band", "key", "part").agg(F.min("id").alias("centre"))
+    top = least.groupBy("band", "key").agg(F.min("centre").alias("top"))
+    to_centre = members.join(least, ["band", "key", "part"]).select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    to_top = least.join(top, ["band", "key"]).select(F.col("top").alias("a"), F.col("centre").alias("b"))
+    tried = written(to_centre.union(to_top).where("a <> b").distinct(), "pairs")
+    links = written(verified(tried, texts, p), "links")
     label = written(components(links), "components")
 
-    known = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    known = written(known.select("band", "key", "id", "n_shingles", "component"), "known")
-    per = known.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    mixed = per.groupBy("band", "key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("major")).where("k > 1").select("band", "key", "major")
-    inside = known.join(mixed, ["band", "key"])
-    minor = inside.where("component <> major").select("band", "key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"))
-    close = (F.lit(100) * F.least("n_shingles", "nx") >= F.lit(p.percent) * F.greatest("n_shingles", "nx"))  # else no union is small enough
-    across = inside.join(minor, ["band", "key"]).where((F.col("component") != F.col("cx")) & ((F.col("component") == F.col("major")) | (F.col("component") < F.col("cx"))) & close)
-    more = across.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = written(more, "pairs-across")
-    if not more.isEmpty():
-        found_more = written(verified(more, texts, p), "links-across")
-        label = written(components(links.union(found_more)), "components")
+    def apart() -> DataFrame:
+        """Members of buckets that hold several classes, with their class and the bucket's largest one."""
+        known = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        known = written(known.select("band", "key", "part", "id", "n_shingles", "component"), "known")
+        per = known.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+        mixed = per.groupBy("band", "key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("major")).where("k > 1")
+        return known.join(mixed.select("band", "key", "major"), ["band", "key"])
+
+    close = F.lit(100) * F.least("n_shingles", "nx") >= F.lit(p.percent) * F.greatest("n_shingles", "nx")  # else no union is small enough
+
+    def compare(pairs: DataFrame, name: str) -> None:
+        nonlocal tried, links, label
+        new = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        new = written(new, f"pairs-{name}")
+        if new.isEmpty():
+            return
+        tried = tried.union(new)
+        links = written(links.union(verified(new, texts, p)), f"links-{name}")
+        label = written(components(links), f"components-{name}")
+
+    for r in range(p.random_centres):
+        inside = apart()
+        pick = F.min(F.struct(F.xxhash64("id", "band", "key", F.lit(r)).alias("h"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"))).alias("c")
+        centres = inside.groupBy("band", "key", "part").agg(pick).select("band", "key", "part", "c.x", "c.cx", "c.nx")
+        compare(inside.join(centres, ["band", "key", "part"]).where((F.col("component") != F.col("cx")) & close), f"centre-{r}")
+
+    codes = reps.select(F.col("doc_id").alias("id"), "codes")
+    inside = written(apart().join(codes, "id"), "mixed")
+    minor = inside.where("component <> major").select("band", "key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), F.col("codes").alias("codes_x"))
+    t = p.bands * p.rows
+    alike = disagreements(F.col("codes"), F.col("codes_x"), -(-t // 32)) <= t - p.agree
+    once = (F.col("component") == F.col("major")) | (F.col("component") < F.col("cx"))
+    compare(inside.join(minor, ["band", "key"]).where((F.col("component") != F.col("cx")) & once & close & alike), "across")
 
     named = found.join(first, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     named = named.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
