@@ -8,6 +8,7 @@ from feltloom.plans import estimators as _estimators  # noqa: F401
 from feltloom.plans import ledger as _ledger  # noqa: F401
 from feltloom.plans import pairs as _pairs  # noqa: F401
 from feltloom.plans import profile as _profile  # noqa: F401
+from feltloom.plans import sources as _sources  # noqa: F401
 from feltloom.sources import bindings
 
 
