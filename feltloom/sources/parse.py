@@ -91,7 +91,7 @@ def cash_hands(found: DataFrame) -> DataFrame:
 
 def one_hand_files(spark: SparkSession, path: str, site: str = "POOL") -> DataFrame:
     """One hand for each file, from its first section; the level follows from the largest blind, else the least bet, else 100."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     kv = raw.select(F.col("_metadata.file_path").alias("file"), fields(F.split(F.regexp_replace("value", "^\\[", ""), "\n\\[")[0]).alias("kv"))
     blinds, players = numbers(value("blinds_or_straddles")), strings(value("players"))
     bb = F.coalesce(F.when(F.array_max(blinds) > 0, F.array_max(blinds)), F.when(value("min_bet").try_cast("double") > 0, value("min_bet").try_cast("double")), F.lit(100.0))
@@ -170,7 +170,7 @@ def transcript_hands(found: DataFrame, site: str = "ACPC") -> DataFrame:
         return F.coalesce(F.get(F.filter(cards, lambda x: x.isNotNull()), F.lit(0)), F.lit("????"))
 
     def player(line: Column) -> Column:
-        return F.when(F.substring_index(line, ": ", 1) == F.col("order")[0].name, "p1").when(F.substring_index(line, ": ", 1) == F.col("order")[1].name, "p2")
+        return F.when(F.substring_index(line, ": ", 1) == F.col("order")[0]["name"], "p1").when(F.substring_index(line, ": ", 1) == F.col("order")[1]["name"], "p2")
 
     def token(line: Column) -> Column:
         """The action token of a line; NULL for what is no action."""
@@ -183,10 +183,13 @@ def transcript_hands(found: DataFrame, site: str = "ACPC") -> DataFrame:
             .when(act.startswith("bets"), F.concat(player(line), F.lit(" cbr "), F.regexp_extract(act, rf"bets \${money}", 1)))
         )
 
-    begin, end = (F.array_position(F.transform("lines", lambda x, s=s: x.startswith(s)), True) for s in ("*** HOLE CARDS", "*** SUMMARY"))
+    def place(head: str) -> Column:
+        return F.array_position(F.transform("lines", lambda x: x.startswith(head)), True)
+
+    begin, end = place("*** HOLE CARDS"), place("*** SUMMARY")
     inside = F.filter("lines", lambda x, i: (i + 1 > begin) & ((end == 0) | (i + 1 < end)))
     acts = F.filter(F.transform(inside, token), lambda x: x.isNotNull())
-    deal = F.array(*[F.concat(F.lit(f"d dh p{i + 1} "), hole(F.col("order")[i].name)) for i in (0, 1)])
+    deal = F.array(*[F.concat(F.lit(f"d dh p{i + 1} "), hole(F.col("order")[i]["name"])) for i in (0, 1)])
     no_numbers = F.array().cast("array<double>")
     return out.select(
         F.lit(site).alias("site"),
@@ -195,7 +198,7 @@ def transcript_hands(found: DataFrame, site: str = "ACPC") -> DataFrame:
         F.lit("").alias("table"),
         F.lit(2).alias("seat_count"),
         F.lit(2).alias("n_players"),
-        F.transform("order", lambda s: s.name).alias("players"),
+        F.transform("order", lambda s: s["name"]).alias("players"),
         F.array("sb", "bb").alias("blinds"),
         F.transform("order", lambda s: s.stack).alias("starting_stacks"),
         no_numbers.alias("finishing_stacks"),
