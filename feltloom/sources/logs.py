@@ -19,7 +19,9 @@ def code(*parts: Column) -> Column:
 
 
 def hands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = bindings.n(spark, sf_dir).where("n_players <= 9")
+    # As many tasks as there are slots, however small the table: what follows is bound by CPU, not by bytes.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = bindings.n(spark, sf_dir).where("n_players <= 9").repartition(tasks, "hand_id")
     seats = n.groupBy("hand_id", "nl_level", "day").agg(
         F.sort_array(F.collect_list(F.struct("pos_idx", "player", "site", "saw_hole", "reached_showdown"))).alias("s")
     )
