@@ -174,6 +174,8 @@ def judge(block: Block, p: Params) -> str:
 
 def label(found: list[Block], p: Params) -> None:
     """Pass two: ambiguous blocks take the label of their nearest decided neighbours."""
+    if not found:
+        return
     first = [judge(b, p) for b in found]
     has_main = any(b.main for b in found)
     n = len(found)
