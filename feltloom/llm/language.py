@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, map_batches, slices, table
+from .common import batch, bounded_sample, map_batches, slices, table
 
 WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,7 @@ class Filter:
     false_rate: np.ndarray
     params: Params
     known: dict[str, int] = field(default_factory=dict)
+    words: dict[str, np.ndarray] = field(default_factory=dict)  # counts of words seen, for as long as a worker lives
 
     def languages(self, gram: str) -> int:
         """The mask of all languages that contain the n-gram."""
@@ -99,8 +100,7 @@ def build(found: dict[str, list[str]], p: Params) -> Filter:
 
 def train(docs: DataFrame, p: Params = Params()) -> Filter:
     learned = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id")
-    few = learned.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= p.max_docs).select("lang", "doc_id")
+    few = bounded_sample(learned.select("lang", "doc_id"), "lang", "doc_id", p.max_docs, p.seed)
     chosen = learned.select("doc_id", "lang", "text").join(few.distinct(), ["lang", "doc_id"]).select("lang", "text").repartition(64)
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
@@ -133,23 +133,16 @@ def identified(docs: DataFrame, model: Filter) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value
-        row: dict[str, int] = {}
-        counts = np.zeros((CACHE_WORDS, len(f.langs) + 1), np.int32)
+        none = np.zeros(len(f.langs) + 1, np.int64)
         for b in slices(batches):
             out = []
             for text in b.column(1).to_pylist():
                 words = WORD.findall(text.lower()) if text else []
-                extra = np.zeros(len(f.langs) + 1, np.int64)
-                for w in [w for w in words if w not in row]:
-                    if w in row:
-                        continue
-                    if len(row) < CACHE_WORDS:
-                        counts[len(row)] = f.word(w)
-                        row[w] = len(row)
-                    else:
-                        extra += f.word(w)
-                at = [i for i in map(row.get, words) if i is not None]
-                out.append(f.decide(counts[at].sum(0, dtype=np.int64) + extra))
+                for w in set(words).difference(f.words) if len(f.words) < CACHE_WORDS else ():
+                    f.words[w] = f.word(w)
+                seen = Counter(words)
+                at = [f.words[w] if w in f.words else f.word(w) for w in seen]
+                out.append(f.decide(np.fromiter(seen.values(), np.int64, len(seen)) @ np.array(at) if at else none))
             yield batch(OUT, b.column(0), *(list(c) for c in zip(*out, strict=True)))
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")

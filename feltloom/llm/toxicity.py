@@ -15,15 +15,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, map_batches, slices, table
+from .common import batch, bounded_sample, map_batches, slices, table
 
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n")
 EDGE = ".,;:!?…\"'()[]{}*#$%&|<>-_"
@@ -56,6 +55,7 @@ class Model:
     weights: dict[str, float]
     bias: float
     at: float  # the fitted probability from which a document counts as toxic
+    known: dict[str, float] = field(default_factory=dict)  # weights of words seen, for as long as a worker lives
 
     def word(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in features(word))
@@ -137,8 +137,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
     """Labelled documents outside the held-out fold: at most half of max_docs of each label, chosen by hash of doc_id."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id")
-    chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= p.max_docs // 2).select("doc_id", "toxic")
+    chosen = bounded_sample(known, "toxic", "doc_id", p.max_docs // 2, p.seed)
     return docs.select("doc_id", "text").join(chosen, "doc_id")
 
 
@@ -149,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known = model, model.known
 
     def word(self, w: str) -> float:
         got = self.known.get(w)
