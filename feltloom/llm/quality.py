@@ -130,41 +130,54 @@ def counts(text: Column) -> Column:
     return F.struct(let(words_of(text), of_words).alias("w"), let(lines, of_lines).alias("l"), n_symbols.cast("long").alias("n_symbols"))
 
 
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of every figure, base_failed, failed_rules and kept. The counts are bound once, also where a filter on kept is pushed down."""
+
+    def of(q: Column) -> Column:
+        ratio = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
+        n = q.w.n_words
+        ratios = {
+            "mean_word_chars": ratio(q.w.word_chars, n),
+            "symbol_ratio": ratio(q.n_symbols, n),
+            "stop_word_ratio": ratio(q.w.n_stop_words, n),
+            "dup_line_ratio": ratio(q.l.n_dup_lines, q.l.n_lines),
+            "bullet_line_ratio": ratio(q.l.n_bullet_lines, q.l.n_lines),
+            "ellipsis_line_ratio": ratio(q.l.n_ellipsis_lines, q.l.n_lines),
+        }
+        base = (n < MIN_WORDS) | (F.lit(100) * q.w.n_repeat_words > F.lit(MAX_REPEAT_PERCENT) * n)
+        broken = []
+        for r in rules:
+            low = ratios[r.name] < r.low if r.low is not None else F.lit(False)
+            high = ratios[r.name] > r.high if r.high is not None else F.lit(False)
+            broken.append(F.when(low | high, F.lit(r.name)))
+        failed = F.array_compact(F.array(*broken))
+        whole = (n, q.w.word_chars, q.n_symbols, q.l.n_dup_lines, q.w.n_repeat_words)
+        return F.struct(
+            *[c.alias(k) for k, c in zip(FIGURES, whole, strict=True)],
+            *[c.alias(k) for k, c in ratios.items()],
+            base.alias("base_failed"),
+            failed.alias("failed_rules"),
+            (~base & (F.size(failed) == 0)).alias("kept"),
+        )
+
+    return let(counts(text), of)
+
+
 def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """docs with every figure, base_failed, kept, and the names of the rules that failed."""
-    ratio = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
-    out = docs.withColumn("_q", counts(F.col(text)))
-    whole = {
-        "n_words": F.col("_q.w.n_words"), "word_chars": F.col("_q.w.word_chars"), "n_symbols": F.col("_q.n_symbols"),
-        "n_dup_lines": F.col("_q.l.n_dup_lines"), "n_repeat_words": F.col("_q.w.n_repeat_words"),
-    }
-    ratios = {
-        "mean_word_chars": ratio(F.col("_q.w.word_chars"), F.col("_q.w.n_words")),
-        "symbol_ratio": ratio(F.col("_q.n_symbols"), F.col("_q.w.n_words")),
-        "stop_word_ratio": ratio(F.col("_q.w.n_stop_words"), F.col("_q.w.n_words")),
-        "dup_line_ratio": ratio(F.col("_q.l.n_dup_lines"), F.col("_q.l.n_lines")),
-        "bullet_line_ratio": ratio(F.col("_q.l.n_bullet_lines"), F.col("_q.l.n_lines")),
-        "ellipsis_line_ratio": ratio(F.col("_q.l.n_ellipsis_lines"), F.col("_q.l.n_lines")),
-    }
-    base = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
-    broken = []
-    for r in rules:
-        low = F.col(r.name) < r.low if r.low is not None else F.lit(False)
-        high = F.col(r.name) > r.high if r.high is not None else F.lit(False)
-        broken.append(F.when(low | high, F.lit(r.name)))
-    out = out.withColumns(whole | ratios).drop("_q").withColumn("base_failed", base)
-    out = out.withColumn("failed_rules", F.array_compact(F.array(*broken)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    names = (*FIGURES, *[r.name for r in RULES], "base_failed", "failed_rules", "kept")
+    return docs.withColumn("_verdict", verdict(F.col(text), rules)).withColumns({n: F.col(f"_verdict.{n}") for n in names}).drop("_verdict")
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with their own columns."""
-    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    text = f"c{docs.columns.index('text')}"
-    return annotate(own, rules, text).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return docs.where(verdict(docs["text"], rules)["kept"])
 
 
-OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+OUT = (*FIGURES, "base_failed", "kept")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
