@@ -13,7 +13,7 @@ A document's set holds its distinct runs of ``words`` consecutive words, A-Z in
 * Verification goes in rounds, all on full sets. First every member of a bucket against the bucket's centre
   (the least id of each thousand members, and these against the bucket's least). Then, in buckets that still hold several
   classes, against a centre chosen by a hash, another one in each bucket and round. What is still apart is settled last:
-  the members of different classes, if their sets' sizes and their sketches allow a link: of the 160 coordinates, two
+  the members of different classes, if their sets' sizes and a longer sketch allow a link: of 1,024 coordinates, two
   bits each, those of a linked pair agree in ``agree`` or more but for one pair in a million. No pair within a class is made.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing; shorter texts are one
@@ -42,11 +42,12 @@ class Params:
     rows: int = 5
     centre_of: int = 1000
     random_centres: int = 2
+    codes: int = 1024
 
     @property
     def agree(self) -> int:
         """Five standard deviations below the mean of the coordinates' two-bit codes that agree at the least similarity."""
-        t, s = self.bands * self.rows, self.percent / 100
+        t, s = self.codes, self.percent / 100
         p = s + (1 - s) / 4
         return int(t * p - 5 * (t * p * (1 - p)) ** 0.5)
 
@@ -113,7 +114,7 @@ def disagreements(x: Column, y: Column, words: int) -> Column:
     return out
 
 
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("codes", pa.list_(pa.int64()))])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def features(docs: DataFrame, p: Params) -> DataFrame:
@@ -123,7 +124,6 @@ def features(docs: DataFrame, p: Params) -> DataFrame:
         for b in slices(batches):
             sets = [shingles(x, p.words) for x in b.column(1).to_pylist()]
             rows = sketch(sets, p.bands * p.rows).reshape(len(sets), p.bands, p.rows)
-            codes = two_bits(rows.reshape(len(sets), -1))
             keys = np.broadcast_to(np.arange(p.bands, dtype=U64), (len(sets), p.bands))
             for i in range(p.rows):
                 keys = mix(keys ^ rows[:, :, i])
@@ -132,12 +132,26 @@ def features(docs: DataFrame, p: Params) -> DataFrame:
                 a = [int(mix(s).sum(dtype=U64).astype(np.int64)) for s in sets]
                 c = [int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64).astype(np.int64)) for s in sets]
             bands = [k if len(s) else [] for k, s in zip(keys, sets, strict=True)]
-            yield batch(FEATURES, b.column(0), [len(s) for s in sets], a, c, bands, list(codes))
+            yield batch(FEATURES, b.column(0), [len(s) for s in sets], a, c, bands)
 
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, codes array<long>"
+    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
+CODES = pa.schema([("id", pa.int64()), ("codes", pa.list_(pa.int64()))])
+
+
+def coded(texts: DataFrame, p: Params) -> DataFrame:
+    """id, codes: two bits of each of ``codes`` coordinates, from a longer sketch than the bands need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 128):
+            sets = [shingles(x, p.words) for x in b.column(1).to_pylist()]
+            yield batch(CODES, b.column(0), list(two_bits(sketch(sets, p.codes))))
+
+    return map_batches(texts.select("doc_id", "text"), run, "id long, codes array<long>")
+
+
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -219,11 +233,11 @@ def classes(docs: DataFrame, p: Params) -> DataFrame:
         centres = inside.groupBy("band", "key", "part").agg(pick).select("band", "key", "part", "c.x", "c.cx", "c.nx")
         compare(inside.join(centres, ["band", "key", "part"]).where((F.col("component") != F.col("cx")) & close), f"centre-{r}")
 
-    codes = reps.select(F.col("doc_id").alias("id"), "codes")
-    inside = written(apart().join(codes, "id"), "mixed")
+    inside = written(apart(), "mixed")
+    ids = inside.select(F.col("id").alias("doc_id")).distinct()
+    inside = written(inside.join(coded(texts.join(ids, "doc_id", "left_semi"), p), "id"), "coded")
     minor = inside.where("component <> major").select("band", "key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), F.col("codes").alias("codes_x"))
-    t = p.bands * p.rows
-    alike = disagreements(F.col("codes"), F.col("codes_x"), -(-t // 32)) <= t - p.agree
+    alike = disagreements(F.col("codes"), F.col("codes_x"), -(-p.codes // 32)) <= p.codes - p.agree
     once = (F.col("component") == F.col("major")) | (F.col("component") < F.col("cx"))
     compare(inside.join(minor, ["band", "key"]).where((F.col("component") != F.col("cx")) & once & close & alike), "across")
 
