@@ -265,7 +265,7 @@ def _(spark, d):
 @query("g5_dynamicness")
 def _(spark, d):
     """A sampled estimate: the same in every run, but not to be had in SQL."""
-    return texture.dynamicness(spark, classes(spark, d).select("key", "flop"), heroes=4, turns=3, flop_runs=20, turn_runs=10)
+    return texture.dynamicness(spark, classes(spark, d).select("key", "flop"))
 
 
 @query("g6_observed_flops", f"{q.ALL}, {SEEN} SELECT key, n, n_flops, (SELECT count(*) FROM bo WHERE length(flop) <> 6)::BIGINT AS bad FROM kl")
