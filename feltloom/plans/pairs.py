@@ -207,8 +207,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = _source(spark, d)
-    known = ranges.features(rows).where("hole_class <> 'C5'")  # so that some decisions have no features
-    return ranges.attach(rows, known).groupBy("s_range").agg(F.count("*").alias("n"))
+    return ranges.attach(rows, ranges.features(rows)).groupBy("s_range").agg(F.count("*").alias("n"))
 
 
 @query("k9_feature_summary", f"{ALL} SELECT count(*) AS n, round({nan('corr(wetness, dynamicness)')}, 6) AS corr_wd FROM feat")

@@ -103,7 +103,7 @@ ONE = "hand_id::BIGINT % 40 = 0"
 
 def _one_hand(spark, d):
     def make(h):
-        rows = logs.sections(h.where("CAST(hand_id AS BIGINT) % 40 = 0"))
+        rows = logs.sections(h)
         number = F.regexp_extract("value", r"(?m)^hand = (\d+)$", 1)
         return rows.select(F.concat(F.lit("dir"), (number.cast("bigint") % 3).cast("string")).alias("d"), number.alias("f"), "value")
 
@@ -112,7 +112,7 @@ def _one_hand(spark, d):
 
 @query("a7_one_hand_files", f"{H} SELECT 'f=' || hand_id || '/' || hand_id AS hand_id, nl_level, n_players, {flat('players')} AS players, len(actions)::INTEGER AS n_actions FROM l WHERE {ONE}")
 def _(spark, d):
-    """A reader for sets of single-hand files; every fortieth hand is such a file here."""
+    """A reader for sets of single-hand files; every hand is such a file here."""
     rows = _one_hand(spark, d)
     return rows.select("hand_id", "nl_level", "n_players", F.array_join("players", ",").alias("players"), F.size("actions").alias("n_actions"))
 

@@ -1,7 +1,7 @@
 """Queries do the whole job of their operators."""
 
-from feltloom.operators import texture
-from feltloom.plans import base, ledger
+from feltloom.operators import ranges, texture
+from feltloom.plans import base, ledger, pairs, sources
 
 
 def test_dynamicness_runs_with_the_operators_own_samples(spark, monkeypatch):
@@ -11,3 +11,26 @@ def test_dynamicness_runs_with_the_operators_own_samples(spark, monkeypatch):
     monkeypatch.setattr(texture, "dynamicness", lambda _, rows, **how: given.append(how) or rows)
     base.QUERIES["g5_dynamicness"](spark, "")
     assert given == [{}]
+
+
+HAND = "hand_id string, site string, nl_level int, `table` string, seat_count int, players array<string>, blinds array<double>, starting_stacks array<double>, finishing_stacks array<double>, winnings array<double>, actions array<string>, year int, month int, day int"
+
+
+def test_every_hand_is_a_file_of_its_own(spark, monkeypatch):
+    ids = [1, 2, 39, 40, 41, 80]
+    rows = [(str(i), "S", 200, "T", 2, ["a", f"b{i}"], [1.0, 2.0], [100.0, 100.0], [], [], ["p1 f"] * (i % 3 + 1), 2009, 7, 1) for i in ids]
+    monkeypatch.setattr(sources, "hands", lambda *_: spark.createDataFrame(rows, HAND))
+    got = base.QUERIES["a7_one_hand_files"](spark, "whole-jobs").collect()
+    assert sorted(tuple(r) for r in got) == sorted((f"f={i}/{i}", 200, 2, f"a,b{i}", i % 3 + 1) for i in ids)
+
+
+FEATURES = "ctx string, board string, hole_class string, h_bin string, w_bin string, d_bin string"
+
+
+def test_known_bins_are_attached_and_unknown_ones_are_mid(spark, monkeypatch):
+    rows = spark.createDataFrame([("x", "b", c, f"s{c}") for c in ("C4", "C5", "C6")], "ctx string, board string, hole_class string, s_fine string")
+    known = spark.createDataFrame([("x", "b", "C4", "low", "high", "low"), ("x", "b", "C5", "high", "low", "high")], FEATURES)
+    monkeypatch.setattr(pairs, "_source", lambda *_: rows)
+    monkeypatch.setattr(ranges, "features", lambda _: known)
+    got = {r.s_range: r.n for r in base.QUERIES["k8_attached_bins"](spark, "").collect()}
+    assert got == {"sC4|Hq=low|W=high|D=low": 1, "sC5|Hq=high|W=low|D=high": 1, "sC6|Hq=mid|W=mid|D=mid": 1}
