@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feltloom.functions.stats import correlations, ratio
@@ -98,8 +99,7 @@ def residual_scores(d: DataFrame, rows: DataFrame, least: int = 10, state: str =
     return score.join(rate, "player")
 
 
-def ranked_names(scores: DataFrame, by: str = "residual", top: int = 20) -> DataFrame:
-    """The best names as one string, best first."""
-    best = scores.orderBy(F.desc(by), "player").limit(top)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col(by)).alias("k"), "player")))
-    return best.agg(F.array_join(F.transform(ordered, lambda x: x.player), ", ").alias("names"))
+def ranked_names(scores: DataFrame, by: str = "residual", top: int | None = None) -> DataFrame:
+    """rank and player, best first: all of them, or the top ones only."""
+    ranked = scores.select(F.row_number().over(W.orderBy(F.desc(by), "player")).alias("rank"), "player")
+    return (ranked.where(F.col("rank") <= top) if top else ranked).orderBy("rank")

@@ -1,6 +1,6 @@
 """Queries do the whole job of their operators."""
 
-from feltloom.operators import ranges, texture
+from feltloom.operators import ranges, reliability, texture
 from feltloom.plans import base, ledger, pairs, sources
 
 
@@ -34,3 +34,11 @@ def test_known_bins_are_attached_and_unknown_ones_are_mid(spark, monkeypatch):
     monkeypatch.setattr(ranges, "features", lambda _: known)
     got = {r.s_range: r.n for r in base.QUERIES["k8_attached_bins"](spark, "").collect()}
     assert got == {"sC4|Hq=low|W=high|D=low": 1, "sC5|Hq=high|W=low|D=high": 1, "sC6|Hq=mid|W=mid|D=mid": 1}
+
+
+def test_every_player_is_ranked(spark):
+    scores = [(f"p{i:02}", float(-(i // 2)), 0.0) for i in range(45)]
+    rows = spark.createDataFrame(scores[::-1], "player string, residual double, actual double")
+    got = reliability.ranked_names(rows)
+    assert [tuple(r) for r in got.collect()] == [(i + 1, p) for i, (p, *_) in enumerate(scores)]
+    assert [r.player for r in reliability.ranked_names(rows, top=3).collect()] == ["p00", "p01", "p02"]
