@@ -1,14 +1,14 @@
 """Language identification with language-bitmask n-gram filters.
 
-One bit-sliced Bloom filter serves all languages: a table of 64-bit masks in which bit l of a slot says that an n-gram of
-language l was hashed there. The AND of an n-gram's ``hashes`` slots is the set of all languages that contain it, in one lookup.
+One bit-sliced Bloom filter serves all languages: a table of masks, as many 64-bit words for each slot as the languages need, in which
+bit l of a slot says that an n-gram of language l was hashed there. The AND of an n-gram's ``hashes`` slots is the set of all languages that contain it, in one lookup.
 The popcounts of a text, one for each language, are corrected for false positives: if the slots of language l are set with density f,
 a foreign n-gram hits with probability f**hashes, so of n n-grams with c hits (c - n q) / (1 - q) belong to it, q = f**hashes.
 The language with the most wins, ties to the one that sorts first.
 
 N-grams are the runs of 2 to 4 letters of a padded word in lower case. A language's filter holds its most frequent ones
-(``grams``), counted by Spark over at most ``max_docs`` documents of each language, the first by a hash of doc_id; this bound does not grow with the corpus,
-and up to 63 languages fit a mask. Every document is judged over its whole text. A text that is null or has no letter is ``und`` with
+(``grams``), counted by Spark over at most ``max_docs`` documents of each language, the first by a hash of doc_id; this bound does not grow with the corpus.
+Every language is learned: the table takes 4 MB for each 63 of them. Every document is judged over its whole text. A text that is null or has no letter is ``und`` with
 score 0, as is any text if nothing was learned. Rows with a null doc_id or lang are not learned from; repeated rows are judged alike.
 """
 
@@ -29,6 +29,7 @@ from .common import batch, bounded_sample, map_batches, slices, table
 
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 400_000
+WORD_BITS = 63
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,8 @@ class Filter:
         """The mask of all languages that contain the n-gram."""
         out = self.known.get(gram)
         if out is None:
-            out = int(np.bitwise_and.reduce(self.masks[slots(gram, self.params)]))
+            both = np.bitwise_and.reduce(self.masks[slots(gram, self.params)], axis=0)
+            out = sum(int(m) << WORD_BITS * k for k, m in enumerate(both))
             if len(self.known) < CACHE_WORDS:
                 self.known[gram] = out
         return out
@@ -75,7 +77,17 @@ class Filter:
     def word(self, word: str) -> np.ndarray:
         """For each language, how many n-grams of the word it contains, and last how many there are."""
         found = Counter(map(self.languages, grams(word, self.params.sizes)))
-        return np.array([sum(n for m, n in found.items() if m >> i & 1) for i in range(len(self.langs))] + [found.total()], np.int64)
+        out = [0] * len(self.langs) + [found.total()]
+        for m, n in found.items():
+            while m:
+                low = m & -m
+                out[low.bit_length() - 1] += n
+                m ^= low
+        return np.array(out, np.int64)
+
+    def most_words(self) -> int:
+        """How many words to remember: their counts take no more memory for more languages than for 63."""
+        return CACHE_WORDS * 64 // max(64, len(self.langs) + 1)
 
     def decide(self, counts: np.ndarray) -> tuple[str, float]:
         n = counts[-1]
@@ -89,12 +101,12 @@ class Filter:
 
 def build(found: dict[str, list[str]], p: Params) -> Filter:
     """The filter of each language's n-grams."""
-    langs = sorted(found)[:63]
-    masks = np.zeros(1 << p.slot_bits, np.int64)
+    langs = sorted(found)
+    masks = np.zeros((1 << p.slot_bits, max(1, -(-len(langs) // WORD_BITS))), np.int64)
     for i, lang in enumerate(langs):
         for g in found[lang]:
-            masks[slots(g, p)] |= 1 << i
-    density = np.array([(masks >> i & 1).mean() for i in range(len(langs))])
+            masks[slots(g, p), i // WORD_BITS] |= 1 << i % WORD_BITS
+    density = np.array([(masks[:, i // WORD_BITS] >> i % WORD_BITS & 1).mean() for i in range(len(langs))])
     return Filter(langs, masks, density**p.hashes, p)
 
 
@@ -138,7 +150,7 @@ def identified(docs: DataFrame, model: Filter) -> DataFrame:
             out = []
             for text in b.column(1).to_pylist():
                 words = WORD.findall(text.lower()) if text else []
-                for w in set(words).difference(f.words) if len(f.words) < CACHE_WORDS else ():
+                for w in set(words).difference(f.words) if len(f.words) < f.most_words() else ():
                     f.words[w] = f.word(w)
                 seen = Counter(words)
                 at = [f.words[w] if w in f.words else f.word(w) for w in seen]
