@@ -1,8 +1,9 @@
 """Text operators do the whole job, also where the given tables don't show it."""
 
 import random
+import string
 
-from feltloom.llm import language
+from feltloom.llm import language, secrets
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -17,3 +18,21 @@ def test_more_languages_than_bits_of_a_word(spark):
     assert model.langs == sorted(own) and model.masks.shape[1] == 3
     got = {r.doc_id: r.lang_pred for r in language.identified(rows, model).collect()}
     assert got == {i: lang for i, (lang, _) in enumerate(texts)}
+
+
+def test_keys_beside_other_characters(spark):
+    rng = random.Random(4)
+    key = lambda letters, n=40: "".join(rng.choice(letters) for _ in range(n))
+    plain, url = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_"
+    keys = [key(plain), key(url), key(plain + "+/"), key(plain), key(url), key(string.ascii_lowercase, 150), key(plain)]
+    texts = [f"auth={keys[0]} x", f"sig={keys[1]}", f"AWS_ACCESS_KEY={keys[2]}", f"my-host/path/{keys[3]}", f"my-host/path+{keys[4]}", keys[5], f"{keys[6]}=="]
+    texts += ["-" * 80, "=" * 80, "a-very-long-hyphenated-name-that-is-just-words", "donaudampfschifffahrtsgesellschaftskapitaen", "one/way-or_another/of+writing-words_in-a/row"]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC)
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.confirmed(secrets.scanned(rows)).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redacted(rows).collect()}
+    for i, k in enumerate(keys):
+        assert k not in clean[i] and "[SECRET]" in clean[i]
+        assert any(kind == "random" and start <= texts[i].index(k) and texts[i].index(k) + len(k) <= end for kind, start, end in found[i]), texts[i]
+    assert clean[0] == "auth=[SECRET] x" and clean[2] == "AWS_ACCESS_KEY=[SECRET]"
+    for i in range(len(keys), len(texts)):
+        assert found[i] == [] and clean[i] == texts[i]
