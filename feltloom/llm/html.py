@@ -5,11 +5,11 @@ footer, sidebar, form, comment, notice or advert element, or one that is mostly
 stop words is good; a short one without links is ambiguous. Pass two gives an ambiguous block the label of its nearest decided neighbours:
 where both sides agree, theirs; where they differ, good only inside the page's article element or beside a good block that
 is nearer than the bad one. Inside an article element blocks count as good unless pass one found them bad, as an article's one-word paragraphs
-and headings are text too; outside of it, a page that has one has no main text.
+and headings are text too, and headings whatever links they hold; outside of it, a page that has one has no main text.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined in page order.
 Unclosed and stray tags are tolerated: a block-level tag ends the paragraph before it, an end tag closes what was opened after its
-partner. Null and empty pages, and pages without main text, give an empty text. Repeated rows are read alike; any url may be null.
+partner. Links are <a> with href; one that is left open ends with its block-level parent. Null and empty pages, and pages without main text, give an empty text. Repeated rows are read alike; any url may be null.
 """
 
 from __future__ import annotations
@@ -31,9 +31,12 @@ TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+HREF = re.compile(r"""(?:^|[\s"'])href\s*=""", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that stand inside a block; every other tag ends one.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that end where their like begins.
+ITEMS = frozenset("li dt dd td th tr option".split())
 BOILERPLATE = frozenset("nav header footer aside form button dialog menu fieldset figcaption".split())
 MAIN = frozenset("article main".split())
 #: Parts of class, id and role names that tell what an element is for.
@@ -53,6 +56,7 @@ class Params:
     stop_low: float = 0.15
     stop_high: float = 0.25
     max_links: float = 0.4
+    main_links: float = 0.5  # of a short block inside a main element, where one link weighs more
 
 
 @dataclass
@@ -81,6 +85,7 @@ class Page:
     parts: list[str] = field(default_factory=list)
     links: int = 0
     in_link: int = 0
+    link_depth: int = 0  # how many elements were open when the link began
     heading: bool = False
 
     def text(self, raw: str) -> None:
@@ -97,7 +102,9 @@ class Page:
 
     def start(self, tag: str, attributes: str) -> None:
         if tag == "a":
-            self.in_link = 1
+            self.in_link, self.link_depth = int(bool(HREF.search(attributes))), len(self.stack)
+        elif self.in_link and tag in ITEMS and len(self.stack) == self.link_depth and self.stack and self.stack[-1].tag in ITEMS:
+            self.in_link = 0
         if tag in INLINE and not attributes:
             return
         if tag not in INLINE:
@@ -129,6 +136,8 @@ class Page:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i].tag == tag:
                 self.cut()
+                if any(o.tag not in INLINE for o in self.stack[i : self.link_depth]):
+                    self.in_link = 0
                 del self.stack[i:]
                 return
             if tag == "p" and self.stack[i].tag not in INLINE:
@@ -161,12 +170,13 @@ def blocks(source: str) -> list[Block]:
 def judge(block: Block, p: Params) -> str:
     """Pass one: good, bad, or ambiguous."""
     n = len(block.text)
-    if block.boilerplate or block.links > p.max_links * n or "©" in block.text and n < p.long_chars:
+    most = 1.0 if block.main and block.heading else p.main_links if block.main and n < p.short_chars else p.max_links
+    if block.boilerplate or block.links > most * n and most < 1 or "©" in block.text and n < p.long_chars:
         return "bad"
     words = block.text.lower().split()
     stops = sum(w.strip(".,;:!?()\"'") in STOPS for w in words) / max(1, len(words))
     if n < p.short_chars or block.heading:
-        return "ambiguous" if not block.links else "bad"
+        return "ambiguous" if block.main or not block.links else "bad"
     if stops >= p.stop_high or stops >= p.stop_low and n >= p.long_chars:
         return "good"
     return "ambiguous" if stops >= p.stop_low or block.main else "bad"

@@ -3,7 +3,7 @@
 import random
 import string
 
-from feltloom.llm import language, secrets
+from feltloom.llm import html, language, secrets
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -36,3 +36,18 @@ def test_keys_beside_other_characters(spark):
     assert clean[0] == "auth=[SECRET] x" and clean[2] == "AWS_ACCESS_KEY=[SECRET]"
     for i in range(len(keys), len(texts)):
         assert found[i] == [] and clean[i] == texts[i]
+
+
+def test_links_inside_an_article():
+    article = "<nav><a href=/>Home</a></nav><article>{}</article><p>After</p>"
+    kept = {
+        "<p>See <a href=r>the report</a> for more.</p>": "See the report for more.",
+        "<ul><li>One item with <a href=x>a link</a><li>Two</ul>": "One item with a link Two",
+        "<h2><a href=t>Linked title</a></h2><h3><a id=s></a>Anchored</h3><p>Text</p>": "Linked title Anchored Text",
+        "<p><a name=top>First</p><p>Second</p>": "First Second",
+        "<p>See what is <a href=x>open</p><p>Second</p>": "See what is open Second",
+        "<ul><li>An item with <a href=x>one<li>Two</ul><p>Third</p>": "An item with one Two Third",
+        "<p>Text</p><p><a href=a>One</a> <a href=b>Two</a></p>": "Text",
+    }
+    for source, text in kept.items():
+        assert html.main_text(article.format(source)) == text, source
