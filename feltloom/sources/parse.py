@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from feltloom.sources.scratch import folder
+
 HANDS = (
     "site string, nl_level int, hand_id string, table string, seat_count int, n_players int, players array<string>, blinds array<double>, "
     "starting_stacks array<double>, finishing_stacks array<double>, winnings array<double>, actions array<string>, year int, month int, day int, time string"
@@ -116,9 +118,15 @@ def natural_halves(files: DataFrame, directory: Column, stem: Column) -> DataFra
     """day 1 for the first half of the files in order of (directory, first number in the stem, or -1), else day 2."""
     number = F.coalesce(F.regexp_extract(stem, r"(\d+)", 1).try_cast("bigint"), F.lit(-1))
     placed = files.withColumns({"_d": directory, "_n": number, "_s": stem})
-    place = F.row_number().over(W.orderBy("_d", "_n", "_s")) - 1
-    total = F.count("*").over(W.partitionBy())
-    return placed.withColumn("day", F.when(place < F.floor(total / 2), 1).otherwise(2)).drop("_d", "_n", "_s")
+    # Ranges are in order; they are written, as a range partitioning made twice need not fall alike, and each adds to its own places the rows before it.
+    path = folder(files.sparkSession, "natural-order")
+    placed.repartitionByRange("_d", "_n", "_s").withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    ranged = files.sparkSession.read.parquet(path)
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_p", before.alias("_before"), F.sum("_c").over(W.partitionBy()).alias("_total"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_p").orderBy("_d", "_n", "_s")) - 1
+    return ranged.join(offsets, "_p").withColumn("day", F.when(place < F.floor(F.col("_total") / 2), 1).otherwise(2)).drop("_d", "_n", "_s", "_p", "_before", "_total")
 
 
 def sampled_files(files: DataFrame, file: str, first: int | None = None, spread: int | None = None) -> DataFrame:

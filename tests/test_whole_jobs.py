@@ -1,7 +1,10 @@
 """Queries do the whole job of their operators."""
 
+from pyspark.sql import functions as F
+
 from feltloom.operators import ranges, reliability, texture
 from feltloom.plans import base, ledger, pairs, sources
+from feltloom.sources import parse
 
 
 def test_dynamicness_runs_with_the_operators_own_samples(spark, monkeypatch):
@@ -42,3 +45,14 @@ def test_every_player_is_ranked(spark):
     got = reliability.ranked_names(rows)
     assert [tuple(r) for r in got.collect()] == [(i + 1, p) for i, (p, *_) in enumerate(scores)]
     assert [r.player for r in reliability.ranked_names(rows, top=3).collect()] == ["p00", "p01", "p02"]
+
+
+def test_halves_in_natural_order_without_one_task_for_all(spark):
+    rows = [(f"d{i % 3}", f"h{i}" if i % 10 else f"x{i % 20}y") for i in range(401)]
+    files = spark.createDataFrame(rows, "d string, s string").repartition(5)
+    out = parse.natural_halves(files, F.col("d"), F.col("s"))
+    order = sorted(rows, key=lambda r: (r[0], int("".join(c for c in r[1] if c.isdigit())), r[1]))
+    want = sorted((*r, 1 if i < len(rows) // 2 else 2) for i, r in enumerate(order))
+    assert sorted(tuple(r) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_d" not in plan
