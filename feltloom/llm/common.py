@@ -52,18 +52,18 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def bounded_sample(rows: DataFrame, by: str, key: str, most: int, seed: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, by: str, key: str, most: int, seed: int, tie: str | None = None) -> DataFrame:
     """Up to ``most`` rows of each group, the first by a hash of key: the same in every run.
 
     A hash threshold for each group, a third above what is needed, leaves few rows before any are put in order, so
-    that no group meets in one task as a whole.
+    that no group meets in one task as a whole. Rows of one key are told apart by a hash of ``tie``.
     """
     sizes = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).collect()
     if not sizes:
         return rows.where(F.lit(False))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r[by], min(1.0, (1.3 * most + 50) / r.n))])
     few = rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col(by)), F.lit(0.0)) * (1 << 30))
-    order = W.partitionBy(by).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    order = W.partitionBy(by).orderBy(F.xxhash64(key, F.lit(seed)), key, *([F.xxhash64(tie)] if tie else []))
     return few.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
 
 

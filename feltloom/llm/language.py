@@ -43,8 +43,10 @@ class Params:
 
 
 def grams(word: str, sizes: tuple[int, ...]) -> list[str]:
-    w = f" {word} "
-    return [w[i : i + n] for n in sizes for i in range(len(w) - n + 1) if w[i : i + n] != " "]
+    """N-grams of the word's runs of letters; other numerals than digits (such as 2 as an exponent) match WORD but are none."""
+    runs = [word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split()
+    padded = [f" {x} " for x in runs]
+    return [w[i : i + n] for w in padded for n in sizes for i in range(len(w) - n + 1) if w[i : i + n] != " "]
 
 
 def slots(gram: str, p: Params) -> list[int]:
@@ -112,8 +114,8 @@ def build(found: dict[str, list[str]], p: Params) -> Filter:
 
 def train(docs: DataFrame, p: Params = Params()) -> Filter:
     learned = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-    few = bounded_sample(learned.select("lang", "doc_id"), "lang", "doc_id", p.max_docs, p.seed)
-    chosen = learned.select("doc_id", "lang", "text").join(few.distinct(), ["lang", "doc_id"]).select("lang", "text").repartition(64)
+    # The hash threshold of each language leaves a bounded number of rows in the scan itself, so no other text is shuffled.
+    chosen = bounded_sample(learned.select("lang", "doc_id", "text"), "lang", "doc_id", p.max_docs, p.seed, tie="text").select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
