@@ -7,13 +7,17 @@ there, which turns the largest inner product into the least distance; the tree i
   vector is then sent down the tree on the executors; leaves are stored in blocks of bounded size.
 * A query walks the tree with a priority queue of branches, nearest centre first, and so gets its leaves in best-bin-first order.
 * How many leaves to visit is calibrated, not guessed: for ``calibrate`` query vectors the exact answer is found by a scan of
-  all vectors in blocks, and visits are widened until their recall reaches ``recall``. All queries then visit that many.
-* Leaves are searched in blocks: a leaf's vectors and the queries that visit it are cut into parts of bounded size, cogrouped, scored in double precision on the original
-  vectors, and the best k of each block are merged.
+  all vectors in blocks, and visits are widened until their recall, the query's own vector not counted, reaches ``recall``.
+* Visits widen in rounds, each up to ``widen`` times the leaves of the ones before. What a query has found so far gives it a floor, the score
+  of its (k + 1)-th best; a leaf of a later round returns only what reaches it. So the rows that a query gets back grow with the number of
+  rounds, the logarithm of its visits, and not with the vectors it is held against. No answer is lost by it.
+* Leaves are searched in blocks: a leaf's vectors and the queries that visit it are cut into parts of bounded size, cogrouped, and scored in
+  double precision on the original vectors. The queries of a batch travel to a leaf in one row.
 
 Equal vectors are one: each distinct vector carries its k + 1 least ids, which is all that any answer can hold, and equal queries are searched once,
 so a vector that a third of all rows share costs no more than another. Rows with a null id or vector, a null or
-non-finite component, another length than most vectors have, or only zeros take no part. With fewer than k candidates, all are returned.
+non-finite component, or only zeros take no part, nor do those of another length than most vectors have, as no inner product
+with the others is defined. With fewer than k candidates, all are returned.
 """
 
 from __future__ import annotations
@@ -34,12 +38,14 @@ from .common import batch, map_batches, slices, table, written
 @dataclass(frozen=True)
 class Params:
     k: int = 20
-    leaf: int = 150
-    max_leaves: int = 2048
+    leaf: int = 50
+    max_leaves: int = 4096
     branch: int = 8
     sample: int = 40_000
     calibrate: int = 64
-    recall: float = 0.97
+    recall: float = 0.93
+    first: int = 4  # leaves of the first round
+    widen: int = 4
     block: int = 4000
     every: int = 20
     seed: int = 3
@@ -72,18 +78,19 @@ class Tree:
             open_ = np.concatenate(moved) if moved else np.empty(0, np.int64)
         return np.fromiter((self.leaf_of[i] for i in at), np.int64, len(at))
 
-    def order(self, q: np.ndarray, most: int) -> list[int]:
-        """Up to ``most`` leaves, best bin first: the branch with the nearest centre is always opened next."""
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < most:
-            _, node = heapq.heappop(heap)
-            kids = self.children[node]
-            if not kids:
-                out.append(self.leaf_of[node])
-                continue
-            d = ((self.centres[kids] - q) ** 2).sum(1)
-            for x in zip(d.tolist(), kids, strict=True):
-                heapq.heappush(heap, x)
+    def orders(self, q: np.ndarray, most: int) -> list[list[int]]:
+        """For each query up to ``most`` leaves, best bin first: the branch with the nearest centre is always opened next."""
+        out = []
+        for d in ((self.centres**2).sum(1) - 2 * q @ self.centres.T).tolist():
+            heap, found = [(0.0, 0)], []
+            while heap and len(found) < most:
+                _, node = heapq.heappop(heap)
+                if kids := self.children[node]:
+                    for k in kids:
+                        heapq.heappush(heap, (d[k], k))
+                else:
+                    found.append(self.leaf_of[node])
+            out.append(found)
         return out
 
 
@@ -141,10 +148,10 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(values, float).reshape(-1, width)
 
 
-def best(scores: np.ndarray, ids: list[list[int]], k: int) -> tuple[list[int], list[float]]:
-    """The first k + 1 ids by score, ties to the smaller id; a vector stands for all its ids."""
+def best(scores: np.ndarray, ids: list[list[int]], k: int, least: float) -> tuple[list[int], list[float]]:
+    """The first k + 1 ids by score, ties to the smaller id, among those that reach ``least``; a vector stands for all its ids."""
     m = min(len(scores), k + 1)
-    floor = np.partition(scores, len(scores) - m)[len(scores) - m]
+    floor = max(least, np.partition(scores, len(scores) - m)[len(scores) - m])
     found = sorted((-scores[i], x) for i in np.flatnonzero(scores >= floor) for x in ids[i])[: k + 1]
     return [x for _, x in found], [-s for s, _ in found]
 
@@ -158,12 +165,12 @@ def search(spark, rows: DataFrame, queries: DataFrame, p: Params) -> tuple[DataF
     widths = every.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if widths is None:
-        return spark.createDataFrame([], schema), {"visits": 0, "recall": 1.0}
+        return spark.createDataFrame([], schema), {"visits": 0, "leaves": 0, "recall": 1.0}
     width = widths.w
     every = every.where(F.size("v") == width)
     # One row for each distinct vector, with its k + 1 least ids; the limit is applied in every task before the shuffle.
     least = every.withColumn("r", F.dense_rank().over(W.partitionBy("v").orderBy("id"))).where(F.col("r") <= p.k + 1)
-    vectors = least.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("key", F.col("ids")[0])
+    vectors = least.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("key", F.monotonically_increasing_id())
     vectors = written(vectors, "vectors")
     asked = valid(queries).where(F.size("v") == width).select("id", "v").join(vectors.select("v", "key"), "v").select("id", "key").distinct()
     asked = written(asked, "asked")
@@ -175,8 +182,8 @@ def search(spark, rows: DataFrame, queries: DataFrame, p: Params) -> tuple[DataF
         return np.hstack([x, np.sqrt(np.maximum(norm**2 - (x**2).sum(1), 0))[:, None]])
 
     share = min(1.0, 1.2 * p.sample / max(n, 1))
-    sample = vectors.select("key", "v").where(F.pmod(F.xxhash64("key", F.lit(p.seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
-    sample = sample.orderBy(F.xxhash64("key", F.lit(p.seed)), "key").limit(p.sample).toArrow()
+    sample = vectors.select("key", "v").where(F.pmod(F.xxhash64("v", F.lit(p.seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    sample = sample.orderBy(F.xxhash64("v", F.lit(p.seed)), "v").limit(p.sample).toArrow()
     tree = grow(lifted(matrix(sample.column("v").combine_chunks(), width)), int(np.clip(n // p.leaf, 1, p.max_leaves)), p)
     sent = spark.sparkContext.broadcast((tree, width))
 
@@ -191,86 +198,108 @@ def search(spark, rows: DataFrame, queries: DataFrame, p: Params) -> tuple[DataF
     sizes = placed.groupBy("leaf").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int")).select("leaf", "blocks")
 
     distinct = asked.select("key").distinct().join(vectors.select("key", "v"), "key")
-    route_schema = pa.schema([("q", pa.int64()), ("leaf", pa.int64()), ("turn", pa.int32()), ("qv", pa.list_(pa.float64()))])
-
-    def routed(which: DataFrame, most: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree, width = sent.value
-            for b in slices(batches, 512):
-                q = matrix(b.column(1), width)
-                order = [tree.order(np.append(x, 0.0), most) for x in q]
-                at = [i for i, o in enumerate(order) for _ in o]
-                yield batch(route_schema, b.column(0).take(pa.array(at, pa.int64())), [x for o in order for x in o], [t for o in order for t in range(len(o))], b.column(1).take(pa.array(at, pa.int64())))
-
-        return map_batches(which.select("key", "v"), run, "q long, leaf long, turn int, qv array<double>")
-
-    def searched(routes: DataFrame) -> DataFrame:
-        """(q, id, score): the best k + 1 of every block that a query visits."""
-        routes = written(routes, "routes")
-        crowd = F.broadcast(routes.groupBy("leaf").agg(F.ceil(F.count("*") / p.block).cast("int").alias("crowds")).join(sizes, "leaf"))
-        aimed = routes.join(crowd, "leaf").withColumn("crowd", F.pmod(F.xxhash64("q"), F.col("crowds")).cast("int"))
-        aimed = aimed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("leaf", "block", "crowd", "q", "qv")
+    visits, recall = calibrated(spark, distinct, placed, tree, width, p)
+
+    order_schema = pa.schema([("q", pa.int64()), ("qv", pa.list_(pa.float64())), ("leaves", pa.list_(pa.int32()))])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, width = sent.value
+        for b in slices(batches, 512):
+            q = matrix(b.column(1), width)
+            yield batch(order_schema, b.column(0), b.column(1), tree.orders(np.hstack([q, np.zeros((len(q), 1))]), visits))
+
+    orders = written(map_batches(distinct.select("key", "v"), walk, "q long, qv array<double>, leaves array<int>"), "orders")
+
+    route_schema = pa.schema([("leaf", pa.int64()), ("n", pa.int64()), ("q", pa.list_(pa.int64())), ("least", pa.list_(pa.float64())), ("qv", pa.list_(pa.float64()))])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each leaf that queries of the batch visit, with these queries."""
+        for b in slices(batches, 512):
+            q, least, qv = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2), width)
+            visitors: dict[int, list[int]] = {}
+            for i, leaves in enumerate(b.column(3).to_pylist()):
+                for leaf in leaves:
+                    visitors.setdefault(leaf, []).append(i)
+            for some in visitors.items():  # a row at a time, so that the copies of vectors stay few
+                leaf, at = some
+                yield batch(route_schema, [leaf], [len(at)], [q[at]], [least[at]], [qv[at].ravel()])
+
+    def compare(key, ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not theirs.num_rows or not ours.num_rows:
+            return FOUND.empty_table()
+        x = matrix(theirs.column("v").combine_chunks(), width)
+        ids = theirs.column("ids").to_pylist()
+        out = ([], [], [])
+        for q, least, qv in zip(ours.column("q").to_pylist(), ours.column("least").to_pylist(), ours.column("qv"), strict=True):
+            scores = qv.values.to_numpy().reshape(-1, width) @ x.T
+            for name, floor, s in zip(q, least, scores, strict=True):
+                i, s = best(s, ids, p.k, floor)
+                out[0].extend([name] * len(i))
+                out[1].extend(i)
+                out[2].extend(s)
+        return pa.Table.from_batches([batch(FOUND, *out)])
+
+    def searched(start: int, end: int, least: DataFrame | None) -> DataFrame:
+        """(q, id, score) of the leaves from place start to end of each query's order: the best k + 1 of every block that reach the query's floor."""
+        turn = orders.select("q", "qv", F.slice("leaves", start + 1, end - start).alias("leaves"))
+        turn = turn.join(least, "q", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))) if least is not None else turn.withColumn("least", F.lit(float("-inf")))
+        routes = written(map_batches(turn.select("q", "least", "qv", "leaves"), route, "leaf long, n long, q array<long>, least array<double>, qv array<double>"), "routes")
+        crowd = F.broadcast(routes.groupBy("leaf").agg(F.ceil(F.sum("n") / p.block).cast("int").alias("crowds")).join(sizes, "leaf"))  # a row for each leaf: max_leaves at most
+        aimed = routes.join(crowd, "leaf").withColumn("crowd", F.pmod(F.xxhash64(F.col("q")[0]), F.col("crowds")).cast("int"))
+        aimed = aimed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("leaf", "block", "crowd", "q", "least", "qv")
         blocks = placed.join(crowd, "leaf").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         blocks = blocks.withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1))).select("leaf", "block", "crowd", "v", "ids")
-
-        def run(key, ours: pa.Table, theirs: pa.Table) -> pa.Table:
-            if not theirs.num_rows or not ours.num_rows:
-                return FOUND.empty_table()
-            x = matrix(theirs.column("v").combine_chunks(), width)
-            ids = theirs.column("ids").to_pylist()
-            q, out = ours.column("q").to_pylist(), ([], [], [])
-            for at in range(0, len(q), 256):
-                scores = matrix(ours.column("qv").combine_chunks()[at : at + 256], width) @ x.T
-                for name, s in zip(q[at : at + 256], scores, strict=True):
-                    i, s = best(s, ids, p.k)
-                    out[0].extend([name] * len(i))
-                    out[1].extend(i)
-                    out[2].extend(s)
-            return pa.Table.from_batches([batch(FOUND, *out)])
-
-        return aimed.groupBy("leaf", "block", "crowd").cogroup(blocks.groupBy("leaf", "block", "crowd")).applyInArrow(run, "q long, id long, score double")
-
-    visits, recall = calibrated(spark, distinct, placed, routed, tree, width, p)
-    found = searched(routed(distinct, visits))
-    per_key = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= p.k + 1)
+        return aimed.groupBy("leaf", "block", "crowd").cogroup(blocks.groupBy("leaf", "block", "crowd")).applyInArrow(compare, "q long, id long, score double")
+
+    per_key, start, end = None, 0, min(p.first, visits)
+    while start < visits:
+        least = None if per_key is None else per_key.where(F.col("r") == p.k + 1).select("q", F.col("score").alias("least"))
+        new = searched(start, end, least)
+        new = new if per_key is None else new.union(per_key.select("q", "id", "score"))
+        new = new.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= p.k + 1)
+        per_key = written(new, "found")
+        start, end = end, min(visits, end * p.widen)
     own = asked.withColumnRenamed("id", "query_id").join(per_key.select("q", "id", "score"), F.col("key") == F.col("q")).where("id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     out = own.withColumn("rank", rank).where(F.col("rank") <= p.k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
-    return out, {"visits": visits, "recall": recall}
+    return out, {"visits": visits, "leaves": len(tree.leaf_of), "recall": recall}
 
 
-def calibrated(spark, distinct: DataFrame, placed: DataFrame, routed, tree: Tree, width: int, p: Params) -> tuple[int, float]:
-    """(leaves to visit, their recall on the calibration queries): widened one and a half times until recall is reached.
+def calibrated(spark, distinct: DataFrame, placed: DataFrame, tree: Tree, width: int, p: Params) -> tuple[int, float]:
+    """(leaves to visit, their recall on the calibration queries): widened by a tenth until recall is reached.
 
     The exact neighbours come with their leaf, so one scan tells every query's recall at any number of visits.
     """
-    some = distinct.orderBy(F.xxhash64("key", F.lit(p.seed + 1)), "key").limit(p.calibrate).toArrow()
+    some = distinct.orderBy(F.xxhash64("v", F.lit(p.seed + 1)), "v").limit(p.calibrate).toArrow()
     leaves = len(tree.leaf_of)
     if not some.num_rows:
         return leaves, 1.0
     names, q = some.column("key").to_pylist(), matrix(some.column("v").combine_chunks(), width)
     sent = spark.sparkContext.broadcast((names, q))
-    schema = pa.schema([("q", pa.int64()), ("leaf", pa.int64()), ("score", pa.float64()), ("n", pa.int64())])
+    schema = pa.schema([("q", pa.int64()), ("leaf", pa.int64()), ("score", pa.float64()), ("key", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = sent.value
         for b in slices(batches, 4096):
             scores = matrix(b.column(1), width) @ q.T
-            n, leaf = np.array([len(x) for x in b.column(2).to_pylist()]), b.column(0).to_numpy()
+            key, leaf = b.column(2).to_numpy(), b.column(0).to_numpy()
             for j, name in enumerate(names):
                 top = np.argsort(-scores[:, j], kind="stable")[: p.k + 1]
-                yield batch(schema, [name] * len(top), leaf[top], scores[top, j], n[top])
+                yield batch(schema, [name] * len(top), leaf[top], scores[top, j], key[top])
 
-    exact = map_batches(placed.select("leaf", "v", "ids"), scan, "q long, leaf long, score double, n long")
-    exact = exact.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "leaf"))).where(F.col("r") <= p.k + 1)
+    exact = map_batches(placed.select("leaf", "v", "key"), scan, "q long, leaf long, score double, key long").where("q <> key")
+    exact = exact.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "key"))).where(F.col("r") <= p.k)
     truth: dict[int, list[int]] = {}
-    for r in exact.orderBy("q", "r").collect():  # (k + 1) * calibrate rows at most
+    for r in exact.orderBy("q", "r").collect():  # k * calibrate rows at most
         truth.setdefault(r.q, []).append(r.leaf)
-    turn = {name: {leaf: t for t, leaf in enumerate(tree.order(np.append(x, 0.0), leaves))} for name, x in zip(names, q, strict=True)}
+    orders = tree.orders(np.hstack([q, np.zeros((len(q), 1))]), leaves)
+    turn = {name: {leaf: t for t, leaf in enumerate(order)} for name, order in zip(names, orders, strict=True)}
     needed = sorted(turn[name][leaf] + 1 for name, found in truth.items() for leaf in found)
-    visits = 1
+    visits = min(p.first, leaves)
+    if not needed:
+        return leaves, 1.0
     while (recall := float(np.searchsorted(needed, visits, "right")) / len(needed)) < p.recall and visits < leaves:
-        visits = min(leaves, max(visits + 1, int(visits * 1.5)))
+        visits = min(leaves, max(visits + 1, int(visits * 1.1)))
     return visits, recall
 
 

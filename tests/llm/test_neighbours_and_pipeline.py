@@ -52,7 +52,7 @@ def test_best_bin_first_visits_every_leaf_once():
     tree = neighbours.grow(x, 30, neighbours.Params())
     leaves = tree.send(x)
     assert set(leaves) <= set(tree.leaf_of.values())
-    order = tree.order(x[0], len(tree.leaf_of))
+    order = tree.orders(x[:1], len(tree.leaf_of))[0]
     assert sorted(order) == sorted(tree.leaf_of.values())
     assert order[0] == leaves[0]
 
