@@ -11,10 +11,14 @@ A document's set holds its distinct runs of ``words`` consecutive words, A-Z in
   (1 - 0.8**5)**32 = 3e-6 at the production parameters.
 * Exact copies of a set become one representative before banding, so that groups of copies cost nothing.
 * Verification goes in rounds, all on full sets. First every member of a bucket against the bucket's centre
-  (the least id of each thousand members, and these against the bucket's least). Then, in buckets that still hold several
-  classes, against a centre chosen by a hash, another one in each bucket and round. What is still apart is settled last:
-  the members of different classes, if their sets' sizes and a longer sketch allow a link: of 1,024 coordinates, two
-  bits each, those of a linked pair agree in ``agree`` or more but for one pair in a million. No pair within a class is made.
+  (the least node of each thousand members, and these against the bucket's least). Then, in buckets that still hold several
+  classes, against a centre chosen by a hash, another one in each bucket and round. What is still apart is settled last, in tiles: the members
+  outside of a bucket's largest class meet all members of other classes, in parts of bounded size, and the task that holds both full sets
+  intersects them there and then. It returns one link for each member and class that it is linked with, so rows grow with the links between
+  classes and not with the pairs looked at; a pair is looked at in the first band that it shares, and not at all if sizes or sketches rule it out
+  (a linked pair agrees in fewer than ``agree`` coordinates once in a million). No pair within a class is made.
+
+A node is a distinct set. A doc_id that occurs with several texts has several nodes, which are linked.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing; shorter texts are one
 shingle. Rows with a null doc_id are classes of their own (component_id null, kept). Repeated rows of a doc_id share a class.
@@ -27,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, map_batches, slices, table, written
@@ -42,14 +46,13 @@ class Params:
     rows: int = 5
     centre_of: int = 1000
     random_centres: int = 2
-    codes: int = 1024
+    tile: int = 1_000_000  # shingles of a tile's members, and again of those that they meet
 
     @property
     def agree(self) -> int:
-        """Five standard deviations below the mean of the coordinates' two-bit codes that agree at the least similarity."""
-        t, s = self.codes, self.percent / 100
-        p = s + (1 - s) / 4
-        return int(t * p - 5 * (t * p * (1 - p)) ** 0.5)
+        """Five standard deviations below the mean of the coordinates that agree at the least similarity."""
+        t, s = self.bands * self.rows, self.percent / 100
+        return int(t * s - 5 * (t * s * (1 - s)) ** 0.5)
 
 
 U64 = np.uint64
@@ -96,60 +99,49 @@ def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
     return out.reshape(-1, t)
 
 
-def two_bits(rows: np.ndarray) -> np.ndarray:
-    """Two bits of every coordinate, 32 coordinates to a 64-bit integer."""
-    n, t = rows.shape
-    bits = np.zeros((n, -(-t // 32) * 32), U64)
-    bits[:, :t] = mix(rows) & U64(3)
-    return (bits.reshape(n, -1, 32) << (U64(2) * np.arange(32, dtype=U64))).sum(2, dtype=U64).astype(np.int64)
-
-
-def disagreements(x: Column, y: Column, words: int) -> Column:
-    """In how many coordinates two codes differ."""
-    out = None
-    for i in range(words):
-        d = x[i].bitwiseXOR(y[i])
-        n = F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-        out = n if out is None else out + n
-    return out
+def banded(sets: list[np.ndarray], p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the bands, a byte of every coordinate) of each set."""
+    every = sketch(sets, p.bands * p.rows)
+    rows = every.reshape(len(sets), p.bands, p.rows)
+    keys = np.broadcast_to(np.arange(p.bands, dtype=U64), (len(sets), p.bands))
+    for i in range(p.rows):
+        keys = mix(keys ^ rows[:, :, i])
+    return keys.astype(np.int64), (mix(every) & U64(0xFF)).astype(np.uint8)
 
 
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def features(docs: DataFrame, p: Params) -> DataFrame:
-    """Per row: doc_id, n_shingles, a 128-bit fingerprint of the set, and its band keys (none if the set is empty)."""
+    """Per row: doc_id, a hash of the text, n_shingles, a 128-bit fingerprint of the set, and its band keys (none if the set is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = [shingles(x, p.words) for x in b.column(1).to_pylist()]
-            rows = sketch(sets, p.bands * p.rows).reshape(len(sets), p.bands, p.rows)
-            keys = np.broadcast_to(np.arange(p.bands, dtype=U64), (len(sets), p.bands))
-            for i in range(p.rows):
-                keys = mix(keys ^ rows[:, :, i])
-            keys = keys.astype(np.int64)
+            sets = [shingles(x, p.words) for x in b.column(2).to_pylist()]
+            keys, _ = banded(sets, p)
             with np.errstate(over="ignore"):
                 a = [int(mix(s).sum(dtype=U64).astype(np.int64)) for s in sets]
                 c = [int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64).astype(np.int64)) for s in sets]
             bands = [k if len(s) else [] for k, s in zip(keys, sets, strict=True)]
-            yield batch(FEATURES, b.column(0), [len(s) for s in sets], a, c, bands)
+            yield batch(FEATURES, b.column(0), b.column(1), [len(s) for s in sets], a, c, bands)
 
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
+    schema = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>"
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text"), run, schema)
 
 
-CODES = pa.schema([("id", pa.int64()), ("codes", pa.list_(pa.int64()))])
+WHOLE = pa.schema([("id", pa.int64()), ("keys", pa.binary()), ("marks", pa.binary()), ("shingles", pa.binary())])
 
 
-def coded(texts: DataFrame, p: Params) -> DataFrame:
-    """id, codes: two bits of each of ``codes`` coordinates, from a longer sketch than the bands need."""
+def whole(texts: DataFrame, p: Params) -> DataFrame:
+    """id, and as bytes: its band keys, a byte of every coordinate, its full set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 128):
             sets = [shingles(x, p.words) for x in b.column(1).to_pylist()]
-            yield batch(CODES, b.column(0), list(two_bits(sketch(sets, p.codes))))
+            keys, marks = banded(sets, p)
+            yield batch(WHOLE, b.column(0), [k.tobytes() for k in keys], [m.tobytes() for m in marks], [s.tobytes() for s in sets])
 
-    return map_batches(texts.select("doc_id", "text"), run, "id long, codes array<long>")
+    return map_batches(texts.select("doc_id", "text"), run, "id long, keys binary, marks binary, shingles binary")
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -186,25 +178,95 @@ def verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     return map_batches(sent, run, "a long, b long")
 
 
+def meet(band: int, ids: list[int], component: np.ndarray, major: int, asked: np.ndarray, keys: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], p: Params) -> Iterator[tuple[int, int]]:
+    """A link between each asked member of a tile and each other class that it is linked with."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    for x in np.flatnonzero(asked):
+        # Two members outside of the largest class meet once, when the one of the greater class is asked.
+        other = (component != component[x]) & ((component == major) | (component < component[x]))
+        other &= 100 * np.minimum(n, n[x]) >= p.percent * np.maximum(n, n[x])  # else no union is small enough
+        at = np.flatnonzero(other)
+        at = at[~(keys[at, :band] == keys[x, :band]).any(1)]
+        at = at[(marks[at] == marks[x]).sum(1) >= p.agree]
+        if not len(at):
+            continue
+        values = np.concatenate([sets[i] for i in at])
+        place = np.minimum(np.searchsorted(sets[x], values), n[x] - 1)
+        both = np.add.reduceat((sets[x][place] == values).astype(np.int64), np.cumsum(n[at]) - n[at])
+        linked = at[100 * both >= p.percent * (n[at] + n[x] - both)]
+        for i in np.unique(component[linked], return_index=True)[1]:
+            yield ids[x], ids[linked[i]]
+
+
+def across(inside: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """(a, b): links between members of different classes of a bucket, one at least for each two classes that are linked there.
+
+    inside: band, key, id, n_shingles, component, major. Both sides of a bucket are cut into parts of ``tile`` shingles by a hash of the id;
+    a tile is a part of the members and a part of those outside of the largest class.
+    """
+    minor = F.col("component") != F.col("major")
+    parts = inside.groupBy("band", "key").agg(
+        F.ceil(F.sum("n_shingles") / p.tile).cast("int").alias("rows"), F.greatest(F.ceil(F.sum(F.when(minor, F.col("n_shingles"))) / p.tile), F.lit(1)).cast("int").alias("cols")
+    )
+    ids = inside.select(F.col("id").alias("doc_id")).distinct()
+    full = written(whole(texts.join(ids, "doc_id", "left_semi"), p), "full-sets")
+    dealt = inside.join(parts, ["band", "key"]).withColumns({"row": F.pmod(F.xxhash64("id"), F.col("rows")), "col": F.when(minor, F.pmod(F.xxhash64("id", F.lit(1)), F.col("cols")))})
+    # Every member goes to its row of tiles; one that is asked also to its column, where it isn't already.
+    to_row = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda c: F.struct(F.col("row").cast("int").alias("row"), c.alias("col"), F.coalesce(c == F.col("col"), F.lit(False)).alias("asked")))
+    to_col = F.transform(F.filter(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: r != F.col("row")), lambda r: F.struct(r.alias("row"), F.col("col").cast("int").alias("col"), F.lit(True).alias("asked")))
+    tiles = dealt.withColumn("t", F.explode(F.when(minor, F.concat(to_row, to_col)).otherwise(to_row))).select("band", "key", "t.row", "t.col", "t.asked", "id", "component", "major")
+    tiles = tiles.join(full, "id").select("band", "key", "row", "col", "asked", "id", "component", "major", "keys", "marks", "shingles")
+    tiles = tiles.repartition("band", "key", "row", "col").sortWithinPartitions("band", "key", "row", "col", "id")
+
+    def settle(held: list[tuple]) -> pa.RecordBatch:
+        asked, ids, component, major, keys, marks, sets = zip(*(r[4:] for r in held), strict=True)
+        found = meet(
+            held[0][0], ids, np.array(component), major[0], np.array(asked), np.frombuffer(b"".join(keys), np.int64).reshape(len(ids), -1),
+            np.frombuffer(b"".join(marks), np.uint8).reshape(len(ids), -1), [np.frombuffer(s, U64) for s in sets], p,
+        )
+        a, b = zip(*found, strict=True) if (found := list(found)) else ([], [])
+        return batch(LINKS, list(a), list(b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in slices(batches):
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and r[:4] != held[0][:4]:
+                    yield settle(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield settle(held)
+
+    return map_batches(tiles, run, "a long, b long")
+
+
 def classes(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+    """doc_id, text_key, n_shingles, component_id for every row of docs."""
     found = written(features(docs, p), "features")
     nonempty = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = written(nonempty.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
-    reps = nonempty.join(first.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id"])
-    members = reps.select(F.col("doc_id").alias("id"), "n_shingles", F.posexplode("bands").alias("band", "key"))
+    fingerprint = ["set_a", "set_b", "n_shingles"]
+    least_row = F.min(F.struct("doc_id", "text_key", "bands")).alias("m")
+    nodes = nonempty.groupBy(*fingerprint).agg(least_row).select(*fingerprint, "m.*").withColumn("id", F.monotonically_increasing_id())
+    nodes = written(nodes, "nodes")  # ids are fixed here
+    members = nodes.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(members.join(shared, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / p.centre_of))), "members")
-    # Only documents that share a bucket are compared: theirs are the texts that later rounds send about.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = written(texts, "texts")
+    # Only nodes that share a bucket are compared: theirs are the texts that later rounds send about.
+    needed = nodes.select("doc_id", "text_key", "id").join(members.select("id").distinct(), "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").join(needed, ["doc_id", "text_key"])
+    texts = written(texts.groupBy(F.col("id").alias("doc_id")).agg(F.first("text").alias("text")), "texts")  # repeated rows have equal texts
 
     least = members.groupBy("band", "key", "part").agg(F.min("id").alias("centre"))
     top = least.groupBy("band", "key").agg(F.min("centre").alias("top"))
     to_centre = members.join(least, ["band", "key", "part"]).select(F.col("centre").alias("a"), F.col("id").alias("b"))
     to_top = least.join(top, ["band", "key"]).select(F.col("top").alias("a"), F.col("centre").alias("b"))
     tried = written(to_centre.union(to_top).where("a <> b").distinct(), "pairs")
-    links = written(verified(tried, texts, p), "links")
+    # The nodes of a doc_id that occurs with several sets are one document.
+    several = nonempty.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    several = nonempty.join(several, "doc_id").join(nodes.select(*fingerprint, "id"), fingerprint).select("doc_id", "id")
+    same = several.join(several.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a <> b").distinct()
+    links = written(verified(tried, texts, p).union(same), "links")
     label = written(components(links), "components")
 
     def apart() -> DataFrame:
@@ -215,47 +277,45 @@ def classes(docs: DataFrame, p: Params) -> DataFrame:
         mixed = per.groupBy("band", "key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("major")).where("k > 1")
         return known.join(mixed.select("band", "key", "major"), ["band", "key"])
 
-    close = F.lit(100) * F.least("n_shingles", "nx") >= F.lit(p.percent) * F.greatest("n_shingles", "nx")  # else no union is small enough
-
-    def compare(pairs: DataFrame, name: str) -> None:
-        nonlocal tried, links, label
-        new = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = written(new, f"pairs-{name}")
-        if new.isEmpty():
-            return
-        tried = tried.union(new)
-        links = written(links.union(verified(new, texts, p)), f"links-{name}")
+    def add(new: DataFrame, name: str) -> None:
+        nonlocal links, label
+        links = written(links.union(new), f"links-{name}")
         label = written(components(links), f"components-{name}")
 
+    close = F.lit(100) * F.least("n_shingles", "nx") >= F.lit(p.percent) * F.greatest("n_shingles", "nx")  # else no union is small enough
     for r in range(p.random_centres):
         inside = apart()
         pick = F.min(F.struct(F.xxhash64("id", "band", "key", F.lit(r)).alias("h"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"))).alias("c")
         centres = inside.groupBy("band", "key", "part").agg(pick).select("band", "key", "part", "c.x", "c.cx", "c.nx")
-        compare(inside.join(centres, ["band", "key", "part"]).where((F.col("component") != F.col("cx")) & close), f"centre-{r}")
+        pairs = inside.join(centres, ["band", "key", "part"]).where((F.col("component") != F.col("cx")) & close)
+        new = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        new = written(new, f"pairs-{r}")
+        if not new.isEmpty():
+            tried = tried.union(new)
+            add(verified(new, texts, p), f"centre-{r}")
 
-    inside = written(apart(), "mixed")
-    ids = inside.select(F.col("id").alias("doc_id")).distinct()
-    inside = written(inside.join(coded(texts.join(ids, "doc_id", "left_semi"), p), "id"), "coded")
-    minor = inside.where("component <> major").select("band", "key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), F.col("codes").alias("codes_x"))
-    alike = disagreements(F.col("codes"), F.col("codes_x"), -(-p.codes // 32)) <= p.codes - p.agree
-    once = (F.col("component") == F.col("major")) | (F.col("component") < F.col("cx"))
-    compare(inside.join(minor, ["band", "key"]).where((F.col("component") != F.col("cx")) & once & close & alike), "across")
+    new = written(across(written(apart(), "mixed"), texts, p), "links-of-tiles")
+    if not new.isEmpty():
+        add(new, "across")
 
-    named = found.join(first, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    named = named.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return named.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    # A class is named by the least doc_id of its nodes.
+    names = label.join(nodes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = nodes.join(label, "id", "left").join(names, "component", "left").select(*fingerprint, F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = found.drop("bands").join(named, fingerprint, "left")
+    return out.select("doc_id", "text_key", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """One document of each class, the one with the least doc_id, and once only; rows without doc_id all stay."""
-    decided = classes(docs, p).where("doc_id = component_id").select("doc_id").distinct()
+    """One document of each class, the one with the least doc_id, and once only (of several texts, the one whose hash is least); rows without doc_id all stay."""
+    decided = classes(docs, p).where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
     cols = docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
-    key = f"c{cols.index('doc_id')}"
-    kept = own.join(decided.select(F.col("doc_id").alias(key)), key, "left_semi").dropDuplicates([key])
+    key, text = f"c{cols.index('doc_id')}", f"c{cols.index('text')}"
+    chosen = decided.select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"))
+    kept = own.join(chosen, (F.col(key).cast("long") == F.col("k_id")) & (F.xxhash64(text) == F.col("k_text")), "left_semi").dropDuplicates([key])
     return kept.union(own.where(F.col(key).isNull()).select(kept.columns)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    out = classes(table(spark, sf_dir, "documents"), Params(words=2))
+    out = classes(table(spark, sf_dir, "documents"), Params(words=2)).drop("text_key")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

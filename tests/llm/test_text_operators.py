@@ -104,6 +104,31 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dup.classes(empty(spark), near_dup.Params()).count() == 0
 
 
+def test_near_duplicates_of_a_repeated_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = spark.createDataFrame([(5, a), (5, b), (7, a + " x"), (9, b + " y"), (11, "else")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in near_dup.classes(rows, near_dup.Params()).collect())
+    assert got == [(5, 5), (5, 5), (7, 5), (9, 5), (11, 11)]
+    assert sorted(r.doc_id for r in near_dup.keep_one(rows, near_dup.Params()).collect()) == [5, 11]
+
+
+def test_large_bucket_in_small_tiles(spark):
+    """Copies of one text at all distances around the threshold: classes as all pairs give them, whatever the tiles."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for k in range(rng.randrange(0, 22)):
+            w[rng.randrange(len(w))] = f"n{i}-{k}"
+        texts.append(" ".join(w))
+    rows = docs(spark, texts)
+    want = brute(list(enumerate(texts)), 2)
+    assert len(set(want.values())) > 5
+    for p in (near_dup.Params(words=2), near_dup.Params(words=2, tile=1500, centre_of=40, random_centres=0)):
+        assert {r.doc_id: r.component_id for r in near_dup.classes(rows, p).collect() if r.doc_id is not None} == want
+
+
 def test_sketch_fills_every_coordinate_and_estimates():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 400, dtype=np.uint64)
