@@ -10,12 +10,11 @@ A document's set holds its distinct runs of ``words`` consecutive words, A-Z in
 * Banding: ``bands`` hashes of ``rows`` coordinates. A pair at similarity 0.8 is missed with probability
   (1 - 0.8**5)**32 = 3e-6 at the production parameters.
 * Exact copies of a set become one representative before banding, so that groups of copies cost nothing.
-* Verification goes in rounds, all on full sets. First every member of a bucket against the bucket's centre
-  (the least node of each thousand members, and these against the bucket's least). Then, in buckets that still hold several
-  classes, against a centre chosen by a hash, another one in each bucket and round. What is still apart is settled last, in tiles: the members
+* Verification goes in two steps, both on full sets. First every member of a bucket against the bucket's centre
+  (the least node of each thousand members, and these against the bucket's least). What is still apart is settled in tiles: the members
   outside of a bucket's largest class meet all members of other classes, in parts of bounded size, and the task that holds both full sets
-  intersects them there and then. It returns one link for each member and class that it is linked with, so rows grow with the links between
-  classes and not with the pairs looked at; a pair is looked at in the first band that it shares, and not at all if sizes or sketches rule it out
+  intersects them there and then. What it finds linked is one class from there on, so fewer links than members leave a tile, however many pairs are
+  looked at; a pair is looked at in the first band that it shares, and not at all if sizes or sketches rule it out
   (a linked pair agrees in fewer than ``agree`` coordinates once in a million). No pair within a class is made.
 
 A node is a distinct set. A doc_id that occurs with several texts has several nodes, which are linked.
@@ -45,7 +44,6 @@ class Params:
     bands: int = 32
     rows: int = 5
     centre_of: int = 1000
-    random_centres: int = 2
     tile: int = 1_000_000  # shingles of a tile's members, and again of those that they meet
 
     @property
@@ -129,6 +127,8 @@ def features(docs: DataFrame, p: Params) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text"), run, schema)
 
 
+#: How many sets are intersected at once with one.
+LOOK = 64
 WHOLE = pa.schema([("id", pa.int64()), ("keys", pa.binary()), ("marks", pa.binary()), ("shingles", pa.binary())])
 
 
@@ -178,28 +178,31 @@ def verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     return map_batches(sent, run, "a long, b long")
 
 
-def meet(band: int, ids: list[int], component: np.ndarray, major: int, asked: np.ndarray, keys: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], p: Params) -> Iterator[tuple[int, int]]:
-    """A link between each asked member of a tile and each other class that it is linked with."""
+def meet(band: int, ids: list[int], component: np.ndarray, asked: np.ndarray, keys: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], p: Params) -> Iterator[tuple[int, int]]:
+    """Links that join all classes of a tile that the asked members are linked with."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
+    component, place = component.copy(), np.arange(len(sets))
     for x in np.flatnonzero(asked):
-        # Two members outside of the largest class meet once, when the one of the greater class is asked.
-        other = (component != component[x]) & ((component == major) | (component < component[x]))
-        other &= 100 * np.minimum(n, n[x]) >= p.percent * np.maximum(n, n[x])  # else no union is small enough
-        at = np.flatnonzero(other)
+        # Two asked members meet once. Sizes too far apart leave no union small enough.
+        at = np.flatnonzero((component != component[x]) & (~asked | (place > x)) & (100 * np.minimum(n, n[x]) >= p.percent * np.maximum(n, n[x])))
         at = at[~(keys[at, :band] == keys[x, :band]).any(1)]
-        at = at[(marks[at] == marks[x]).sum(1) >= p.agree]
-        if not len(at):
-            continue
-        values = np.concatenate([sets[i] for i in at])
-        place = np.minimum(np.searchsorted(sets[x], values), n[x] - 1)
-        both = np.add.reduceat((sets[x][place] == values).astype(np.int64), np.cumsum(n[at]) - n[at])
-        linked = at[100 * both >= p.percent * (n[at] + n[x] - both)]
-        for i in np.unique(component[linked], return_index=True)[1]:
-            yield ids[x], ids[linked[i]]
+        alike = (marks[at] == marks[x]).sum(1)
+        at = at[np.argsort(-alike, kind="stable")[: (alike >= p.agree).sum()]]
+        # The most alike first: a link spares the rest of its class.
+        while len(at):
+            some, at = at[:LOOK], at[LOOK:]
+            values = np.concatenate([sets[i] for i in some])
+            hit = sets[x][np.minimum(np.searchsorted(sets[x], values), n[x] - 1)] == values
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[some]) - n[some])
+            for y in some[100 * both >= p.percent * (n[some] + n[x] - both)]:
+                if component[y] != component[x]:
+                    yield ids[x], ids[y]
+                    component[component == component[y]] = component[x]
+            at = at[component[at] != component[x]]
 
 
 def across(inside: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """(a, b): links between members of different classes of a bucket, one at least for each two classes that are linked there.
+    """(a, b): links between members of different classes of a bucket, as many as it takes to join the classes that are linked there.
 
     inside: band, key, id, n_shingles, component, major. Both sides of a bucket are cut into parts of ``tile`` shingles by a hash of the id;
     a tile is a part of the members and a part of those outside of the largest class.
@@ -214,14 +217,14 @@ def across(inside: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     # Every member goes to its row of tiles; one that is asked also to its column, where it isn't already.
     to_row = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda c: F.struct(F.col("row").cast("int").alias("row"), c.alias("col"), F.coalesce(c == F.col("col"), F.lit(False)).alias("asked")))
     to_col = F.transform(F.filter(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: r != F.col("row")), lambda r: F.struct(r.alias("row"), F.col("col").cast("int").alias("col"), F.lit(True).alias("asked")))
-    tiles = dealt.withColumn("t", F.explode(F.when(minor, F.concat(to_row, to_col)).otherwise(to_row))).select("band", "key", "t.row", "t.col", "t.asked", "id", "component", "major")
-    tiles = tiles.join(full, "id").select("band", "key", "row", "col", "asked", "id", "component", "major", "keys", "marks", "shingles")
+    tiles = dealt.withColumn("t", F.explode(F.when(minor, F.concat(to_row, to_col)).otherwise(to_row))).select("band", "key", "t.row", "t.col", "t.asked", "id", "component")
+    tiles = tiles.join(full, "id").select("band", "key", "row", "col", "asked", "id", "component", "keys", "marks", "shingles")
     tiles = tiles.repartition("band", "key", "row", "col").sortWithinPartitions("band", "key", "row", "col", "id")
 
     def settle(held: list[tuple]) -> pa.RecordBatch:
-        asked, ids, component, major, keys, marks, sets = zip(*(r[4:] for r in held), strict=True)
+        asked, ids, component, keys, marks, sets = zip(*(r[4:] for r in held), strict=True)
         found = meet(
-            held[0][0], ids, np.array(component), major[0], np.array(asked), np.frombuffer(b"".join(keys), np.int64).reshape(len(ids), -1),
+            held[0][0], ids, np.array(component), np.array(asked), np.frombuffer(b"".join(keys), np.int64).reshape(len(ids), -1),
             np.frombuffer(b"".join(marks), np.uint8).reshape(len(ids), -1), [np.frombuffer(s, U64) for s in sets], p,
         )
         a, b = zip(*found, strict=True) if (found := list(found)) else ([], [])
@@ -269,34 +272,15 @@ def classes(docs: DataFrame, p: Params) -> DataFrame:
     links = written(verified(tried, texts, p).union(same), "links")
     label = written(components(links), "components")
 
-    def apart() -> DataFrame:
-        """Members of buckets that hold several classes, with their class and the bucket's largest one."""
-        known = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        known = written(known.select("band", "key", "part", "id", "n_shingles", "component"), "known")
-        per = known.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-        mixed = per.groupBy("band", "key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("major")).where("k > 1")
-        return known.join(mixed.select("band", "key", "major"), ["band", "key"])
-
-    def add(new: DataFrame, name: str) -> None:
-        nonlocal links, label
-        links = written(links.union(new), f"links-{name}")
-        label = written(components(links), f"components-{name}")
-
-    close = F.lit(100) * F.least("n_shingles", "nx") >= F.lit(p.percent) * F.greatest("n_shingles", "nx")  # else no union is small enough
-    for r in range(p.random_centres):
-        inside = apart()
-        pick = F.min(F.struct(F.xxhash64("id", "band", "key", F.lit(r)).alias("h"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"))).alias("c")
-        centres = inside.groupBy("band", "key", "part").agg(pick).select("band", "key", "part", "c.x", "c.cx", "c.nx")
-        pairs = inside.join(centres, ["band", "key", "part"]).where((F.col("component") != F.col("cx")) & close)
-        new = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = written(new, f"pairs-{r}")
-        if not new.isEmpty():
-            tried = tried.union(new)
-            add(verified(new, texts, p), f"centre-{r}")
-
-    new = written(across(written(apart(), "mixed"), texts, p), "links-of-tiles")
+    # Members of buckets that hold several classes, with their class and the bucket's largest one.
+    known = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = written(known.select("band", "key", "id", "n_shingles", "component"), "known")
+    per = known.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("band", "key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("major")).where("k > 1")
+    inside = written(known.join(mixed.select("band", "key", "major"), ["band", "key"]), "mixed")
+    new = written(across(inside, texts, p), "links-of-tiles")
     if not new.isEmpty():
-        add(new, "across")
+        label = written(components(links.union(new)), "classes")
 
     # A class is named by the least doc_id of its nodes.
     names = label.join(nodes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
