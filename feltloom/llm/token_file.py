@@ -2,8 +2,9 @@
 
 A block holds consecutive documents of a shard. Every id is replaced by its rank in the corpus (0: the most frequent,
 ties to the smaller id) and written in 1 to 4 bytes, little-endian, without leading zero bytes. The lengths, two bits each
-for four ids a byte, stand apart in ``control``; the bytes stand in ``data``. So a reader finds every id's
-place by table lookup on whole control bytes and a running sum, without a branch for each id.
+for four ids a byte, stand apart in ``control``, where each document starts a byte of its own; the bytes stand in ``data``. So a reader finds every id's
+place by table lookup on whole control bytes and a running sum, without a branch for each id. Documents are packed before they are put in order, so
+the packed bytes travel and not the ids.
 
 The blocks are rows of Parquet files (shard, block, doc ids, lengths, control, data): Spark commits them atomically, on any
 file system, and a reader skips what it does not need. ``ranks`` is the table of ids by rank.
@@ -13,6 +14,9 @@ repeated ones by their ids' checksum.
 
 from __future__ import annotations
 
+import bisect
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,13 +31,13 @@ from pyspark.sql import functions as F
 from .common import batch, map_batches, shared_dir, slices, table, written
 
 IDS = np.dtype("<u4")
-#: Words that a worker remembers; beyond it, further words are encoded anew each time.
-CACHE_WORDS = 1_000_000
+#: Words of a generation that a worker remembers; when it is full, it becomes the older one, and the one before is forgotten.
+CACHE_WORDS = 600_000
 BLOCK_IDS = 1 << 16
+BATCH_ROWS = 2048
 
-
-#: A word of ASCII letters, perhaps with marks after it: the two are split apart, and case doesn't matter.
-PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+#: What the vocabulary's splitter makes of ASCII text in lower case: fixed values of its file, with the classes cut down to ASCII.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 #: A character that stands alone between the words of one call, to tell their ids apart.
 APART = "\x01"
 
@@ -42,15 +46,27 @@ class WordEncoder:
     """Ids of a text as bytes, word by word.
 
     The vocabulary's normaliser and splitter never join what stands on two sides of a blank or a newline, so a text's ids are those
-    of its words, put together; each distinct word is encoded once. A text that holds the start of a special token is encoded whole.
+    of its words, put together; each distinct word is encoded once. An ASCII word is lowered and split here, and only its distinct parts go to the
+    library's model, without the normaliser, which has nothing left to do. A text that holds the start of a special token is encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.apart = self.tokenizer.encode(APART, add_special_tokens=False).ids
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        # Every part ends with a token that has the suffix: there the ids of many parts are cut.
+        self.ends = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
+        if suffix:
+            self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.model = Tokenizer.from_str(json.dumps(spec))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, IDS).tobytes()
@@ -60,32 +76,52 @@ class WordEncoder:
         if len(self.apart) != 1 or any(APART in w for w in words):
             return {w: self.whole(w) for w in words}
         ids = np.array(self.tokenizer.encode(f" {APART} ".join(words), add_special_tokens=False).ids, IDS)
-        ends = np.flatnonzero(ids == self.apart[0])
-        starts = np.concatenate([[0], ends + 1])
-        raw = ids.tobytes()
-        return {w: raw[4 * a : 4 * b] for w, a, b in zip(words, starts.tolist(), [*ends.tolist(), len(ids)], strict=True)}
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        parts = {w: m.groups() for w in words if (m := PLAIN.fullmatch(w))}
-        known = self.known
-        new = {x for w in words for x in ((parts[w][0].lower(), parts[w][1]) if w in parts else (w,)) if x not in known}
-        found = self.spelled(sorted(new)) if new else {}
-        get = lambda x: known[x] if x in known else found[x]
-        return found | {w: get(stem.lower()) + get(marks) for w, (stem, marks) in parts.items()}
+        return cut(words, ids, np.flatnonzero(ids == self.apart[0]), 1)
+
+    def modelled(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of these distinct parts, of printable ASCII without blanks and upper case, straight from the model."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, IDS)
+        at = np.flatnonzero(self.ends[ids]) + 1
+        return cut(parts, ids, at[:-1], 0) if len(at) == len(parts) else self.spelled(parts)
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        split = {w: SPLIT.findall(w.lower()) for w in words if w.isascii()}
+        new = set().union(*split.values()) - self.parts.keys()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts, new = {}, set().union(*split.values())
+        if plain := [x for x in new if x.isprintable()]:
+            self.parts |= self.modelled(plain)
+        if odd := list(new - self.parts.keys()):
+            self.parts |= self.spelled(odd)
+        get = self.parts.__getitem__
+        out = {w: b"".join(map(get, x)) for w, x in split.items()}
+        if others := list(words - out.keys()):
+            out |= self.spelled(others)
+        return out
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         split = [None if x is None or "<|" in x else x.replace("\n", " ").split(" ") for x in texts]
-        known = self.known
-        get = known.__getitem__
-        if new := {w for x in split if x for w in x if w not in known}:
-            extra = self.learn(list(new))
-            if len(known) < CACHE_WORDS:
-                known |= extra
-            else:
-                get = lambda w: known[w] if w in known else extra[w]
+        words = set().union(*[x for x in split if x is not None])
+        missing = words - self.known.keys()
+        if missing and len(self.known) > CACHE_WORDS:
+            self.older, self.known, missing = self.known, {}, words
+        if missing:
+            old = self.older
+            self.known |= {w: old[w] for w in missing if w in old}
+            if missing := missing - self.known.keys():
+                self.known |= self.learn(missing)
+        get = self.known.__getitem__
         return [self.whole(x or "") if words is None else b"".join(map(get, words)) for x, words in zip(texts, split, strict=True)]
 
 
+def cut(words: list[str], ids: np.ndarray, at: np.ndarray, gap: int) -> dict[str, bytes]:
+    """The ids between the places ``at``, a word each; ``gap`` ids stand between two."""
+    raw = ids.tobytes()
+    starts = (np.concatenate([[0], at + gap]) * 4).tolist()
+    ends = (np.concatenate([at, [len(ids)]]) * 4).tolist()
+    return {w: raw[a:b] for w, a, b in zip(words, starts, ends, strict=True)}
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -105,7 +141,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        for b in slices(batches):
+        for b in slices(batches, BATCH_ROWS):
             ids = [x + end for x in encoder.texts(b.column(1).to_pylist())]
             yield batch(ENCODED, b.column(0), [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], ids)
 
@@ -129,14 +165,23 @@ def ranks(ids: DataFrame) -> np.ndarray:
     return np.array([r.id for r in found.select("id").collect()], IDS)
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of unsigned 32-bit values."""
-    length = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    four = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    four[: len(values)] = length - 1
-    control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    every = values.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), every[np.arange(4) < length[:, None]].tobytes()
+def pack(values: np.ndarray, lengths: list[int]) -> tuple[list[bytes], list[bytes]]:
+    """(control, data) of each of the documents that these unsigned 32-bit values belong to, in their order."""
+    n = np.array(lengths, np.int64)
+    size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    four, place = padded(n)
+    codes = np.zeros(4 * int(four.sum()), np.uint8)
+    codes[place] = size - 1
+    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes()
+    data = values.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
+    ends, data_ends = np.cumsum(four).tolist(), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.cumsum(n)].tolist()
+    return [control[a:b] for a, b in zip([0, *ends], ends)], [data[a:b] for a, b in zip([0, *data_ends], data_ends)]
+
+
+def padded(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(control bytes of each document, the place of every value among the codes of whole control bytes)."""
+    four = -(-n // 4)
+    return four, np.arange(int(n.sum())) + np.repeat(4 * (np.cumsum(four) - four) - (np.cumsum(n) - n), n)
 
 
 #: For each control byte the lengths of its four values.
@@ -144,16 +189,18 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    length = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    start = np.cumsum(length) - length
+def unpack(control: bytes, data: bytes, lengths: list[int]) -> np.ndarray:
+    """The values of documents whose control bytes and data stand one after the other."""
+    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[padded(np.array(lengths, np.int64))[1]]
+    start = np.cumsum(size) - size
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
     out = raw[start]
     for k in (1, 2, 3):
         out |= raw[start + k] << np.uint32(8 * k)
-    return out & MASKS[length]
+    return out & MASKS[size]
 
 
+PACKED = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("n_tokens", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
 BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
 
 
@@ -172,27 +219,36 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, name: str = "tokens
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     sent = spark.sparkContext.broadcast(rank_of)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            n = b.column(2).to_pylist()
+            shards = [bisect.bisect_right(starts, (d is not None, d or 0, c)) for d, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield batch(PACKED, shards, b.column(0), b.column(1), n, *pack(sent.value[np.frombuffer(b"".join(b.column(3).to_pylist()), IDS)], n))
 
-        shard, k, held, n = TaskContext.get().partitionId(), 0, [], 0
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, held, n = 0, [], 0
 
         def block() -> pa.RecordBatch:
-            control, data = pack(sent.value[np.frombuffer(b"".join(x for _, x in held), IDS)])
-            return batch(BLOCK, [shard], [k], [[d for d, _ in held]], [[len(x) // 4 for _, x in held]], [control], [data])
+            shards, docs, lengths, control, data = zip(*held, strict=True)
+            return batch(BLOCK, [shards[0]], [k], [docs], [lengths], [b"".join(control)], [b"".join(data)])
 
         for b in slices(batches):
-            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.append((d, x))
-                n += len(x) // 4
-                if n >= BLOCK_IDS:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and (n >= BLOCK_IDS or held[0][0] != row[0]):
                     yield block()
-                    k, held, n = k + 1, [], 0
+                    k, held, n = k + 1 if held[0][0] == row[0] else 0, [], 0
+                held.append(row)
+                n += row[2]
         if held:
             yield block()
 
+    # Where shards of like numbers of documents start, from the ids alone: one row for each shard.
     n_shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ids.select("doc_id", "ids", "crc").repartitionByRange(n_shards, "doc_id", "crc").sortWithinPartitions("doc_id", "crc").select("doc_id", "ids")
+    keys = ids.select("doc_id", "crc").repartitionByRange(n_shards, "doc_id", "crc")
+    starts = keys.groupBy(F.spark_partition_id()).agg(F.min(F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), "crc")).alias("s"))
+    starts = sorted(tuple(r.s) for r in starts.collect())[1:]
+    small = map_batches(ids.select("doc_id", "crc", "n_tokens", "ids"), packed, "shard int, doc_id long, crc long, n_tokens long, control binary, data binary")
+    ordered = small.repartition(n_shards, "shard").sortWithinPartitions("shard", "doc_id", "crc").select("shard", "doc_id", "n_tokens", "control", "data")
     from uuid import uuid4
 
     path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
@@ -212,7 +268,7 @@ def digests(spark, file: TokenFile) -> DataFrame:
         for b in slices(batches, 16):
             out = []
             for shard, block, docs, lengths, control, data in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                ids = sent.value[unpack(control, data, sum(lengths))].astype(IDS).tobytes()
+                ids = sent.value[unpack(control, data, lengths)].astype(IDS).tobytes()
                 at = 0
                 for i, (d, n) in enumerate(zip(docs, lengths, strict=True)):
                     out.append((shard, block, i, d, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), at))
