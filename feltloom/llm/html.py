@@ -1,21 +1,28 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one judges each block alone: a block inside a navigation, header,
-footer, sidebar, form, comment, notice or advert element, or one that is mostly links, is bad; a long block with enough
-stop words is good; a short one without links is ambiguous. Pass two gives an ambiguous block the label of its nearest decided neighbours:
-where both sides agree, theirs; where they differ, good only inside the page's article element or beside a good block that
-is nearer than the bad one. Inside an article element blocks count as good unless pass one found them bad, as an article's one-word paragraphs
-and headings are text too, and headings whatever links they hold; outside of it, a page that has one has no main text.
+A page is cut into blocks at block-level tags.
+
+Pass one judges each block alone, by a sum of evidence. Its text counts once it is long enough to tell anything (``short_chars``): the density of stop words
+speaks for it above ``stop_mid`` and against it below, and length speaks for it. Links speak against any block, by the share of its characters in them beyond
+``free_links``. Where the block stands is prior evidence: against it inside a navigation, header, footer, sidebar, form, comment, notice or advert element, for it inside
+the page's article or main element, and against it outside of one where a page has one. A sum of ``margin`` or more is good, of -``margin`` or less is bad,
+and what lies between is ambiguous. A short block or a heading is never good in this pass.
+
+Pass two gives an ambiguous block the label of its nearest decided neighbours on its side of the article's edge: where both sides agree, theirs; where they differ, the nearer one's;
+at like distance a heading takes the label of what follows, and another block that of the edge. The edges of an article count as good neighbours, those of a page
+as bad ones; advertisements and the like inside an article say nothing of the text beside them and are no neighbours.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined in page order.
-Unclosed and stray tags are tolerated: a block-level tag ends the paragraph before it, an end tag closes what was opened after its
-partner. Links are <a> with href; one that is left open ends with its block-level parent. Null and empty pages, and pages without main text, give an empty text. Repeated rows are read alike; any url may be null.
+A page is read once from front to back, in time that grows with its length however malformed it is. Unclosed and stray tags are tolerated: a block-level tag ends the paragraph before it, an end tag closes what was opened after its
+partner, and a tag or quoted value that never ends swallows the rest. Links are <a> with href; one that is left open ends with its block-level parent. Null and empty pages, and pages without main text, give an empty text. Repeated rows are read alike; any url may be null.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,10 +33,11 @@ from pyspark.sql import functions as F
 from .common import batch, map_batches, slices, table
 from .quality import STOP_WORDS
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|select)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL | re.IGNORECASE,
-)
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What ends a tag, or opens a value in which nothing does.
+TAG_END = re.compile(r">|=\s*([\"'])")
+#: Elements whose content is no text of the page.
+RAW = {x: re.compile(rf"</{x}\s*>", re.IGNORECASE) for x in "script style noscript template textarea svg iframe title select".split()}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 HREF = re.compile(r"""(?:^|[\s"'])href\s*=""", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,14 +45,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that end where their like begins.
 ITEMS = frozenset("li dt dd td th tr option".split())
-BOILERPLATE = frozenset("nav header footer aside form button dialog menu fieldset figcaption".split())
+BOILERPLATE = frozenset("nav header footer aside form button dialog menu fieldset".split())
 MAIN = frozenset("article main".split())
-#: Parts of class, id and role names that tell what an element is for.
+#: Parts of class, id and role names that tell what an element is for: menus, headers, footers, sidebars, notices, adverts, forms and comments.
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|foot|sidebar\w*|side|aside|widget\w*|"
-    r"related|recommend\w*|share\w*|sharing|social\w*|comment\w*|disqus\w*|reply|replies|respond|newsletter|subscri\w*|signup|login|form|search\w*|pagination|pager|tags|tagcloud|toolbar|copyright|legal|disclaimer|navigation|contentinfo|complementary|dialog|hidden)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumb\w*|masthead|footer|sidebar\w*|aside|widget\w*|"
+    r"comment\w*|disqus\w*|reply|replies|respond|newsletter|subscri\w*|signup|login|form|pagination|pager|toolbar|copyright|contentinfo|complementary|dialog|hidden)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.IGNORECASE)
 STOPS = frozenset(STOP_WORDS)
 SPACE = re.compile(r"\s+")
 
@@ -52,11 +61,17 @@ SPACE = re.compile(r"\s+")
 @dataclass(frozen=True)
 class Params:
     short_chars: int = 70
-    long_chars: int = 200
-    stop_low: float = 0.15
-    stop_high: float = 0.25
-    max_links: float = 0.4
-    main_links: float = 0.5  # of a short block inside a main element, where one link weighs more
+    stop_mid: float = 0.15
+    stop_weight: float = 12.0  # of the share of stop words above or below stop_mid, between -stop_most and stop_most
+    stop_most: float = 2.5
+    long_most: float = 2.0  # length counts by its doublings of short_chars
+    free_links: float = 0.3
+    link_weight: float = 6.0
+    margin: float = 0.5
+    boilerplate: float = -8.0
+    inside: float = 2.0
+    outside: float = -4.0
+    copyright: float = -3.0
 
 
 @dataclass
@@ -67,6 +82,8 @@ class Block:
     main: bool
     heading: bool
     label: str = ""
+    by: int = 0
+    inherited: str = "bad"
 
 
 @dataclass
@@ -81,6 +98,9 @@ class Page:
     """Blocks of a page, filled tag by tag."""
 
     stack: list[Open] = field(default_factory=list)
+    open_tags: Counter = field(default_factory=Counter)
+    bad_depth: int = 0
+    main_depth: int = 0
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     links: int = 0
@@ -97,9 +117,15 @@ class Page:
         if self.parts:
             text = SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
             if text:
-                self.blocks.append(Block(text, self.links, any(o.boilerplate for o in self.stack), any(o.main for o in self.stack), self.heading))
+                self.blocks.append(Block(text, self.links, self.bad_depth > 0, self.main_depth > 0, self.heading))
         self.parts, self.links = [], 0
 
+    def push(self, tag: str, bad: bool, main: bool) -> None:
+        self.stack.append(Open(tag, bad, main))
+        self.open_tags[tag] += 1
+        self.bad_depth += bad
+        self.main_depth += main
+
     def start(self, tag: str, attributes: str) -> None:
         if tag == "a":
             self.in_link, self.link_depth = int(bool(HREF.search(attributes))), len(self.stack)
@@ -114,30 +140,39 @@ class Page:
                 self.close("p")
             if tag in VOID:
                 return
-        bad = tag in BOILERPLATE
-        if attributes:
-            for name, *values in ATTRIBUTE.findall(attributes):
-                value = next((v for v in values if v), "")
-                name = name.lower()
-                bad |= name in ("class", "id", "role") and bool(HINT.search(value)) and tag not in ("html", "body")
-                bad |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-        # A header inside the article holds its title.
-        if tag == "header" and any(o.main for o in self.stack):
-            bad = False
+        bad = self.ruled_out(tag, attributes)
         if tag in INLINE:
             if bad:
                 self.cut()
-                self.stack.append(Open(tag, True, False))
+                self.push(tag, True, False)
             return
-        self.stack.append(Open(tag, bad, tag in MAIN and not bad))
+        self.push(tag, bad, tag in MAIN and not bad)
+
+    def ruled_out(self, tag: str, attributes: str) -> bool:
+        """Whether the element is boilerplate. A header inside the article holds its title, and so does a heading whatever it is called."""
+        bad = tag in BOILERPLATE and not (tag == "header" and self.main_depth)
+        for name, *values in ATTRIBUTE.findall(attributes):
+            value = next((v for v in values if v), "")
+            name = name.lower()
+            if name in ("class", "id", "role"):
+                bad |= tag not in ("html", "body") and bool(HINT.search(value) or HEADER.search(value) and not (self.main_depth or self.heading or tag in MAIN))
+            else:
+                bad |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
+        return bad
 
     def close(self, tag: str) -> None:
         """End the innermost open element of that tag and what was opened in it; a p ends within its own container only."""
+        if not self.open_tags[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i].tag == tag:
                 self.cut()
                 if any(o.tag not in INLINE for o in self.stack[i : self.link_depth]):
                     self.in_link = 0
+                for o in self.stack[i:]:
+                    self.open_tags[o.tag] -= 1
+                    self.bad_depth -= o.boilerplate
+                    self.main_depth -= o.main
                 del self.stack[i:]
                 return
             if tag == "p" and self.stack[i].tag not in INLINE:
@@ -153,78 +188,127 @@ class Page:
             self.close(tag)
 
 
+def tag_end(source: str, at: int) -> int:
+    """The place of the > that ends a tag, or -1; values in quotes may hold one."""
+    while m := TAG_END.search(source, at):
+        if m[0] == ">":
+            return m.start()
+        at = source.find(m[1], m.end()) + 1
+        if not at:
+            return -1
+    return -1
+
+
 def blocks(source: str) -> list[Block]:
     page, at = Page(), 0
-    for m in TOKEN.finditer(source):
-        if m.start() > at:
-            page.text(source[at : m.start()])
-        at = m.end()
-        if tag := m[3]:
-            (page.end if m[2] else page.start)(*((tag.lower(),) if m[2] else (tag.lower(), m[4].strip(" /"))))
-    rest = source[at:]
-    page.text(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", rest) else rest)
+    while at < len(source):
+        i = source.find("<", at)
+        if i < 0:
+            page.text(source[at:])
+            break
+        m = NAME.match(source, i + 1)
+        if not m and source[i + 1 : i + 2] not in ("!", "?"):
+            page.text(source[at : i + 1])
+            at = i + 1
+            continue
+        if i > at:
+            page.text(source[at:i])
+        if not m:
+            comment = source.startswith("<!--", i)
+            j = source.find("-->" if comment else ">", i + (4 if comment else 2))
+            if j < 0:
+                break
+            at = j + (3 if comment else 1)
+            continue
+        j = tag_end(source, m.end())
+        if j < 0:
+            break
+        at, tag = j + 1, m[2].lower()
+        if m[1]:
+            page.end(tag)
+        elif tag not in RAW:
+            page.start(tag, source[m.end() : j].strip(" /"))
+        elif source[j - 1] != "/":
+            over = RAW[tag].search(source, at)
+            if not over:
+                break
+            at = over.end()
     page.cut()
     return page.blocks
 
 
-def judge(block: Block, p: Params) -> str:
+def judge(block: Block, has_main: bool, p: Params) -> str:
     """Pass one: good, bad, or ambiguous."""
     n = len(block.text)
-    most = 1.0 if block.main and block.heading else p.main_links if block.main and n < p.short_chars else p.max_links
-    if block.boilerplate or block.links > most * n and most < 1 or "©" in block.text and n < p.long_chars:
-        return "bad"
-    words = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'") in STOPS for w in words) / max(1, len(words))
-    if n < p.short_chars or block.heading:
-        return "ambiguous" if block.main or not block.links else "bad"
-    if stops >= p.stop_high or stops >= p.stop_low and n >= p.long_chars:
-        return "good"
-    return "ambiguous" if stops >= p.stop_low or block.main else "bad"
+    short = n < p.short_chars or block.heading
+    score = p.boilerplate if block.boilerplate else p.inside if block.main else p.outside if has_main else 0.0
+    if not (block.main and block.heading):
+        score -= p.link_weight * max(0.0, block.links / n - p.free_links)
+    if "©" in block.text and not block.main and n < 3 * p.short_chars:
+        score += p.copyright
+    if not short:
+        words = block.text.lower().split()
+        stops = sum(w.strip(".,;:!?()\"'") in STOPS for w in words) / len(words)
+        score += min(max(p.stop_weight * (stops - p.stop_mid), -p.stop_most), p.stop_most) + min(math.log2(n / p.short_chars), p.long_most)
+    return "bad" if score <= -p.margin else "good" if score >= p.margin and not short else "ambiguous"
 
 
 def label(found: list[Block], p: Params) -> None:
-    """Pass two: ambiguous blocks take the label of their nearest decided neighbours."""
-    if not found:
-        return
-    first = [judge(b, p) for b in found]
+    """Both passes; ``by`` of a block is the pass that decided it."""
     has_main = any(b.main for b in found)
-    n = len(found)
-    before, after = [(-1, "bad")] * n, [(n, "bad")] * n
-    for order, into in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = into[0] if into is before else (n, "bad")
-        for i in order:
-            into[i] = last
-            if first[i] != "ambiguous":
-                last = (i, first[i])
-    for i, b in enumerate(found):
-        if first[i] != "ambiguous":
-            b.label = first[i]
-        else:
-            (l_at, left), (r_at, right) = before[i], after[i]
-            b.label = left if left == right else (left if i - l_at < r_at - i else right) if i - l_at != r_at - i else "bad"
-        if has_main:
-            b.label = "good" if b.main and first[i] != "bad" else "bad"
+    for b in found:
+        b.label, b.by = judge(b, has_main, p), 1
+    for inside in (True, False):
+        side = [b for b in found if b.main == inside and not (inside and b.boilerplate)]
+        edge = "good" if inside else "bad"
+        before, after = neighbours(side, edge), neighbours(side[::-1], edge)[::-1]
+        for i, b in enumerate(side):
+            if b.label == "ambiguous":
+                (near, left), (far, right) = before[i], after[i]
+                b.inherited = left if left == right or near < far else right if far < near or b.heading else edge
+    for b in found:
+        if b.label == "ambiguous":
+            b.label, b.by = b.inherited, 2
+
+
+def neighbours(side: list[Block], edge: str) -> list[tuple[int, str]]:
+    """For each block how far the nearest decided block before it is, and its label."""
+    out, last, label = [], -1, edge
+    for i, b in enumerate(side):
+        out.append((i - last, label))
+        if b.label != "ambiguous":
+            last, label = i, b.label
+    return out
+
+
+def labelled(source: str | None, p: Params = Params()) -> list[Block]:
+    """The page's blocks, each with its label and the pass that gave it."""
+    found = blocks(source or "")
+    label(found, p)
+    return found
 
 
 def main_text(source: str | None, p: Params = Params()) -> str:
-    found = blocks(source or "")
-    label(found, p)
-    return " ".join(b.text for b in found if b.label == "good")
+    return " ".join(b.text for b in labelled(source, p) if b.label == "good")
 
 
-OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("first_pass", pa.int32()), ("second_pass", pa.int32())])
 
 
-def extracted(pages: DataFrame, p: Params = Params()) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+def extracted(pages: DataFrame, p: Params = Params(), passes: bool = False) -> DataFrame:
+    """page_id, url, text, n_chars of every page, and on request how many of its blocks each pass decided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts = [main_text(x, p) for x in b.column(2).to_pylist()]
-            yield batch(OUT, b.column(0), b.column(1), texts, [len(x) for x in texts])
+            found = [labelled(x, p) for x in b.column(2).to_pylist()]
+            texts = [" ".join(k.text for k in page if k.label == "good") for page in found]
+            by = [[sum(k.by == n for k in page) for page in found] for n in (1, 2)]
+            yield batch(OUT, b.column(0), b.column(1), texts, [len(x) for x in texts], *by)
 
-    return map_batches(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html"), run, "page_id long, url string, text string, n_chars long")
+    schema = "page_id long, url string, text string, n_chars long, first_pass int, second_pass int"
+    out = map_batches(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html"), run, schema)
+    return out if passes else out.drop("first_pass", "second_pass")
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:
-    return extracted(table(spark, sf_dir, "pages"))
+    return extracted(table(spark, sf_dir, "pages"), passes=True)
