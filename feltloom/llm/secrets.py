@@ -8,10 +8,12 @@ every piece is a candidate. Three tests hold it against independent, uniform dra
 * runs: how often the upper and the lower half of the alphabet alternate (Wald-Wolfowitz);
 * serial correlation of neighbouring characters at lag one.
 
-A candidate is random-looking if none of the three rejects (Bonferroni). It is a discovery only if structured
-text of that length would hardly pass: the probability that it passes falls with the length n as exp(-n * KL), KL being the divergence of
-a structured source from the uniform one in that alphabet (small among letters of one case and among digits, so that such a key has to be long), and that p-value goes through Benjamini-Hochberg over
-all candidates of the corpus. So short candidates need more company to count than long ones. The cut comes from a histogram of p-values with a
+A candidate is random-looking if none of the three rejects (Bonferroni). It is a discovery only if structured text would hardly look so. Structured text comes in
+three kinds, one for each test: its letters are uneven (a stated chance that two of its characters are equal, for each encoding), it stays in one half of its alphabet, or it runs
+along its alphabet. For each kind the p-value is the probability that a text of that kind, encoding and length gives a statistic as close to a random one's
+as the candidate's; the candidate's p-value is the largest of the three, as it has to be unlike all kinds. It goes through Benjamini-Hochberg over
+all candidates of the corpus. The statistics of structured text grow with length and those of a random one do not, so
+short candidates need more company to count than long ones, and letters of one case or digits, whose unevenness is slight, have to be long. The cut comes from a histogram of p-values with a
 fixed number of bins, summed by Spark: no candidate is brought to the driver.
 
 Base spans (kinds assign, access, hex) always stay; discoveries are kind ``random``. Offsets are code points, ends exclusive.
@@ -50,8 +52,8 @@ BINS = 2048
 class Params:
     level: float = 0.01  # of the three tests together
     discovery_rate: float = 0.05
-    bits_per_char: float = 0.55  # how far structured text is from uniform, in nats a character
-    bits_one_kind: float = 0.04  # the same among letters of one case or digits: joined words of 60 letters pass the battery in 8 of 100 cases, of 80 in 1 of 200
+    sticky: float = 0.6  # of structured text: how much likelier than not a character stays in its neighbour's half
+    ordered: float = 0.6  # its serial correlation
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -94,31 +96,56 @@ def normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+#: The chance that two characters of structured text are equal, in each encoding: fixed values, 0.066 among the letters of running text,
+#: less where other characters are mixed in, and 0.14 among numbers, which is also what structured text in a hex alphabet is made of.
+EQUAL = {"digits": 0.14, "lower": 0.066, "upper": 0.066, "hex": 0.14, "HEX": 0.14, "base32": 0.063, "base36": 0.06, "BASE36": 0.06, "base64": 0.058, "base64url": 0.058}
+
+
 def battery(token: str, name: str) -> tuple[float, float, float]:
-    """p-values of the three tests under independent uniform draws."""
+    """Chi-squared, runs and serial correlation, each less its mean and over its deviation under independent uniform draws."""
     place, size, n = PLACES[name], len(ALPHABETS[name]), len(token)
     x = np.fromiter((place[c] for c in token), float, n)
     expected = n / size
     chi = sum((k - expected) ** 2 for k in Counter(token).values()) / expected + (size - len(set(token))) * expected
-    # Exact mean and variance for any n, also where most cells are expected empty; only too uneven a token is structured.
+    # Exact mean and variance for any n, also where most cells are expected empty.
     z_chi = (chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
-    p_chi = normal_tail(z_chi) / 2 if z_chi > 0 else 1 - normal_tail(z_chi) / 2
     high = x >= size / 2
     a, b = int(high.sum()), int(n - high.sum())
     if not a or not b:
-        return p_chi, 0.0, 0.0
+        return z_chi, -math.inf, math.inf
     runs = 1 + int((high[1:] != high[:-1]).sum())
     mean = 1 + 2 * a * b / n
     var = (mean - 1) * (mean - 2) / (n - 1)
-    p_runs = normal_tail((runs - mean) / math.sqrt(var)) if var > 0 else 1.0
     d = x - x.mean()
     r = float((d[1:] * d[:-1]).sum() / (d * d).sum())
-    return p_chi, p_runs, normal_tail((r + 1 / n) * math.sqrt(n))
+    return z_chi, (runs - mean) / math.sqrt(var) if var > 0 else 0.0, (r + 1 / n) * math.sqrt(n)
+
+
+def passes(z: tuple[float, float, float], p: Params) -> bool:
+    """Whether no test rejects independent uniform draws; only too uneven a token is structured, not too even a one."""
+    chi = normal_tail(z[0]) / 2 if z[0] > 0 else 1 - normal_tail(z[0]) / 2
+    return 3 * min(chi, normal_tail(z[1]), normal_tail(z[2])) > p.level
+
+
+def below(z: float, mean: float, deviation: float) -> float:
+    """P(Z <= z) of a normal Z."""
+    return math.erfc((mean - z) / deviation / math.sqrt(2)) / 2
+
+
+def structured(z: tuple[float, float, float], name: str, n: int, p: Params) -> float:
+    """The largest probability, over the three kinds of structured text, of a statistic as near to a random one's."""
+    size = len(ALPHABETS[name])
+    # Chi-squared of uneven draws: its mean rises by ``more``, and its variance with it, as a noncentral one's does.
+    unit, more = math.sqrt(2 * (size - 1) * (n - 1) / n), (n - 1) * (size * EQUAL[name] - 1)
+    uneven = below(z[0], more / unit, math.sqrt(2 * (size - 1 + 2 * more)) / unit)
+    root = math.sqrt(n)
+    sticky = below(abs(z[1]), p.sticky * root, math.sqrt(1 - p.sticky**2))
+    ordered = below(abs(z[2]), p.ordered * root, math.sqrt(1 - p.ordered**2))
+    return max(uneven, sticky, ordered)
 
 
 PART = re.compile(r"[^=]{20,}")
 PIECES = tuple(re.compile(x) for x in (r"[^/+=]{20,}", r"[^=_-]{20,}", r"[^/+=_-]{20,}"))
-ONE_KIND = frozenset(("digits", "lower", "upper"))
 
 
 def parts(text: str) -> Iterator[tuple[int, int, str]]:
@@ -134,13 +161,11 @@ def parts(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def candidates(text: str, p: Params) -> list[tuple[int, int, float]]:
-    """(start, end, p-value under structured text) of the random-looking candidates; -1 counts for one that was rejected."""
+    """(start, end, p-value under structured text) of the random-looking candidates; 1 for one that a test rejected."""
     out = []
     for start, end, name in parts(text):
-        worst = min(battery(text[start:end], name))
-        passed = min(1.0, 3 * worst) > p.level
-        bits = p.bits_one_kind if name in ONE_KIND else p.bits_per_char
-        out.append((start, end, math.exp(-(end - start) * bits) / max(1.0 - p.level, 1e-9) if passed else 1.0))
+        z = battery(text[start:end], name)
+        out.append((start, end, max(structured(z, name, end - start, p), 1e-300) if passes(z, p) else 1.0))
     return out
 
 

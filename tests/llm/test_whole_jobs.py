@@ -51,3 +51,23 @@ def test_links_inside_an_article():
     }
     for source, text in kept.items():
         assert html.main_text(article.format(source)) == text, source
+
+
+def test_discoveries_among_structured_tokens(spark):
+    """Planted keys of 20 to 64 characters beside joined words, counters and runs of letters: what share of discoveries is false, and what is found."""
+    rng = random.Random(11)
+    sound = lambda: "".join(rng.choice(x) for x in ["bcdfglmnprst", "aeiou", "bdlmnrst", "aeiou"])
+    names = [
+        lambda n: "".join(sound().title() for _ in range(n // 4)), lambda n: "_".join(sound() for _ in range(n // 5 + 1)), lambda n: "-".join(sound() + str(rng.randrange(9)) for _ in range(n // 6 + 1)),
+        lambda n: "".join(sound() for _ in range(n // 4)), lambda n: f"{rng.randrange(10**6):0{n}d}", lambda n: (string.ascii_letters * 3)[rng.randrange(20) :][:n], lambda n: "/".join(sound() for _ in range(n // 5 + 1)),
+    ]
+    letters = [string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_lowercase + string.digits]
+    keys = ["".join(rng.choice(letters[i % 3]) for _ in range(rng.randrange(20, 65))) for i in range(300)]
+    plain = [names[i % len(names)](rng.randrange(20, 65)) for i in range(1400)]
+    rows = spark.createDataFrame([(i, f"see {t} there", "en", "s", 0) for i, t in enumerate(keys + plain)], DOC)
+    hit = {r.doc_id for r in secrets.confirmed(secrets.scanned(rows)).collect() if any(s.kind == "random" for s in r.spans)}
+    false = sum(i >= len(keys) for i in hit)
+    print("discoveries", len(hit), "false", false, "of keys", sum(i in hit for i in range(len(keys))))
+    assert false <= 0.05 * len(hit)
+    assert sum(i in hit for i in range(len(keys)) if len(keys[i]) >= 32) >= 0.85 * sum(len(k) >= 32 for k in keys)
+    assert sum(i in hit for i in range(len(keys))) >= 0.7 * len(keys)
