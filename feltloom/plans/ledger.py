@@ -95,12 +95,21 @@ def _(spark, d):
     return done(spark, d).select("hand_id", F.when(back > 0, F.col("back.seat")).alias("seat"), F.round(back / F.col("bb"), 6).alias("excess_bb"), F.round(F.col("pot") / F.col("bb"), 6).alias("pot_bb"))
 
 
-@query("b17_rake", f"{q.ALL} SELECT hand_id, round(rake / bb, 6) AS rake_bb FROM o2")
+RAKE = "CASE WHEN board = '' OR starts_with(site, 'ACPC') THEN 0.0 ELSE least(least(3.0 / bb, 3.0), 0.05 * (pot / bb)) END"  # neither cards nor winners matter
+
+
+@query("b17_rake", f"{q.ALL} SELECT hand_id, round({RAKE} * bb / bb, 6) AS rake_bb FROM o1")
 def _(spark, d):
     return done(spark, d).select("hand_id", F.round(F.col("rake") / F.col("bb"), 6).alias("rake_bb"))
 
 
-@query("b18_exact_nets", f"{q.ALL} SELECT hand_id, pos_idx, net_bb FROM hpl WHERE net_source = 'finishing'")
+EXACT = "len(finishing_stacks) = n_players AND abs(list_sum(finishing_stacks) - list_sum(starting_stacks)) < 1e-6"  # needs no replay
+
+
+@query(
+    "b18_exact_nets",
+    f"{q.ALL} SELECT hand_id, (k - 1)::INTEGER AS pos_idx, round((finishing_stacks[k] - starting_stacks[k]) / bb, 6) + 0.0 AS net_bb FROM (SELECT *, unnest(generate_series(1, n_players)) AS k FROM hd WHERE n_players >= 2 AND {EXACT})",
+)
 def _(spark, d):
     rows = ledger.hand_player(done(spark, d)).where("net_source = 'finishing'")
     return r6(rows.select("hand_id", "pos_idx", "net_bb"), "net_bb")

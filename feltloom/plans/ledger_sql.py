@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from feltloom.functions.cards import RANKS
-from feltloom.operators.ledger import position_labels
+from feltloom.operators.ledger import BY_BLIND, BY_BUTTON
 from feltloom.sources.logs import hands_sql
 
 R = f"position(substr(c, 1, 1) IN '{RANKS}')"
@@ -13,14 +13,17 @@ def put(xs: str, x: str) -> str:
     return f"list_transform({xs}, lambda v, k: CASE WHEN k = t.seat THEN {x} ELSE v END)"
 
 
-LABELS = " ".join(f"WHEN {n} THEN {position_labels(n)!r}[pos_idx + 1]" for n in range(2, 11))
+LABEL = (
+    "CASE WHEN pos_idx = 0 THEN CASE n_players WHEN 2 THEN 'SB/BTN' ELSE 'SB' END WHEN pos_idx = 1 THEN 'BB' "
+    f"ELSE coalesce({list(BY_BUTTON)!r}[n_players - pos_idx], {list(BY_BLIND)!r}[pos_idx - 1], 'MP') END"
+)
 
 REPLAY = f"""
     hd AS (SELECT *, CASE WHEN nl_level > 0 THEN nl_level / 100.0::DOUBLE ELSE coalesce(nullif(greatest(list_max(blinds), 0), 0), 1.0) END AS bb FROM l),
     tk0 AS (SELECT hand_id, unnest(actions) AS tok, generate_subscripts(actions, 1) AS i FROM l),
     tk1 AS (SELECT *, CASE WHEN regexp_matches(tok, '^d db .+$') THEN 'board' WHEN regexp_matches(tok, '^d dh p\\d+ .+$') THEN 'hole'
                    WHEN regexp_matches(tok, '^p\\d+ (f|cc|cbr|sm)( .+)?$') THEN string_split(tok, ' ')[2] ELSE 'other' END AS kind FROM tk0),
-    tk AS (SELECT hand_id, i, kind, sum((kind = 'board')::INT) OVER (PARTITION BY hand_id ORDER BY i)::INTEGER AS street,
+    tk AS MATERIALIZED (SELECT hand_id, i, kind, sum((kind = 'board')::INT) OVER (PARTITION BY hand_id ORDER BY i)::INTEGER AS street,
                   coalesce(try_cast(CASE WHEN kind = 'hole' THEN substr(string_split(tok, ' ')[3], 2) ELSE substr(string_split(tok, ' ')[1], 2) END AS INTEGER), 0) AS seat,
                   CASE kind WHEN 'board' THEN substr(tok, 6) WHEN 'hole' THEN string_split(tok, ' ')[4] ELSE coalesce(string_split(tok, ' ')[3], '') END AS arg FROM tk1),
     i0 AS (SELECT hand_id, n_players AS n, list_transform(generate_series(1, n_players), lambda k: CASE WHEN blinds[k] > 0 THEN least(blinds[k], starting_stacks[k]) ELSE 0.0 END) AS posted, starting_stacks AS st FROM hd),
@@ -44,7 +47,7 @@ REPLAY = f"""
                   FROM st s JOIN tk t ON t.hand_id = s.hand_id AND t.i = s.i + 1))),
     fin AS (SELECT * FROM st SEMI JOIN (SELECT hand_id, max(i) AS i FROM st GROUP BY ALL) z USING (hand_id, i)),
     rf AS (SELECT *, list_position(contrib, list_max(contrib)) AS top, CASE WHEN list_reverse_sort(contrib)[1] - list_reverse_sort(contrib)[2] > 1e-9 THEN list_reverse_sort(contrib)[1] - list_reverse_sort(contrib)[2] ELSE 0.0 END AS excess FROM fin),
-    o1 AS (SELECT rf.hand_id, hd.* EXCLUDE (hand_id), rf.hole, rf.shown, rf.board, rf.top, rf.excess, rf.pot - excess AS pot, list_transform(rf.invested, lambda x, k: CASE WHEN k = top THEN x - excess ELSE x END) AS inv,
+    o1 AS MATERIALIZED (SELECT rf.hand_id, hd.* EXCLUDE (hand_id), rf.hole, rf.shown, rf.board, rf.top, rf.excess, rf.pot - excess AS pot, list_transform(rf.invested, lambda x, k: CASE WHEN k = top THEN x - excess ELSE x END) AS inv,
                   list_filter(generate_series(1, n_players), lambda k: NOT rf.folded[k]) AS alive FROM rf JOIN hd USING (hand_id)),
     cd7 AS (SELECT hand_id, k, list_concat([hole[k][1:2], hole[k][3:4]], [board[1:2], board[3:4], board[5:6], board[7:8], board[9:10]]) AS cs FROM (SELECT hand_id, hole, board, unnest(alive) AS k FROM o1) WHERE length(board) = 10 AND hole[k] <> ''),
     five AS (SELECT hand_id, k, list_filter(cs, lambda c, j: j <> x AND j <> y) AS cs FROM cd7, generate_series(1, 6) g(x), generate_series(2, 7) h(y) WHERE x < y),
@@ -53,7 +56,7 @@ REPLAY = f"""
                   CASE WHEN len(list_distinct(rk)) = 5 AND list_max(rk) - list_min(rk) = 4 THEN list_max(rk) WHEN list_sort(rk) = [2, 3, 4, 5, 14] THEN 5 ELSE 0 END AS top FROM f2),
     f4 AS (SELECT hand_id, k, CASE WHEN flush AND top > 0 THEN [8, top] WHEN ns[1] = 4 THEN list_concat([7], ks) WHEN ns[1] = 3 AND ns[2] = 2 THEN list_concat([6], ks) WHEN flush THEN list_concat([5], ks)
                   WHEN top > 0 THEN [4, top] WHEN ns[1] = 3 THEN list_concat([3], ks) WHEN ns[1] = 2 AND ns[2] = 2 THEN list_concat([2], ks) WHEN ns[1] = 2 THEN list_concat([1], ks) ELSE list_concat([0], ks) END AS p FROM f3),
-    sc7 AS (SELECT hand_id, k, max(coalesce(p[1], 0) * 759375 + coalesce(p[2], 0) * 50625 + coalesce(p[3], 0) * 3375 + coalesce(p[4], 0) * 225 + coalesce(p[5], 0) * 15 + coalesce(p[6], 0))::BIGINT AS score FROM f4 GROUP BY ALL),
+    sc7 AS MATERIALIZED (SELECT hand_id, k, max(coalesce(p[1], 0) * 759375 + coalesce(p[2], 0) * 50625 + coalesce(p[3], 0) * 3375 + coalesce(p[4], 0) * 225 + coalesce(p[5], 0) * 15 + coalesce(p[6], 0))::BIGINT AS score FROM f4 GROUP BY ALL),
     sch AS (SELECT hand_id, count(*) AS n_seen, max(score) AS best, list(k ORDER BY k) AS seen, list({{'k': k, 's': score}} ORDER BY k) AS each FROM sc7 GROUP BY ALL),
     o2 AS (SELECT o1.*, CASE WHEN board = '' OR starts_with(site, 'ACPC') THEN 0.0 ELSE least(least(3.0 / bb, 3.0), 0.05 * (pot / bb)) END * bb AS rake,
                   len(finishing_stacks) = n_players AND abs(list_sum(finishing_stacks) - list_sum(starting_stacks)) < 1e-6 AS exact, coalesce(n_seen, 0) AS n_seen, best, seen, each,
@@ -61,7 +64,7 @@ REPLAY = f"""
     o3 AS (SELECT *, CASE WHEN coalesce(exact, false) THEN 'finishing' WHEN len(alive) = 1 THEN 'uncontested' WHEN n_seen = len(alive) AND n_seen > 1 THEN 'showdown_eval' WHEN n_seen = 1 THEN 'sd_heuristic'
                   WHEN len(winnings) = n_players AND len(paidto) > 0 THEN 'winnings_winner' ELSE 'unknown' END AS net_source FROM o2),
     o4 AS (SELECT *, CASE net_source WHEN 'uncontested' THEN alive WHEN 'showdown_eval' THEN list_transform(list_filter(each, lambda x: x.s = best), lambda x: x.k) WHEN 'sd_heuristic' THEN seen WHEN 'winnings_winner' THEN paidto END AS winners FROM o3),
-    oc AS (SELECT *, CASE WHEN net_source = 'finishing' THEN list_transform(finishing_stacks, lambda x, k: x - starting_stacks[k]) WHEN winners IS NOT NULL THEN list_transform(inv, lambda x, k: CASE WHEN list_contains(winners, k) THEN (pot - rake) / len(winners) - x ELSE -x END) END AS net FROM o4),
+    oc AS MATERIALIZED (SELECT *, CASE WHEN net_source = 'finishing' THEN list_transform(finishing_stacks, lambda x, k: x - starting_stacks[k]) WHEN winners IS NOT NULL THEN list_transform(inv, lambda x, k: CASE WHEN list_contains(winners, k) THEN (pot - rake) / len(winners) - x ELSE -x END) END AS net FROM o4),
     hp AS (SELECT site, nl_level, hand_id, unnest(players) AS player, (generate_subscripts(players, 1) - 1)::INTEGER AS pos_idx, n_players, bb, blinds, inv, net, shown, hole AS holes, net_source, day FROM oc),
     hpl AS (SELECT site, nl_level, hand_id, player, pos_idx, n_players, round(inv[pos_idx + 1] / bb, 6) AS invested_bb, round(net[pos_idx + 1] / bb, 6) + 0.0 AS net_bb, net_source, shown[pos_idx + 1] AS reached_showdown, holes[pos_idx + 1] <> '' AS saw_hole,
                    holes[pos_idx + 1] AS hole, inv[pos_idx + 1] > blinds[pos_idx + 1] + 1e-9 AS vpip, day FROM hp),
@@ -81,7 +84,6 @@ REPLAY = f"""
 
 HANDS = f"WITH {hands_sql()}"
 ALL = f"WITH RECURSIVE {hands_sql()}, {REPLAY}"
-LABEL = f"CASE n_players {LABELS} END"
 
 CLASS = f"""CASE WHEN length(hero_hole) = 4 AND hero_hole <> '????' THEN CASE WHEN hero_hole[1] = hero_hole[3] THEN hero_hole[1] || hero_hole[3]
     WHEN position(hero_hole[1] IN '{RANKS}') > position(hero_hole[3] IN '{RANKS}') THEN hero_hole[1] || hero_hole[3] ELSE hero_hole[3] || hero_hole[1] END || CASE WHEN hero_hole[1] = hero_hole[3] THEN '' WHEN hero_hole[2] = hero_hole[4] THEN 's' ELSE 'o' END END"""
