@@ -51,57 +51,57 @@ def train_decisions(d: DataFrame, members: DataFrame, p: Params) -> DataFrame:
 def cells(cd: DataFrame, p: Params, state: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts, reward sums and known rewards of each (entity, state, action): everything else is made from these."""
     s = F.col(p.state) if state is None else state
-    return cd.groupBy(*by, *p.entity, s.alias("s"), F.col(p.action).alias("a")).agg(F.count("*").alias("c"), F.sum(p.reward).alias("rsum"), F.count(p.reward).alias("nqp"))
+    return cd.groupBy(*by, *p.entity, s.alias("s"), F.col(p.action).alias("a")).agg(F.count("*").alias("c"), F.sum(p.reward).alias("total"), F.count(p.reward).alias("known"))
 
 
-def eligible(psa: DataFrame, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
+def eligible(cell: DataFrame, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
     """States that enough distinct entities met, with their decisions and weight."""
-    seen = psa.groupBy(*by, "s").agg(F.countDistinct(F.struct(*p.entity)).alias("n_entities"), F.sum("c").alias("ndec")).where(F.col("n_entities") >= p.min_eligible)
-    total = seen.groupBy(*by).agg(F.sum("ndec").alias("_all"))
+    seen = cell.groupBy(*by, "s").agg(F.countDistinct(F.struct(*p.entity)).alias("entities"), F.sum("c").alias("decisions")).where(F.col("entities") >= p.min_eligible)
+    total = seen.groupBy(*by).agg(F.sum("decisions").alias("_all"))
     out = seen.join(F.broadcast(total), list(by)) if by else seen.crossJoin(F.broadcast(total))
-    return out.withColumn("w", ratio(F.col("ndec"), F.col("_all"))).drop("_all")
+    return out.withColumn("w", ratio(F.col("decisions"), F.col("_all"))).drop("_all")
 
 
-def action_values(psa: DataFrame, elig: DataFrame, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
+def action_values(cell: DataFrame, met: DataFrame, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean known reward of each action in an eligible state, over all entities."""
-    seen = psa.join(elig.select(*by, "s"), [*by, "s"], "left_semi")
-    q = seen.groupBy(*by, "s", "a").agg(F.sum("rsum").alias("_r"), F.sum("nqp").alias("nq")).where("nq > 0")
-    return q.select(*by, "s", "a", (ratio(F.col("_r"), F.col("nq")) / p.scale).alias("qpop"), "nq")
+    seen = cell.join(met.select(*by, "s"), [*by, "s"], "left_semi")
+    q = seen.groupBy(*by, "s", "a").agg(F.sum("total").alias("_r"), F.sum("known").alias("known")).where("known > 0")
+    return q.select(*by, "s", "a", (ratio(F.col("_r"), F.col("known")) / p.scale).alias("action_mean"), "known")
 
 
 def state_values(q: DataFrame) -> DataFrame:
-    return q.groupBy("s").agg((F.sum(F.col("qpop") * F.col("nq")) / F.sum("nq")).alias("qs"))
+    return q.groupBy("s").agg((F.sum(F.col("action_mean") * F.col("known")) / F.sum("known")).alias("state_mean"))
 
 
-def valued(psa: DataFrame, q: DataFrame, qs: DataFrame) -> DataFrame:
+def valued(cell: DataFrame, q: DataFrame, state_mean: DataFrame) -> DataFrame:
     """Cells with the population value of their action, or else of their state."""
-    return psa.join(q, ["s", "a"], "left").join(qs, "s", "left").withColumn("val", F.coalesce("qpop", "qs"))
+    return cell.join(q, ["s", "a"], "left").join(state_mean, "s", "left").withColumn("val", F.coalesce("action_mean", "state_mean"))
 
 
-def population_policy(psa: DataFrame, elig: DataFrame, q: DataFrame, qs: DataFrame) -> DataFrame:
-    seen = psa.join(elig.select("s"), "s", "left_semi").groupBy("s", "a").agg(F.sum("c").alias("c"))
-    return valued(seen, q, qs).groupBy("s").agg((F.sum(F.col("c") * F.col("val")) / F.sum("c")).alias("evbar"))
+def population_policy(cell: DataFrame, met: DataFrame, q: DataFrame, state_mean: DataFrame) -> DataFrame:
+    seen = cell.join(met.select("s"), "s", "left_semi").groupBy("s", "a").agg(F.sum("c").alias("c"))
+    return valued(seen, q, state_mean).groupBy("s").agg((F.sum(F.col("c") * F.col("val")) / F.sum("c")).alias("population_value"))
 
 
-def entity_policy(psa: DataFrame, q: DataFrame, qs: DataFrame, p: Params) -> DataFrame:
+def entity_policy(cell: DataFrame, q: DataFrame, state_mean: DataFrame, p: Params) -> DataFrame:
     """What an entity's own choices in a state are worth at population values; NULL in states without any."""
-    total = F.sum("c").alias("cs")
-    return valued(psa, q, qs).groupBy(*p.entity, "s").agg(F.sum(F.col("c") * F.col("val")).alias("_v"), total).select(*p.entity, "s", (F.col("_v") / F.col("cs")).alias("pevs"), "cs")
+    total = F.sum("c").alias("n_state")
+    return valued(cell, q, state_mean).groupBy(*p.entity, "s").agg(F.sum(F.col("c") * F.col("val")).alias("_v"), total).select(*p.entity, "s", (F.col("_v") / F.col("n_state")).alias("entity_value"), "n_state")
 
 
-def alignment_edge(psa: DataFrame, elig: DataFrame, q: DataFrame, qs: DataFrame, p: Params) -> DataFrame:
+def alignment_edge(cell: DataFrame, met: DataFrame, q: DataFrame, state_mean: DataFrame, p: Params) -> DataFrame:
     """Weighted gain of an entity's policy over the population's, in states it met often enough."""
-    own = entity_policy(psa, q, qs, p).where(F.col("cs") >= p.nmin)
-    both = own.join(elig.select("s", "w"), "s").join(population_policy(psa, elig, q, qs), "s")
-    return both.groupBy(*p.entity).agg(F.sum(F.col("w") * (F.col("pevs") - F.col("evbar"))).alias("edge"))
+    own = entity_policy(cell, q, state_mean, p).where(F.col("n_state") >= p.nmin)
+    both = own.join(met.select("s", "w"), "s").join(population_policy(cell, met, q, state_mean), "s")
+    return both.groupBy(*p.entity).agg(F.sum(F.col("w") * (F.col("entity_value") - F.col("population_value"))).alias("edge"))
 
 
-def like_for_like(psa: DataFrame, elig: DataFrame, q: DataFrame, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
+def like_for_like(cell: DataFrame, met: DataFrame, q: DataFrame, p: Params, by: tuple[str, ...] = ()) -> DataFrame:
     """Reward above the population in the same state with the same action, by the entity's own frequencies; and the share so covered."""
-    seen = psa.join(elig.select(*by, "s"), [*by, "s"], "left_semi")
+    seen = cell.join(met.select(*by, "s"), [*by, "s"], "left_semi")
     total = seen.groupBy(*by, *p.entity).agg(F.sum("c").alias("ntot"))
-    own = seen.where(F.col("nqp") >= p.nmin_sa).join(q.select(*by, "s", "a", "qpop"), [*by, "s", "a"])
-    gain = F.col("c") * (F.col("rsum") / F.col("nqp") / p.scale - F.col("qpop"))
+    own = seen.where(F.col("known") >= p.nmin_sa).join(q.select(*by, "s", "a", "action_mean"), [*by, "s", "a"])
+    gain = F.col("c") * (F.col("total") / F.col("known") / p.scale - F.col("action_mean"))
     sums = own.groupBy(*by, *p.entity).agg(F.sum(gain).alias("_g"), F.sum("c").alias("_c"))
     return sums.join(total, [*by, *p.entity]).select(*by, *p.entity, ratio(F.col("_g"), F.col("ntot")).alias("skill"), ratio(F.col("_c"), F.col("ntot")).alias("cov"))
 
@@ -132,10 +132,10 @@ class Evaluation:
 
     sheet: DataFrame
     members: DataFrame
-    psa: DataFrame
-    elig: DataFrame
+    cell: DataFrame
+    met: DataFrame
     q: DataFrame
-    qs: DataFrame
+    state_mean: DataFrame
     edge: DataFrame
     skill: DataFrame
     scores: DataFrame
@@ -144,22 +144,22 @@ class Evaluation:
 def evaluate(d: DataFrame, p: Params = Params()) -> Evaluation:
     sheet = realised(d, p, p.reward, p.scale)
     members = cohort(sheet, p.min_train, p.min_test)
-    psa = cells(train_decisions(d, members, p), p)
-    elig = eligible(psa, p)
-    q = action_values(psa, elig, p)
-    qs = state_values(q)
-    edge = alignment_edge(psa, elig, q, qs, p)
-    skill = like_for_like(psa, elig, q, p)
-    return Evaluation(sheet, members, psa, elig, q, qs, edge, skill, score_sheet(members, edge, skill, p))
+    cell = cells(train_decisions(d, members, p), p)
+    met = eligible(cell, p)
+    q = action_values(cell, met, p)
+    state_mean = state_values(q)
+    edge = alignment_edge(cell, met, q, state_mean, p)
+    skill = like_for_like(cell, met, q, p)
+    return Evaluation(sheet, members, cell, met, q, state_mean, edge, skill, score_sheet(members, edge, skill, p))
 
 
-def summary(scores: DataFrame, elig: DataFrame) -> DataFrame:
+def summary(scores: DataFrame, met: DataFrame) -> DataFrame:
     """One row: cohort size, eligible states, and how each score's rank agrees with the later winrate's."""
     with_all = with_combined(scores)
     ranked = with_all.withColumns({f"_r_{c}": tie_rank(c) for c in ("wr_train", "wr_test", "edge", "skill", "combined")})
     rho = lambda c: F.round(pearson(F.col(f"_r_{c}"), F.col("_r_wr_test")), 6)
     out = ranked.agg(F.count("*").alias("n_players"), rho("wr_train").alias("ceiling"), rho("edge").alias("edge"), rho("skill").alias("skill"), rho("combined").alias("combined"), F.round(F.avg("cov"), 6).alias("mean_cov"))
-    return out.crossJoin(F.broadcast(elig.agg(F.count("*").alias("n_states"))))
+    return out.crossJoin(F.broadcast(met.agg(F.count("*").alias("n_states"))))
 
 
 def ablation(d: DataFrame, states: dict[str, Column], p: Params = Params()) -> DataFrame:
@@ -168,9 +168,9 @@ def ablation(d: DataFrame, states: dict[str, Column], p: Params = Params()) -> D
     cd = train_decisions(d, members, p)
     labels = F.explode(F.array(*[F.struct(F.lit(k).alias("label"), c.alias("key")) for k, c in states.items()])).alias("_k")
     stacked = cd.select(*p.entity, p.action, p.reward, labels).select(*p.entity, p.action, p.reward, "_k.label", "_k.key").where("key IS NOT NULL")
-    psa = cells(stacked, p, F.col("key"), ("label",))
-    elig = eligible(psa, p, ("label",))
-    skill = like_for_like(psa, elig, action_values(psa, elig, p, ("label",)), p, ("label",))
-    named = members.crossJoin(F.broadcast(elig.select("label").distinct())).join(skill, ["label", *p.entity], "left")
+    cell = cells(stacked, p, F.col("key"), ("label",))
+    met = eligible(cell, p, ("label",))
+    skill = like_for_like(cell, met, action_values(cell, met, p, ("label",)), p, ("label",))
+    named = members.crossJoin(F.broadcast(met.select("label").distinct())).join(skill, ["label", *p.entity], "left")
     named = named.withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 6) for c in ("skill", "cov")})
-    return correlations(named, "skill", "wr_test", ("label",)).join(elig.groupBy("label").agg(F.count("*").alias("n_states")), "label")
+    return correlations(named, "skill", "wr_test", ("label",)).join(met.groupBy("label").agg(F.count("*").alias("n_states")), "label")

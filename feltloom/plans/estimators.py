@@ -20,26 +20,30 @@ REALISED_N = """sheet AS (SELECT site, player, count(net_c) FILTER (day <= 18) A
 REALISED_V = REALISED_N.replace("net_c", "r_c").replace("1000000.0", "100.0").replace("FROM n ", "FROM v ")
 
 
+def judged(state: str = "s_core", p: e.Params = P, source: str | None = None, by: str = "") -> str:
+    """Decisions with all that they are held against, by windows over the decisions themselves: nothing is aggregated and joined back.
+
+    by: a column, with a comma, that keeps several ways of keying states apart.
+    """
+    rows = source or f"SELECT v.site, v.player, {state} AS s, a, reward_bb AS r FROM v SEMI JOIN kept USING (site, player) WHERE day <= {p.split_day}"
+    of_state, of_action = f"PARTITION BY {by}s", f"PARTITION BY {by}s, a"
+    return f"""played AS ({rows}),
+    crowd AS (SELECT {by}s, count(*) AS entities FROM (SELECT DISTINCT {by}s, site, player FROM played) GROUP BY ALL HAVING count(*) >= {p.min_eligible}),
+    seen AS (SELECT played.*, entities, coalesce(entities, 0) > 0 AS common, count(*) OVER ({of_state}) AS decisions, count(*) OVER ({of_state}, site, player) AS n_state,
+                    CASE WHEN entities > 0 THEN avg(r) OVER ({of_action}) END AS action_mean, count(r) OVER ({of_action}) AS action_known, CASE WHEN entities > 0 THEN avg(r) OVER ({of_state}) END AS state_mean,
+                    count(*) OVER ({of_action}, site, player) AS n, avg(r) OVER ({of_action}, site, player) AS own_mean, count(r) OVER ({of_action}, site, player) AS own_known
+             FROM played LEFT JOIN crowd USING ({by}s)),
+    judged AS (SELECT *, avg(coalesce(action_mean, state_mean)) OVER ({of_state}) AS population_value, avg(coalesce(action_mean, state_mean)) OVER ({of_state}, site, player) AS entity_value,
+                      decisions::DOUBLE / count(*) FILTER (common) OVER () AS weight, common AND own_known >= {p.nmin_sa} AS like_for_like FROM seen)"""
+
+
 def chain(state: str = "s_core", p: e.Params = P) -> str:
-    """The whole chain of tables as the estimators are defined, on V."""
-    return f"""{V}, {REALISED_V},
-    co AS (SELECT * FROM sheet WHERE n_train >= {p.min_train} AND n_test >= {p.min_test}),
-    cd AS (SELECT v.site, v.player, {state} AS s, a, reward_bb AS r FROM v JOIN co USING (site, player) WHERE day <= {p.split_day}),
-    elig AS (SELECT s, count(DISTINCT site || '|' || player) AS n_entities, count(*) AS ndec FROM cd GROUP BY s HAVING count(DISTINCT site || '|' || player) >= {p.min_eligible}),
-    w AS (SELECT s, ndec::DOUBLE / (SELECT sum(ndec) FROM elig) AS w FROM elig),
-    q AS (SELECT cd.s, cd.a, avg(r) AS qpop, count(r) AS nq FROM cd JOIN elig USING (s) WHERE r IS NOT NULL GROUP BY ALL),
-    qs AS (SELECT s, sum(qpop * nq) / sum(nq) AS qs FROM q GROUP BY s),
-    pibar AS (SELECT cd.s, cd.a, count(*) AS c FROM cd JOIN elig USING (s) GROUP BY ALL),
-    evbar AS (SELECT p.s, sum(p.c * coalesce(q.qpop, qs.qs))::DOUBLE / sum(p.c) AS evbar FROM pibar p LEFT JOIN q ON p.s = q.s AND p.a = q.a LEFT JOIN qs ON p.s = qs.s GROUP BY p.s),
-    psa AS (SELECT site, player, s, a, count(*) AS c, avg(r) AS qp, count(r) AS nqp FROM cd GROUP BY ALL),
-    psn AS (SELECT site, player, s, sum(c)::BIGINT AS cs FROM psa GROUP BY ALL),
-    pev AS (SELECT x.site, x.player, x.s, sum(x.c * coalesce(q.qpop, qs.qs)) / x.cs AS pevs, x.cs FROM (SELECT * FROM psa JOIN psn USING (site, player, s)) x
-            LEFT JOIN q ON x.s = q.s AND x.a = q.a LEFT JOIN qs ON x.s = qs.s GROUP BY x.site, x.player, x.s, x.cs),
-    edge AS (SELECT site, player, sum(w * (pevs - evbar)) AS edge FROM pev JOIN w USING (s) JOIN evbar USING (s) WHERE cs >= {p.nmin} GROUP BY ALL),
-    ptot AS (SELECT site, player, sum(c) AS ntot FROM psa JOIN elig USING (s) GROUP BY ALL),
-    skill AS (SELECT p.site, p.player, sum(p.c * (p.qp - q.qpop)) / t.ntot AS skill, sum(p.c)::DOUBLE / t.ntot AS cov FROM psa p JOIN elig USING (s) JOIN q ON p.s = q.s AND p.a = q.a JOIN ptot t USING (site, player)
-              WHERE p.nqp >= {p.nmin_sa} GROUP BY p.site, p.player, t.ntot),
-    scores AS (SELECT co.*, round(coalesce(edge, 0), 6) AS edge, round(coalesce(skill, 0), 6) AS skill, round(coalesce(cov, 0), 6) AS cov FROM co LEFT JOIN edge USING (site, player) LEFT JOIN skill USING (site, player))"""
+    """Judged decisions and the score sheet of the cohort, on V."""
+    return f"""{V}, {REALISED_V}, kept AS (SELECT * FROM sheet WHERE n_train >= {p.min_train} AND n_test >= {p.min_test}), {judged(state, p)},
+    gains AS (SELECT site, player, sum(weight * (entity_value - population_value) / n_state) FILTER (common AND n_state >= {p.nmin}) AS edge,
+                     sum(own_mean - action_mean) FILTER (like_for_like) / count(*) FILTER (common) AS skill, count(*) FILTER (like_for_like)::DOUBLE / count(*) FILTER (common) AS cov,
+                     bool_or(common AND n_state >= {p.nmin}) AS aligned, bool_or(like_for_like) AS compared FROM judged GROUP BY ALL),
+    scores AS (SELECT kept.*, {", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in ("edge", "skill"))}, round(CASE WHEN compared THEN cov ELSE 0 END, 6) AS cov FROM kept LEFT JOIN gains USING (site, player))"""
 
 
 def nan(x: str) -> str:
@@ -68,58 +72,58 @@ def _(spark, d):
     return e.cohort(e.realised(b.n(spark, d), NP), NP.min_train, NP.min_test)
 
 
-@query("f3_train_decisions", f"{chain()} SELECT site, player, count(*) AS n, round(sum(r), 4) AS total FROM cd GROUP BY ALL")
+@query("f3_train_decisions", f"{chain()} SELECT site, player, count(*) AS n, round(sum(r), 4) AS total FROM played GROUP BY ALL")
 def _(spark, d):
     v = b.v(spark, d)
     cd = e.train_decisions(v, e.evaluate(v).members, P)
     return cd.groupBy(*P.entity).agg(F.count("*").alias("n"), F.round(F.sum("r_c") / F.lit(100.0), 4).alias("total"))
 
 
-@query("f4_eligible_states", f"{chain()} SELECT * FROM elig")
+@query("f4_eligible_states", f"{chain()} SELECT DISTINCT s, entities, decisions FROM judged WHERE common")
 def _(spark, d):
-    return e.evaluate(b.v(spark, d)).elig.select("s", "n_entities", "ndec")
+    return e.evaluate(b.v(spark, d)).met.select("s", "entities", "decisions")
 
 
-@query("f5_state_weights", f"{chain()} SELECT s, round(w, 9) AS w FROM w")
+@query("f5_state_weights", f"{chain()} SELECT DISTINCT s, round(weight, 9) AS weight FROM judged WHERE common")
 def _(spark, d):
-    return e.evaluate(b.v(spark, d)).elig.select("s", F.round("w", 9).alias("w"))
+    return e.evaluate(b.v(spark, d)).met.select("s", F.round("w", 9).alias("weight"))
 
 
-@query("f6_action_values", f"{chain()} SELECT s, a, round(qpop, 6) AS qpop, nq FROM q")
+@query("f6_action_values", f"{chain()} SELECT DISTINCT s, a, round(action_mean, 6) AS action_mean, action_known AS known FROM judged WHERE common AND action_known > 0")
 def _(spark, d):
-    return e.evaluate(b.v(spark, d)).q.withColumn("qpop", F.round("qpop", 6))
+    return e.evaluate(b.v(spark, d)).q.withColumn("action_mean", F.round("action_mean", 6))
 
 
-@query("f7_state_values", f"{chain()} SELECT s, round(qs, 6) AS qs FROM qs")
+@query("f7_state_values", f"{chain()} SELECT DISTINCT s, round(state_mean, 6) AS state_mean FROM judged WHERE state_mean IS NOT NULL")
 def _(spark, d):
-    return e.evaluate(b.v(spark, d)).qs.withColumn("qs", F.round("qs", 6))
+    return e.evaluate(b.v(spark, d)).state_mean.withColumn("state_mean", F.round("state_mean", 6))
 
 
-@query("f8_population_policy", f"{chain()} SELECT s, round(evbar, 6) AS evbar FROM evbar")
+@query("f8_population_policy", f"{chain()} SELECT DISTINCT s, round(population_value, 6) AS population_value FROM judged WHERE common")
 def _(spark, d):
     x = e.evaluate(b.v(spark, d))
-    return e.population_policy(x.psa, x.elig, x.q, x.qs).withColumn("evbar", F.round("evbar", 6))
+    return e.population_policy(x.cell, x.met, x.q, x.state_mean).withColumn("population_value", F.round("population_value", 6))
 
 
-@query("f9_entity_cells", f"{chain()} SELECT site, player, s, a, c, round(qp, 6) AS qp, nqp, cs FROM psa JOIN psn USING (site, player, s)")
+@query("f9_entity_cells", f"{chain()} SELECT DISTINCT site, player, s, a, n, round(own_mean, 6) AS own_mean, own_known AS known, n_state FROM judged")
 def _(spark, d):
-    psa = e.evaluate(b.v(spark, d)).psa
-    totals = psa.groupBy(*P.entity, "s").agg(F.sum("c").alias("cs"))
-    return psa.join(totals, [*P.entity, "s"]).select(*P.entity, "s", "a", "c", F.round(F.col("rsum") / F.col("nqp") / 100, 6).alias("qp"), "nqp", "cs")
+    cell = e.evaluate(b.v(spark, d)).cell
+    totals = cell.groupBy(*P.entity, "s").agg(F.sum("c").alias("n_state"))
+    return cell.join(totals, [*P.entity, "s"]).select(*P.entity, "s", "a", F.col("c").alias("n"), F.round(F.col("total") / F.col("known") / 100, 6).alias("own_mean"), "known", "n_state")
 
 
-@query("f10_entity_policy", f"{chain()} SELECT site, player, s, round(pevs, 6) AS pevs, cs FROM pev")
+@query("f10_entity_policy", f"{chain()} SELECT DISTINCT site, player, s, round(entity_value, 6) AS entity_value, n_state FROM judged")
 def _(spark, d):
     x = e.evaluate(b.v(spark, d))
-    return e.entity_policy(x.psa, x.q, x.qs, P).withColumn("pevs", F.round("pevs", 6))
+    return e.entity_policy(x.cell, x.q, x.state_mean, P).withColumn("entity_value", F.round("entity_value", 6))
 
 
-@query("f11_alignment_edge", f"{chain()} SELECT site, player, round(edge, 6) AS edge FROM edge")
+@query("f11_alignment_edge", f"{chain()} SELECT site, player, round(edge, 6) AS edge FROM gains WHERE aligned")
 def _(spark, d):
     return e.evaluate(b.v(spark, d)).edge.withColumn("edge", F.round("edge", 6))
 
 
-@query("f12_like_for_like_skill", f"{chain()} SELECT site, player, round(skill, 6) AS skill, round(cov, 6) AS cov FROM skill")
+@query("f12_like_for_like_skill", f"{chain()} SELECT site, player, round(skill, 6) AS skill, round(cov, 6) AS cov FROM gains WHERE compared")
 def _(spark, d):
     return e.evaluate(b.v(spark, d)).skill.withColumns({c: F.round(c, 6) for c in ("skill", "cov")})
 
@@ -159,11 +163,11 @@ def _(spark, d):
     + ", ".join(f"{rank_sql(c)} AS r_{c}" for c in ("wr_train", "wr_test", "edge", "skill", "combined"))
     + " FROM comb) SELECT count(*) AS n_players, "
     + ", ".join(f"round({nan(f'corr(r_{c}, r_wr_test)')}, 6) AS {k}" for c, k in (("wr_train", "ceiling"), ("edge", "edge"), ("skill", "skill"), ("combined", "combined")))
-    + ", round(avg(cov), 6) AS mean_cov, (SELECT count(*) FROM elig) AS n_states FROM rk",
+    + ", round(avg(cov), 6) AS mean_cov, (SELECT count(DISTINCT s) FROM judged WHERE common) AS n_states FROM rk",
 )
 def _(spark, d):
     x = e.evaluate(b.v(spark, d))
-    return e.summary(x.scores, x.elig)
+    return e.summary(x.scores, x.met)
 
 
 P19 = e.Params(state="s_fine", split_day=15, nmin=3, nmin_sa=1, min_eligible=10, min_train=25, min_test=25)
@@ -175,17 +179,14 @@ def _(spark, d):
 
 
 def ablation_sql(states: dict[str, str]) -> str:
-    head = chain().split("cd AS")[0]
-    stack = " UNION ALL ".join(f"SELECT '{k}' AS label, v.site, v.player, {x} AS s, a, reward_bb AS r FROM v JOIN co USING (site, player) WHERE day <= 18 AND {x} IS NOT NULL" for k, x in states.items())
-    return f"""{head} st AS ({stack}),
-    elig AS (SELECT label, s FROM st GROUP BY ALL HAVING count(DISTINCT site || '|' || player) >= {P.min_eligible}),
-    q AS (SELECT label, s, a, avg(r) AS qpop FROM st SEMI JOIN elig USING (label, s) GROUP BY ALL),
-    psa AS (SELECT label, site, player, s, a, count(*) AS c, avg(r) AS qp, count(r) AS nqp FROM st SEMI JOIN elig USING (label, s) GROUP BY ALL),
-    t AS (SELECT label, site, player, sum(c) AS ntot FROM psa GROUP BY ALL),
-    k AS (SELECT label, site, player, sum(c * (qp - qpop)) AS g FROM psa JOIN q USING (label, s, a) WHERE nqp >= {P.nmin_sa} GROUP BY ALL),
-    sheet2 AS (SELECT l.label, co.wr_test, round(coalesce(g / ntot, 0), 6) AS skill FROM co CROSS JOIN (SELECT DISTINCT label FROM elig) l LEFT JOIN k ON k.label = l.label AND k.site = co.site AND k.player = co.player LEFT JOIN t ON t.label = l.label AND t.site = co.site AND t.player = co.player),
-    r AS ({corr_sql('skill', 'wr_test', 'sheet2', 'label')})
-    SELECT * FROM r JOIN (SELECT label, count(*) AS n_states FROM elig GROUP BY ALL) USING (label)"""
+    """The same judgement for several ways of keying states at once; a member without a like-for-like decision scores 0."""
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS label, v.site, v.player, {x} AS s, a, reward_bb AS r FROM v SEMI JOIN kept USING (site, player) WHERE day <= {P.split_day} AND {x} IS NOT NULL" for k, x in states.items())
+    return f"""{V}, {REALISED_V}, kept AS (SELECT * FROM sheet WHERE n_train >= {P.min_train} AND n_test >= {P.min_test}), {judged(source=rows, by="label, ")},
+    gains AS (SELECT label, site, player, sum(own_mean - action_mean) FILTER (like_for_like) / count(*) FILTER (common) AS skill FROM judged GROUP BY ALL),
+    labels AS (SELECT label, count(DISTINCT s) AS n_states FROM judged WHERE common GROUP BY ALL),
+    every AS (SELECT labels.label, wr_test, round(coalesce(skill, 0), 6) AS skill FROM kept CROSS JOIN labels LEFT JOIN gains ON gains.label = labels.label AND gains.site = kept.site AND gains.player = kept.player),
+    r AS ({corr_sql('skill', 'wr_test', 'every', 'label')})
+    SELECT * FROM r JOIN labels USING (label)"""
 
 
 STATES = {"core": "s_core", "fine": "s_fine", "core_x": "s_core || '|X' || (k % 3)", "fine_x": "CASE WHEN k >= 5 THEN s_fine || '|X' || (k % 3) END"}
