@@ -10,17 +10,23 @@ from feltloom.functions import buckets
 from feltloom.functions.stats import pearson, ratio
 
 CONTEXT = ("ctx", "board")
+#: What everybody at the table knows of a decision, besides the board.
+PUBLIC = ("street", "pot_type", "pos", "action_faced", "faced_sz", "spr_b", "nactive")
+
+
+def keyed(d: DataFrame) -> DataFrame:
+    """Replayed decisions with states, by their public context and the class of the hole cards."""
+    return d.withColumns({"ctx": buckets.joined(*PUBLIC), "hole_class": F.col("hero_hole_class"), "hand_bucket": F.col("hero_hand_bucket")})
 
 
 def source(d: DataFrame) -> DataFrame:
-    """Decisions with a known class, the score of their made hand in tenths, and whether it is strong."""
-    known = d.where("hole_class IS NOT NULL")
-    return known.withColumns({"hv": F.round(buckets.hand_score(F.col("hand_bucket")) * 10).cast("bigint"), "strong": buckets.is_strong(F.col("hand_bucket")).cast("int")})
+    """Decisions with the score of their made hand in tenths, and whether it is strong."""
+    return d.withColumns({"hv": F.round(buckets.hand_score(F.col("hand_bucket")) * 10).cast("bigint"), "strong": buckets.is_strong(F.col("hand_bucket")).cast("int")})
 
 
 def distribution(rows: DataFrame) -> DataFrame:
-    """Mean score, strong rate and count of each class in a context."""
-    return rows.groupBy(*CONTEXT, "hole_class").agg(
+    """Mean score, strong rate and count of each known class in a context."""
+    return rows.where("hole_class IS NOT NULL").groupBy(*CONTEXT, "hole_class").agg(
         F.round(F.sum("hv") / F.count("*") / 10, 9).alias("hv"), F.sum("strong").alias("n_strong"), F.count("*").alias("n")
     ).withColumn("strong_rate", ratio(F.col("n_strong"), F.col("n")))
 
@@ -31,7 +37,7 @@ def contexts(dist: DataFrame) -> DataFrame:
 
 
 def board_meta(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*CONTEXT).agg(F.min("board_bucket").alias("board_bucket"), F.min("street").alias("street"))
+    return rows.where("hole_class IS NOT NULL").groupBy(*CONTEXT).agg(F.min("board_bucket").alias("board_bucket"), F.min("street").alias("street"))
 
 
 def percentiles(dist: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feltloom.functions import buckets
 from feltloom.operators import pairs, ranges, reliability
+from feltloom.plans import ledger
 from feltloom.plans.base import query
 from feltloom.plans.estimators import corr_sql, nan
 from feltloom.sources import bindings as b
@@ -146,71 +148,77 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- range features
 
-STRONG = "('trips', 'straight', 'flush', 'full_house', 'quads', 'straight_flush')"
-SCORE = "CASE hand_bucket WHEN 'straight_flush' THEN 80 WHEN 'quads' THEN 70 WHEN 'full_house' THEN 60 WHEN 'flush' THEN 50 WHEN 'straight' THEN 40 WHEN 'trips' THEN 30 WHEN 'two_pair' THEN 20 WHEN 'overpair_pair' THEN 12 WHEN 'pair' THEN 10 WHEN 'flush_draw' THEN 4 WHEN 'high_card' THEN 0 ELSE 5 END"
-CTX = "s_core || '|' || (CASE WHEN k < 50 THEN 'low' ELSE 'high' END)"
-K = f"WITH {b.k_sql()}, src AS (SELECT *, {CTX} AS ctx, {SCORE} AS hv10, hand_bucket IN {STRONG} AS strong FROM ks)"
-DIST = "dist AS (SELECT ctx, board, hole_class, round(sum(hv10)::DOUBLE / count(*) / 10, 9) AS hv, sum(strong::INT)::BIGINT AS n_strong, count(*) AS n, sum(strong::INT)::DOUBLE / count(*) AS strong_rate FROM src GROUP BY ALL)"
-CTXS = "cx AS (SELECT ctx, board, sum(n)::BIGINT AS total_n, sum(strong_rate * n) / sum(n) AS wetness, stddev_pop(hv) / 8.0::DOUBLE AS dispersion FROM dist GROUP BY ALL)"
-META = "meta AS (SELECT ctx, board, any_value(board_bucket) AS board_bucket, any_value(street) AS street FROM src GROUP BY ALL)"
-DYN = "CASE WHEN street IN (0, 3) THEN 0.0 WHEN contains(board_bucket, 'm') THEN 0.35 WHEN contains(board_bucket, 'c') THEN 0.25 WHEN contains(board_bucket, 't') THEN 0.18 ELSE 0.08 END"
-PCT = f"""pct AS (SELECT d.ctx, d.board, d.hole_class, d.hv, round(max(c.wetness), 9) AS wetness, round(max(coalesce(c.dispersion, 0) + ({DYN.replace('street', 'm.street').replace('board_bucket', 'm.board_bucket')})::DOUBLE), 9) AS dynamicness,
-    round(sum(CASE WHEN o.hv <= d.hv THEN o.n ELSE 0 END)::DOUBLE / max(c.total_n), 9) AS h_pct FROM dist d JOIN dist o USING (ctx, board) JOIN cx c USING (ctx, board) JOIN meta m USING (ctx, board) GROUP BY d.ctx, d.board, d.hole_class, d.hv)"""
-BINS = "bins AS (SELECT " + ", ".join(f"round(quantile_cont({c}, {p}), 9) AS {k}{i}" for k, c in (("h", "h_pct"), ("w", "wetness"), ("d", "dynamicness")) for i, p in ((1, 0.333), (2, 0.667))) + " FROM pct)"
-FEAT = "feat AS (SELECT ctx, board, hole_class, h_pct, wetness, dynamicness, " + ", ".join(f"CASE WHEN {c} <= {k}1 THEN 'low' WHEN {c} <= {k}2 THEN 'mid' ELSE 'high' END AS {k}_bin" for k, c in (("h", "h_pct"), ("w", "wetness"), ("d", "dynamicness"))) + " FROM pct, bins)"
-ALL = f"{K}, {DIST}, {CTXS}, {META}, {PCT}, {BINS}, {FEAT}"
+# Replayed decisions with known hole cards, in tenths of a hand score; ctx is all that is public before the board.
+TENTHS = "CASE hero_hand_bucket " + " ".join(f"WHEN '{k}' THEN {round(10 * v)}" for k, v in buckets.HAND_SCORES.items()) + " ELSE 5 END"
+PUBLIC = " || '|' || ".join(ranges.PUBLIC)
+K = f"{ledger.STATES}, rs AS (SELECT *, {PUBLIC} AS ctx, hero_hole_class AS hole_class, {TENTHS} AS tenths, hero_hand_bucket IN {buckets.STRONG} AS strong, {ledger.DYN} AS proxy FROM s3), src AS (SELECT * FROM rs WHERE hole_class IS NOT NULL)"
+BY_CLASS = "by_class AS (SELECT ctx, board, hole_class, any_value(proxy) AS proxy, count(*) AS n, count(*) FILTER (strong) AS n_strong, round(sum(tenths)::DOUBLE / count(*) / 10, 9) AS hv FROM src GROUP BY ALL)"
+STOOD = """stood AS (SELECT *, sum(n) OVER (same ORDER BY hv RANGE UNBOUNDED PRECEDING) AS no_better, sum(n) OVER same AS hands, sum(n_strong) OVER same AS strong_hands, stddev_pop(hv) OVER same AS deviation FROM by_class WINDOW same AS (PARTITION BY ctx, board)),
+    figures AS (SELECT ctx, board, hole_class, round(no_better::DOUBLE / hands, 9) AS h_pct, round(strong_hands::DOUBLE / hands, 9) AS wetness, round(coalesce(deviation, 0) / 8 + proxy, 9) AS dynamicness FROM stood)"""
+
+
+def cut_sql(c: str, share: float) -> str:
+    """The value at that share of the ordered values, between two of them by their distance."""
+    at = f"{share} * (count(*) - 1)"
+    lower, upper = (f"list({c} ORDER BY {c})[({f}({at}) + 1)::BIGINT]" for f in ("floor", "ceil"))
+    return f"round({lower} + ({upper} - {lower}) * ({at} - floor({at})), 9)"
+
+
+NAMED = {"h": "h_pct", "w": "wetness", "d": "dynamicness"}
+CUTS = "cuts AS (SELECT " + ", ".join(f"{cut_sql(c, x)} AS {k}{i}" for k, c in NAMED.items() for i, x in ((1, 0.333), (2, 0.667))) + " FROM figures)"
+BINNED = "binned AS (SELECT ctx, board, hole_class, h_pct, wetness, dynamicness, " + ", ".join(f"(['low', 'mid', 'high'])[1 + ({c} > {k}1)::INT + ({c} > {k}2)::INT] AS {k}_bin" for k, c in NAMED.items()) + " FROM figures, cuts)"
+ALL = f"{K}, {BY_CLASS}, {STOOD}, {CUTS}, {BINNED}"
 
 
 def _source(spark, d):
-    rows = b.k_source(spark, d)
-    return ranges.source(rows.withColumn("ctx", F.concat("s_core", F.lit("|"), F.when(F.col("k") < 50, "low").otherwise("high"))))
+    return ranges.source(ranges.keyed(ledger.enriched(spark, d)))
 
 
-@query("k1_range_source", f"{K} SELECT ctx, count(*) AS n, sum(hv10)::BIGINT AS hv, sum(strong::INT)::BIGINT AS strong FROM src GROUP BY ALL")
+@query("k1_range_source", f"{K} SELECT ctx, count(*) AS n, sum(tenths)::BIGINT AS hv, count(*) FILTER (strong) AS strong FROM src GROUP BY ALL")
 def _(spark, d):
-    return _source(spark, d).groupBy("ctx").agg(F.count("*").alias("n"), F.sum("hv").alias("hv"), F.sum("strong").alias("strong"))
+    return _source(spark, d).where("hole_class IS NOT NULL").groupBy("ctx").agg(F.count("*").alias("n"), F.sum("hv").alias("hv"), F.sum("strong").alias("strong"))
 
 
-@query("k2_class_distribution", f"{K}, {DIST} SELECT ctx, board, hole_class, hv, n_strong, n, round(strong_rate, 9) AS strong_rate FROM dist")
+@query("k2_class_distribution", f"{K}, {BY_CLASS} SELECT ctx, board, hole_class, hv, n_strong, n, round(n_strong::DOUBLE / n, 9) AS strong_rate FROM by_class")
 def _(spark, d):
     return ranges.distribution(_source(spark, d)).withColumn("strong_rate", F.round("strong_rate", 9))
 
 
-@query("k3_context_wetness", f"{K}, {DIST}, {CTXS} SELECT ctx, board, total_n, round(wetness, 9) AS wetness, round(dispersion, 9) AS dispersion FROM cx")
+@query("k3_context_wetness", f"{K}, {BY_CLASS}, {STOOD} SELECT DISTINCT ctx, board, hands::BIGINT AS total_n, round(strong_hands::DOUBLE / hands, 9) AS wetness, round(deviation / 8, 9) AS dispersion FROM stood")
 def _(spark, d):
     return ranges.contexts(ranges.distribution(_source(spark, d))).withColumns({c: F.round(c, 9) for c in ("wetness", "dispersion")})
 
 
-@query("k4_board_metadata", f"{K}, {META} SELECT * FROM meta")
+@query("k4_board_metadata", f"{K} SELECT DISTINCT ctx, board, board_bucket, street FROM src")
 def _(spark, d):
     return ranges.board_meta(_source(spark, d))
 
 
-@query("k5_weighted_percentile", f"{ALL} SELECT ctx, board, hole_class, h_pct FROM feat")
+@query("k5_weighted_percentile", f"{ALL} SELECT ctx, board, hole_class, h_pct FROM binned")
 def _(spark, d):
     return ranges.percentiles(ranges.distribution(_source(spark, d))).select("ctx", "board", "hole_class", F.round("h_pct", 9).alias("h_pct"))
 
 
-@query("k6_dynamicness", f"{ALL} SELECT ctx, board, hole_class, dynamicness FROM feat")
+@query("k6_dynamicness", f"{ALL} SELECT ctx, board, hole_class, dynamicness FROM binned")
 def _(spark, d):
     return ranges.features(_source(spark, d)).select("ctx", "board", "hole_class", "dynamicness")
 
 
-@query("k7_tercile_bins", f"{ALL} SELECT * FROM feat")
+@query("k7_tercile_bins", f"{ALL} SELECT * FROM binned")
 def _(spark, d):
     return ranges.features(_source(spark, d))
 
 
 @query(
     "k8_attached_bins",
-    f"{ALL} SELECT s_fine || '|Hq=' || coalesce(h_bin, 'mid') || '|W=' || coalesce(w_bin, 'mid') || '|D=' || coalesce(d_bin, 'mid') AS s_range, count(*) AS n FROM src LEFT JOIN (SELECT * FROM feat WHERE hole_class <> 'C5') f USING (ctx, board, hole_class) GROUP BY ALL",
+    f"{ALL} SELECT s_fine || '|Hq=' || coalesce(h_bin, 'mid') || '|W=' || coalesce(w_bin, 'mid') || '|D=' || coalesce(d_bin, 'mid') AS s_range, count(*) AS n FROM rs LEFT JOIN binned USING (ctx, board, hole_class) GROUP BY ALL",
 )
 def _(spark, d):
     rows = _source(spark, d)
     return ranges.attach(rows, ranges.features(rows)).groupBy("s_range").agg(F.count("*").alias("n"))
 
 
-@query("k9_feature_summary", f"{ALL} SELECT count(*) AS n, round({nan('corr(wetness, dynamicness)')}, 6) AS corr_wd FROM feat")
+@query("k9_feature_summary", f"{ALL} SELECT count(*) AS n, round({nan('corr(wetness, dynamicness)')}, 6) AS corr_wd FROM binned")
 def _(spark, d):
     return ranges.summary(ranges.features(_source(spark, d)))
 

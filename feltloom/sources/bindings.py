@@ -123,35 +123,3 @@ m AS (SELECT 'S' || l_suppkey AS player, l_orderkey::VARCHAR AS hand_id,
              l_returnflag || (floor(l_tax * 100 + 0.5)::BIGINT % 3) AS a, l_quantity AS size,
              cast(floor(l_extendedprice * 100 + 0.5) AS BIGINT) - 3000000 AS r_c, (cast(floor(l_extendedprice * 100 + 0.5) AS BIGINT) - 3000000) / 100.0::DOUBLE AS reward_bb
       FROM lineitem)"""
-
-
-def k_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V with a known hand class, a made-hand label and a board, for range features."""
-    from feltloom.functions.buckets import HAND_LABELS
-
-    boards = F.array(*map(F.lit, ("", "AsKd7h", "9h8h7h2c", "QsQdTc4s2h")))
-    buckets = F.array(*map(F.lit, ("preflop", "3urg", "4umc", "5prg")))
-    labels = F.array(*map(F.lit, HAND_LABELS))
-    d = v(spark, sf_dir)
-    i = (F.col("event_id") % 4).cast("int")
-    return d.withColumns(
-        {
-            "hole_class": F.concat(F.lit("C"), (F.col("event_id") % 13).cast("string")),
-            "hand_bucket": F.get(labels, (F.col("k") % 12).cast("int")),
-            "board": F.get(boards, i),
-            "board_bucket": F.get(buckets, i),
-            "street": i,
-        }
-    )
-
-
-def k_sql() -> str:
-    from feltloom.functions.buckets import HAND_LABELS
-
-    listed = ", ".join(f"'{x}'" for x in HAND_LABELS)
-    return (
-        V_SQL
-        + f""",
-ks AS (SELECT *, 'C' || (event_id % 13) AS hole_class, ([{listed}])[(k % 12) + 1] AS hand_bucket, (['', 'AsKd7h', '9h8h7h2c', 'QsQdTc4s2h'])[(event_id % 4) + 1] AS board,
-              (['preflop', '3urg', '4umc', '5prg'])[(event_id % 4) + 1] AS board_bucket, (event_id % 4)::INTEGER AS street FROM v)"""
-    )
