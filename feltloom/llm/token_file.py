@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,23 +32,60 @@ from pyspark.sql import functions as F
 from .common import batch, map_batches, shared_dir, slices, table, written
 
 IDS = np.dtype("<u4")
-#: Words of a generation that a worker remembers; when it is full, it becomes the older one, and the one before is forgotten.
-CACHE_WORDS = 600_000
+#: Words, and parts of words, of a generation that a worker remembers; when it is full, it becomes the older one, and the one before is forgotten.
+CACHE_WORDS = 300_000
 BLOCK_IDS = 1 << 16
 BATCH_ROWS = 2048
 
-#: What the vocabulary's splitter makes of ASCII text in lower case: fixed values of its file, with the classes cut down to ASCII.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+#: Letters beyond ASCII that no normaliser composes anew and that have one letter for each case.
+CASED = "".join(filter(str.isalpha, map(chr, (*range(0xC0, 0x130), *range(0x132, 0x149), *range(0x14A, 0x17F)))))
+LOWER = "a-z" + "".join(c for c in CASED if c == c.lower())
+PLAIN_WORD = re.compile(f"[!-~{CASED}]*")
+PLAIN_TEXT = rf"^[\t-\r -~{CASED}]*$"
+#: What the vocabulary's splitter makes of plain words in lower case: fixed values of its file, with the classes cut down to them.
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LOWER}]+|[0-9]|[^\t-\r 0-9{LOWER}]+")
+#: The same for texts in which no apostrophe stands before a letter, as blanks around all but letters.
+MARKS, DIGIT, ENDING = rf"([^\t-\r 0-9{LOWER}]+)", "([0-9])", rf"'[{LOWER}]"
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable, else the next one from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(x if x in plain else next(others)) for x in range(0x100)]
+
+
+LETTERS = byte_letters()
 #: A character that stands alone between the words of one call, to tell their ids apart.
 APART = "\x01"
 
 
+class Memory:
+    """Ids of strings, learned together where they are missing; two generations of bounded size."""
+
+    def __init__(self, learn):
+        self.learn, self.known, self.older = learn, {"": b""}, {}
+
+    def get(self, strings: list[str]) -> list[bytes]:
+        known = self.known
+        missing = [x for x in strings if x not in known]
+        if missing and len(known) > CACHE_WORDS:
+            self.older, self.known, missing = known, {"": b""}, strings
+        if missing:
+            old, known = self.older, self.known
+            known |= {x: old[x] for x in missing if x in old}
+            if missing := [x for x in missing if x not in known]:
+                known |= self.learn(missing)
+        return list(map(self.known.__getitem__, strings))
+
+
 class WordEncoder:
-    """Ids of a text as bytes, word by word.
+    """Ids of a text as bytes, put together from those of its distinct words or parts of words.
 
-    The vocabulary's normaliser and splitter never join what stands on two sides of a blank or a newline, so a text's ids are those
-    of its words, put together; each distinct word is encoded once. An ASCII word is lowered and split here, and only its distinct parts go to the
-    library's model, without the normaliser, which has nothing left to do. A text that holds the start of a special token is encoded whole.
+    The vocabulary's normaliser and splitter never join what stands on two sides of a blank or a newline. Of plain texts, of Latin letters without endings after an apostrophe,
+    Arrow makes the splitter's parts in one go; of others it makes words, of which plain ones are split here. It finds the distinct ones of a batch, and numpy
+    gathers their ids. Parts go to the library's model without the normaliser, which has nothing left to do; words that are not plain go to
+    the library as they are. A text that holds the start of a special token is encoded whole. Ids take two bytes here if the vocabulary allows it.
     """
 
     def __init__(self, path: str):
@@ -55,9 +93,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Memory(self.learn), Memory(self.modelled)
         self.apart = self.tokenizer.encode(APART, add_special_tokens=False).ids
         spec = json.loads(self.tokenizer.to_str())
         suffix = spec["model"].get("end_of_word_suffix")
@@ -65,60 +101,66 @@ class WordEncoder:
         self.ends = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
         if suffix:
             self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.model = Tokenizer.from_str(json.dumps(spec))
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, IDS).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def spelled(self, words: list[str]) -> dict[str, bytes]:
         """The ids of these distinct words from one call, cut where the ids of APART stand."""
         if len(self.apart) != 1 or any(APART in w for w in words):
             return {w: self.whole(w) for w in words}
-        ids = np.array(self.tokenizer.encode(f" {APART} ".join(words), add_special_tokens=False).ids, IDS)
+        ids = np.array(self.tokenizer.encode(f" {APART} ".join(words), add_special_tokens=False).ids, self.dtype)
         return cut(words, ids, np.flatnonzero(ids == self.apart[0]), 1)
 
     def modelled(self, parts: list[str]) -> dict[str, bytes]:
-        """The ids of these distinct parts, of printable ASCII without blanks and upper case, straight from the model."""
-        ids = np.array(self.model.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, IDS)
+        """The ids of these distinct parts of plain words in lower case, straight from the model."""
+        text = " ".join([x if x.isascii() else "".join(map(LETTERS.__getitem__, x.encode())) for x in parts])
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
         at = np.flatnonzero(self.ends[ids]) + 1
         return cut(parts, ids, at[:-1], 0) if len(at) == len(parts) else self.spelled(parts)
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        split = {w: SPLIT.findall(w.lower()) for w in words if w.isascii()}
-        new = set().union(*split.values()) - self.parts.keys()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts, new = {}, set().union(*split.values())
-        if plain := [x for x in new if x.isprintable()]:
-            self.parts |= self.modelled(plain)
-        if odd := list(new - self.parts.keys()):
-            self.parts |= self.spelled(odd)
-        get = self.parts.__getitem__
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        split = {w: SPLIT.findall(w.lower()) for w in words if PLAIN_WORD.fullmatch(w)}
+        parts = list(set().union(*split.values()))
+        get = dict(zip(parts, self.parts.get(parts), strict=True)).__getitem__
         out = {w: b"".join(map(get, x)) for w, x in split.items()}
-        if others := list(words - out.keys()):
+        if others := [w for w in words if w not in out]:
             out |= self.spelled(others)
         return out
 
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if x is None or "<|" in x else x.replace("\n", " ").split(" ") for x in texts]
-        words = set().union(*[x for x in split if x is not None])
-        missing = words - self.known.keys()
-        if missing and len(self.known) > CACHE_WORDS:
-            self.older, self.known, missing = self.known, {}, words
-        if missing:
-            old = self.older
-            self.known |= {w: old[w] for w in missing if w in old}
-            if missing := missing - self.known.keys():
-                self.known |= self.learn(missing)
-        get = self.known.__getitem__
-        return [self.whole(x or "") if words is None else b"".join(map(get, words)) for x, words in zip(texts, split, strict=True)]
+    def gathered(self, lists: pa.ListArray, memory: Memory) -> list[bytes]:
+        """The ids of each list of strings."""
+        coded = lists.flatten().dictionary_encode()
+        code, found = coded.indices.to_numpy(), memory.get(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        flat, n = np.frombuffer(b"".join(found), self.dtype), size[code]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(size) - size)[code] - (ends - n), n) + np.arange(n.sum())].tobytes()
+        offsets = lists.offsets.to_numpy()
+        at = (np.concatenate([[0], ends])[offsets - offsets[0]] * self.dtype.itemsize).tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
+
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        texts = texts.fill_null("")
+        low = pc.utf8_lower(texts)
+        plain = pc.and_(pc.match_substring_regex(texts, PLAIN_TEXT), pc.invert(pc.match_substring_regex(low, ENDING)))
+        parts = pc.replace_substring_regex(pc.replace_substring_regex(low.filter(plain), MARKS, r" \1 "), DIGIT, r" \1 ")
+        words = pc.replace_substring(texts.filter(pc.invert(plain)), "\n", " ")
+        of_parts, of_words = iter(self.gathered(pc.ascii_split_whitespace(parts), self.parts)), iter(self.gathered(pc.split_pattern(words, " "), self.words))
+        out = [next(of_parts if x else of_words) for x in plain.to_pylist()]
+        for i in np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)):
+            out[i] = self.whole(texts[i].as_py())
+        return out
 
 
 def cut(words: list[str], ids: np.ndarray, at: np.ndarray, gap: int) -> dict[str, bytes]:
     """The ids between the places ``at``, a word each; ``gap`` ids stand between two."""
     raw = ids.tobytes()
-    starts = (np.concatenate([[0], at + gap]) * 4).tolist()
-    ends = (np.concatenate([at, [len(ids)]]) * 4).tolist()
+    starts = (np.concatenate([[0], at + gap]) * ids.itemsize).tolist()
+    ends = (np.concatenate([at, [len(ids)]]) * ids.itemsize).tolist()
     return {w: raw[a:b] for w, a, b in zip(words, starts, ends, strict=True)}
 
 
@@ -132,20 +174,26 @@ def encoder_of(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
+ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crc", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())])
 
 
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, crc, ids of every text; ids are little-endian 32-bit integers and end with end_id."""
-    end = np.array([end_id], IDS).tobytes()
+    """doc_id, n_tokens, crc, wide, ids of every text; ids are little-endian integers of four bytes if wide, else of two, and end with end_id. crc is that of four bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
+        end, size, wide = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize, encoder.dtype.itemsize == 4
         for b in slices(batches, BATCH_ROWS):
-            ids = [x + end for x in encoder.texts(b.column(1).to_pylist())]
-            yield batch(ENCODED, b.column(0), [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], ids)
+            ids = [x + end for x in encoder.texts(b.column(1))]
+            crc = [zlib.crc32(np.frombuffer(x, encoder.dtype).astype(IDS)) for x in ids]
+            yield batch(ENCODED, b.column(0), [len(x) // size for x in ids], crc, [wide] * len(ids), ids)
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, crc long, wide boolean, ids binary")
+
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, crc long, ids binary")
+def numbers(ids: pa.Array, wide: pa.Array) -> np.ndarray:
+    """The ids of a batch, one document after the other."""
+    return np.frombuffer(b"".join(ids.to_pylist()), IDS if len(wide) and wide[0].as_py() else "<u2")
 
 
 def ranks(ids: DataFrame) -> np.ndarray:
@@ -155,13 +203,13 @@ def ranks(ids: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in slices(batches):
-            got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), IDS), minlength=len(total))
+            got = np.bincount(numbers(*b.columns), minlength=len(total))
             got[: len(total)] += total
             total = got
         at = np.flatnonzero(total)
         yield batch(schema, at, total[at])
 
-    found = map_batches(ids.select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id")
+    found = map_batches(ids.select("ids", "wide"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id")
     return np.array([r.id for r in found.select("id").collect()], IDS)
 
 
@@ -223,7 +271,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, name: str = "tokens
         for b in slices(batches):
             n = b.column(2).to_pylist()
             shards = [bisect.bisect_right(starts, (d is not None, d or 0, c)) for d, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield batch(PACKED, shards, b.column(0), b.column(1), n, *pack(sent.value[np.frombuffer(b"".join(b.column(3).to_pylist()), IDS)], n))
+            yield batch(PACKED, shards, b.column(0), b.column(1), n, *pack(sent.value[numbers(b.column(3), b.column(4))], n))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, held, n = 0, [], 0
@@ -247,7 +295,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, name: str = "tokens
     keys = ids.select("doc_id", "crc").repartitionByRange(n_shards, "doc_id", "crc")
     starts = keys.groupBy(F.spark_partition_id()).agg(F.min(F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), "crc")).alias("s"))
     starts = sorted(tuple(r.s) for r in starts.collect())[1:]
-    small = map_batches(ids.select("doc_id", "crc", "n_tokens", "ids"), packed, "shard int, doc_id long, crc long, n_tokens long, control binary, data binary")
+    small = map_batches(ids.select("doc_id", "crc", "n_tokens", "ids", "wide"), packed, "shard int, doc_id long, crc long, n_tokens long, control binary, data binary")
     ordered = small.repartition(n_shards, "shard").sortWithinPartitions("shard", "doc_id", "crc").select("shard", "doc_id", "n_tokens", "control", "data")
     from uuid import uuid4
 
