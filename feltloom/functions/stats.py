@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from feltloom.sources.scratch import written
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b in double precision; NULL where b is 0."""
@@ -23,10 +25,52 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when(F.count(F.when(x.isNotNull() & y.isNotNull(), 1)) > 1, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
-def correlations(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """n, pearson and tie-aware spearman of two columns over the rows where both are known."""
+#: How many ranges the distinct values of a column are cut into before they are put in order.
+RANGES = 64
+
+
+def cumulative(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The distinct values of a column, with the rows of each (_n) and the rows before it (_start), without one task for all.
+
+    Rows are counted by value first, into a table that the later steps share; approximate quantiles of the values cut them into ranges, which are put in order each by
+    itself, and a range adds the rows of the ranges before it. Where the cuts fall doesn't change the result.
+    """
+    counted = written(df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    cuts = counted.groupBy(*by).agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"))
+    cut = counted.join(F.broadcast(cuts), list(by)) if by else counted.crossJoin(F.broadcast(cuts))
+    placed = cut.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    sizes = placed.groupBy(*by, "_range").agg(F.sum("_n").alias("_rows"))
+    before = sizes.withColumn("_before", F.sum("_rows").over(W.partitionBy(*by).orderBy("_range")) - F.col("_rows")).drop("_rows")
+    inside = F.sum("_n").over(W.partitionBy(*by, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")
+    return placed.withColumn("_inside", inside).join(F.broadcast(before), [*by, "_range"]).select(*by, "_v", "_n", (F.col("_before") + F.col("_inside")).alias("_start"))
+
+
+def with_tie_rank(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with the same rank as tie_rank, from the counts of its values: for tables that grow faster than their entities. Values are not NULL."""
+    ranks = cumulative(df, value, by).select(*by, F.col("_v").alias(value), (F.col("_start") + 1 + (F.col("_n") - 1) / F.lit(2.0)).alias(out))
+    return df.join(ranks, [*by, value])
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: exact quantiles, interpolated between the two values whose places are nearest; NULLs don't count."""
+    placed = cumulative(df.where(F.col(value).isNotNull()), value)
+    total = placed.agg((F.sum("_n") - 1).alias("_last"))
+    at = lambda place: F.max(F.when((F.col("_start") <= place) & (place < F.col("_start") + F.col("_n")), F.col("_v")))
+    ends = placed.crossJoin(F.broadcast(total)).agg(
+        F.max("_last").alias("_last"), *[at(f(F.col("_last") * F.lit(x))).alias(f"{k}_{n}") for k, x in shares.items() for n, f in (("low", F.floor), ("high", F.ceil))]
+    )
+    part = lambda x: F.col("_last") * F.lit(x) - F.floor(F.col("_last") * F.lit(x))
+    return ends.select(*[(F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * part(x)).alias(k) for k, x in shares.items()])
+
+
+def correlations(df: DataFrame, x: str, y: str, by: tuple[str, ...] = (), many: bool = False) -> DataFrame:
+    """n, pearson and tie-aware spearman of two columns over the rows where both are known; many: of a table that grows faster than its entities."""
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = known.withColumns({"_rx": tie_rank(x, by), "_ry": tie_rank(y, by)})
+    if many:
+        known = written(known.select(*by, x, y), "ranked-rows")
+        ranked = with_tie_rank(with_tie_rank(known, x, "_rx", by), y, "_ry", by)
+    else:
+        ranked = known.withColumns({"_rx": tie_rank(x, by), "_ry": tie_rank(y, by)})
     return ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(pearson(F.col(x), F.col(y)), 6).alias("pearson"),

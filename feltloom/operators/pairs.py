@@ -78,7 +78,7 @@ def evaluated(rows: DataFrame, d: DataFrame, nmin: int, min_hands: int, keep_uns
 
 
 def agreement(scored: DataFrame) -> DataFrame:
-    return correlations(scored.withColumns({c: F.round(c, 9) for c in ("score", "actual")}), "score", "actual")
+    return correlations(scored.withColumns({c: F.round(c, 9) for c in ("score", "actual")}), "score", "actual", many=True)
 
 
 def sweep(rows: DataFrame, d: DataFrame, grid: list[tuple[str, int, str]], min_hands: int) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feltloom.functions import stats
 from feltloom.functions.stats import ratio
+from feltloom.sources.scratch import written
 
 ENTITY = ("site", "player")
 HAND = ("site", "hand_id")
@@ -89,12 +91,13 @@ def outcome_sources(rows: DataFrame) -> DataFrame:
 
 
 def conservation(rows: DataFrame, hand: tuple[str, ...] = HAND) -> DataFrame:
-    """Money audit: the sum of nets of each hand, and how it is spread."""
-    s = rows.where("net_bb IS NOT NULL").groupBy(*hand).agg((F.sum("net_c") / F.lit(1000000.0)).alias("s"))
+    """Money audit: the sum of the known nets of each hand in big blinds (minus what was raked), and how it is spread."""
+    s = rows.where("net_bb IS NOT NULL").groupBy(*hand).agg((F.round(F.sum("net_bb"), 6) + F.lit(0.0)).alias("s"))
+    s = written(s, "hand-sums")
+    spread = stats.quantiles(s, "s", {"p01": 0.01, "p50": 0.5, "p99": 0.99}).select(*[F.round(k, 6).alias(k) for k in ("p01", "p50", "p99")])
     return s.agg(
         F.count("*").alias("hands"),
         F.round(F.avg("s"), 6).alias("mean"),
-        *[F.round(F.percentile("s", p), 6).alias(k) for k, p in (("p01", 0.01), ("p50", 0.5), ("p99", 0.99))],
         F.count_if(F.col("s") > 0.01).alias("created"),
         F.count_if(F.abs("s") < 0.01).alias("balanced"),
-    )
+    ).crossJoin(F.broadcast(spread))

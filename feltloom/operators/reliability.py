@@ -46,7 +46,7 @@ def halves(m: DataFrame, key: tuple[str, ...]) -> DataFrame:
 def split_summary(m: DataFrame) -> DataFrame:
     out = None
     for kind, key in (("player", ("player",)), ("pair", ("player", "opponent"))):
-        one = correlations(halves(m.where(F.col("kind") == kind), key), "bb_0", "bb_1").select(F.lit(kind).alias("kind"), "n", "pearson", "spearman")
+        one = correlations(halves(m.where(F.col("kind") == kind), key), "bb_0", "bb_1", many=kind == "pair").select(F.lit(kind).alias("kind"), "n", "pearson", "spearman")
         out = one if out is None else out.union(one)
     return out
 
@@ -62,11 +62,11 @@ def counters(rows: DataFrame, file: Column) -> DataFrame:
 
 
 def integrity(decisions: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row: volumes, the largest imbalance of a hand, and how many rows have known cards."""
-    hand = rows.groupBy("hand_id").agg(F.abs(F.sum("net_c")).alias("s"))
+    """One row: volumes, the largest imbalance of a hand whose nets are known (what was raked, if nothing else is wrong), and how many rows have known cards."""
+    hand = rows.groupBy("hand_id").agg(F.abs(F.sum("net_bb")).alias("s"))
     return (
         rows.agg(F.countDistinct("hand_id").alias("hands"), F.count("*").alias("n_rows"), F.round(F.avg(F.col("saw_hole").cast("int")), 6).alias("hole_coverage"))
-        .crossJoin(hand.agg(F.max("s").alias("max_abs_sum_c")))
+        .crossJoin(hand.agg(F.round(F.max("s"), 6).alias("max_abs_sum")))
         .crossJoin(decisions.agg(F.count("*").alias("decisions")))
     )
 

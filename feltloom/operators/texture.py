@@ -1,12 +1,17 @@
-"""Flop texture: wetness by exact count over hole cards, dynamicness by hashed samples, and weighted terciles."""
+"""Flop texture: wetness by exact count over hole cards, dynamicness by sampled deals, and weighted terciles."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from feltloom.functions import cards
+from feltloom.functions import cards, hand_scores
 from feltloom.functions.stats import tie_rank, weighted_correlation, weighted_cuts
 
 
@@ -45,32 +50,23 @@ def wetness(spark: SparkSession, flops: DataFrame) -> DataFrame:
 
 
 def dynamicness(spark: SparkSession, flops: DataFrame, heroes: int = 16, turns: int = 20, flop_runs: int = 120, turn_runs: int = 30, seed: str = "d") -> DataFrame:
-    """Mean absolute change of a hero's equity from flop to turn, over samples drawn by hash: the same in every run.
+    """flop, dscore: the mean absolute change of a hero's equity from flop to turn, over samples drawn by a hash of the flop: the same in every run.
 
-    A run deals the opponent's hole cards and what is missing of the board in the order of a hash of
-    (seed, flop, hero, turn, run, card).
+    A flop's deals are a matrix of its own in one task, 1,920 and 9,600 runs at the default sizes, so memory stays the same for any number of flops.
     """
-    b = cards.cards(F.col("flop"))
-    every = F.array(*map(F.lit, [r + s for r in cards.RANKS for s in cards.SUITS]))
-    dealt = lambda used, label: F.transform(F.array_sort(F.transform(F.array_except(every, used), lambda c: F.struct(F.xxhash64(F.lit(seed), label, c).alias("h"), c.alias("c")))), lambda x: x.c)
-    base = flops.select("key", "flop", b.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(heroes - 1))).alias("k"))
-    base = base.withColumn("hero", F.slice(dealt(F.col("b"), F.concat_ws(":", F.lit("hero"), "flop", "k")), 1, 2))
-
-    def equity(df: DataFrame, board: str, runs: int, keys: list[str], name: str) -> DataFrame:
-        rows = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-        left = dealt(F.concat(F.col(board), F.col("hero")), F.concat_ws(":", F.lit(name), *keys, "run"))
-        rows = rows.withColumn("rest", F.slice(left, 1, 4))
-        full = F.concat(F.col(board), F.slice("rest", 3, F.lit(5) - F.size(board)))
-        rows = rows.select(*keys, cards.score(F.concat(full, F.col("hero"))).alias("mine"), cards.score(F.concat(full, F.slice("rest", 1, 2))).alias("theirs"))
-        won = F.when(F.col("mine") > F.col("theirs"), 1.0).when(F.col("mine") == F.col("theirs"), 0.5).otherwise(0.0)
-        return rows.groupBy(*keys).agg(F.avg(won).alias(name))
-
-    on_flop = equity(base, "b", flop_runs, ["flop", "k"], "eq_flop")
-    free = dealt(F.concat("b", "hero"), F.concat_ws(":", F.lit("turn"), "flop", "k"))
-    turned = base.withColumn("turn", F.explode(F.slice(free, 1, turns))).withColumn("b4", F.concat("b", F.array("turn")))
-    on_turn = equity(turned, "b4", turn_runs, ["flop", "k", "turn"], "eq_turn")
-    both = on_turn.join(on_flop, ["flop", "k"])
-    return both.groupBy("flop").agg(F.avg(F.abs(F.col("eq_turn") - F.col("eq_flop"))).alias("dscore"))
+    cloudpickle.register_pickle_by_value(hand_scores)
+    schema = pa.schema([("flop", pa.string()), ("dscore", pa.float64())])
+    changes = hand_scores.changes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(0).to_pylist()
+            found = [float(np.abs(changes(x, heroes, turns, flop_runs, turn_runs, seed)[2]).mean()) for x in names]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.float64())], schema=schema)
+
+    # A flop takes some 50 ms: as many tasks as there are cores, whatever the size of the table.
+    spread = flops.select("flop").repartition(max(spark.sparkContext.defaultParallelism * 4, 32), "flop")
+    return spread.mapInArrow(run, "flop string, dscore double")
 
 
 def observed(boards: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,6 +111,16 @@ def seen_flops(boards: DataFrame) -> DataFrame:
     return seen.withColumn("key", cards.canonical(cards.cards(F.col("flop"))))
 
 
-def seen_classes(boards: DataFrame) -> DataFrame:
-    """One representative of each class seen, with its hands and its distinct flops; 1,755 classes at most."""
-    return seen_flops(boards).groupBy("key").agg(F.min("flop").alias("flop"), F.sum("n").alias("n"), F.count("*").alias("n_flops"))
+def class_table(spark: SparkSession, boards: DataFrame) -> DataFrame:
+    """All 1,755 classes: key, representative, how many hands and distinct flops of each were seen, and how many flops of the deck it holds."""
+    seen = seen_flops(boards).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("n_flops"))
+    every = canonical_flops(spark).withColumnRenamed("n_flops", "of_deck").join(seen, "key", "left")
+    return every.select("key", "flop", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_flops", F.lit(0)).alias("n_flops"), "of_deck")
+
+
+def deck_combinations(spark: SparkSession, boards: DataFrame) -> DataFrame:
+    """Every two-card combination of the deck, the lower card first, and the hands on whose flop it lay."""
+    card = lambda text, at: 4 * cards.rank(F.substring(text, at, 2)) + cards.suit(F.substring(text, at, 2))
+    pair = combinations(boards).select(F.when(card("pair", 1) < card("pair", 3), F.col("pair")).otherwise(F.concat(F.substring("pair", 3, 2), F.substring("pair", 1, 2))).alias("pair"))
+    seen = pair.groupBy("pair").agg(F.count("*").alias("n"))
+    return holes(spark).select(F.concat("h1", "h2").alias("pair")).join(seen, "pair", "left").select("pair", F.coalesce("n", F.lit(0)).alias("n"))

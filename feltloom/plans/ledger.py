@@ -8,7 +8,7 @@ from feltloom.functions import buckets, cards
 from feltloom.operators import ledger, texture
 from feltloom.plans import ledger_sql as q
 from feltloom.plans.base import query
-from feltloom.sources import logs
+from feltloom.plans import logs
 from feltloom.sources.scratch import folder
 from feltloom.streaming import incremental
 
@@ -41,6 +41,11 @@ def decisions(spark, d):
     return kept(spark, d, "decisions", lambda: ledger.decisions(done(spark, d)))
 
 
+def seats(spark, d):
+    """A row for each seat of each replayed hand, with nets to six digits."""
+    return r6(ledger.hand_player(done(spark, d)), "net_bb")
+
+
 def r6(df, *names):
     return df.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in names})
 
@@ -227,7 +232,10 @@ def _(spark, d):
 
 CANON = "array_to_string(list_sort(list_filter(list_transform(['c', 'd', 'h', 's'], lambda s: array_to_string(list_sort(list_transform(list_filter({cs}, lambda c: c[2:2] = s), lambda c: lpad((position(c[1:1] IN '23456789TJQKA') - 1)::VARCHAR, 2, '0'))), '.')), lambda x: x <> '')), '|')"
 BOARDS = "bo AS (SELECT hand_id, board, board[1:6] AS flop FROM fin WHERE length(board) >= 6)"
-SEEN = f"{BOARDS}, se AS (SELECT flop, count(*) AS n FROM bo GROUP BY ALL), sk AS (SELECT *, {CANON.format(cs=q.cards_sql('flop'))} AS key FROM se), kl AS (SELECT key, min(flop) AS flop, sum(n)::BIGINT AS n, count(*) AS n_flops FROM sk GROUP BY ALL)"
+DECK = "dk AS (SELECT ('23456789TJQKA')[i // 4 + 1 : i // 4 + 1] || ('cdhs')[i % 4 + 1 : i % 4 + 1] AS card, i FROM generate_series(0, 51) g(i)), ho AS (SELECT a.card AS h1, b.card AS h2 FROM dk a JOIN dk b ON a.i < b.i)"
+SEEN = f"""{BOARDS}, {DECK}, se AS (SELECT flop, count(*) AS n FROM bo GROUP BY ALL), sk AS (SELECT *, {CANON.format(cs=q.cards_sql('flop'))} AS key FROM se),
+    df AS (SELECT a.card || b.card || c.card AS flop FROM dk a JOIN dk b ON a.i < b.i JOIN dk c ON b.i < c.i), dc AS (SELECT flop, {CANON.format(cs=q.cards_sql('flop'))} AS key FROM df),
+    kl AS (SELECT key, min(dc.flop) AS flop, coalesce(any_value(s.n), 0)::BIGINT AS n, coalesce(any_value(s.n_flops), 0)::BIGINT AS n_flops, count(*) AS of_deck FROM dc LEFT JOIN (SELECT key, sum(n) AS n, count(*) AS n_flops FROM sk GROUP BY ALL) s USING (key) GROUP BY ALL)"""
 
 
 def boards(spark, d):
@@ -235,13 +243,13 @@ def boards(spark, d):
 
 
 def classes(spark, d):
-    return texture.seen_classes(boards(spark, d))
+    return texture.class_table(spark, boards(spark, d))
 
 
-@query("g1_flop_combinations", f"{q.ALL}, {BOARDS} SELECT pair, count(*) AS n FROM (SELECT unnest([flop[1:4], flop[1:2] || flop[5:6], flop[3:6]]) AS pair FROM bo) GROUP BY ALL")
+@query("g1_flop_combinations", f"{q.ALL}, {BOARDS}, {DECK} SELECT h1 || h2 AS pair, count(flop) AS n FROM ho LEFT JOIN bo ON contains(flop, h1) AND contains(flop, h2) GROUP BY ALL")
 def _(spark, d):
-    """The two-card combinations of every flop seen."""
-    return texture.combinations(boards(spark, d)).groupBy("pair").agg(F.count("*").alias("n"))
+    """The two-card combinations of the deck, and the flops that hold them."""
+    return texture.deck_combinations(spark, boards(spark, d))
 
 
 @query("g2_canonical_keys", f"{q.ALL}, {SEEN} SELECT flop, key FROM sk")
@@ -254,8 +262,7 @@ def _(spark, d):
     return classes(spark, d)
 
 
-WET_SQL = f"""{q.ALL}, {SEEN}, dk AS (SELECT ('23456789TJQKA')[i // 4 + 1 : i // 4 + 1] || ('cdhs')[i % 4 + 1 : i % 4 + 1] AS card, i FROM generate_series(0, 51) g(i)),
-    ho AS (SELECT a.card AS h1, b.card AS h2 FROM dk a JOIN dk b ON a.i < b.i),
+WET_SQL = f"""{q.ALL}, {SEEN},
     al AS (SELECT key, flop, list_transform([flop[1:2], flop[3:4], flop[5:6], h1, h2], lambda c: position(c[1:1] IN '23456789TJQKA') + 1) AS rk, flop[2:2] = flop[4:4] AND flop[4:4] = flop[6:6] AND h1[2:2] = flop[2:2] AND h2[2:2] = flop[2:2] AS flush
            FROM kl, ho WHERE NOT list_contains([flop[1:2], flop[3:4], flop[5:6]], h1) AND NOT list_contains([flop[1:2], flop[3:4], flop[5:6]], h2)),
     wt AS (SELECT key, flop, count(*) FILTER (flush OR len(list_distinct(rk)) <= 2 OR (len(list_distinct(rk)) = 3 AND list_max(list_transform(rk, lambda x: len(list_filter(rk, lambda y: y = x)))) = 3)
@@ -271,20 +278,24 @@ def _(spark, d):
     return wet(spark, d).withColumn("w3", F.round("w3", 9))
 
 
+def dynamic(spark, d):
+    return kept(spark, d, "dynamicness", lambda: texture.dynamicness(spark, classes(spark, d).select("key", "flop")))
+
+
 @query("g5_dynamicness")
 def _(spark, d):
     """A sampled estimate: the same in every run, but not to be had in SQL."""
     return texture.dynamicness(spark, classes(spark, d).select("key", "flop"))
 
 
-@query("g6_observed_flops", f"{q.ALL}, {SEEN} SELECT key, n, n_flops, (SELECT count(*) FROM bo WHERE length(flop) <> 6)::BIGINT AS bad FROM kl")
+@query("g6_observed_flops", f"{q.ALL}, {SEEN} SELECT key, n, n_flops, (SELECT count(*) FROM bo WHERE length(flop) <> 6)::BIGINT AS bad FROM kl WHERE n > 0")
 def _(spark, d):
     seen, bad = texture.observed(boards(spark, d), classes(spark, d))
     each = seen.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("n_flops"))
     return each.crossJoin(F.broadcast(bad.agg(F.count("*").alias("bad"))))
 
 
-W3 = "w1 AS (SELECT wt.key, wt.flop, round(n_strong::DOUBLE / n_holes, 9) AS w3, kl.n, n_flops::DOUBLE AS spread FROM wt JOIN kl USING (key))"
+W3 = "w1 AS (SELECT wt.key, wt.flop, round(n_strong::DOUBLE / n_holes, 9) AS w3, kl.n FROM wt JOIN kl USING (key) WHERE kl.n > 0)"
 
 
 def cuts_sql(v: str, out: str, source: str) -> str:
@@ -292,8 +303,14 @@ def cuts_sql(v: str, out: str, source: str) -> str:
 
 
 def weighted(spark, d):
+    """Classes seen, with wetness and the hands they weigh."""
     w = wet(spark, d).withColumn("w3", F.round("w3", 9)).select("key", "w3")
-    return classes(spark, d).join(w, "key").withColumn("spread", F.col("n_flops").cast("double"))
+    return classes(spark, d).where("n > 0").join(w, "key")
+
+
+def textured(spark, d):
+    """The same with dynamicness."""
+    return weighted(spark, d).join(dynamic(spark, d), "flop").withColumn("dscore", F.round("dscore", 9))
 
 
 @query("g7_weighted_terciles", f"{WET_SQL}, {W3}, {cuts_sql('w3', 'w', 'w1')} SELECT key, w3, n, CASE WHEN w3 <= t1 THEN 0 WHEN w3 <= t2 THEN 1 ELSE 2 END AS wtile FROM w1, t_w")
@@ -301,32 +318,23 @@ def _(spark, d):
     return texture.terciles(weighted(spark, d), "w3", "n", "wtile").select("key", "w3", "n", "wtile")
 
 
-RK = lambda c: f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE)"
-
-
-@query(
-    "g8_texture_distinctness",
-    f"{WET_SQL}, {W3}, rr AS (SELECT *, {RK('w3')} AS rx, {RK('spread')} AS ry FROM w1), mm AS (SELECT sum(rx * n) / sum(n) AS mx, sum(ry * n) / sum(n) AS my FROM rr) "
-    "SELECT round(sum(n * (rx - mx) * (ry - my)) / nullif(sqrt(sum(n * (rx - mx) * (rx - mx)) * sum(n * (ry - my) * (ry - my))), 0), 6) AS corr, round(min(w3), 6) AS min_w3, round(max(w3), 6) AS max_w3, round(min(spread), 6) AS min_spread, round(max(spread), 6) AS max_spread FROM rr, mm",
-)
+@query("g8_texture_distinctness")
 def _(spark, d):
-    return texture.distinctness(weighted(spark, d), "w3", "spread", "n")
-
-
-TILES = f"{WET_SQL}, {W3}, {cuts_sql('w3', 'w', 'w1')}, {cuts_sql('spread', 'd', 'w1')}, tx AS (SELECT key, CASE WHEN w3 <= t_w.t1 THEN 0 WHEN w3 <= t_w.t2 THEN 1 ELSE 2 END AS wtile, CASE WHEN spread <= t_d.t1 THEN 0 WHEN spread <= t_d.t2 THEN 1 ELSE 2 END AS dtile FROM w1, t_w, t_d), ft AS (SELECT sk.flop, wtile, dtile FROM sk JOIN tx USING (key))"
+    """Dynamicness is sampled, so this, the join and the texture states are held against brute force in the tests."""
+    return texture.distinctness(textured(spark, d), "w3", "dscore", "n")
 
 
 def flop_texture(spark, d):
-    t = texture.terciles(texture.terciles(weighted(spark, d), "w3", "n", "wtile"), "spread", "n", "dtile").select("key", "wtile", "dtile")
+    t = texture.terciles(texture.terciles(textured(spark, d), "w3", "n", "wtile"), "dscore", "n", "dtile").select("key", "wtile", "dtile")
     return texture.seen_flops(boards(spark, d)).join(t, "key").select("flop", "wtile", "dtile")
 
 
-@query("g9_texture_join", f"{TILES} SELECT street, wtile, dtile, count(*) AS n FROM dec LEFT JOIN ft ON ft.flop = dec.board[1:6] GROUP BY ALL")
+@query("g9_texture_join")
 def _(spark, d):
     return texture.attach(decisions(spark, d), flop_texture(spark, d)).groupBy("street", "wtile", "dtile").agg(F.count("*").alias("n"))
 
 
-@query("c12_texture_state", f"{STATES}, {TILES.split(q.ALL + ', ')[1]} SELECT CASE WHEN length(board) >= 6 THEN s_core || '|W' || wtile || '|D' || dtile ELSE s_core END AS s, count(*) AS n FROM s3 LEFT JOIN ft ON ft.flop = s3.board[1:6] GROUP BY ALL")
+@query("c12_texture_state")
 def _(spark, d):
     rows = texture.attach(enriched(spark, d), flop_texture(spark, d))
     return rows.groupBy(buckets.texture_key(F.col("s_core"), F.col("board"), F.col("wtile"), F.col("dtile")).alias("s")).agg(F.count("*").alias("n"))

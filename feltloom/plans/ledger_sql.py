@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from feltloom.functions.cards import RANKS
 from feltloom.operators.ledger import BY_BLIND, BY_BUTTON
-from feltloom.sources.logs import hands_sql
+from feltloom.plans.logs import hands_sql
 
 R = f"position(substr(c, 1, 1) IN '{RANKS}')"
 

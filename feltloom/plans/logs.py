@@ -1,4 +1,4 @@
-"""Decision logs rendered from the driver's tables: one hand for each order of two to nine suppliers, as arrays and as text.
+"""Decision logs rendered from the driver's tables: one hand for each order of two suppliers or more (a deck deals 23 seats and a board), as arrays and as text.
 
 ``hands`` gives the arrays that a log holds; ``sections``, ``limit_sections`` and ``transcripts`` write them as the text of three log formats.
 Everything follows from md5 of the order key, so that the oracle renders the same hands in SQL.
@@ -13,6 +13,10 @@ from feltloom.functions.cards import RANKS, SUITS, card_name, let
 from feltloom.sources import bindings
 
 
+#: What 52 cards can deal with five on the board.
+SEATS = (52 - 5) // 2
+
+
 def code(*parts: Column) -> Column:
     """0 to 7 from the last hex digit of the md5 of the parts."""
     return F.ascii(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 32, 1)) % 8
@@ -21,7 +25,7 @@ def code(*parts: Column) -> Column:
 def hands(spark: SparkSession, sf_dir: str) -> DataFrame:
     # As many tasks as there are slots, however small the table: what follows is bound by CPU, not by bytes.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    n = bindings.n(spark, sf_dir).where("n_players <= 9").repartition(tasks, "hand_id")
+    n = bindings.n(spark, sf_dir).where(f"n_players <= {SEATS}").repartition(tasks, "hand_id")
     seats = n.groupBy("hand_id", "nl_level", "day").agg(
         F.sort_array(F.collect_list(F.struct("pos_idx", "player", "site", "saw_hole", "reached_showdown"))).alias("s")
     )
@@ -32,7 +36,7 @@ def hands(spark: SparkSession, sf_dir: str) -> DataFrame:
         "nl_level",
         "hand_id",
         F.concat(F.lit("T"), (F.col("hand_id").cast("bigint") % 7).cast("string")).alias("table"),
-        F.lit(9).alias("seat_count"),
+        F.greatest(F.lit(9), size).alias("seat_count"),
         size.alias("n_players"),
         F.transform("s", lambda x: x.player).alias("players"),
         F.transform("s", lambda x, i: F.when(i == 0, bb / 2).when(i == 1, bb).otherwise(0.0)).alias("blinds"),
@@ -92,14 +96,14 @@ def hands_sql() -> str:
 
     return f"""{bindings.N_SQL},
     ls AS (SELECT hand_id, nl_level, day, first(site ORDER BY pos_idx) AS site, count(*)::INTEGER AS n_players, list(player ORDER BY pos_idx) AS players, list(saw_hole ORDER BY pos_idx) AS saw, list(reached_showdown ORDER BY pos_idx) AS showed,
-                  (nl_level / 100.0)::DOUBLE AS bb FROM n WHERE n_players <= 9 GROUP BY ALL),
+                  (nl_level / 100.0)::DOUBLE AS bb FROM n WHERE n_players <= {SEATS} GROUP BY ALL),
     ld AS (SELECT hand_id, list(('{RANKS}')[(i // 4 + 1)::BIGINT : (i // 4 + 1)::BIGINT] || ('{SUITS}')[(i % 4 + 1)::BIGINT : (i % 4 + 1)::BIGINT] ORDER BY md5(hand_id || ':' || i), i) AS deck FROM ls, generate_series(0, 51) g(i) GROUP BY ALL),
     lf AS (SELECT *, list_transform(generate_series(1, n_players), lambda i: CASE WHEN i = 1 THEN bb / 2 WHEN i = 2 THEN bb ELSE 0.0 END)::DOUBLE[] AS blinds,
                   list_transform(players, lambda p: bb * (20 + substr(p, 2)::BIGINT % 181)) AS starting_stacks,
                   list_transform(generate_series(1, n_players), lambda i: CASE WHEN saw[i] THEN deck[2 * i - 1] || deck[2 * i] ELSE '????' END) AS holes,
                   list_transform(generate_series(1, n_players), lambda i: CASE WHEN i = 1 THEN 9 ELSE coalesce(list_min(list_filter([0, 1, 2, 3], lambda t: {code('t', 'i')} = 0)), 9) END) AS folds FROM ls JOIN ld USING (hand_id)),
     {', '.join(street(t) for t in range(4))},
-    l AS (SELECT site, nl_level, hand_id, 'T' || (hand_id::BIGINT % 7) AS "table", 9 AS seat_count, n_players, players, blinds, starting_stacks,
+    l AS (SELECT site, nl_level, hand_id, 'T' || (hand_id::BIGINT % 7) AS "table", greatest(9, n_players)::INTEGER AS seat_count, n_players, players, blinds, starting_stacks,
                  CASE WHEN hand_id::BIGINT % 5 = 0 THEN list_reverse(starting_stacks) ELSE [] END AS finishing_stacks,
                  CASE WHEN hand_id::BIGINT % 5 = 1 THEN list_transform(generate_series(0, n_players - 1), lambda i: CASE WHEN i = hand_id::BIGINT % n_players THEN 1.0 ELSE 0.0 END)::DOUBLE[] ELSE [] END AS winnings,
                  list_concat(list_concat(list_concat(list_transform(generate_series(1, n_players), lambda i: 'd dh p' || i || ' ' || holes[i]), a0), list_concat(['d db ' || deck[19] || deck[20] || deck[21]], a1)),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feltloom.functions import buckets
 from feltloom.operators import pairs, ranges, reliability
-from feltloom.plans import ledger
+from feltloom.plans import ledger, ledger_sql
 from feltloom.plans.base import query
 from feltloom.plans.estimators import corr_sql, nan
 from feltloom.sources import bindings as b
@@ -281,10 +281,11 @@ def _(spark, d):
 
 @query(
     "l8_integrity",
-    f"{NM} SELECT (SELECT count(DISTINCT hand_id) FROM n) AS hands, (SELECT count(*) FROM n) AS n_rows, (SELECT round(avg(saw_hole::INT), 6) FROM n) AS hole_coverage, (SELECT max(abs(s))::BIGINT FROM (SELECT sum(net_c) AS s FROM n GROUP BY hand_id)) AS max_abs_sum_c, (SELECT count(*) FROM m) AS decisions",
+    f"{ledger_sql.ALL} SELECT (SELECT count(DISTINCT hand_id) FROM hpl) AS hands, (SELECT count(*) FROM hpl) AS n_rows, (SELECT round(avg(saw_hole::INT), 6) FROM hpl) AS hole_coverage, "
+    "(SELECT round(max(abs(s)), 6) FROM (SELECT sum(net_bb) AS s FROM hpl GROUP BY hand_id)) AS max_abs_sum, (SELECT count(*) FROM dec) AS decisions",
 )
 def _(spark, d):
-    return reliability.integrity(b.m(spark, d), b.n(spark, d))
+    return reliability.integrity(ledger.decisions(spark, d), ledger.seats(spark, d))
 
 
 @query("l9_net_sources_of_decisions", f"{NM} SELECT coalesce(net_source, 'unknown') AS net_source, count(*) AS n FROM m LEFT JOIN (SELECT hand_id, player, net_source FROM n) USING (hand_id, player) GROUP BY ALL")
@@ -327,6 +328,6 @@ def _(spark, d):
     return reliability.residual_scores(b.m(spark, d), b.n(spark, d))
 
 
-@query("l15_ranked_names", f"{NM}, {RESIDUAL} SELECT string_agg(player, ', ' ORDER BY residual DESC, player) AS names FROM (SELECT * FROM rr ORDER BY residual DESC, player LIMIT 20)")
+@query("l15_ranked_names", f"{NM}, {RESIDUAL} SELECT row_number() OVER (ORDER BY residual DESC, player) AS rank, player FROM rr")
 def _(spark, d):
     return reliability.ranked_names(reliability.residual_scores(b.m(spark, d), b.n(spark, d)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from feltloom.operators import profile, support
+from feltloom.plans import ledger, ledger_sql
 from feltloom.plans.base import query
 from feltloom.sources import bindings as b
 
@@ -94,10 +95,10 @@ def _(spark, d):
 
 @query(
     "d13_conservation",
-    f"{N}, s AS (SELECT site, hand_id, sum(net_c) / 1000000.0::DOUBLE AS s FROM n GROUP BY ALL) SELECT count(*) AS hands, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.01), 6) AS p01, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.99), 6) AS p99, count(*) FILTER (s > 0.01) AS created, count(*) FILTER (abs(s) < 0.01) AS balanced FROM s",
+    f"{ledger_sql.ALL}, s AS (SELECT site, hand_id, round(sum(net_bb), 6) + 0.0 AS s FROM hpl WHERE net_bb IS NOT NULL GROUP BY ALL) SELECT count(*) AS hands, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.01), 6) AS p01, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.99), 6) AS p99, count(*) FILTER (s > 0.01) AS created, count(*) FILTER (abs(s) < 0.01) AS balanced FROM s",
 )
 def _(spark, d):
-    return profile.conservation(b.n(spark, d))
+    return profile.conservation(ledger.seats(spark, d))
 
 
 # ---------------------------------------------------------------- common support

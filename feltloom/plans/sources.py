@@ -9,8 +9,9 @@ from feltloom.plans.base import query
 from feltloom.plans.ledger import hands, kept
 from feltloom.plans.profile import COUNTS
 from feltloom.operators import profile
-from feltloom.sources import bindings, logs, parse
-from feltloom.sources.scratch import folder
+from feltloom.plans import logs
+from feltloom.sources import bindings, parse
+from feltloom.sources.scratch import folder, write_files
 
 H = q.HANDS
 
@@ -20,7 +21,9 @@ def _text(spark, d, name: str, make, *by: str) -> str:
     key = (spark.sparkContext.applicationId, d, f"text-{name}")
     if key not in _texts:
         path = folder(spark, name)
-        make(hands(spark, d)).write.partitionBy(*by).text(path) if by else make(hands(spark, d)).write.text(path)
+        # Many small files: tasks move their own into place, as the driver would take them one by one.
+        writer = make(hands(spark, d)).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        (writer.partitionBy(*by) if by else writer).text(path)
         _texts[key] = path
     return _texts[key]
 
@@ -98,19 +101,16 @@ def _(spark, d):
     return cash(spark, d).agg(F.count("*").alias("hands"), F.sum(F.size("actions")).alias("actions"))
 
 
-ONE = "hand_id::BIGINT % 40 = 0"
-
-
 def _one_hand(spark, d):
-    def make(h):
-        rows = logs.sections(h)
-        number = F.regexp_extract("value", r"(?m)^hand = (\d+)$", 1)
-        return rows.select(F.concat(F.lit("dir"), (number.cast("bigint") % 3).cast("string")).alias("d"), number.alias("f"), "value")
-
-    return parse.one_hand_files(spark, _text(spark, d, "one-hand", make, "d", "f"))
+    """A file for each hand, below one of three folders."""
+    path = folder(spark, "one-hand")
+    number = F.regexp_extract("value", r"(?m)^hand = (\d+)$", 1)
+    rows = logs.sections(hands(spark, d)).select(F.concat(F.lit("d=dir"), (number.cast("bigint") % 3).cast("string"), F.lit("/f="), number, F.lit("/hand.txt")).alias("name"), "value")
+    write_files(rows, path)
+    return parse.one_hand_files(spark, path)
 
 
-@query("a7_one_hand_files", f"{H} SELECT 'f=' || hand_id || '/' || hand_id AS hand_id, nl_level, n_players, {flat('players')} AS players, len(actions)::INTEGER AS n_actions FROM l WHERE {ONE}")
+@query("a7_one_hand_files", f"{H} SELECT 'f=' || hand_id || '/' || hand_id AS hand_id, nl_level, n_players, {flat('players')} AS players, len(actions)::INTEGER AS n_actions FROM l")
 def _(spark, d):
     """A reader for sets of single-hand files; every hand is such a file here."""
     rows = _one_hand(spark, d)
@@ -171,10 +171,19 @@ def _(spark, d):
     return rows.select("hand_id", "nl_level", F.array_join("players", ",").alias("players"), F.col("finishing_stacks")[0].alias("finish_1"), F.col("finishing_stacks")[1].alias("finish_2"), F.array_join("actions", ",").alias("actions"))
 
 
-@query("a16_sampled_files", f"{H}, f AS (SELECT DISTINCT day::VARCHAR AS file FROM l), p AS (SELECT file, row_number() OVER (ORDER BY file) - 1 AS i, count(*) OVER () AS n FROM f) SELECT file FROM p WHERE i % greatest(1, n // 5) = 0 AND i // greatest(1, n // 5) < 5")
+@query(
+    "a16_sampled_files",
+    f"""{H}, f AS (SELECT DISTINCT day::VARCHAR AS file FROM l), p AS (SELECT file, row_number() OVER (ORDER BY file) - 1 AS i, count(*) OVER () AS n FROM f)
+    SELECT 'spread' AS mode, file AS name FROM p WHERE i % greatest(1, n // 5) = 0 AND i // greatest(1, n // 5) < 5 UNION ALL SELECT 'first', file FROM p WHERE i < 3
+    UNION ALL SELECT 'hands', hand_id FROM (SELECT hand_id FROM l ORDER BY day, hand_id LIMIT 100)""",
+)
 def _(spark, d):
-    """A sampling operator: every step-th file, five of them."""
-    return parse.sampled_files(hands(spark, d).select(F.col("day").cast("string").alias("file")), "file", spread=5)
+    """Sampling operators: every step-th file, five of them; the first three files; the first hundred hands."""
+    rows = hands(spark, d)
+    files = rows.select(F.col("day").cast("string").alias("file"))
+    named = lambda mode, df, c: df.select(F.lit(mode).alias("mode"), F.col(c).alias("name"))
+    spread, first = parse.sampled_files(files, "file", spread=5), parse.sampled_files(files, "file", first=3)
+    return named("spread", spread, "file").union(named("first", first, "file")).union(named("hands", parse.first_hands(rows, 100, "day", "hand_id"), "hand_id"))
 
 
 @query("a17_results_only", f"{H} SELECT hand_id, {flat('list_reverse(players)')} AS players, day::DOUBLE AS r1, -day::DOUBLE AS r2 FROM {TWO}")

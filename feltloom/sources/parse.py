@@ -141,13 +141,25 @@ def sampled_files(files: DataFrame, file: str, first: int | None = None, spread:
     return placed.select(file)
 
 
+def first_hands(hands: DataFrame, most: int, *order: str) -> DataFrame:
+    """A sampling operator on hands: the first of them in that order. Every task keeps no more than that many before they meet."""
+    return hands.orderBy(*order).limit(most)
+
+
 # ---------------------------------------------------------------- transcripts
 
+HAND = "PokerStars Hand #"
+
 
 def transcript_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each hand of the transcripts: the text from its number on, and the ordinal of its file as day."""
-    raw = spark.read.option("lineSep", "PokerStars Hand #").option("recursiveFileLookup", "true").text(path)
-    out = raw.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r", "").alias("block")).where(F.col("block").rlike(r"^\d+"))
+    """One row for each hand of the transcripts: the text from its number on, and the ordinal of its file as day.
+
+    A hand starts at its number line where the file starts or a blank line stands before it; the same words in a chat line start none. Files with
+    carriage returns hold no such separator for the reader, and are split in the row.
+    """
+    raw = spark.read.option("lineSep", f"\n\n{HAND}").option("recursiveFileLookup", "true").text(path)
+    each = raw.select(F.col("_metadata.file_path").alias("file"), F.explode(F.split("value", rf"\r?\n[ \t]*\r?\n(?={HAND})")).alias("value"))
+    out = each.select("file", F.regexp_replace(F.regexp_replace("value", "\r", ""), rf"^\s*{HAND}", "").alias("block")).where(F.col("block").rlike(r"^\d+"))
     ordinal = out.select("file").distinct().withColumn("day", F.dense_rank().over(W.orderBy("file")))
     return out.join(ordinal, "file")
 
