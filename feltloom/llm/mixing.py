@@ -31,6 +31,8 @@ from .quality import words_of
 
 LEVELS = ("domain", "lang", "source")
 MISSING = "\u0001"
+#: Into how many parts rows that repeat each other are dealt.
+PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -118,19 +120,35 @@ def selected(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, p: Params = Params(max_epochs=1)) -> DataFrame:
-    """docs as often as the mixture takes them, with their own columns."""
+    """docs as often as the mixture takes them, with their own columns.
+
+    Rows that are alike in doc_id, text, source and language can't be told apart by the mixture: of such repeated rows as many are taken as it holds,
+    the first of each epoch. They are numbered only where there are several, so that no other row is put in order.
+    """
     cols = docs.columns
+    keys = ["k_id", "k_text", "k_source", "k_lang"]
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     own = own.withColumns({"k_id": F.col(f"c{cols.index('doc_id')}").cast("long"), "k_text": F.md5(F.coalesce(f"c{cols.index('text')}", F.lit(""))), "k_source": F.coalesce(f"c{cols.index('source')}", F.lit(MISSING)), "k_lang": F.coalesce(f"c{cols.index('lang')}", F.lit(MISSING))})
-    # Repeated rows are alike in every key: n of them in an epoch of the mixture are as many of the table.
     picks = selected(docs, p).groupBy(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"), F.col("source").alias("k_source"), F.col("lang").alias("k_lang")).agg(F.count("*").alias("n"))
-    again = own.groupBy("k_id", "k_text", "k_source", "k_lang").agg(F.count("*").alias("of"))
-    keys = ["k_id", "k_text", "k_source", "k_lang"]
-    eq = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
-    both = picks.join(again, eq(picks, again)).select(*[picks[k] for k in keys], F.ceil(F.col("n") / F.col("of")).cast("int").alias("times"))
-    joined = own.join(both, eq(own, both)).select(*[own[f"c{i}"] for i in range(len(cols))], both["times"])
-    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return joined.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
+    of = own.groupBy(*keys).agg(F.count("*").alias("of"))
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    taken = written(picks.join(of, same(picks, of)).select(*[picks[k] for k in keys], "n", "of"), "mix-taken")
+
+    def joined(which: str) -> DataFrame:
+        part = taken.where(which)
+        return own.join(part, same(own, part)).select(*[own[f"c{i}"] for i in range(len(cols))], *[own[k] for k in keys], "n", "of")
+
+    single = joined("of = 1").withColumn("times", F.col("n"))
+    # Row k of ``of`` alike, from 0, is taken in every epoch that reaches it: n = q * of + r makes q + 1 of the first r, and q of the others.
+    # They are numbered in parts, each after the rows of the parts before it, so that a row repeated ever so often is spread over tasks.
+    several = written(joined("of > 1").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")), "mix-repeated")
+    sizes = several.groupBy(*keys, "part").agg(F.count("*").alias("rows"))
+    before = sizes.select(*[F.col(k).alias(f"b_{k}") for k in [*keys, "part"]], (F.sum("rows").over(W.partitionBy(*keys).orderBy("part")) - F.col("rows")).alias("before"))
+    placed = several.withColumn("k", F.row_number().over(W.partitionBy(*keys, "part").orderBy(F.lit(0))) - 1)
+    placed = placed.join(before, [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in [*keys, "part"]]).withColumn("k", F.col("k") + F.col("before"))
+    several = placed.select(*[F.col(f"c{i}") for i in range(len(cols))], *keys, "n", "of", (F.floor(F.col("n") / F.col("of")) + (F.col("k") < F.col("n") % F.col("of")).cast("long")).alias("times"))
+    out = single.union(several).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
