@@ -175,3 +175,55 @@ def test_nulls_and_repeated_ids_in_a_token_file(spark):
     table = spark.createDataFrame([(None, "no id"), (5, "twice"), (5, "twice"), (5, None), (2, "first"), (None, None)], "doc_id long, text string")
     rows = sorted(token_file.digests(spark, token_file.write(table, word, 2)).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == [None, None, 2, 5, 5, 5] and [r.start for r in rows] == list(np.cumsum([0, *(r.n_tokens for r in rows)])[:-1])
+
+
+def second_reading(sf):
+    """The pipeline by other means: SQL for the quality rules and the mixture, all pairs for near duplicates, plain Python and the library for the rest."""
+    import duckdb
+    import sentencepiece
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    good = {i for (i,) in con.execute(f"SELECT doc_id FROM ({registry.oracle_sql()['op2_quality_rules']}) WHERE kept").fetchall()}
+    docs = {r[0]: r for r in con.execute("SELECT doc_id, text, lang, source FROM documents").fetchall() if r[0] in good}
+
+    sets = {}
+    for i, d in docs.items():
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), d[1]))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    least = {i: i for i in docs}
+    find = lambda i: i if least[i] == i else find(least[i])
+    ids = sorted(docs)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                least[max(x, y)] = min(x, y)
+    docs = {i: d for i, d in docs.items() if find(i) == i}
+
+    p = secrets.Params()
+    tested = {i: secrets.candidates(d[1], p) for i, d in docs.items()}
+    values = sorted(q for found in tested.values() for *_, q in found)
+    most = max((q for k, q in enumerate(values, 1) if q <= p.discovery_rate * k / len(values)), default=0.0)
+    rows = []
+    for i, (_, text, lang, source) in docs.items():
+        spans = sorted([s[:2] for s in secrets.base_spans(text)] + [s[:2] for s in tested[i] if s[2] <= most])
+        out, last = "", 0
+        for a, b in spans:
+            if a >= last:
+                out += text[last:a] + "[SECRET]"
+            last = max(last, b)
+        rows.append((i, out + text[last:], lang, source))
+    con.execute("DROP VIEW documents")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    taken = {r[0] for r in con.execute(f"SELECT doc_id FROM ({mixing.oracle(mixing.Params(max_epochs=1))})").fetchall()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    return {i: sp.encode(text) for i, text, *_ in rows if i in taken}
+
+
+def test_pipeline_matches_a_second_reading(spark):
+    import corpus_pipeline
+
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == second_reading(SF)
