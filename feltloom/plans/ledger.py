@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from feltloom.functions import buckets, cards
@@ -15,9 +17,20 @@ from feltloom.streaming import incremental
 _tables: dict[tuple, str] = {}
 
 
+def stamp(spark, sf_dir: str) -> tuple:
+    """Names, sizes and times of the input's files: a table made from other files is another table."""
+    root = Path(sf_dir.removeprefix("file://"))
+    if root.is_dir():
+        return tuple((str(f), f.stat().st_size, f.stat().st_mtime_ns) for f in sorted(root.rglob("*.parquet")))
+    if "://" not in sf_dir:
+        return ()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf_dir)  # lists files, reads none
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime")).first())
+
+
 def kept(spark, sf_dir: str, name: str, make):
     """A table written once for each session and input, and read again: the parsed hands and their replay feed many queries."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir), name)
     if key not in _tables:
         path = folder(spark, name)
         make().write.option("compression", "zstd").option("maxRecordsPerFile", 100_000).parquet(path)
@@ -25,6 +38,11 @@ def kept(spark, sf_dir: str, name: str, make):
     return spark.read.parquet(_tables[key])
 
 
+def prepare(spark, sf_dir: str) -> None:
+    """Make the tables that the queries share: hands, replay, outcomes, decisions and their states."""
+    enriched(spark, sf_dir)
+
+
 def hands(spark, d):
     return kept(spark, d, "hands", lambda: logs.hands(spark, d))
 
@@ -171,7 +189,7 @@ STATES = f"""{q.ALL}, {q.buckets_sql()},
 
 
 def enriched(spark, d):
-    """Decisions with states, kept as a table partitioned by street. Ratios are rounded first, so that both engines see the same edges."""
+    """Decisions with states, kept as a table. Ratios are rounded first, so that both engines see the same edges."""
 
     def make():
         rows = r6(decisions(spark, d), "prev_wager_frac", "spr", "act_frac", "pot_before_bb", "to_call_bb")
@@ -347,7 +365,7 @@ def _(spark, d):
 def _(spark, d):
     """The replay as a file stream that takes what is there, stops, and adds nothing when run again."""
     hands(spark, d)
-    source = _tables[(spark.sparkContext.applicationId, d, "hands")]
+    source = _tables[(spark.sparkContext.applicationId, d, stamp(spark, d), "hands")]
     out, state = folder(spark, "stream-out"), folder(spark, "stream-state")
     for _ in range(2):
         incremental.run(spark, source, out, state)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feltloom.plans import ledger_sql as q
 from feltloom.plans.base import query
-from feltloom.plans.ledger import hands, kept
+from feltloom.plans.ledger import hands, kept, stamp
 from feltloom.plans.profile import COUNTS
 from feltloom.operators import profile
 from feltloom.plans import logs
@@ -18,7 +18,7 @@ H = q.HANDS
 
 def _text(spark, d, name: str, make, *by: str) -> str:
     """The folder of a rendered log, written once for each session and input."""
-    key = (spark.sparkContext.applicationId, d, f"text-{name}")
+    key = (spark.sparkContext.applicationId, d, stamp(spark, d), f"text-{name}")
     if key not in _texts:
         path = folder(spark, name)
         # Many small files: tasks move their own into place, as the driver would take them one by one.
