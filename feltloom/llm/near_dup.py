@@ -20,7 +20,7 @@ A document's set holds its distinct runs of ``words`` consecutive words, A-Z in
 A node is a distinct set. A doc_id that occurs with several texts has several nodes, which are linked.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing; shorter texts are one
-shingle. Rows with a null doc_id are classes of their own (component_id null, kept). Repeated rows of a doc_id share a class.
+shingle. A set of fewer than ``percent / (100 - percent)`` shingles is similar enough to itself only and goes into no bucket. Rows with a null doc_id are classes of their own (component_id null, kept). Repeated rows of a doc_id share a class.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ class Params:
     rows: int = 5
     centre_of: int = 1000
     tile: int = 1_000_000  # shingles of a tile's members, and again of those that they meet
+    tile_docs: int = 10_000  # and how many they are at most, about
 
     @property
     def agree(self) -> int:
@@ -208,9 +209,8 @@ def across(inside: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     a tile is a part of the members and a part of those outside of the largest class.
     """
     minor = F.col("component") != F.col("major")
-    parts = inside.groupBy("band", "key").agg(
-        F.ceil(F.sum("n_shingles") / p.tile).cast("int").alias("rows"), F.greatest(F.ceil(F.sum(F.when(minor, F.col("n_shingles"))) / p.tile), F.lit(1)).cast("int").alias("cols")
-    )
+    some = lambda of: F.ceil(F.greatest(F.sum(F.when(of, F.col("n_shingles"))) / p.tile, F.count_if(of) / p.tile_docs)).cast("int")
+    parts = inside.groupBy("band", "key").agg(some(F.lit(True)).alias("rows"), F.greatest(some(minor), F.lit(1)).alias("cols"))
     ids = inside.select(F.col("id").alias("doc_id")).distinct()
     full = written(whole(texts.join(ids, "doc_id", "left_semi"), p), "full-sets")
     dealt = inside.join(parts, ["band", "key"]).withColumns({"row": F.pmod(F.xxhash64("id"), F.col("rows")), "col": F.when(minor, F.pmod(F.xxhash64("id", F.lit(1)), F.col("cols")))})
@@ -252,7 +252,9 @@ def classes(docs: DataFrame, p: Params) -> DataFrame:
     least_row = F.min(F.struct("doc_id", "text_key", "bands")).alias("m")
     nodes = nonempty.groupBy(*fingerprint).agg(least_row).select(*fingerprint, "m.*").withColumn("id", F.monotonically_increasing_id())
     nodes = written(nodes, "nodes")  # ids are fixed here
-    members = nodes.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    # Another set is similar enough only if it has an element more or less at best; so the smallest sets are linked with no other.
+    large = nodes.where(F.col("n_shingles") * (100 - p.percent) >= p.percent)
+    members = large.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(members.join(shared, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / p.centre_of))), "members")
     # Only nodes that share a bucket are compared: theirs are the texts that later rounds send about.
