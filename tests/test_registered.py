@@ -13,9 +13,8 @@ from feltloom.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = (
-    "a1_section_blocks a5_cash_hands a9_transcript_blocks a13_action_grammar a15_fixed_limit_hands a19_parquet_glob b13_position_label b17_rake b18_exact_nets b20_pot_nets b22_hand_player c7_state_keys d6_hands_quantiles "
-    "d13_conservation e6_coverage_grid f10_entity_policy f13_score_sheet f20_texture_ablation g4_wetness g7_weighted_terciles h4_incremental_eta_squared i6_head_to_head i8_rank_agreement j9_score_agreement j13_action_sizes "
-    "k3_context_wetness k7_tercile_bins k8_attached_bins l5_split_half_correlations l8_integrity l12_unordered_pair_halves l14_residual_score s1_incremental_replay"
+    "a1_section_blocks a9_transcript_blocks a15_fixed_limit_hands b13_position_label b17_rake b18_exact_nets b22_hand_player c7_state_keys d6_hands_quantiles d13_conservation e6_coverage_grid f10_entity_policy f13_score_sheet "
+    "h4_incremental_eta_squared i6_head_to_head j9_score_agreement k7_tercile_bins k8_attached_bins l5_split_half_correlations l8_integrity l14_residual_score s1_incremental_replay"
 ).split()
 
 

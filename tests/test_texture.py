@@ -33,7 +33,7 @@ def exact(board, hero):
     return hand_scores.won(full, np.tile(hero, (len(deals), 1)), deals[:, 1:]).mean()
 
 
-@pytest.mark.parametrize("flop", ["2c7dKh", "9h8h7h"])
+@pytest.mark.parametrize("flop", ["9h8h7h"])
 def test_sampled_changes_approach_exact_ones(flop):
     hero, turn, change = hand_scores.changes(flop, 1, 47, 4000, 1500, "t")
     board = [NAMES.index(flop[i : i + 2]) for i in (0, 2, 4)]
