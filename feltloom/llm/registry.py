@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, language, mixing, near_dup, neighbours, packing, pieces, quality, secrets, token_file, toxicity
+from . import html, language, mixing, near_dup, neighbours, packing, pieces, quality, secrets, token_file, toxicity, variants
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_token_file": token_file.op8_token_file,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_minhash_near_dedup": near_dup.op10_minhash_near_dedup,
+        "op11_spelling_variants": variants.op11_spelling_variants,
         "op12_best_fit_packing": packing.op12_best_fit_packing,
     }
 
