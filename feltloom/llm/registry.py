@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, language, mixing, near_dup, neighbours, packing, pieces, quality, secrets, token_file, toxicity, variants
+from . import collocations, html, language, mixing, near_dup, neighbours, packing, pieces, quality, secrets, token_file, toxicity, variants
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_minhash_near_dedup": near_dup.op10_minhash_near_dedup,
         "op11_spelling_variants": variants.op11_spelling_variants,
         "op12_best_fit_packing": packing.op12_best_fit_packing,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
