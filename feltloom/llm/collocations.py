@@ -33,9 +33,9 @@ PIECE_ENDS, END = r"[.,;:!?\n-\r]+", "."
 #: Words of the longest phrases.
 DEPTH = 4
 #: Words that a task holds before it makes a transducer of them, about.
-SEGMENT = 2_000_000
+SEGMENT = 1_000_000
 #: Windows of a range, about, and the most ranges.
-RANGE_WINDOWS, MOST_RANGES = 2_000_000, 20_000
+RANGE_WINDOWS, MOST_RANGES = 500_000, 20_000
 
 
 @dataclass(frozen=True)
