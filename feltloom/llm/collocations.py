@@ -94,13 +94,13 @@ def merged(starts: np.ndarray, arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Transducer:
     """Words in order, and for each level the first arc of every state and the arcs (label, weight, target); label i is words[i - 1], and 0 is none."""
 
-    words: list[str]
+    words: pa.Array
     starts: list[np.ndarray]
     arcs: list[np.ndarray]
 
     @classmethod
-    def of(cls, words: list[str], rows: np.ndarray, n: np.ndarray, *, totals: bool = True) -> Transducer:
-        """From distinct rows in order, 0 after their end. An arc weighs the sum of n of the rows along it, or without ``totals`` the n of the row that ends there."""
+    def of(cls, words: pa.Array, rows: np.ndarray, n: np.ndarray, *, totals: bool = True, shared: bool = True) -> Transducer:
+        """From distinct rows in order, 0 after their end. An arc weighs the sum of n of the rows along it, or without ``totals`` the n of the row that ends there. States with equal arcs become one if ``shared``."""
         fresh, parents = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
         fresh[:1] = True
         starts, arcs, n_states = [], [], 1
@@ -115,7 +115,7 @@ class Transducer:
             group = np.cumsum(np.where(fresh & (rows[:, d] > 0), 1, 0)) - 1
             parents, n_states = group, len(label)
         arcs[-1][:, 2] = 0
-        for d in range(DEPTH - 1, 0, -1):
+        for d in range(DEPTH - 1, 0, -1) if shared else ():
             new, starts[d], arcs[d] = merged(starts[d], arcs[d])
             arcs[d - 1][:, 2] = new[arcs[d - 1][:, 2]]
         return cls(words, starts, arcs)
@@ -138,6 +138,22 @@ class Transducer:
         out.append((path, left))
         return np.concatenate([p for p, _ in out]), np.concatenate([n for _, n in out])
 
+    def frequent(self, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length the paths that weigh ``least`` at least, and the first and the last path that go on, with their weights."""
+        state, path = np.zeros(1, np.int64), np.zeros((1, DEPTH), np.int64)
+        edge = np.ones((2, 1), bool)
+        for d in range(DEPTH):
+            n = np.diff(self.starts[d])[state]
+            arcs = self.arcs[d][np.repeat(self.starts[d][state] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            path = np.repeat(path, n, 0)
+            path[:, d] = arcs[:, 0]
+            # The first path of all has no arc where its row ends; then none that goes on is at that edge.
+            edge = np.repeat(edge, n, 1)
+            edge[0, 1:] = edge[1, :-1] = False
+            keep = (arcs[:, 1] >= least) | edge.any(0)
+            yield path[keep, : d + 1], arcs[keep, 1]
+            state, path, edge = arcs[keep, 2], path[keep], edge[:, keep]
+
     def composed(self, rows: np.ndarray) -> np.ndarray:
         """The weights along each row's path, 0 where it has ended or leaves the transducer."""
         out, state, on = np.zeros((len(rows), DEPTH), np.int64), np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
@@ -162,7 +178,7 @@ class Transducer:
         return b"".join(out)
 
     @classmethod
-    def from_bytes(cls, words: list[str], raw: bytes) -> Transducer:
+    def from_bytes(cls, words: pa.Array, raw: bytes) -> Transducer:
         at, found = 0, []
         for _ in range(4 * DEPTH):
             width, n = np.frombuffer(raw, "<i8", 2, at).tolist()
@@ -171,27 +187,27 @@ class Transducer:
         return cls(words, found[::4], [np.stack(found[i + 1 : i + 4], 1) for i in range(0, 4 * DEPTH, 4)])
 
 
-def renumbered(words: pa.Array) -> tuple[list[str], np.ndarray]:
+def renumbered(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(the distinct words in order, for each word its label)."""
     coded = words.dictionary_encode()
     order = pc.array_sort_indices(coded.dictionary).to_numpy()
     label = np.empty(len(order), np.int64)
     label[order] = np.arange(1, len(order) + 1)
-    return coded.dictionary.take(pa.array(order)).to_pylist(), label[coded.indices.to_numpy()]
+    return coded.dictionary.take(pa.array(order)), label[coded.indices.to_numpy()]
 
 
-def part(words: list[str], rows: np.ndarray, n: np.ndarray) -> Transducer:
+def part(words: pa.Array, rows: np.ndarray, n: np.ndarray) -> Transducer:
     """A transducer of some rows, with the words that they have."""
     used = np.unique(rows)
     used = used[used > 0]
     label = np.zeros(len(words) + 1, np.int64)
     label[used] = np.arange(1, len(used) + 1)
-    return Transducer.of([words[i - 1] for i in used.tolist()], label[rows], n)
+    return Transducer.of(words.take(pa.array(used - 1)), label[rows], n)
 
 
-def united(parts: list[Transducer]) -> Transducer:
+def united(parts: list[Transducer], shared: bool = True) -> Transducer:
     """The transducer whose weights are the sums of theirs."""
-    words, label = renumbered(pa.array([w for t in parts for w in t.words], pa.string()))
+    words, label = renumbered(pa.concat_arrays([t.words for t in parts]))
     rows, n, at = [], [], 0
     for t in parts:
         own = np.concatenate([[0], label[at : at + len(t.words)]])
@@ -199,7 +215,7 @@ def united(parts: list[Transducer]) -> Transducer:
         rows.append(own[r])
         n.append(k)
         at += len(t.words)
-    return Transducer.of(words, *summed(np.concatenate(rows), np.concatenate(n), len(words)))
+    return Transducer.of(words, *summed(np.concatenate(rows), np.concatenate(n), len(words)), shared=shared)
 
 
 def flat_words(texts: pa.Array) -> pa.Array:
@@ -209,12 +225,11 @@ def flat_words(texts: pa.Array) -> pa.Array:
     return words.filter(pc.not_equal(words, ""))
 
 
-def windows(words: pa.Array) -> tuple[list[str], np.ndarray]:
+def windows(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(the distinct words in order, a row of labels for every word and those after it in its piece)."""
     names, label = renumbered(words)
-    if END in names:
-        ends = names.index(END) + 1
-        names.remove(END)
+    if (ends := pc.index(names, END).as_py() + 1) > 0:
+        names = names.filter(pc.not_equal(names, END))
         label = np.where(label == ends, 0, label - (label > ends))
     label = label.astype(np.int32)
     wide = np.concatenate([label, np.zeros(DEPTH, np.int32)])
@@ -240,13 +255,13 @@ def parts(docs: DataFrame, bounds: list[Bound]) -> DataFrame:
     def made(lang: str, held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         names, rows = windows(pa.concat_arrays(held))
         rows, n = summed(rows, np.ones(len(rows), np.int64), len(names))
-        raw, own = [b"", *(w.encode() for w in names)], lang.encode()
-        key = lambda i: (own, *(raw[c] for c in rows[i].tolist() if c))
+        raw, own = names.cast(pa.binary()), lang.encode()
+        key = lambda i: (own, *(raw[c - 1].as_py() for c in rows[i].tolist() if c))
         cuts = [bisect.bisect_left(range(len(rows)), x, key=key) for x in bounds]
         for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
             if a < b:
                 t = part(names, rows[a:b], n[a:b])
-                yield batch(PARTS, [lang], [k], [int(n[a:b].sum())], [t.words], [t.to_bytes()])
+                yield batch(PARTS, [lang], [k], [int(n[a:b].sum())], pa.ListArray.from_arrays([0, len(t.words)], t.words), [t.to_bytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[pa.Array]] = {}
@@ -277,7 +292,7 @@ def bounds_of(docs: DataFrame, params: Params) -> list[Bound]:
         for b in slices(batches):
             for lang, texts in by_lang(b):
                 names, rows = windows(flat_words(texts))
-                raw = [w.encode() for w in names]
+                raw = names.cast(pa.binary()).to_pylist()
                 yield batch(SAMPLED, [[lang.encode(), *(raw[c - 1] for c in r if c)] for r in rows[::step].tolist()])
 
     total = docs.count()
@@ -296,25 +311,19 @@ def frequent(made: DataFrame, n_ranges: int, least: int) -> DataFrame:
     """lang, words, f of every phrase of up to four words that occurs ``least`` times."""
 
     def kept(lang: str, t: Transducer) -> pa.RecordBatch:
-        rows, n = summed(*t.rows(), len(t.words))
-        names, out, fresh = [None, *t.words], [], np.zeros(len(rows), bool)
-        for d in range(DEPTH):
-            fresh = fresh | np.concatenate([[True], rows[1:, d] != rows[:-1, d]])
-            at = np.flatnonzero(fresh)
-            f = np.add.reduceat(n, at)
-            keep = f >= least
-            keep[[0, -1]] = True  # these may go on in the ranges beside
-            for r, k in zip(rows[at[keep], : d + 1].tolist(), f[keep].tolist(), strict=True):
-                if r[-1]:
-                    out.append((lang, [names[c] for c in r], k))
+        # Those at the edges of the range may go on in the ranges beside.
+        names, out = [None, *t.words.to_pylist()], []
+        for paths, f in t.frequent(least):
+            out += [(lang, [names[c] for c in r], k) for r, k in zip(paths.tolist(), f.tolist(), strict=True)]
         return batch(COUNTS, *map(list, zip(*out, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, at = [], 0, None
         for b in slices(batches, 16):
-            for lang, k, n, words, arcs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, (lang, k, n, arcs) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 1, 2, 4)), strict=True)):
+                words = b.column(3)[i].values
                 if held and at != (k, lang):
-                    yield kept(at[1], united(held))
+                    yield kept(at[1], united(held, shared=False))
                     held, size = [], 0
                 at = k, lang
                 held.append(Transducer.from_bytes(words, arcs))
@@ -322,7 +331,7 @@ def frequent(made: DataFrame, n_ranges: int, least: int) -> DataFrame:
                 if len(held) > 1 and size >= 2 * RANGE_WINDOWS:
                     held, size = [united(held)], 0
         if held:
-            yield kept(at[1], united(held))
+            yield kept(at[1], united(held, shared=False))
 
     dealt = made.repartition(n_ranges, "range").sortWithinPartitions("range", "lang")
     found = map_batches(dealt, run, "lang string, words array<string>, f long")

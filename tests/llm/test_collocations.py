@@ -64,7 +64,7 @@ def test_many_ranges_and_segments(spark, monkeypatch):
 
 
 def table(names, rows, n):
-    return Counter({tuple(names[c - 1] for c in r if c): k for r, k in zip(rows.tolist(), n.tolist(), strict=True)})
+    return Counter({tuple(names[c - 1].as_py() for c in r if c): k for r, k in zip(rows.tolist(), n.tolist(), strict=True)})
 
 
 def test_transducers():
@@ -88,11 +88,14 @@ def test_transducers():
         t, total = collocations.united([t for t, _ in made]), sum((c for _, c in made), Counter())
         assert table(t.words, *t.rows()) == total
         assert not size or len(t.starts[3]) - 1 <= len({w[:3] for w in total if len(w) > 2}) + 1
-        label = {w: i for i, w in enumerate(t.words, 1)}
-        asked = [*total, *(tuple(rng.choice(t.words) for _ in range(rng.randint(1, 4))) for _ in range(200) if t.words)]
+        label = {w: i for i, w in enumerate(t.words.to_pylist(), 1)}
+        asked = [*total, *(tuple(rng.choice([*label]) for _ in range(rng.randint(1, 4))) for _ in range(200) if label)]
         found = t.composed(np.array([[*map(label.get, w), 0, 0, 0][:4] for w in asked], np.int64).reshape(-1, 4))
         prefixes = Counter()
         for w, k in total.items():
             for d in range(1, len(w) + 1):
                 prefixes[w[:d]] += k
+        for least in (1, 2, 5):
+            kept = {tuple(t.words[c - 1].as_py() for c in r): k for p, f in t.frequent(least) for r, k in zip(p.tolist(), f.tolist(), strict=True)}
+            assert {w: k for w, k in kept.items() if k >= least} == {w: k for w, k in prefixes.items() if k >= least} and all(prefixes[w] == k for w, k in kept.items())
         assert found.tolist() == [[prefixes[w[:d]] if d <= len(w) else 0 for d in range(1, 5)] for w in asked]
