@@ -111,48 +111,84 @@ def made_hand(hole: Column, board: Column) -> Column:
     return F.when(~F.coalesce(known_hole(hole), F.lit(False)), "unknown").when(F.coalesce(F.length(board), F.lit(0)) == 0, "preflop").otherwise(let(cards(F.concat(hole, board)), of))
 
 
+def _table(of) -> Column:
+    """of(mask) for every set of ranks, as one literal array: it is parsed once for a plan."""
+    return F.split(F.lit(",".join(str(of(m)) for m in range(1 << 13))), ",").cast("array<int>")
+
+
+def _top(mask: int, k: int) -> list[int]:
+    return [r + 2 for r in range(12, -1, -1) if mask >> r & 1][:k]
+
+
+def _packed(mask: int) -> int:
+    """The five highest ranks (2 to 14) as digits to the base 15, the highest first; 0 where there are fewer."""
+    out = 0
+    for r in [*_top(mask, 5), 0, 0, 0, 0, 0][:5]:
+        out = 15 * out + r
+    return out
+
+
+def _straight(mask: int) -> int:
+    """The top rank (2 to 14) of the best straight, 0 if none; an ace is low too."""
+    low = mask << 1 | mask >> 12
+    return next((5 + t for t in range(9, -1, -1) if low >> t & 31 == 31), 0)
+
+
 def score(cs: Column) -> Column:
-    """A number that orders hands of five to seven cards (array of strings) as their best five cards do; equal hands tie.
+    """A number that orders hands of five to seven cards (array of strings) as their best five cards do; equal hands tie. NULL if a card is there twice or is none.
 
-    Category * 15**5 and five kickers of 0 to 14, all from the counts by rank, the counts by suit and the straights in them.
+    Category * 15**5 and five kickers of 0 to 14. The cards are one number with 16 bits for each suit; ranks held twice, three and four times come from the suits by
+    bit operations, and kickers and straights from tables over the 8,192 sets of ranks.
     """
-
-    def best(n: Column, k: int, least: int = 1) -> list[Column]:
-        """The k highest ranks of which there are ``least`` or more, as 2 to 14; 0 where there are fewer."""
-        found = F.reverse(F.filter(F.transform(n, lambda x, i: F.when(x >= least, i + 2).otherwise(0)), lambda r: r > 0))
-        return [F.coalesce(F.get(found, F.lit(i)), F.lit(0)) for i in range(k)]
-
-    def pack(category: int, *kickers: Column) -> Column:
-        out = F.lit(category).cast("bigint")
-        for x in [*kickers, *[F.lit(0)] * (5 - len(kickers))]:
-            out = out * 15 + x
-        return out
-
-    def of(n: Column, flush_n: Column) -> Column:
-        without = lambda *rs: F.transform(n, lambda x, i: F.when((i + 2).isin(*rs), 0).otherwise(x))
-        straight, straight_flush = (let(F.transform(x, lambda c: c > 0), straight_high) + 2 for x in (n, flush_n))
-        flush = F.aggregate(flush_n, F.lit(0), lambda a, x: a + x) >= 5
-        (quad,), trips, pairs = best(n, 1, 4), best(n, 2, 3), best(n, 2, 2)
-        over = best(without(trips[0]), 1, 2)[0]  # the pair of a full house
+    top, runs = _table(_packed), _table(_straight)
+    bit = lambda c: F.when((rank(c) >= 0) & (suit(c) >= 0), F.call_function("shiftleft", F.lit(1).cast("bigint"), suit(c) * 16 + rank(c)))
+    held = F.aggregate(cs, F.lit(0).cast("bigint"), lambda a, c: a.bitwiseOR(bit(c)))
+    both = lambda a, b: a.bitwiseAND(b)
+    either = lambda a, *more: a if not more else a.bitwiseOR(either(*more))
+    without = lambda a, b: a.bitwiseAND(F.bitwise_not(b))
+
+    def first(mask: Column, k: int) -> Column:
+        """The k highest ranks as digits."""
+        return F.floor(F.get(top, mask) / 15 ** (5 - k))
+
+    one = lambda rank: F.when(rank > 0, F.call_function("shiftleft", F.lit(1), (rank - 2).cast("int"))).otherwise(0)
+    pack = lambda category, kickers: (F.lit(category * 15**5) + kickers).cast("bigint")
+
+    def of(x: Column) -> Column:
+        quad, trip, over, high, low = (x[k] for k in ("quad", "trip", "over", "high", "low"))
+        run, flush_run = F.get(runs, x.any), F.get(runs, x.flush)
         return (
-            F.when(straight_flush > 1, pack(8, straight_flush))
-            .when(quad > 0, pack(7, quad, *best(without(quad), 1)))
-            .when((trips[0] > 0) & (over > 0), pack(6, trips[0], over))
-            .when(flush, pack(5, *best(flush_n, 5)))
-            .when(straight > 1, pack(4, straight))
-            .when(trips[0] > 0, pack(3, trips[0], *best(without(trips[0]), 2)))
-            .when(pairs[1] > 0, pack(2, *pairs, *best(without(*pairs), 1)))
-            .when(pairs[0] > 0, pack(1, pairs[0], *best(without(pairs[0]), 3)))
-            .otherwise(pack(0, *best(n, 5)))
+            F.when(flush_run > 0, pack(8, flush_run * 15**4))
+            .when(quad > 0, pack(7, quad * 15**4 + first(without(x.any, one(quad)), 1) * 15**3))
+            .when((trip > 0) & (over > 0), pack(6, trip * 15**4 + over * 15**3))
+            .when(x.flush > 0, pack(5, F.get(top, x.flush)))
+            .when(run > 0, pack(4, run * 15**4))
+            .when(trip > 0, pack(3, trip * 15**4 + first(without(x.any, one(trip)), 2) * 15**2))
+            .when(low > 0, pack(2, high * 15**4 + low * 15**3 + first(without(x.any, either(one(high), one(low))), 1) * 15**2))
+            .when(high > 0, pack(1, high * 15**4 + first(without(x.any, one(high)), 3) * 15))
+            .otherwise(pack(0, F.get(top, x.any)))
         )
 
-    def counted(x: Column) -> Column:
-        suits = F.transform(x, suit)
-        flush_suit = F.array_position(F.transform(tallies(suits, 4), lambda k: k >= 5), True) - 1
-        in_suit = F.transform(F.filter(x, lambda c: suit(c) == flush_suit), rank)
-        return let(F.struct(tallies(F.transform(x, rank), 13).alias("n"), tallies(in_suit, 13).alias("f")), lambda t: of(t.n, t.f))
-
-    return let(cs, counted)
+    def ranked(x: Column) -> Column:
+        trip, high = first(x.three, 1), first(x.two, 1)
+        return F.struct(
+            x.any.alias("any"), x.flush.alias("flush"), first(x.four, 1).alias("quad"), trip.alias("trip"), first(without(x.two, one(trip)), 1).alias("over"),
+            high.alias("high"), first(without(x.two, one(high)), 1).alias("low"),
+        )
+
+    def counted(suits: Column) -> Column:
+        c, d, h, s = (suits[i] for i in range(4))
+        flush = F.coalesce(F.get(F.filter(suits, lambda m: F.bit_count(m) >= 5), F.lit(0)), F.lit(0))
+        cd, hs, cd1, hs1 = both(c, d), both(h, s), either(c, d), either(h, s)
+        return F.struct(
+            either(cd1, hs1).alias("any"), either(cd, hs, both(cd1, hs1)).alias("two"), either(both(cd, hs1), both(hs, cd1)).alias("three"), both(cd, hs).alias("four"), flush.alias("flush")
+        )
+
+    def suits(x: Column) -> Column:
+        masks = F.array(*[F.call_function("shiftright", x, F.lit(16 * i)).bitwiseAND(F.lit(0x1FFF)).cast("int") for i in range(4)])
+        return F.when(F.bit_count(x) == F.size(cs), let(let(let(masks, counted), ranked), of))
+
+    return let(held, suits)
 
 
 def category(s: Column) -> Column:

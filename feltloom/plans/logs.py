@@ -66,21 +66,24 @@ def hands(spark: SparkSession, sf_dir: str) -> DataFrame:
         there = F.filter(order, lambda s: F.get("folds", s - 1) >= t)
 
         def tokens(seats: Column) -> Column:
-            raises = lambda upto: F.size(F.filter(F.slice(seats, 1, upto), lambda s: code(F.col("hand_id"), F.lit(t), s) == 1))
+            def coded(codes: Column) -> Column:
+                def token(s: Column, j: Column) -> Column:
+                    c, p = F.get(codes, j), F.concat(F.lit("p"), s.cast("string"))
+                    raises = F.size(F.filter(F.slice(codes, 1, j), lambda x: x == 1))
+                    to = (F.col("nl_level") / 100).cast("bigint") * 3 * (raises + (2 if t == 0 else 1))
+                    return F.when((c == 0) & (s != 1), F.concat(p, F.lit(" f"))).when(c == 1, F.concat(p, F.lit(" cbr "), to.cast("string"))).otherwise(F.concat(p, F.lit(" cc")))
 
-            def token(s: Column, j: Column) -> Column:
-                c, p = code(F.col("hand_id"), F.lit(t), s), F.concat(F.lit("p"), s.cast("string"))
-                to = (F.col("nl_level") / 100).cast("bigint") * 3 * (raises(j) + (2 if t == 0 else 1))
-                return F.when((c == 0) & (s != 1), F.concat(p, F.lit(" f"))).when(c == 1, F.concat(p, F.lit(" cbr "), to.cast("string"))).otherwise(F.concat(p, F.lit(" cc")))
+                return F.transform(seats, token)
 
-            return F.transform(seats, token)
+            return let(F.transform(seats, lambda s: code(F.col("hand_id"), F.lit(t), s)), coded)
 
         return let(there, tokens)
 
     deal = F.transform("holes", lambda h, i: F.concat(F.lit("d dh p"), (i + 1).cast("string"), F.lit(" "), h))
-    board = lambda a, b: F.array(F.concat(F.lit("d db "), F.array_join(F.slice("deck", a, b), "")))
+    # The board comes after the cards of the last seat.
+    board = lambda a, b: F.array(F.concat(F.lit("d db "), F.array_join(F.slice("deck", 2 * F.col("n_players") + a, b), "")))
     shows = F.filter(F.transform("holes", lambda h, i: F.when(F.get("showed", i) & (F.get("folds", i) == 9), F.concat(F.lit("p"), (i + 1).cast("string"), F.lit(" sm "), h))), lambda x: x.isNotNull())
-    out = out.withColumn("actions", F.concat(deal, street(0), board(19, 3), street(1), board(22, 1), street(2), board(23, 1), street(3), shows))
+    out = out.withColumn("actions", F.concat(deal, street(0), board(1, 3), street(1), board(4, 1), street(2), board(5, 1), street(3), shows))
     return out.select("site", "nl_level", "hand_id", "table", "seat_count", "n_players", "players", "blinds", "starting_stacks", "finishing_stacks", "winnings", "actions", "year", "month", "day", "time")
 
 
@@ -106,8 +109,8 @@ def hands_sql() -> str:
     l AS (SELECT site, nl_level, hand_id, 'T' || (hand_id::BIGINT % 7) AS "table", greatest(9, n_players)::INTEGER AS seat_count, n_players, players, blinds, starting_stacks,
                  CASE WHEN hand_id::BIGINT % 5 = 0 THEN list_reverse(starting_stacks) ELSE [] END AS finishing_stacks,
                  CASE WHEN hand_id::BIGINT % 5 = 1 THEN list_transform(generate_series(0, n_players - 1), lambda i: CASE WHEN i = hand_id::BIGINT % n_players THEN 1.0 ELSE 0.0 END)::DOUBLE[] ELSE [] END AS winnings,
-                 list_concat(list_concat(list_concat(list_transform(generate_series(1, n_players), lambda i: 'd dh p' || i || ' ' || holes[i]), a0), list_concat(['d db ' || deck[19] || deck[20] || deck[21]], a1)),
-                             list_concat(list_concat(['d db ' || deck[22]], a2), list_concat(list_concat(['d db ' || deck[23]], a3),
+                 list_concat(list_concat(list_concat(list_transform(generate_series(1, n_players), lambda i: 'd dh p' || i || ' ' || holes[i]), a0), list_concat(['d db ' || deck[2 * n_players + 1] || deck[2 * n_players + 2] || deck[2 * n_players + 3]], a1)),
+                             list_concat(list_concat(['d db ' || deck[2 * n_players + 4]], a2), list_concat(list_concat(['d db ' || deck[2 * n_players + 5]], a3),
                              list_transform(list_filter(generate_series(1, n_players), lambda i: showed[i] AND folds[i] = 9), lambda i: 'p' || i || ' sm ' || holes[i])))) AS actions,
                  2009 AS year, 7 AS month, day, '12:00:00' AS "time" FROM t3)"""
 

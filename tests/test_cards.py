@@ -4,9 +4,12 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
-from feltloom.functions import cards
+from feltloom.functions import cards, hand_scores
+from feltloom.plans import logs
 
 DECK = [r + s for r in cards.RANKS for s in cards.SUITS]
 
@@ -43,6 +46,27 @@ def test_scores_order_hands_as_their_best_five(spark):
         assert (got[a] < got[b]) if want[a] < want[b] else got[a] == got[b]
 
 
+def test_scores_of_many_hands_and_of_impossible_ones(spark):
+    """A hundred thousand hands as the matrix form scores them, which is held against enumeration; cards held twice have no score."""
+    rng = np.random.default_rng(7)
+    dealt = rng.random((100_000, 52)).argsort(1)[:, :7]
+    want = hand_scores.score(dealt)
+    rows = spark.createDataFrame([(i, [DECK[c] for c in h]) for i, h in enumerate(dealt.tolist())], "i int, h array<string>")
+    got = np.array([r.s for r in rows.select("i", cards.score(F.col("h")).alias("s")).orderBy("i").collect()])
+    order = np.argsort(want, kind="stable")
+    assert ((np.diff(want[order]) > 0) == (np.diff(got[order]) > 0)).all() and (np.diff(got[order]) >= 0).all()
+    odd = [["Ac", "Ac", "3c", "4c", "5c", "Kd", "Kh"], ["Ac", "2c", "??", "4c", "5c"], None, []]
+    found = spark.createDataFrame([(h,) for h in odd], "h array<string>").select(cards.score(F.col("h")).alias("s")).collect()
+    assert [r.s for r in found[:3]] == [None] * 3
+
+
+def test_no_card_is_dealt_twice(spark):
+    hands = logs.hands(spark, "/root/testdata/sf0.01")
+    dealt = hands.select("n_players", cards.cards(F.regexp_replace(F.array_join(F.filter("actions", lambda x: x.startswith("d ") & ~x.endswith("????")), ""), r"d (db|dh p\d+) ", "")).alias("c"))
+    most, twice = dealt.agg(F.max("n_players"), F.count_if(F.size(F.array_distinct("c")) < F.size("c"))).first()
+    assert most >= 10 and twice == 0
+
+
 def test_flops_and_their_classes(spark):
     flops = cards.flops(spark).withColumn("key", cards.canonical(F.col("cards")))
     assert flops.agg(F.count("*"), F.countDistinct("key")).first()[:] == (22100, 1755)

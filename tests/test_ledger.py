@@ -74,6 +74,26 @@ def test_random_hands_match_a_sequential_replay(spark):
         assert got.get(i, []) == sequential(h)
 
 
+def test_long_hand_and_seats_still_to_act(spark):
+    """Five hundred actions on one street; for every decision the seats that act later on its street and have not folded yet, and those that have not folded."""
+    rng = random.Random(8)
+    acts = [f"p{rng.randrange(1, 7)} " + rng.choice(["cc"] * 30 + ["cbr 4", "f"]) for _ in range(500)] + ["d db 2c3c4d", "p2 cc", "p9 cc", "p1 cc", "p2 f"]
+    got = ledger.decisions(replay(spark, hand(acts, stacks=[500.0] * 6))).orderBy("seq").select("n_to_act_after", "n_active_before", "pos_idx").collect()
+    boards, folded, n_folds, want = 0, set(), 0, []
+    for i, t in enumerate(acts):
+        if t.startswith("d db"):
+            boards += 1
+            continue
+        street = [a for a in acts[i + 1 :] if not a.startswith("d db")] if boards else acts[i + 1 : 500]
+        seat = int(t.split()[0][1:])
+        later = {int(a.split()[0][1:]) for a in street if int(a.split()[0][1:]) <= 6} - folded
+        want.append((len(later), 6 - n_folds, seat - 1))
+        if t.endswith(" f"):
+            folded.add(seat)
+            n_folds += 1
+    assert [tuple(r) for r in got if r.pos_idx < 6] == [w for w in want if w[2] < 6] and len(got) == len(want)
+
+
 @pytest.mark.parametrize(("n", "labels"), [(2, ["SB/BTN", "BB"]), (3, ["SB", "BB", "BTN"]), (6, ["SB", "BB", "LJ", "HJ", "CO", "BTN"]), (9, ["SB", "BB", "UTG", "MP1", "MP2", "LJ", "HJ", "CO", "BTN"])])
 def test_position_labels(n, labels):
     assert ledger.position_labels(n) == labels

@@ -13,7 +13,7 @@ from feltloom.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = (
-    "a1_section_blocks a9_transcript_blocks a15_fixed_limit_hands b13_position_label b17_rake b18_exact_nets b22_hand_player c7_state_keys d6_hands_quantiles d13_conservation e6_coverage_grid f10_entity_policy f13_score_sheet "
+    "a1_section_blocks a9_transcript_blocks a15_fixed_limit_hands b13_position_label b17_rake b18_exact_nets b21_hand_scores b22_hand_player c7_state_keys d6_hands_quantiles d13_conservation e6_coverage_grid f10_entity_policy f13_score_sheet "
     "h4_incremental_eta_squared i6_head_to_head j9_score_agreement k7_tercile_bins k8_attached_bins l5_split_half_correlations l8_integrity l14_residual_score s1_incremental_replay"
 ).split()
 
