@@ -141,7 +141,7 @@ def sections(h: DataFrame) -> DataFrame:
             "hand": c("hand_id"), "table": F.concat(F.lit("'"), c("table"), F.lit("'")), "seat_count": c("seat_count"), "year": c("year"), "month": c("month"), "day": c("day"), "time": F.lit("'12:00:00'"),
         }
     )
-    return h.select("site", "nl_level", text.alias("value"))
+    return h.select("site", "nl_level", "day", text.alias("value"))
 
 
 def limit_sections(h: DataFrame) -> DataFrame:

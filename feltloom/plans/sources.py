@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from feltloom.plans import ledger_sql as q
 from feltloom.plans.base import query
-from feltloom.plans.ledger import hands, kept, stamp
+from feltloom.plans.ledger import decisions, hands, kept, seats, stamp
 from feltloom.plans.profile import COUNTS
 from feltloom.operators import profile
 from feltloom.plans import logs
-from feltloom.sources import bindings, parse
+from feltloom.sources import bindings, layout, parse
 from feltloom.sources.scratch import folder, write_files
 
 H = q.HANDS
@@ -178,12 +178,18 @@ def _(spark, d):
     UNION ALL SELECT 'hands', hand_id FROM (SELECT hand_id FROM l ORDER BY day, hand_id LIMIT 100)""",
 )
 def _(spark, d):
-    """Sampling operators: every step-th file, five of them; the first three files; the first hundred hands."""
-    rows = hands(spark, d)
-    files = rows.select(F.col("day").cast("string").alias("file"))
+    """Sampling operators: the days of every step-th file, five of them, and of the first three, each as read from those files alone; the first hundred hands."""
+
+    def make(h):
+        # A file for each day: all its hands go to one task.
+        return logs.sections(h).repartition("day").select("day", "value")
+
+    path = _text(spark, d, "days", make, "day")
     named = lambda mode, df, c: df.select(F.lit(mode).alias("mode"), F.col(c).alias("name"))
-    spread, first = parse.sampled_files(files, "file", spread=5), parse.sampled_files(files, "file", first=3)
-    return named("spread", spread, "file").union(named("first", first, "file")).union(named("hands", parse.first_hands(rows, 100, "day", "hand_id"), "hand_id"))
+    day = F.regexp_extract("file", "/day=([^/]+)/", 1)
+    read = lambda **how: parse.sampled_blocks(spark, path, **how).select(day.alias("day")).distinct()
+    hundred = parse.first_hands(hands(spark, d), 100, "day", "hand_id")
+    return named("spread", read(spread=5), "day").union(named("first", read(first=3), "day")).union(named("hands", hundred, "hand_id"))
 
 
 @query("a17_results_only", f"{H} SELECT hand_id, {flat('list_reverse(players)')} AS players, day::DOUBLE AS r1, -day::DOUBLE AS r2 FROM {TWO}")
@@ -219,13 +225,36 @@ def _(spark, d):
 
 @query("a21_persisted_table", f"WITH {bindings.V_SQL} SELECT s_core, count(*) AS n FROM v GROUP BY ALL")
 def _(spark, d):
-    """A table that is replaced as a whole and read back by partition."""
+    """A table that is written as a whole, then replaced partition by partition, and read back."""
     path = folder(spark, "table")
-    for _ in range(2):
-        bindings.v(spark, d).write.mode("overwrite").partitionBy("a").parquet(path)
+    rows = bindings.v(spark, d)
+    layout.partitioned(rows, path, "a")
+    layout.partitioned(rows.where("a = 'check'"), path, "a")
     return spark.read.parquet(path).groupBy("s_core").agg(F.count("*").alias("n"))
 
 
+@query("a21_enriched_by_street", f"{q.ALL} SELECT action_faced, act, count(*) AS n, round(sum(act_to_bb), 3) AS act_to_bb FROM dec WHERE street = 1 GROUP BY ALL")
+def _(spark, d):
+    """The enriched decisions by street: a query on one street reads no other."""
+    path = folder(spark, "by-street")
+    layout.partitioned(decisions(spark, d), path, "street")
+    rows = spark.read.parquet(path).where("street = 1")
+    return rows.groupBy("action_faced", "act").agg(F.count("*").alias("n"), F.round(F.sum(F.round("act_to_bb", 6)), 3).alias("act_to_bb"))
+
+
+@query(
+    "a18_bucketed_join",
+    f"""{q.ALL}, a AS (SELECT site, player, count(*) AS decisions FROM dec GROUP BY ALL), b AS (SELECT site, player, count(*) AS hands, sum(vpip::INT)::BIGINT AS vpip FROM hpl GROUP BY ALL)
+    SELECT * FROM a JOIN b USING (site, player)""",
+)
+def _(spark, d):
+    """Decisions and seats in buckets of the same entities: grouped and joined on the entity without a shuffle."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = layout.bucketed(decisions(spark, d).select("site", "player", "hand_id", "seq"), "decisions_by_player", n, "site", "player")
+    two = layout.bucketed(seats(spark, d).select("site", "player", "hand_id", "vpip"), "seats_by_player", n, "site", "player")
+    return layout.joined_counts(one, two)
+
+
 @query("a22_report_sinks", f"WITH {bindings.N_SQL}, {COUNTS} SELECT site, player, hands, vpip_hands FROM pc")
 def _(spark, d):
     """The entity report as CSV and as JSON, read back and joined."""

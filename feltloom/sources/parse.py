@@ -29,8 +29,8 @@ def fields(block: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def blocks(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each section of the files under path: its file and its fields. Splits of a file are read by many tasks; sections without a field are left out."""
+def blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row for each section of the files under path, or of these files: its file and its fields. Splits of a file are read by many tasks; sections without a field are left out."""
     reader = spark.read.option("lineSep", "\n[").option("recursiveFileLookup", "true")
     raw = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     out = raw.select("file", fields(F.col("value")).alias("kv"))
@@ -129,16 +129,38 @@ def natural_halves(files: DataFrame, directory: Column, stem: Column) -> DataFra
     return ranged.join(offsets, "_p").withColumn("day", F.when(place < F.floor(F.col("_total") / 2), 1).otherwise(2)).drop("_d", "_n", "_s", "_p", "_before", "_total")
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """file and size of every file under path; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("file"), F.col("length").alias("size"))
+
+
 def sampled_files(files: DataFrame, file: str, first: int | None = None, spread: int | None = None) -> DataFrame:
-    """A sampling operator on the list of files: the first of them by name, or every step-th with step = max(1, count // spread)."""
-    place = F.row_number().over(W.orderBy(file)) - 1
-    placed = files.select(file).distinct().withColumns({"_i": place, "_n": F.count("*").over(W.partitionBy())})
-    if spread:
-        step = F.greatest(F.lit(1), F.floor(F.col("_n") / spread).cast("int"))
-        placed = placed.where(F.col("_i") % step == 0).where(F.floor(F.col("_i") / step) < spread)
-    if first:
-        placed = placed.where(F.col("_i") < first)
-    return placed.select(file)
+    """A sampling operator on the list of files: the first of them by name, or every step-th with step = max(1, count // spread).
+
+    Every step-th needs all names in order, a row a file in one task; the first ones need no more than their own number from each task.
+    """
+    names = files.select(file).distinct()
+    if not spread:
+        return names.orderBy(file).limit(first) if first else names
+    placed = names.withColumns({"_i": F.row_number().over(W.orderBy(file)) - 1, "_n": F.count("*").over(W.partitionBy())})
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / spread).cast("int"))
+    placed = placed.where(F.col("_i") % step == 0).where(F.floor(F.col("_i") / step) < spread)
+    return (placed.where(F.col("_i") < first) if first else placed).select(file)
+
+
+def sampled_blocks(spark: SparkSession, path: str, *, first: int | None = None, spread: int | None = None, largest: int | None = None) -> DataFrame:
+    """The sections of a sample of the files under path. The sample is taken from names and sizes, and only its files are read.
+
+    ``first`` and ``spread`` as in sampled_files; ``largest`` leaves out files of more bytes before that. The chosen paths, as many as the sample has, reach the driver.
+    """
+    files = listed(spark, path)
+    if largest is not None:
+        files = files.where(F.col("size") <= largest)
+    chosen = sorted(r.file for r in sampled_files(files, "file", first, spread).collect())
+    if not chosen:
+        return spark.createDataFrame([], "file string, kv map<string,string>")
+    return blocks(spark, chosen)
 
 
 def first_hands(hands: DataFrame, most: int, *order: str) -> DataFrame:
