@@ -5,7 +5,7 @@ A page is cut into blocks at block-level tags.
 Pass one judges each block alone, by a sum of evidence. Its text counts once it is long enough to tell anything (``short_chars``): the density of stop words
 speaks for it above ``stop_mid`` and against it below, and length speaks for it. Links speak against any block, by the share of its characters in them beyond
 ``free_links``. Where the block stands is prior evidence: against it inside a navigation, header, footer, sidebar, form, comment, notice or advert element, for it inside
-the page's article or main element, and against it outside of one where a page has one. A sum of ``margin`` or more is good, of -``margin`` or less is bad,
+the page's article or main element, and against it outside of one where a page has one; long prose or a list of links overturns any of these. A sum of ``margin`` or more is good, of -``margin`` or less is bad,
 and what lies between is ambiguous. A short block or a heading is never good in this pass.
 
 Pass two gives an ambiguous block the label of its nearest decided neighbours on its side of the article's edge: where both sides agree, theirs; where they differ, the nearer one's;
@@ -61,16 +61,17 @@ SPACE = re.compile(r"\s+")
 @dataclass(frozen=True)
 class Params:
     short_chars: int = 70
-    stop_mid: float = 0.15
+    stop_mid: float = 0.1
     stop_weight: float = 12.0  # of the share of stop words above or below stop_mid, between -stop_most and stop_most
     stop_most: float = 2.5
     long_most: float = 2.0  # length counts by its doublings of short_chars
     free_links: float = 0.3
     link_weight: float = 6.0
     margin: float = 0.5
-    boilerplate: float = -8.0
-    inside: float = 2.0
-    outside: float = -4.0
+    # Prior evidence of elements, within the reach of what text and links can say (4.5 for a block, 5.4 and more against it).
+    boilerplate: float = -4.4
+    inside: float = 1.5
+    outside: float = -3.0
     copyright: float = -3.0
 
 

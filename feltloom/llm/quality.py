@@ -169,7 +169,10 @@ def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """docs with every figure, base_failed, kept, and the names of the rules that failed."""
     names = (*FIGURES, *[r.name for r in RULES], "base_failed", "failed_rules", "kept")
-    return docs.withColumn("_verdict", verdict(F.col(text), rules)).withColumns({n: F.col(f"_verdict.{n}") for n in names}).drop("_verdict")
+    held = "_verdict"
+    while held in map(str.lower, docs.columns):
+        held = f"_{held}"
+    return docs.withColumn(held, verdict(F.col(text), rules)).withColumns({n: F.col(f"{held}.{n}") for n in names}).drop(held)
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

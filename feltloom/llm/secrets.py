@@ -191,8 +191,9 @@ def scanned(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def cut(found: DataFrame, p: Params) -> float:
-    """The largest p-value that Benjamini-Hochberg accepts, from a histogram of -log p over all candidates."""
-    q = F.explode(F.filter("spans", lambda s: s.kind == "random")).alias("s")
+    """The largest p-value that Benjamini-Hochberg accepts, from a histogram of -log p over all candidates outside of base spans: those inside are found already, and would let weaker ones pass."""
+    known = lambda s: F.exists("spans", lambda t: (t.kind != "random") & (t.start <= s.start) & (s.end <= t.end))
+    q = F.explode(F.filter("spans", lambda s: (s.kind == "random") & ~known(s))).alias("s")
     binned = found.select(q).select(F.least(F.floor(-F.log("s.p") * 8), F.lit(BINS - 1)).cast("int").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     rows = sorted(((r.k, r.n) for r in binned.collect()), reverse=True)
     total, seen, best = sum(n for _, n in rows), 0, 0.0

@@ -81,6 +81,17 @@ def test_titles_captions_and_links_of_an_article_stay():
         assert html.main_text(article.format(source)) == text, source
 
 
+def test_text_and_links_overturn_elements():
+    """Prose outside of the article is text, and in a sidebar no longer sure to be none; a list of links in the article is none."""
+    prose = "This is what the people of the town said to one another when they came back from the market, and it was not what they had been told before they left. " * 4
+    links = " ".join(f"<a href='/{i}'>Category number {i}</a>" for i in range(12))
+    page = f"<body><div>{prose}</div><article><p>{prose}</p><div>{links}</div><p>{prose}</p></article><div class='sidebar'>{prose}</div><div class='sidebar'>Offer Sale Price Buy Cart</div></body>"
+    found = html.labelled(page)
+    assert [(b.label, b.by, b.main) for b in found] == [("good", 1, False), ("good", 1, True), ("bad", 1, True), ("good", 1, True), ("bad", 2, False), ("bad", 1, False)]
+    p = html.Params()
+    assert max(-p.boilerplate, -p.outside, p.inside) < p.stop_most + p.long_most
+
+
 def test_neighbours_decide_short_blocks():
     prose = "<p>It is the case that the one and the other of them are in the house, and that it was not for the first time that they were there.</p>"
     page = f"<div><a href=a>One</a></div><div><a href=b>Two</a></div><p>Near links.</p><h2>A heading</h2>{prose}<p>Short.</p>{prose}<p>Last.</p><p><a href=c>Next</a></p>"
