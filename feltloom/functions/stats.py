@@ -51,16 +51,15 @@ def with_tie_rank(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ())
     return df.join(ranks, [*by, value])
 
 
-def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """One row: exact quantiles, interpolated between the two values whose places are nearest; NULLs don't count."""
-    placed = cumulative(df.where(F.col(value).isNotNull()), value)
-    total = placed.agg((F.sum("_n") - 1).alias("_last"))
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each group: exact quantiles, interpolated between the two values whose places are nearest; NULLs don't count."""
+    placed = cumulative(df.where(F.col(value).isNotNull()), value, by)
+    total = placed.groupBy(*by).agg((F.sum("_n") - 1).alias("_last"))
     at = lambda place: F.max(F.when((F.col("_start") <= place) & (place < F.col("_start") + F.col("_n")), F.col("_v")))
-    ends = placed.crossJoin(F.broadcast(total)).agg(
-        F.max("_last").alias("_last"), *[at(f(F.col("_last") * F.lit(x))).alias(f"{k}_{n}") for k, x in shares.items() for n, f in (("low", F.floor), ("high", F.ceil))]
-    )
+    both = placed.join(F.broadcast(total), list(by)) if by else placed.crossJoin(F.broadcast(total))
+    ends = both.groupBy(*by).agg(F.max("_last").alias("_last"), *[at(f(F.col("_last") * F.lit(x))).alias(f"{k}_{n}") for k, x in shares.items() for n, f in (("low", F.floor), ("high", F.ceil))])
     part = lambda x: F.col("_last") * F.lit(x) - F.floor(F.col("_last") * F.lit(x))
-    return ends.select(*[(F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * part(x)).alias(k) for k, x in shares.items()])
+    return ends.select(*by, *[(F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * part(x)).alias(k) for k, x in shares.items()])
 
 
 def correlations(df: DataFrame, x: str, y: str, by: tuple[str, ...] = (), many: bool = False) -> DataFrame:

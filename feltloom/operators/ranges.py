@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feltloom.functions import buckets
-from feltloom.functions.stats import pearson, ratio
+from feltloom.functions.stats import pearson, quantiles, ratio
+from feltloom.sources.scratch import written
 
 CONTEXT = ("ctx", "board")
 #: What everybody at the table knows of a decision, besides the board.
@@ -53,7 +54,11 @@ def features(rows: DataFrame) -> DataFrame:
     proxy = buckets.board_dynamic(F.col("board_bucket"), F.col("street"))
     pct = pct.withColumn("dynamicness", F.round(F.coalesce("dispersion", F.lit(0.0)) + proxy, 9)).withColumns({c: F.round(c, 9) for c in ("h_pct", "wetness")})
     named = {"h": "h_pct", "w": "wetness", "d": "dynamicness"}
-    cuts = pct.agg(*[F.percentile(c, p).alias(f"{k}{i}") for k, c in named.items() for i, p in ((1, 0.333), (2, 0.667))])
+    # The table grows with the decisions: its three columns are ranked stacked, range by range, and only their cuts meet.
+    pct = written(pct, "range-features")
+    stacked = pct.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in named.items()])).alias("x")).select("x.k", "x.v")
+    found = quantiles(stacked, "v", {"low": 0.333, "high": 0.667}, ("k",))
+    cuts = found.agg(*[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{k}{i}") for k in named for i, c in ((1, "low"), (2, "high"))])
     pct = pct.crossJoin(F.broadcast(cuts))
     bins = {f"{k}_bin": F.when(F.col(c) <= F.round(f"{k}1", 9), "low").when(F.col(c) <= F.round(f"{k}2", 9), "mid").otherwise("high") for k, c in named.items()}
     return pct.withColumns(bins).select(*CONTEXT, "hole_class", "h_pct", "wetness", "dynamicness", *bins)
