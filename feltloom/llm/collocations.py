@@ -35,7 +35,7 @@ DEPTH = 4
 #: Words that a task holds before it makes a transducer of them, about.
 SEGMENT = 1_000_000
 #: Windows of a range, about, and the most ranges.
-RANGE_WINDOWS, MOST_RANGES = 500_000, 20_000
+RANGE_WINDOWS, MOST_RANGES = 1_000_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,7 @@ class Transducer:
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct rows that it was made of and their n, in no order."""
-        state, path, left = np.zeros(1, np.int64), np.zeros((1, DEPTH), np.int64), None
+        state, path, left = np.zeros(1, np.int64), np.zeros((1, DEPTH), np.int32), None
         out = []
         for d in range(DEPTH):
             n = np.diff(self.starts[d])[state]
@@ -170,16 +170,20 @@ class Transducer:
         return out
 
     def to_bytes(self) -> bytes:
-        """Every array in the least width that holds it."""
-        out = []
+        """The words, which hold no line end, and every array in the least width that holds it, compressed."""
+        words = "\n".join(self.words.to_pylist()).encode()
+        out = [np.array([len(words)], "<i8").tobytes(), words]
         for x in (y for d in range(DEPTH) for y in (self.starts[d], *self.arcs[d].T)):
             kind = np.min_scalar_type(int(x.max(initial=0)))
             out += [np.array([kind.itemsize, len(x)], "<i8").tobytes(), x.astype(kind).tobytes()]
-        return b"".join(out)
+        raw = b"".join(out)
+        return np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
     @classmethod
-    def from_bytes(cls, words: pa.Array, raw: bytes) -> Transducer:
-        at, found = 0, []
+    def from_bytes(cls, packed: bytes) -> Transducer:
+        raw = pa.decompress(packed[8:], int(np.frombuffer(packed, "<i8", 1)[0]), "zstd", asbytes=True)
+        at, found = 8 + int(np.frombuffer(raw, "<i8", 1)[0]), []
+        words = pa.array(raw[8:at].decode().split("\n") if at > 8 else [], pa.string())
         for _ in range(4 * DEPTH):
             width, n = np.frombuffer(raw, "<i8", 2, at).tolist()
             found.append(np.frombuffer(raw, f"<u{width}", n, at + 16).astype(np.int64))
@@ -210,7 +214,7 @@ def united(parts: list[Transducer], shared: bool = True) -> Transducer:
     words, label = renumbered(pa.concat_arrays([t.words for t in parts]))
     rows, n, at = [], [], 0
     for t in parts:
-        own = np.concatenate([[0], label[at : at + len(t.words)]])
+        own = np.concatenate([[0], label[at : at + len(t.words)]]).astype(np.int32)
         r, k = t.rows()
         rows.append(own[r])
         n.append(k)
@@ -239,7 +243,7 @@ def windows(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return names, rows
 
 
-PARTS = pa.schema([("lang", pa.string()), ("range", pa.int32()), ("n", pa.int64()), ("words", pa.list_(pa.string())), ("arcs", pa.binary())])
+PARTS = pa.schema([("lang", pa.string()), ("range", pa.int32()), ("n", pa.int64()), ("part", pa.binary())])
 Bound = tuple[bytes, ...]
 
 
@@ -250,7 +254,7 @@ def by_lang(b: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
 
 
 def parts(docs: DataFrame, bounds: list[Bound]) -> DataFrame:
-    """lang, range, n (words), words, arcs: the parts of every segment's transducer. A range starts at its bound (language, then words)."""
+    """lang, range, n (words), part: the parts of every segment's transducer. A range starts at its bound (language, then words)."""
 
     def made(lang: str, held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         names, rows = windows(pa.concat_arrays(held))
@@ -261,7 +265,7 @@ def parts(docs: DataFrame, bounds: list[Bound]) -> DataFrame:
         for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
             if a < b:
                 t = part(names, rows[a:b], n[a:b])
-                yield batch(PARTS, [lang], [k], [int(n[a:b].sum())], pa.ListArray.from_arrays([0, len(t.words)], t.words), [t.to_bytes()])
+                yield batch(PARTS, [lang], [k], [int(n[a:b].sum())], [t.to_bytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[pa.Array]] = {}
@@ -278,7 +282,7 @@ def parts(docs: DataFrame, bounds: list[Bound]) -> DataFrame:
         for lang, x in held.items():
             yield from made(lang, x)
 
-    return map_batches(docs, run, "lang string, range int, n long, words array<string>, arcs binary")
+    return map_batches(docs, run, "lang string, range int, n long, part binary")
 
 
 SAMPLED = pa.schema([("key", pa.list_(pa.binary()))])
@@ -320,15 +324,14 @@ def frequent(made: DataFrame, n_ranges: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, at = [], 0, None
         for b in slices(batches, 16):
-            for i, (lang, k, n, arcs) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 1, 2, 4)), strict=True)):
-                words = b.column(3)[i].values
+            for lang, k, n, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and at != (k, lang):
                     yield kept(at[1], united(held, shared=False))
                     held, size = [], 0
                 at = k, lang
-                held.append(Transducer.from_bytes(words, arcs))
+                held.append(Transducer.from_bytes(packed))
                 size += n
-                if len(held) > 1 and size >= 2 * RANGE_WINDOWS:
+                if len(held) > 1 and size >= RANGE_WINDOWS:
                     held, size = [united(held)], 0
         if held:
             yield kept(at[1], united(held, shared=False))

@@ -82,7 +82,7 @@ def test_transducers():
                 plain_rows.update(tuple(w[i : i + 4]) for i in range(len(w)))
             assert table(names, rows, n) == plain_rows
             t = collocations.part(names, rows, n)
-            t = collocations.Transducer.from_bytes(t.words, t.to_bytes())
+            t = collocations.Transducer.from_bytes(t.to_bytes())
             assert table(t.words, *t.rows()) == plain_rows
             made.append((t, plain_rows))
         t, total = collocations.united([t for t, _ in made]), sum((c for _, c in made), Counter())
