@@ -413,3 +413,23 @@ def collocations(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 def op13_collocations(spark, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """DuckDB SQL of op13's rows, by plain counting."""
+    p, cap = Params(), "".join(map(chr, range(65, 91)))
+    part = lambda a, b: f"array_to_string(string_split(c.phrase, ' ')[{a}:{b}], ' ')"
+    return f"""
+    WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{cap}', '{cap.lower()}'), '[.,;:!?\\n-\\r]')) AS x FROM documents),
+    words AS (SELECT lang, list_filter(regexp_split_to_array(x, '[ \\t]+'), lambda w: w <> '') AS ws FROM piece),
+    total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM words GROUP BY lang),
+    placed AS (SELECT lang, unnest(list_transform(generate_series(1, len(ws)), lambda i: ws[i : i + 3])) AS ws FROM words),
+    f AS MATERIALIZED (SELECT lang, m, array_to_string(ws[1 : m], ' ') AS phrase, count(*)::HUGEINT AS f FROM placed, generate_series(1, {DEPTH}) g(m) WHERE m <= len(ws) GROUP BY ALL),
+    c AS MATERIALIZED (SELECT * FROM f WHERE m > 1 AND f >= {p.least}),
+    cut AS (SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, 2000000 * c.f // (l.f + r.f) AS score FROM c, generate_series(1, {DEPTH - 1}) g(k)
+            JOIN f l ON l.lang = c.lang AND l.phrase = {part('1', 'k')} JOIN f r ON r.lang = c.lang AND r.phrase = {part('k + 1', 'c.m')} WHERE k < c.m),
+    lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    longer AS (SELECT c.lang, {part('i', 'i + s - 1')} AS phrase, max(c.f) AS f FROM c, generate_series(2, {DEPTH - 1}) g(s), generate_series(1, {DEPTH - 1}) h(i) WHERE s < c.m AND i + s - 1 <= c.m GROUP BY ALL),
+    kept AS (SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE longer.f IS NULL OR 100 * longer.f < {p.covered} * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+    FROM kept JOIN total USING (lang) QUALIFY rank <= {p.top}"""

@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle()}
+    return {"op2_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(), "op13_collocations": collocations.oracle()}

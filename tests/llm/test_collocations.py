@@ -6,6 +6,7 @@ from collections import Counter
 from fractions import Fraction
 from math import floor
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 
@@ -46,7 +47,11 @@ def test_op13(spark):
     df = registry.queries()["op13_collocations"](spark, sf)
     assert dict(df.dtypes) == {"lang": "string", "phrase": "string"} | dict.fromkeys(("rank", "a", "l", "r", "n", "score"), "bigint")
     rows = got(df)
-    assert len(rows) == len(set(rows)) and set(rows) == plain([(r.lang, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+    want = plain([(r.lang, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    assert set(con.execute(registry.oracle_sql()["op13_collocations"]).fetchall()) == want
 
 
 def test_many_ranges_and_segments(spark, monkeypatch):
