@@ -6,17 +6,42 @@ grows with meetings and common states, not with the square of all players.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feltloom.functions.stats import correlations, ratio
+from feltloom.sources.scratch import written
+
+
+def seated(rows: DataFrame, hand: str = "hand_id") -> DataFrame:
+    """One row for each hand: its rows (_seats) and its players (_players). A hand has few seats; rows without a hand or a player have no seat."""
+    own = F.struct(*[c for c in rows.columns if c != hand])
+    known = rows.where(F.col(hand).isNotNull() & F.col("player").isNotNull())
+    return known.groupBy(hand).agg(F.collect_list(own).alias("_seats"), F.collect_set("player").alias("_players"))
+
+
+def others(player: Column) -> Column:
+    return F.filter("_players", lambda x: x != player)
 
 
 def meetings(rows: DataFrame, hand: str = "hand_id") -> DataFrame:
-    """Each row of a hand with every other player of that hand; a hand has few seats, so this grows with the rows."""
-    other = rows.select(hand, F.col("player").alias("opponent")).distinct()
-    return rows.join(other, hand).where(F.col("player") != F.col("opponent"))
+    """Each row of a hand with every other player of that hand, made from the hand's own seats: one exchange by hand, no join."""
+    own = seated(rows, hand).select(hand, "_players", F.explode("_seats").alias("_own"))
+    return own.select(hand, "_own.*", F.explode(others(F.col("_own.player"))).alias("opponent"))
+
+
+def faced(rows: DataFrame, d: DataFrame, hand: str = "hand_id") -> DataFrame:
+    """Each decision with every other player of its hand: seats and decisions are stacked and meet in the hand's group, again by one exchange and no join.
+
+    Decisions of a hand without seats, or without a hand or a player, face nobody. The group holds one hand.
+    """
+    decision = F.struct(*[c for c in d.columns if c != hand])
+    made = d.select(hand, decision.alias("_d"), F.lit(None).cast(rows.schema["player"].dataType).alias("_p"))
+    seats = rows.select(hand, F.lit(None).cast(made.schema["_d"].dataType).alias("_d"), F.col("player").alias("_p"))
+    both = made.union(seats).where(F.col(hand).isNotNull()).groupBy(hand).agg(F.collect_list("_d").alias("_made"), F.collect_set("_p").alias("_players"))
+    own = both.select(hand, "_players", F.explode("_made").alias("_own"))
+    return own.select(hand, "_own.*", F.explode(others(F.col("_own.player"))).alias("opponent"))
 
 
 def actual(rows: DataFrame) -> DataFrame:
@@ -82,18 +107,35 @@ def agreement(scored: DataFrame) -> DataFrame:
 
 
 def sweep(rows: DataFrame, d: DataFrame, grid: list[tuple[str, int, str]], min_hands: int) -> DataFrame:
-    """Agreement for each (state, nmin, action) of a grid of settings."""
-    out = None
-    for state, nmin, action in grid:
-        one = agreement(evaluated(rows, d, nmin, min_hands, state=state, action=action))
-        one = one.select(F.lit(state).alias("state"), F.lit(nmin).alias("nmin"), F.lit(action).alias("action"), "n", "pearson", "spearman")
-        out = one if out is None else out.union(one)
-    return out
+    """Agreement for each (state, nmin, action) of a grid of settings; n is 0 where no pair has a score.
+
+    One plan for the whole grid: decisions are stacked once for each (state, action), values don't depend on nmin, pairs are joined to them once, and a common state
+    counts for every setting whose nmin both sides reach.
+    """
+    spark = d.sparkSession
+    keys = list(dict.fromkeys((state, action) for state, _, action in grid))
+    settings = spark.createDataFrame([(i, keys.index((state, action)), state, nmin, action) for i, (state, nmin, action) in enumerate(grid)], "i int, k int, state string, nmin int, action string")
+    stack = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(state).alias("s"), F.col(action).alias("a")) for i, (state, action) in enumerate(keys)]))
+    cell = d.select("player", "r_c", stack.alias("_k")).select("player", "r_c", "_k.*").groupBy("k", "player", "s", "a").agg(F.count("*").alias("c"), F.count("r_c").alias("known"), F.sum("r_c").alias("r"))
+    cell = written(cell, "sweep-cells")
+    q = cell.groupBy("k", "s", "a").agg((ratio(F.sum("r"), F.sum("known")) / 100.0).alias("q"))
+    weight = cell.groupBy("k", "s").agg(F.sum("c").cast("double").alias("w"))
+    least = settings.groupBy("k").agg(F.min("nmin").alias("least"))
+    valued = cell.join(q, ["k", "s", "a"], "left").groupBy("k", "player", "s").agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("q")) / F.sum("c")).alias("v"))
+    valued = valued.join(F.broadcast(least), "k").where("n >= least").drop("least").join(weight, ["k", "s"])
+    theirs = valued.select("k", "s", F.col("player").alias("opponent"), F.col("n").alias("n2"), F.col("v").alias("v2"))
+    both = actual(rows).where(F.col("n_hands") >= min_hands).join(valued, "player").join(theirs, ["k", "s", "opponent"])
+    each = both.join(F.broadcast(settings), "k").where(F.least("n", "n2") >= F.col("nmin"))
+    diff = F.col("w") * (F.coalesce("v", F.lit(0.0)) - F.coalesce("v2", F.lit(0.0)))
+    scored = each.groupBy("i", "player", "opponent").agg((F.sum(diff) / F.sum("w") * 100).alias("score"), F.max("actual").alias("actual"), F.count("v").alias("_k1"), F.count("v2").alias("_k2"))
+    rounded = scored.where("_k1 > 0 AND _k2 > 0").withColumns({c: F.round(c, 9) for c in ("score", "actual")})
+    out = correlations(rounded, "score", "actual", ("i",), many=True)
+    return settings.join(out, "i", "left").select("state", "nmin", "action", F.coalesce("n", F.lit(0)).alias("n"), "pearson", "spearman")
 
 
 def opponent_actions(rows: DataFrame, d: DataFrame, state: str = "s_core", action: str = "a") -> DataFrame:
     """How often a player took each action in each state with an opponent at the table."""
-    met = d.join(rows.select("hand_id", F.col("player").alias("opponent")).distinct(), "hand_id").where(F.col("player") != F.col("opponent"))
+    met = faced(rows, d)
     return met.groupBy("player", "opponent", F.col(state).alias("s"), F.col(action).alias("a")).agg(F.count("*").alias("c"))
 
 
@@ -103,7 +145,7 @@ def sizes(rows: DataFrame, d: DataFrame, prefixes: tuple[str, ...], state: str =
     test = None
     for x in prefixes:
         test = F.col(action).startswith(x) if test is None else test | F.col(action).startswith(x)
-    met = wanted.where(test).join(rows.select("hand_id", F.col("player").alias("opponent")).distinct(), "hand_id").where(F.col("player") != F.col("opponent"))
+    met = faced(rows, wanted.where(test))
     each = met.groupBy("player", "opponent", F.col(state).alias("s"), F.col(action).alias("a"), F.col(size).alias("size")).agg(F.count("*").alias("c"))
     return each.groupBy("player", "opponent", "s", "a").agg(F.array_sort(F.collect_list(F.struct("size", "c"))).alias("sizes"), F.sum("c").alias("n"))
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from feltloom.functions.stats import correlations, ratio
+from feltloom.functions.stats import correlations, cumulative, ratio
 from feltloom.operators import pairs
+from feltloom.sources import layout
+from feltloom.sources.scratch import written
 
 
 def half(key: Column) -> Column:
@@ -21,12 +23,36 @@ def moments(rows: DataFrame, by: tuple[str, ...], x: str = "net_c") -> DataFrame
     return rows.where(F.col(x).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(square).cast("double").alias("ss"))
 
 
+def split_state(rows: DataFrame, shard: str | None = None) -> DataFrame:
+    """Moments of each player (opponent NULL) and of each directed pair in each half, in one pass: a seat counts once for itself and once for each opponent.
+
+    ss stays an exact decimal, so states of several shards merge to what one run over all gives. A shard holds whole hands; rows without a hand or a player count nowhere.
+    """
+    by = (shard,) if shard else ()
+    own = rows.withColumn("split", half(F.concat_ws(":", "site", "hand_id"))).select(*by, "hand_id", "player", "split", "net_c")
+    seats = pairs.seated(own).select("_players", F.explode("_seats").alias("_own"))
+    nobody = F.array(F.lit(None).cast("string"))
+    each = seats.select("_own.*", F.explode(F.concat(nobody, pairs.others(F.col("_own.player")))).alias("opponent"))
+    square = F.col("net_c").cast("decimal(19,0)") * F.col("net_c").cast("decimal(19,0)")
+    kind = F.when(F.col("opponent").isNull(), "player").otherwise("pair").alias("kind")
+    known = each.where(F.col("net_c").isNotNull())
+    return known.groupBy(*by, kind, "player", "opponent", "split").agg(F.count("*").alias("n"), F.sum("net_c").alias("s"), F.sum(square).alias("ss"))
+
+
+def merged(states: DataFrame) -> DataFrame:
+    """The moments of states of any shards, in any order."""
+    out = states.groupBy("kind", "player", "opponent", "split").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    return out.withColumn("ss", F.col("ss").cast("double"))
+
+
+def keep_state(rows: DataFrame, path: str, shard: str) -> None:
+    """Write the states of the shards that rows hold; a shard that is there already is replaced, the others stay, and none of them is read."""
+    layout.partitioned(split_state(rows, shard), path, shard)
+
+
 def split_moments(rows: DataFrame) -> DataFrame:
-    """Moments of each player and of each directed pair in each half, from one pass over the meetings and one over the rows."""
-    own = rows.withColumn("split", half(F.concat_ws(":", "site", "hand_id")))
-    one = moments(own, ("player", "split")).select(F.lit("player").alias("kind"), "player", F.lit(None).cast("string").alias("opponent"), "split", "n", "s", "ss")
-    two = moments(pairs.meetings(own), ("player", "opponent", "split")).select(F.lit("pair").alias("kind"), "player", "opponent", "split", "n", "s", "ss")
-    return one.union(two)
+    """Moments of each player and of each directed pair in each half, from one pass over the rows."""
+    return split_state(rows).withColumn("ss", F.col("ss").cast("double"))
 
 
 def with_errors(m: DataFrame, scale: float = 1000000.0) -> DataFrame:
@@ -44,11 +70,8 @@ def halves(m: DataFrame, key: tuple[str, ...]) -> DataFrame:
 
 
 def split_summary(m: DataFrame) -> DataFrame:
-    out = None
-    for kind, key in (("player", ("player",)), ("pair", ("player", "opponent"))):
-        one = correlations(halves(m.where(F.col("kind") == kind), key), "bb_0", "bb_1", many=kind == "pair").select(F.lit(kind).alias("kind"), "n", "pearson", "spearman")
-        out = one if out is None else out.union(one)
-    return out
+    """Agreement of the two halves, for players and for pairs: halves of both kinds are one table, ranked within their kind in one go."""
+    return correlations(halves(m, ("kind", "player", "opponent")), "bb_0", "bb_1", ("kind",), many=True)
 
 
 def pair_rollup(m: DataFrame, top: int = 40) -> DataFrame:
@@ -100,6 +123,11 @@ def residual_scores(d: DataFrame, rows: DataFrame, least: int = 10, state: str =
 
 
 def ranked_names(scores: DataFrame, by: str = "residual", top: int | None = None) -> DataFrame:
-    """rank and player, best first: all of them, or the top ones only."""
-    ranked = scores.select(F.row_number().over(W.orderBy(F.desc(by), "player")).alias("rank"), "player")
+    """rank and player, best first, ties by name: all of them, or the top ones only.
+
+    Places come from the counts of the scores, range by range; only players of one score are put in order together. Players without a score are left out.
+    """
+    scores = written(scores.where(F.col(by).isNotNull()).select("player", (-F.col(by)).alias("_s")), "scores")
+    before = cumulative(scores, "_s").select(F.col("_v").alias("_s"), "_start")
+    ranked = scores.join(before, "_s").select((F.col("_start") + F.row_number().over(W.partitionBy("_s").orderBy("player"))).cast("int").alias("rank"), "player")
     return (ranked.where(F.col("rank") <= top) if top else ranked).orderBy("rank")

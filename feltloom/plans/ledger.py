@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from feltloom.functions import buckets, cards
-from feltloom.operators import ledger, texture
+from feltloom.operators import ledger, profile, texture
 from feltloom.plans import ledger_sql as q
 from feltloom.plans.base import query
 from feltloom.plans import logs
@@ -231,6 +231,13 @@ def _(spark, d):
     return enriched(spark, d).agg(*[F.countDistinct(s).alias(f"n_{s}") for s in ("s_core", "s_fine", "s_hole", "s_sim", "s_pdf")])
 
 
+@query("c10_sketched_states")
+def _(spark, d):
+    """The same from a sketch a street, within the sketch's error, so without SQL."""
+    keys = ("s_core", "s_fine", "s_hole", "s_sim", "s_pdf")
+    return profile.sketched_distinct(profile.distinct_sketch(enriched(spark, d), keys, ("street",)), keys)
+
+
 SCORES = "CASE hero_hand_bucket WHEN 'straight_flush' THEN 8.0 WHEN 'quads' THEN 7.0 WHEN 'full_house' THEN 6.0 WHEN 'flush' THEN 5.0 WHEN 'straight' THEN 4.0 WHEN 'trips' THEN 3.0 WHEN 'two_pair' THEN 2.0 WHEN 'overpair_pair' THEN 1.2 WHEN 'pair' THEN 1.0 WHEN 'flush_draw' THEN 0.4 WHEN 'high_card' THEN 0.0 ELSE 0.5 END::DOUBLE"
 DYN = "CASE WHEN street IN (0, 3) THEN 0.0 WHEN contains(board_bucket, 'm') THEN 0.35 WHEN contains(board_bucket, 'c') THEN 0.25 WHEN contains(board_bucket, 't') THEN 0.18 ELSE 0.08 END::DOUBLE"
 

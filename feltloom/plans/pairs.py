@@ -10,6 +10,7 @@ from feltloom.plans import ledger, ledger_sql
 from feltloom.plans.base import query
 from feltloom.plans.estimators import corr_sql, nan
 from feltloom.sources import bindings as b
+from feltloom.sources.scratch import folder
 
 N, M, NM = f"WITH {b.N_SQL}", f"WITH {b.M_SQL}", f"WITH {b.N_SQL}, {b.M_SQL}"
 NMIN, MIN_HANDS = 10, 10
@@ -253,6 +254,15 @@ def _(spark, d):
     return _moments(spark, d)
 
 
+@query("l3_merged_shards", f"{N}, {SPLIT} SELECT kind, player, opponent, split, n, s, ss FROM mom")
+def _(spark, d):
+    """A state a day, kept in two batches, the first of them written twice; their merge is what one run gives."""
+    rows, path = b.n(spark, d), folder(spark, "moments")
+    for days in ("day <= 13", "day > 13", "day <= 13"):
+        reliability.keep_state(rows.where(days), path, "day")
+    return reliability.merged(spark.read.parquet(path))
+
+
 VAR = "(CASE WHEN n > 1 THEN greatest(0, (ss / 1000000.0 / 1000000.0 - n * (s::DOUBLE / n / 1000000.0) * (s::DOUBLE / n / 1000000.0)) / (n - 1)) ELSE 0 END)"
 
 

@@ -51,6 +51,12 @@ def _(spark, d):
     return profile.quantiles(profile.entity_counts(b.n(spark, d)), "hands")
 
 
+@query("d6_sketched_quantiles")
+def _(spark, d):
+    """The same from a sketch a site: within the sketch's error, so without SQL; tests/test_pairs.py holds sketches against exact ranks."""
+    return profile.sketched_quantiles(profile.value_sketch(profile.entity_counts(b.n(spark, d)), "hands", ("site",)))
+
+
 @query("d7_hands_thresholds", f"{N}, {COUNTS} SELECT " + ", ".join(f"count(*) FILTER (hands >= {c}) AS ge_{c}" for c in CUTS) + " FROM pc")
 def _(spark, d):
     return profile.at_least(profile.entity_counts(b.n(spark, d)), "hands", CUTS)
@@ -72,6 +78,12 @@ def _(spark, d):
     return profile.quantiles(each, "decisions").crossJoin(profile.at_least(each, "decisions", EVENT_CUTS))
 
 
+@query("d9_sketched_quantiles")
+def _(spark, d):
+    """As d6_sketched_quantiles, of decisions."""
+    return profile.sketched_quantiles(profile.value_sketch(support.entity_summary(b.v(spark, d)), "decisions", ("site",)))
+
+
 @query(
     "d10_visibility",
     f"{N} SELECT round(avg(saw_hole::INT), 6) AS hole_rate, round(avg(reached_showdown::INT), 6) AS showdown_rate, round(avg(CASE WHEN reached_showdown THEN saw_hole::INT END), 6) AS hole_at_showdown, round(avg(CASE WHEN NOT reached_showdown THEN saw_hole::INT END), 6) AS hole_elsewhere, round(avg(vpip::INT), 6) AS vpip_rate FROM n",
