@@ -141,8 +141,9 @@ class Evaluation:
     scores: DataFrame
 
 
-def evaluate(d: DataFrame, p: Params = Params()) -> Evaluation:
-    sheet = realised(d, p, p.reward, p.scale)
+def evaluate(d: DataFrame, p: Params = Params(), sheet: DataFrame | None = None) -> Evaluation:
+    """sheet: winrates from participant rows, where there are such; otherwise from the decisions' rewards."""
+    sheet = realised(d, p, p.reward, p.scale) if sheet is None else sheet
     members = cohort(sheet, p.min_train, p.min_test)
     cell = cells(train_decisions(d, members, p), p)
     met = eligible(cell, p)
@@ -162,9 +163,9 @@ def summary(scores: DataFrame, met: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(met.agg(F.count("*").alias("n_states"))))
 
 
-def ablation(d: DataFrame, states: dict[str, Column], p: Params = Params()) -> DataFrame:
-    """The skill's rank agreement for each way of keying states: the keys are stacked as rows, so that one pass serves all."""
-    members = cohort(realised(d, p, p.reward, p.scale), p.min_train, p.min_test)
+def ablation(d: DataFrame, states: dict[str, Column], p: Params = Params(), sheet: DataFrame | None = None) -> DataFrame:
+    """The skill's rank agreement for each way of keying states: the keys are stacked as rows, so that one pass serves all. sheet as in ``evaluate``."""
+    members = cohort(realised(d, p, p.reward, p.scale) if sheet is None else sheet, p.min_train, p.min_test)
     cd = train_decisions(d, members, p)
     labels = F.explode(F.array(*[F.struct(F.lit(k).alias("label"), c.alias("key")) for k, c in states.items()])).alias("_k")
     stacked = cd.select(*p.entity, p.action, p.reward, labels).select(*p.entity, p.action, p.reward, "_k.label", "_k.key").where("key IS NOT NULL")

@@ -151,12 +151,24 @@ def _(spark, d):
     return support.supported_fraction(_cohort(spark, d), GRID_N)
 
 
-@query(
-    "e6_coverage_grid",
-    f"{V}, {COHORT}, {SUPPORT}, g AS (SELECT * FROM (SELECT unnest([3, 5, 10]) AS n) CROSS JOIN (SELECT unnest([0.1, 0.2, 0.3, 0.5])::DOUBLE AS x)), z AS (SELECT count(*) AS size FROM c) "
-    "SELECT n, x, count(*) FILTER (ok) AS states, round(coalesce(sum(decisions) FILTER (ok), 0)::DOUBLE / sum(decisions), 6) AS share FROM (SELECT g.n, g.x, decisions, "
-    "CASE g.n WHEN 3 THEN obs_3 WHEN 5 THEN obs_5 ELSE obs_10 END >= g.x * size AND eligible >= 20 AS ok FROM ss, g, z) GROUP BY ALL",
-)
+def grid_sql(head: str = V) -> str:
+    return (
+        f"{head}, {COHORT}, {SUPPORT}, g AS (SELECT * FROM (SELECT unnest([3, 5, 10]) AS n) CROSS JOIN (SELECT unnest([0.1, 0.2, 0.3, 0.5])::DOUBLE AS x)), z AS (SELECT count(*) AS size FROM c) "
+        "SELECT n, x, count(*) FILTER (ok) AS states, round(coalesce(sum(decisions) FILTER (ok), 0)::DOUBLE / sum(decisions), 6) AS share FROM (SELECT g.n, g.x, decisions, "
+        "CASE g.n WHEN 3 THEN obs_3 WHEN 5 THEN obs_5 ELSE obs_10 END >= g.x * size AND eligible >= 20 AS ok FROM ss, g, z) GROUP BY ALL"
+    )
+
+
+def grid(v):
+    members = support.cohort(support.entity_summary(v), MIN_HANDS[0])
+    return support.coverage_grid(support.cohort_states(v, members, "s_core"), members, GRID_N, GRID_X)
+
+
+@query("e6_coverage_grid", grid_sql())
 def _(spark, d):
-    v = b.v(spark, d)
-    return support.coverage_grid(_cohort(spark, d), support.cohort(support.entity_summary(v), MIN_HANDS[0]), GRID_N, GRID_X)
+    return grid(b.v(spark, d))
+
+
+@query("e6_grid_of_replay", grid_sql(f"{ledger.STATES}, v AS (SELECT site, player, hand_id, s_core FROM s3)"))
+def _(spark, d):
+    return grid(ledger.enriched(spark, d))

@@ -13,8 +13,8 @@ from feltloom.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = (
-    "a1_section_blocks a9_transcript_blocks a15_fixed_limit_hands a16_sampled_files a18_bucketed_join a21_enriched_by_street a21_persisted_table b13_position_label b17_rake b18_exact_nets b21_hand_scores b22_hand_player c7_state_keys d6_hands_quantiles d13_conservation e6_coverage_grid f10_entity_policy f13_score_sheet "
-    "h4_incremental_eta_squared i6_head_to_head j9_score_agreement k7_tercile_bins k8_attached_bins l5_split_half_correlations l8_integrity l14_residual_score s1_incremental_replay"
+    "a1_section_blocks a9_transcript_blocks a15_fixed_limit_hands a16_sampled_files a18_bucketed_join a21_enriched_by_street a21_persisted_table b13_position_label b17_rake b18_exact_nets b21_hand_scores b22_hand_player c7_state_keys d6_hands_quantiles d13_conservation e6_coverage_grid e6_grid_of_replay f10_entity_policy f13_score_sheet f13_scores_of_replay "
+    "h4_incremental_eta_squared i6_head_to_head j1_opponent_self_join j9_score_agreement j11_sensitivity_sweep j12_opponent_actions j13_action_sizes k7_tercile_bins k8_attached_bins l3_merged_shards l3_split_moments l5_split_half_correlations l8_integrity l12_unordered_pair_halves l14_residual_score l15_ranked_names s1_incremental_replay"
 ).split()
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feltloom.functions import cards, hand_scores
 from feltloom.operators import texture
-from feltloom.plans import base, ledger
+from feltloom.plans import base, estimators, ledger
 
 SF = "/root/testdata/sf0.001"
 NAMES = [r + s for r in hand_scores.RANKS for s in hand_scores.SUITS]
@@ -92,6 +92,57 @@ def test_texture_queries_match_plain_python(spark, monkeypatch):
     assert {(r.street, r.wtile, r.dtile): r.n for r in base.QUERIES["g9_texture_join"](spark, SF).collect()} == want
     assert {r.s: r.n for r in base.QUERIES["c12_texture_state"](spark, SF).collect()} == states
 
+    rows = [r.asDict() for r in estimators.textured(spark, SF).select("site", "player", "hand_id", "day", "a", "s_core", "s_fine", "board", "reward_bb").collect()]
+    key = {"core": lambda r: r["s_core"], "fine": lambda r: r["s_fine"]}
+    for name, of in list(key.items()):
+        key[name + "_texture"] = lambda r, of=of: of(r) + (f"|W{w[key_of[r['board'][:6]]]}|D{d[key_of[r['board'][:6]]]}" if len(r["board"]) >= 6 else "")
+    p = estimators.P_REPLAY
+    nets = {}
+    for r in ledger.seats(spark, SF).select("site", "player", "day", "net_bb").where("net_bb IS NOT NULL").collect():
+        nets.setdefault((r.site, r.player), ([], []))[r.day > p.split_day].append(r.net_bb)
+    members = {k: round(100 * sum(b) / len(b), 6) for k, (a, b) in nets.items() if len(a) >= p.min_train and len(b) >= p.min_test}
+    got = {r.label: r for r in base.QUERIES["f20_texture_states"](spark, SF).collect()}
+    assert set(got) == set(key) and members
+    for label, of in key.items():
+        by_state, by_action, own, crowd = {}, {}, {}, {}
+        for r in rows:
+            who = r["site"], r["player"]
+            if r["day"] <= p.split_day and who in members:
+                crowd.setdefault(of(r), set()).add(who)
+                own.setdefault(who, {}).setdefault((of(r), r["a"]), []).append(r["reward_bb"])
+                by_action.setdefault((of(r), r["a"]), []).append(r["reward_bb"])
+        common = {s for s, who in crowd.items() if len(who) >= p.min_eligible}
+        known = lambda xs: [x for x in xs if x is not None]
+        mean = lambda xs: sum(xs) / len(xs)
+        skill = {who: 0.0 for who in members}
+        for who, made in own.items():
+            seen = {sa: xs for sa, xs in made.items() if sa[0] in common}
+            gains = [len(xs) * (mean(known(xs)) - mean(known(by_action[sa]))) for sa, xs in seen.items() if len(known(xs)) >= p.nmin_sa]
+            skill[who] = round(sum(gains) / sum(map(len, seen.values())), 6) if gains else 0.0
+        x, y = ([v[k] for k in sorted(members)] for v in (skill, members))
+        assert (got[label].n, got[label].n_states) == (len(members), len(common))
+        for found, a, b in ((got[label].pearson, x, y), (got[label].spearman, ranks(x), ranks(y))):
+            assert abs(found - np.corrcoef(a, b)[0, 1]) < 1e-5 if np.std(a) else found is None
+
+    played = {}
+    for r in rows:
+        played.setdefault((r["site"], r["player"]), set()).add(r["hand_id"])
+    rows = [r for r in rows if len(played[r["site"], r["player"]]) >= estimators.MIN_HANDS]
+    got = {(r.value, r.label): r for r in base.QUERIES["h4_texture_eta_squared"](spark, SF).collect()}
+    for value, of_row in (("reward", lambda r: r["reward_bb"]), ("fold", lambda r: float(r["a"] == "f"))):
+        before = None
+        for label in ("core", "core_texture", "fine", "fine_texture"):
+            groups = {}
+            for r in rows:
+                if of_row(r) is not None:
+                    groups.setdefault(key[label](r), []).append(of_row(r))
+            every = np.concatenate([np.array(g) for g in groups.values()])
+            eta = sum(len(g) * (np.mean(g) - every.mean()) ** 2 for g in groups.values()) / (every.var() * len(every))
+            r = got[value, label]
+            assert (r.n_groups, r.n) == (len(groups), len(every)) and abs(r.eta2 - eta) < 2e-6
+            assert r.gain is None if before is None else abs(r.gain - (eta - before)) < 4e-6
+            before = eta
+
 
 def test_all_classes_of_the_deck(spark):
     rows = base.QUERIES["g3_class_representatives"](spark, SF).collect()
