@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feltloom.functions.stats import correlations, ratio
+from feltloom.operators.profile import QUANTILE_K
 from feltloom.sources.scratch import written
 
 
@@ -139,15 +140,35 @@ def opponent_actions(rows: DataFrame, d: DataFrame, state: str = "s_core", actio
     return met.groupBy("player", "opponent", F.col(state).alias("s"), F.col(action).alias("a")).agg(F.count("*").alias("c"))
 
 
-def sizes(rows: DataFrame, d: DataFrame, prefixes: tuple[str, ...], state: str = "s_core", action: str = "a", size: str = "size") -> DataFrame:
-    """The sizes seen for actions with one of the prefixes, as value counts in ascending order: lists bounded by the distinct sizes."""
-    wanted = d.where(F.col(size).isNotNull())
-    test = None
+def sized(rows: DataFrame, d: DataFrame, prefixes: tuple[str, ...], state: str, action: str, size: str) -> DataFrame:
+    """player, opponent, s, a, size of each decision with a known size and one of the prefixes, for every other player of its hand."""
+    test = F.lit(False)
     for x in prefixes:
-        test = F.col(action).startswith(x) if test is None else test | F.col(action).startswith(x)
-    met = faced(rows, wanted.where(test))
-    each = met.groupBy("player", "opponent", F.col(state).alias("s"), F.col(action).alias("a"), F.col(size).alias("size")).agg(F.count("*").alias("c"))
-    return each.groupBy("player", "opponent", "s", "a").agg(F.array_sort(F.collect_list(F.struct("size", "c"))).alias("sizes"), F.sum("c").alias("n"))
+        test = test | F.col(action).startswith(x)
+    met = faced(rows, d.where(F.col(size).isNotNull() & test))
+    return met.select("player", "opponent", F.col(state).alias("s"), F.col(action).alias("a"), F.col(size).alias("size"))
+
+
+CELL = ("player", "opponent", "s", "a")
+
+
+def sizes(rows: DataFrame, d: DataFrame, prefixes: tuple[str, ...], state: str = "s_core", action: str = "a", size: str = "size") -> DataFrame:
+    """The sizes seen for actions with one of the prefixes, as value counts in ascending order: lists bounded by the distinct sizes. See ``size_sketches`` where these are many."""
+    each = sized(rows, d, prefixes, state, action, size).groupBy(*CELL, "size").agg(F.count("*").alias("c"))
+    return each.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("size", "c"))).alias("sizes"), F.sum("c").alias("n"))
+
+
+def size_sketches(rows: DataFrame, d: DataFrame, prefixes: tuple[str, ...], k: int = QUANTILE_K, state: str = "s_core", action: str = "a", size: str = "size") -> DataFrame:
+    """The same distributions as quantile sketches: a cell takes bounded memory, however many sizes it saw, and sketches of several shards merge. Error as in ``profile.value_sketch``."""
+    each = sized(rows, d, prefixes, state, action, size).where(~F.isnan(F.col("size").cast("double")))
+    x = F.col("size").cast("double")
+    return each.groupBy(*CELL).agg(F.kll_sketch_agg_double(x, k).alias("sketch"), F.min(x).alias("min"), F.max(x).alias("max"), F.count("*").alias("n"))
+
+
+def size_quantiles(sketches: DataFrame, shares: dict[str, float], k: int = QUANTILE_K) -> DataFrame:
+    """Rows, ends and quantiles of each cell from the sketches of any shards."""
+    one = sketches.groupBy(*CELL).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("n").alias("n"))
+    return one.select(*CELL, "n", "min", *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in shares.items()], "max")
 
 
 def population_actions(counts: DataFrame) -> DataFrame:

@@ -142,6 +142,12 @@ def _(spark, d):
     return out.withColumn("sizes", F.array_join(shown, ","))
 
 
+@query("j13_sketched_sizes")
+def _(spark, d):
+    """Quantiles of the same distributions from bounded sketches: within their error, so without SQL; tests/test_pairs.py holds them against exact ranks."""
+    return pairs.size_quantiles(pairs.size_sketches(b.n(spark, d), b.m(spark, d), ("A", "R")), {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+
+
 @query("j14_population_actions", f"{NM}, {OPP} SELECT s_core AS s, a, count(*) AS c FROM mo GROUP BY ALL")
 def _(spark, d):
     return pairs.population_actions(pairs.opponent_actions(b.n(spark, d), b.m(spark, d)))

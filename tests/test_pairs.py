@@ -95,3 +95,22 @@ def test_sketches_merge_within_their_error(spark):
     assert many.n_y == 5 and abs(many.n_x / len(set(values)) - 1) < 0.04
     assert tuple(profile.sketched_distinct(shards.limit(0), ("x", "y")).first()) == (0, 0)
     assert set(profile.sketched_quantiles(profile.value_sketch(df.limit(0), "x")).first()) == {None}
+
+
+def test_size_sketches_of_cells(spark):
+    rng = random.Random(6)
+    seats = spark.createDataFrame([("x", "h", p, 0) for p in "ab"], ROWS)
+    values = {("s", "A1"): [rng.lognormvariate(0, 2) for _ in range(20000)], ("t", "R1"): [3.0, 1.0, 2.0, 2.0], ("t", "C1"): [5.0]}
+    made = [("h", "a", s, a, x) for (s, a), xs in values.items() for x in xs] + [("h", "a", "t", "R1", None), ("h", "a", "t", "R1", float("nan"))]
+    d = spark.createDataFrame(made, "hand_id string, player string, s_core string, a string, size double")
+    one, two = (pairs.size_sketches(seats, d.where(part), ("A", "R")) for part in ("size < 1", "NOT size < 1"))
+    shares = {"low": 0.1, "mid": 0.5, "high": 0.9}
+    got = {(r.s, r.a): r for r in pairs.size_quantiles(one.union(two), shares).collect()}
+    assert set(got) == {("s", "A1"), ("t", "R1")} and {(r.player, r.opponent) for r in got.values()} == {("a", "b")}
+    for cell, r in got.items():
+        order = sorted(values[cell])
+        assert (r.n, r.min, r.max) == (len(order), order[0], order[-1])
+        for name, p in shares.items():
+            low, high = int((p - 0.02) * len(order)) - 1, int((p + 0.02) * len(order)) + 1
+            assert order[max(low, 0)] <= r[name] <= order[min(high, len(order) - 1)]
+    assert pairs.size_quantiles(one.limit(0), shares).count() == 0
