@@ -6,6 +6,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -21,8 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_passing: ContextVar[str | None] = ContextVar("passing", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one, which only a local master can share with its tasks."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one, which only a local master can share with its tasks.
+
+    Within ``passing_tables`` it is that block's own folder below it.
+    """
+    if inner := _passing.get():
+        return inner
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
@@ -32,10 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: lineage ends there, and a lost executor costs a re-read only."""
+def written(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """df written as Parquet into the shared folder, or to path, and read again: lineage ends there, and a lost executor costs a re-read only."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("error").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -43,6 +53,28 @@ def written(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder of whatever store Spark's path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[str]:
+    """Tables written in this block go into a folder of their own, which is removed at its end, also after an error.
+
+    Gives the folder outside of it. What the block computes has to be written there before it ends: nothing can be read of the block's tables later.
+    """
+    outer = shared_dir(spark)
+    path = f"{outer}/passing-{uuid.uuid4().hex}"
+    token = _passing.set(path)
+    try:
+        yield outer
+    finally:
+        _passing.reset(token)
+        drop(spark, path)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches cut to at most this many rows."""
     for batch in batches:

@@ -5,7 +5,7 @@ follows its weight among its siblings, but no node gets more than its capacity,
 node cannot use goes to its siblings, by their weights, and as a parent never gets more than its children can take, only what
 all siblings together cannot use has gone to the parent's own siblings: shortages are made up among siblings first, then among ancestors.
 Among siblings with weights w and capacities c, the dealing is min(c, level * w) with the one level that spends the budget; it
-comes from running sums in the order of c / w.
+comes from running sums in the order of c / w, which are summed range by range of that order.
 
 A leaf's documents are put in a seeded order of their own for each epoch, and the leaf takes the shortest prefix of
 epoch after epoch that reaches its budget, in tokens. Running sums are split: every epoch of a leaf is cut into ``parts``
@@ -58,26 +58,48 @@ def weight_of(level: str, p: Params) -> Column:
     return named.cast("double")
 
 
+def sibling_sums(per: DataFrame, above: list[str], level: str) -> DataFrame:
+    """per with c_before and w_before, the sums over a node's siblings before it in the order of c / w, w_all and the parent's budget b_all.
+
+    Siblings are dealt by ranges of that order, so that the millions of sources of one language are many tasks; a range adds the sums of the
+    ranges before it. All sums are of whole numbers, so that where the ranges are cut doesn't change them. The ranges are written, as they have to stay what they are.
+    """
+    ranged = per.withColumn("ratio", F.col("c") / F.col("w"))
+    ranged = written(ranged.repartitionByRange(*above, "ratio", level).withColumn("range", F.spark_partition_id()), f"mix-{level}")
+    sums = ranged.groupBy(*above, "range").agg(F.sum("c").alias("c_range"), F.sum("w").alias("w_range"), F.max("b").alias("b_range"))
+    earlier = W.partitionBy(*above).orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow)
+    every = W.partitionBy(*above)
+    sums = sums.select(
+        *above,
+        "range",
+        (F.sum("c_range").over(earlier) - F.col("c_range")).alias("c_earlier"),
+        (F.sum("w_range").over(earlier) - F.col("w_range")).alias("w_earlier"),
+        F.sum("w_range").over(every).alias("w_all"),
+        F.max("b_range").over(every).alias("b_all"),
+    )
+    inside = W.partitionBy(*above, "range").orderBy("ratio", level).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranged = ranged.withColumns({"c_inside": F.sum("c").over(inside) - F.col("c"), "w_inside": F.sum("w").over(inside) - F.col("w")}).join(sums, [*above, "range"])
+    return ranged.withColumns({"c_before": F.col("c_earlier") + F.col("c_inside"), "w_before": F.col("w_earlier") + F.col("w_inside")})
+
+
 def budgets(leaves: DataFrame, p: Params) -> DataFrame:
     """The leaves (domain, lang, source, tokens) with their budgets. A row for each leaf: as many as there are distinct sources and languages."""
     nodes = leaves.withColumn("cap", (F.col("tokens") * p.max_epochs).cast("double"))
-    total = W.partitionBy()
-    nodes = nodes.withColumn("root", F.least(F.floor(F.sum("tokens").over(total) * p.budget_permille / 1000), F.sum("cap").over(total)).cast("double"))
+    whole = nodes.agg(F.least(F.floor(F.sum("tokens") * p.budget_permille / 1000), F.sum("cap")).cast("double").alias("root")).first()
     above: list[str] = []
-    budget = F.col("root")
+    budget = F.lit(whole.root or 0.0)
     for level in LEVELS:
         path = [*above, level]
         per = nodes.groupBy(*path).agg(F.sum("cap").alias("c"), F.max(budget).alias("b")).withColumn("w", weight_of(level, p))
-        order = W.partitionBy(*above).orderBy(F.col("c") / F.col("w"), level)
-        up_to = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-        every = W.partitionBy(*above)
         # With the k smallest ratios full, the rest share what is left by weight; the level is that of the first node which stays unfilled, the greatest of the unfilled ones.
-        left = F.col("b") - (F.sum("c").over(up_to) - F.col("c"))
-        rest = F.sum("w").over(every) - (F.sum("w").over(up_to) - F.col("w"))
-        per = per.withColumn("level", left / rest).withColumn("full", F.col("c") <= F.col("level") * F.col("w"))
-        per = per.withColumn("level", F.max(F.when(~F.col("full"), F.col("level"))).over(every))
-        per = per.withColumn(f"b_{level}", F.when(F.col("full"), F.col("c")).otherwise(F.col("level") * F.col("w")))
-        nodes = nodes.join(per.select(*path, f"b_{level}"), path)
+        per = sibling_sums(per, above, level)
+        per = per.withColumn("level", (F.col("b_all") - F.col("c_before")) / (F.col("w_all") - F.col("w_before"))).withColumn("full", F.col("c") <= F.col("level") * F.col("w"))
+        cuts = per.groupBy(*above).agg(F.max(F.when(~F.col("full"), F.col("level"))).alias("cut"))
+        # The cut goes to the ranges first, then to the nodes of each, so that no parent's children meet in one task.
+        ranges = per.select(*above, "range").distinct()
+        ranges = ranges.join(cuts, above) if above else ranges.crossJoin(F.broadcast(cuts))
+        per = per.join(ranges, [*above, "range"]).withColumn(f"b_{level}", F.when(F.col("full"), F.col("c")).otherwise(F.col("cut") * F.col("w")))
+        nodes = written(nodes.join(per.select(*path, f"b_{level}"), path), "mix-nodes")
         above, budget = path, F.col(f"b_{level}")
     return nodes.select(*LEVELS, "tokens", F.col("b_source").alias("budget"))
 
@@ -97,11 +119,11 @@ def keyed(docs: DataFrame, p: Params) -> DataFrame:
 def selected(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """A row for each document and epoch in the mixture: doc_id, text_key, epoch, domain, lang, source, tokens."""
     rows = written(keyed(docs, p), "mix-rows")
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
+    leaves = written(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "mix-leaves")
     # Parts of some ten thousand documents; where they are cut doesn't change what is taken.
     most = leaves.agg(F.max("docs")).first()[0] or 0
     digits = max(1, math.ceil(math.log(max(most / p.part_docs, 1), 16)))
-    dealt = written(budgets(leaves, p), "mix-budgets")
+    dealt = budgets(leaves, p)
     taken = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(p.max_epochs))))
     # An epoch of which nothing is needed is left out before any ordering; the ones before the last are needed whole.
     part = dealt.select(*LEVELS, (F.col("budget") / F.greatest("tokens", F.lit(1))).alias("epochs"), F.col("tokens").alias("leaf_tokens"), "budget")

@@ -9,7 +9,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from feltloom.llm import language, quality, secrets, toxicity
+from feltloom.llm import language, mixing, quality, secrets, toxicity
+from feltloom.llm.common import passing_tables, shared_dir, written
 
 DOC = "doc_id long, text string"
 SF = "/root/testdata/sf0.001"
@@ -136,3 +137,41 @@ def test_a_secret_at_the_end_of_a_very_long_text(spark):
     rows = spark.createDataFrame([(1, long + "token=" + "ab12" * 10), (2, long), (3, None)], DOC)
     got = {r.doc_id: r for r in secrets.confirmed(secrets.scanned(rows, secrets.Params()), secrets.Params()).collect()}
     assert [(s.start, s.end) for s in got[1].spans if s.kind == "assign"] == [(len(long), len(long) + 46)] and not got[2].spans and not got[3].spans
+
+
+def dealt(children, budget):
+    """name -> share of a budget by weight, with capacities: the siblings that are full first leave the others more."""
+    out, left, rest = {}, budget, sum(w for _, _, w in children)
+    for at, (name, c, w) in enumerate(order := sorted(children, key=lambda x: (x[1] / x[2], x[0]))):
+        if c > left / rest * w:
+            return out | {n: left / rest * v for n, _, v in order[at:]}
+        out[name], left, rest = c, left - c, rest - w
+    return out
+
+
+def test_budgets_of_many_sources_in_ranges(spark):
+    """Thousands of sources of one language, many alike in size, dealt in ranges as by one plain pass."""
+    rng = random.Random(9)
+    rows = [(d, lang, f"host{i}", rng.choice([0, 1, 1, 5, 5, 5, rng.randrange(1, 5000)])) for d, lang, n in (("web", "en", 3000), ("web", "de", 40), ("books", "en", 300), ("code", "xx", 1)) for i in range(n)]
+    leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
+    for permille, epochs in ((400, 1), (1500, 2), (5000, 2)):
+        p = mixing.Params(budget_permille=permille, max_epochs=epochs)
+        got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(leaves, p).collect()}
+        assert len(got) == len(rows)
+        whole = sum(r[3] for r in rows)
+        weight = lambda level, name: p.weights.get(level, {}).get(name, 1)
+        cap = lambda *path: sum(t * epochs for *at, t in rows if tuple(at[: len(path)]) == path)
+        for d, b in dealt([(d, cap(d), weight("domain", d)) for d in {r[0] for r in rows}], min(whole * permille // 1000, whole * epochs)).items():
+            for lang, bl in dealt([(x, cap(d, x), weight("lang", x)) for x in {r[1] for r in rows if r[0] == d}], b).items():
+                for source, bs in dealt([(r[2], r[3] * epochs, 1) for r in rows if r[:2] == (d, lang)], bl).items():
+                    assert math.isclose(got[d, lang, source], bs, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_tables_of_a_block_are_removed(spark, tmp_path):
+    with passing_tables(spark) as outer:
+        inner = shared_dir(spark)
+        assert inner.startswith(outer) and inner != outer
+        kept = written(written(spark.range(5), "on-the-way"), "kept", path=f"file://{tmp_path}/kept")
+    assert shared_dir(spark) == outer and kept.count() == 5
+    at = spark._jvm.org.apache.hadoop.fs.Path(inner)
+    assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
