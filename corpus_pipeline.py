@@ -1,15 +1,18 @@
 """From raw documents to token ids: quality rules, near duplicates, secrets, mixing, encoding.
 
 Each stage is written as Parquet into the shared folder and read again by the next, so a lost executor costs a task, not a stage.
+What a stage writes on its way is removed once its result is written, and that result once the next stage's is: two stages' tables are there at a time.
 All stages but the last keep the columns of documents, whatever they are.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from feltloom.llm import mixing, near_dup, pieces, quality, secrets
-from feltloom.llm.common import written
+from feltloom.llm.common import drop, passing_tables, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with passing_tables(spark) as shared:
+            path = f"{shared}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+            docs = written(stage(spark, docs, sf_dir), name, path=path)
+        if before:
+            drop(spark, before)
+        before = path
     return docs
