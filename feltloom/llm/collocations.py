@@ -16,7 +16,7 @@ each time, doc_id and other columns are ignored, an empty table has no phrases.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +36,8 @@ DEPTH = 4
 SEGMENT = 1_000_000
 #: Windows of a range, about, and the most ranges.
 RANGE_WINDOWS, MOST_RANGES = 1_000_000, 20_000
+#: Windows of a range that its task holds before it unites them, at least.
+HELD_WINDOWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -47,47 +49,88 @@ class Params:
     sample_docs: int = 4000
 
 
-def keyed(rows: np.ndarray, most: int) -> np.ndarray:
-    """One number for each row of four numbers up to ``most``, in the order of the rows."""
+def keyed(rows: np.ndarray, most: int) -> list[np.ndarray]:
+    """Each row of four numbers up to ``most`` as one number, or as two where they don't fit into one, in the order of the rows."""
     bits = max(int(most).bit_length(), 1)
-    if bits * DEPTH > 64:
-        pairs = [np.unique((rows[:, i].astype(np.uint64) << np.uint64(32)) | rows[:, i + 1].astype(np.uint64), return_inverse=True)[1].astype(np.uint64) for i in (0, 2)]
-        return (pairs[0] << np.uint64(32)) | pairs[1]
-    out = rows[:, 0].astype(np.uint64)
-    for i in range(1, DEPTH):
-        out = (out << np.uint64(bits)) | rows[:, i].astype(np.uint64)
+    one = bits * DEPTH <= 64
+    out = []
+    for at in range(0, DEPTH, DEPTH if one else 2):
+        key = rows[:, at].astype(np.uint64)
+        for i in range(at + 1, at + (DEPTH if one else 2)):
+            key <<= np.uint64(bits)
+            key |= rows[:, i].astype(np.uint64)
+        out.append(key)
     return out
 
 
+def of_keys(keys: list[np.ndarray], most: int) -> np.ndarray:
+    """The rows that ``keyed`` made these of."""
+    bits = max(int(most).bit_length(), 1)
+    rows, step = np.empty((len(keys[0]), DEPTH), np.int32), DEPTH // len(keys)
+    for d in range(DEPTH):
+        rows[:, d] = (keys[d // step] >> np.uint64(bits * (step - 1 - d % step))) & np.uint64((1 << bits) - 1)
+    return rows
+
+
+def added_up(keys: list[np.ndarray], n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of these keys in order, and the sums of their n. The list of keys is used up."""
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    n, fresh = n[order], np.zeros(len(order), bool)
+    fresh[:1] = True
+    for i, key in enumerate(keys):
+        keys[i] = key = key[order]
+        fresh[1:] |= key[1:] != key[:-1]
+    del order, key
+    first = np.flatnonzero(fresh)
+    keys[:] = [x[first] for x in keys]
+    return of_keys(keys, most), np.add.reduceat(n, first, dtype=np.int64) if len(first) else n.astype(np.int64)
+
+
 def summed(rows: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows in order, and the sums of their n."""
-    order = np.argsort(keys := keyed(rows, most), kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return rows[order[first]], np.add.reduceat(n[order], first) if len(first) else n[:0]
+    return added_up(keyed(rows, most), n, most)
 
 
 def merged(starts: np.ndarray, arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(the state that each state becomes, starts, arcs) after states with equal arcs are made one."""
-    size = np.diff(starts)
-    none, one, several = (np.flatnonzero(x) for x in (size == 0, size == 1, size > 1))
-    new, n_none = np.zeros(len(size), np.int64), min(len(none), 1)
-    # States of one arc, which most are, meet in the order of their arcs.
-    rows = arcs[starts[one]]
-    order = np.lexsort(rows.T)
-    first = np.concatenate([[True], (rows[order[1:]] != rows[order[:-1]]).any(1)])[: len(one)]
-    new[one[order]] = n_none + np.cumsum(first) - 1
-    known, others, at = {}, [], starts.tolist()
-    n_new = n_none + int(first.sum())
-    for s in several.tolist():
-        key = arcs[at[s] : at[s + 1]].tobytes()
-        if (k := known.get(key)) is None:
-            k = known[key] = n_new + len(others)
-            others.append(s)
-        new[s] = k
-    kept = np.concatenate([none[:1], one[order[first]], np.array(others, np.int64)])
+    """(the state that each state becomes, starts, arcs) after states with equal arcs are made one; states keep the order of their first ones."""
+    size, own = np.diff(starts), np.arange(len(starts) - 1)
+    mix = arcs.astype(np.uint64) * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+    mix = mix[:, 0] ^ (mix[:, 1] >> np.uint64(7)) ^ (mix[:, 2] << np.uint64(9)) ^ mix[:, 2]
+    ends = np.concatenate([np.zeros(1, np.uint64), np.cumsum((mix ^ (mix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))])[starts]
+    _, first, group = np.unique(ends[1:] - ends[:-1], return_index=True, return_inverse=True)
+    like = first[group]
+    # A hash brings likely equals together, the arcs themselves decide.
+    like = np.where(size[like] == size, like, own)
+    n = np.where(like < own, size, 0)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    apart = (arcs[np.repeat(starts[:-1], n) + at] != arcs[np.repeat(starts[like], n) + at]).any(1)
+    like[np.repeat(own, n)[apart]] = np.repeat(own, n)[apart]
+    kept = np.flatnonzero(like == own)
     n = size[kept]
-    return new, np.concatenate([[0], np.cumsum(n)]), arcs[np.repeat(starts[kept] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    new = np.zeros(len(size), np.int64)
+    new[kept] = np.arange(len(kept))
+    return new[like], np.concatenate([[0], np.cumsum(n)]), arcs[np.repeat(starts[kept] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Width and length, and the numbers in the least width that holds them, all first bytes, then all second ones and so on."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return np.array([kind.itemsize, len(x)], "<i8").tobytes() + x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
+
+
+def of_planes(raw: memoryview, at: int) -> tuple[np.ndarray, int]:
+    """(the numbers that lie there, where they end)."""
+    width, n = np.frombuffer(raw, "<i8", 2, at).tolist()
+    found = np.frombuffer(raw, np.uint8, width * n, at + 16).reshape(width, n)
+    return np.ascontiguousarray(found.T).view(f"<u{width}").ravel(), at + 16 + width * n
+
+
+def sizes_and_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    _, ends, text = words.buffers()
+    ends = np.frombuffer(ends, "<i4", len(words) + 1, 4 * words.offset)
+    return np.diff(ends), np.frombuffer(text or b"", np.uint8)[ends[0] : ends[-1]]
 
 
 @dataclass
@@ -170,56 +213,99 @@ class Transducer:
         return out
 
     def to_bytes(self) -> bytes:
-        """The words, which hold no line end, and every array in the least width that holds it, compressed."""
-        words = "\n".join(self.words.to_pylist()).encode()
-        out = [np.array([len(words)], "<i8").tobytes(), words]
-        for x in (y for d in range(DEPTH) for y in (self.starts[d], *self.arcs[d].T)):
-            kind = np.min_scalar_type(int(x.max(initial=0)))
-            out += [np.array([kind.itemsize, len(x)], "<i8").tobytes(), x.astype(kind).tobytes()]
+        """Words, the sizes of states and arcs, compressed. The target of an arc is 0 where a state comes for the first time, as states are in the order in which arcs lead to them."""
+        out = [planes(x) for x in sizes_and_bytes(self.words)]
+        for starts, arcs in zip(self.starts, self.arcs, strict=True):
+            target = arcs[:, 2]
+            old = target <= np.concatenate([[-1], np.maximum.accumulate(target)])[:-1]
+            out += [planes(np.diff(starts)), planes(arcs[:, 0]), planes(arcs[:, 1]), planes(np.where(old, target + 1, 0))]
         raw = b"".join(out)
         return np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
     @classmethod
     def from_bytes(cls, packed: bytes) -> Transducer:
-        raw = pa.decompress(packed[8:], int(np.frombuffer(packed, "<i8", 1)[0]), "zstd", asbytes=True)
-        at, found = 8 + int(np.frombuffer(raw, "<i8", 1)[0]), []
-        words = pa.array(raw[8:at].decode().split("\n") if at > 8 else [], pa.string())
-        for _ in range(4 * DEPTH):
-            width, n = np.frombuffer(raw, "<i8", 2, at).tolist()
-            found.append(np.frombuffer(raw, f"<u{width}", n, at + 16).astype(np.int64))
-            at += 16 + width * n
-        return cls(words, found[::4], [np.stack(found[i + 1 : i + 4], 1) for i in range(0, 4 * DEPTH, 4)])
+        raw = memoryview(pa.decompress(memoryview(packed)[8:], int(np.frombuffer(packed, "<i8", 1)[0]), "zstd"))
+        found, at = [], 0
+        for _ in range(2 + 4 * DEPTH):
+            x, at = of_planes(raw, at)
+            found.append(x)
+        size, text, *found = found
+        ends = np.concatenate([[0], np.cumsum(size)]).astype("<i4")
+        words = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(text)])
+        starts, arcs = [], []
+        for size, label, weight, code in zip(*(found[i::4] for i in range(4)), strict=True):
+            starts.append(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]))
+            target = code.astype(np.int64) - 1
+            target[code == 0] = np.arange(np.count_nonzero(code == 0))
+            arcs.append(np.stack([label, weight, target], 1, dtype=np.int64, casting="unsafe"))
+        return cls(words, starts, arcs)
 
 
 def renumbered(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(the distinct words in order, for each word its label)."""
     coded = words.dictionary_encode()
     order = pc.array_sort_indices(coded.dictionary).to_numpy()
-    label = np.empty(len(order), np.int64)
+    label = np.empty(len(order), np.int32)
     label[order] = np.arange(1, len(order) + 1)
     return coded.dictionary.take(pa.array(order)), label[coded.indices.to_numpy()]
 
 
 def part(words: pa.Array, rows: np.ndarray, n: np.ndarray) -> Transducer:
     """A transducer of some rows, with the words that they have."""
-    used = np.unique(rows)
-    used = used[used > 0]
-    label = np.zeros(len(words) + 1, np.int64)
+    seen = np.zeros(len(words) + 1, bool)
+    seen[rows] = True
+    seen[0] = False
+    used = np.flatnonzero(seen)
+    label = np.zeros(len(words) + 1, np.int32)
     label[used] = np.arange(1, len(used) + 1)
     return Transducer.of(words.take(pa.array(used - 1)), label[rows], n)
 
 
-def united(parts: list[Transducer], shared: bool = True) -> Transducer:
+#: Words in order, distinct rows of their labels in order, and how often each row occurs.
+Counted = tuple[pa.Array, np.ndarray, np.ndarray]
+
+
+def counted(parts: Iterable[Counted]) -> Counted:
+    """All rows of several, with the sums of their n."""
+    words, rows, n = [], [], []
+    for w, r, k in parts:
+        words.append(w)
+        rows.append(r.astype(np.min_scalar_type(len(w))))
+        n.append(k.astype(np.min_scalar_type(int(k.max(initial=0)))))
+    sizes = np.cumsum([0, *map(len, words)])
+    words, label = renumbered(pa.concat_arrays(words))
+    keys = []
+    for i, r in enumerate(rows):
+        own = np.concatenate([np.zeros(1, np.int32), label[sizes[i] : sizes[i + 1]]])
+        keys.append(keyed(own[r], len(words)))
+        rows[i] = None
+    keys = [np.concatenate(x) for x in zip(*keys, strict=True)]
+    return words, *added_up(keys, np.concatenate(n), len(words))
+
+
+def united(parts: list[Transducer]) -> Transducer:
     """The transducer whose weights are the sums of theirs."""
-    words, label = renumbered(pa.concat_arrays([t.words for t in parts]))
-    rows, n, at = [], [], 0
-    for t in parts:
-        own = np.concatenate([[0], label[at : at + len(t.words)]]).astype(np.int32)
-        r, k = t.rows()
-        rows.append(own[r])
-        n.append(k)
-        at += len(t.words)
-    return Transducer.of(words, *summed(np.concatenate(rows), np.concatenate(n), len(words)), shared=shared)
+    return Transducer.of(*counted((t.words, *t.rows()) for t in parts))
+
+
+def trimmed(rows: np.ndarray, n: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows, each ended after its longest part from the start that weighs ``least`` at least or leads to the first or the last row. The weights of such parts stay."""
+    fresh, on, rows = np.zeros(len(rows), bool), np.ones(len(rows), bool), rows.copy()
+    fresh[:1] = True
+    for d in range(DEPTH):
+        # Rows are as they were from here on.
+        fresh[1:] |= rows[1:, d] != rows[:-1, d]
+        at = np.flatnonzero(fresh)
+        keep = np.add.reduceat(n, at) >= least if len(at) else np.zeros(0, bool)
+        keep[:1] = keep[-1:] = True
+        on &= np.repeat(keep, np.diff(at, append=len(rows)))
+        rows[~on, d] = 0
+    return summed(rows, n, most)
+
+
+def give_back() -> None:
+    """Arrow's free memory goes back to the system; the executor's other processes need it."""
+    pa.default_memory_pool().release_unused()
 
 
 def flat_words(texts: pa.Array) -> pa.Array:
@@ -234,12 +320,12 @@ def windows(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     names, label = renumbered(words)
     if (ends := pc.index(names, END).as_py() + 1) > 0:
         names = names.filter(pc.not_equal(names, END))
-        label = np.where(label == ends, 0, label - (label > ends))
-    label = label.astype(np.int32)
-    wide = np.concatenate([label, np.zeros(DEPTH, np.int32)])
-    rows = np.stack([wide[i : i + len(label)] for i in range(DEPTH)], 1)[label > 0]
+        label = np.where(label == ends, 0, label - (label > ends).astype(np.int32))
+    at, wide = np.flatnonzero(label), np.concatenate([label, np.zeros(DEPTH, np.int32)])
+    rows = np.empty((len(at), DEPTH), np.int32)
+    rows[:, 0] = wide[at]
     for i in range(1, DEPTH):
-        rows[:, i] *= rows[:, i - 1] > 0
+        rows[:, i] = wide[at + i] * (rows[:, i - 1] > 0)
     return names, rows
 
 
@@ -257,16 +343,26 @@ def parts(docs: DataFrame, bounds: list[Bound]) -> DataFrame:
     """lang, range, n (words), part: the parts of every segment's transducer. A range starts at its bound (language, then words)."""
 
     def made(lang: str, held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        names, rows = windows(pa.concat_arrays(held))
-        rows, n = summed(rows, np.ones(len(rows), np.int64), len(names))
+        words = pa.concat_arrays(held)
+        held.clear()
+        names, rows = windows(words)
+        del words
+        rows, n = summed(rows, np.ones(len(rows), np.int32), len(names))
         raw, own = names.cast(pa.binary()), lang.encode()
         key = lambda i: (own, *(raw[c - 1].as_py() for c in rows[i].tolist() if c))
-        cuts = [bisect.bisect_left(range(len(rows)), x, key=key) for x in bounds]
-        for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
+        # Bounds of other languages lie before or after all rows.
+        first, last = bisect.bisect_left(bounds, (own,)), bisect.bisect_left(bounds, (own + b"\0",))
+        cuts = [bisect.bisect_left(range(len(rows)), x, key=key) for x in bounds[first:last]]
+        for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True), first):
             if a < b:
                 t = part(names, rows[a:b], n[a:b])
                 yield batch(PARTS, [lang], [k], [int(n[a:b].sum())], [t.to_bytes()])
 
+    def ended(held: dict[str, list[pa.Array]]) -> Iterator[pa.RecordBatch]:
+        while held:
+            yield from made(*held.popitem())
+            give_back()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[pa.Array]] = {}
         size = 0
@@ -276,11 +372,9 @@ def parts(docs: DataFrame, bounds: list[Bound]) -> DataFrame:
                 held.setdefault(lang, []).append(words)
                 size += len(words)
             if size >= SEGMENT:
-                for lang, x in held.items():
-                    yield from made(lang, x)
-                held, size = {}, 0
-        for lang, x in held.items():
-            yield from made(lang, x)
+                yield from ended(held)
+                size = 0
+        yield from ended(held)
 
     return map_batches(docs, run, "lang string, range int, n long, part binary")
 
@@ -314,27 +408,37 @@ COUNTS = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("f
 def frequent(made: DataFrame, n_ranges: int, least: int) -> DataFrame:
     """lang, words, f of every phrase of up to four words that occurs ``least`` times."""
 
-    def kept(lang: str, t: Transducer) -> pa.RecordBatch:
+    def kept(lang: str, words: pa.Array, rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         # Those at the edges of the range may go on in the ranges beside.
-        names, out = [None, *t.words.to_pylist()], []
+        t, out = Transducer.of(words, *trimmed(rows, n, least, len(words)), shared=False), []
+        names = [None, *words.to_pylist()]
         for paths, f in t.frequent(least):
             out += [(lang, [names[c] for c in r], k) for r, k in zip(paths.tolist(), f.tolist(), strict=True)]
         return batch(COUNTS, *map(list, zip(*out, strict=True)))
 
+    def opened(packed: list[bytes]) -> Iterator[Counted]:
+        # One at a time: as arcs they are many times as large.
+        for x in packed:
+            t = Transducer.from_bytes(x)
+            yield t.words, *t.rows()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, at = [], 0, None
+        done, held, size, at = [], [], 0, None
         for b in slices(batches, 16):
             for lang, k, n, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and at != (k, lang):
-                    yield kept(at[1], united(held, shared=False))
-                    held, size = [], 0
+                if at and at != (k, lang):
+                    yield kept(at[1], *counted([*done, *opened(held)]))
+                    done, held, size = [], [], 0
+                    give_back()
                 at = k, lang
-                held.append(Transducer.from_bytes(packed))
+                held.append(packed)
                 size += n
-                if len(held) > 1 and size >= RANGE_WINDOWS:
-                    held, size = [united(held)], 0
-        if held:
-            yield kept(at[1], united(held, shared=False))
+                # What is united already is gone through again only for as many new windows.
+                if size >= max([HELD_WINDOWS, *(len(x) for _, _, x in done)]):
+                    done, held, size = [counted([*done, *opened(held)])], [], 0
+                    give_back()
+        if at:
+            yield kept(at[1], *counted([*done, *opened(held)]))
 
     dealt = made.repartition(n_ranges, "range").sortWithinPartitions("range", "lang")
     found = map_batches(dealt, run, "lang string, words array<string>, f long")
@@ -366,7 +470,7 @@ def looked_up(found: DataFrame, bounds: list[Bound], name: str) -> DataFrame:
         size = np.fromiter(map(len, words), np.int64, len(words))
         rows = np.zeros((len(words), DEPTH), np.int64)
         rows[np.repeat(np.arange(len(words)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = label
-        order = np.argsort(keyed(rows, len(names)))
+        order = np.lexsort(keyed(rows, len(names))[::-1])
         t = Transducer.of(names, rows[order], np.array(f, np.int64)[order], totals=False)
         wanted = np.flatnonzero(np.array(own) & (size > 1)).tolist()
         weights = t.composed(rows[wanted]).tolist()

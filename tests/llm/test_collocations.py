@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 from math import floor
@@ -9,6 +10,7 @@ from math import floor
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from feltloom.llm import collocations, registry
 
@@ -104,3 +106,65 @@ def test_transducers():
             kept = {tuple(t.words[c - 1].as_py() for c in r): k for p, f in t.frequent(least) for r, k in zip(p.tolist(), f.tolist(), strict=True)}
             assert {w: k for w, k in kept.items() if k >= least} == {w: k for w, k in prefixes.items() if k >= least} and all(prefixes[w] == k for w, k in kept.items())
         assert found.tolist() == [[prefixes[w[:d]] if d <= len(w) else 0 for d in range(1, 5)] for w in asked]
+
+
+class Dealt:
+    """Parts as a range's task gets them, without a shuffle."""
+
+    def repartition(self, *_):
+        return self
+
+    def sortWithinPartitions(self, *_):
+        return self
+
+
+def test_a_range_in_little_memory(monkeypatch):
+    """A range's task holds its parts packed and unites some at a time; opened all at once they took 174 bytes a window."""
+    rng, parts, prefixes, n_windows = np.random.default_rng(3), [], Counter(), 0
+    for _ in range(60):
+        label = np.minimum(rng.zipf(1.3, 6000), 20_000)
+        names, rows = collocations.windows(pa.array(np.char.add("w", label.astype(str)).tolist(), pa.string()))
+        n_windows += len(rows)
+        prefixes.update(f"w{x}" for x in label)
+        prefixes.update((f"w{x}", f"w{y}") for x, y in zip(label, label[1:]))
+        prefixes.update(zip(*(np.char.add("w", label[i : len(label) - 3 + i].astype(str)).tolist() for i in range(4))))
+        parts.append(collocations.part(names, *collocations.summed(rows, np.ones(len(rows), np.int64), len(names))).to_bytes())
+    runs = []
+    monkeypatch.setattr(collocations, "map_batches", lambda df, run, schema: runs.append(run) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        collocations.frequent(Dealt(), 4, 30)
+    rows = pa.RecordBatch.from_arrays([pa.array(["en"] * 60), pa.array([0] * 60, pa.int32()), pa.array([6000] * 60), pa.array(parts, pa.binary())], ["lang", "range", "n", "part"])
+    tracemalloc.start()
+    try:
+        found = [r for b in runs[0](iter([rows])) for r in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    got = {tuple(r["words"]): r["f"] for r in found if r["f"] >= 30}
+    assert {w[0] if len(w) == 1 else w: f for w, f in got.items() if len(w) != 3} == {w: f for w, f in prefixes.items() if f >= 30}
+    assert peak < 100 * n_windows, peak / n_windows
+
+
+def test_ended_rows_and_two_keys():
+    """Rows ended where they get rare keep the weights of all frequent prefixes and of those at the edges; rows of many words, as two keys, come in the same order and back."""
+    rng = np.random.default_rng(5)
+    for most in (4, 40, 70_000):
+        rows = rng.integers(0, most, (4000, 4), endpoint=True).astype(np.int32)
+        rows[:, 0] = rng.integers(1, 5, 4000)
+        for i in range(1, 4):
+            rows[:, i] *= rows[:, i - 1] > 0
+        n = rng.integers(1, 4, 4000)
+        want = Counter()
+        for r, k in zip(rows.tolist(), n.tolist()):
+            want[tuple(r)] += k
+        distinct, total = collocations.summed(rows, n, most)
+        assert list(zip(map(tuple, distinct.tolist()), total.tolist())) == sorted(want.items())
+        ended, left = collocations.trimmed(distinct, total, 30, most)
+        sums = [Counter(), Counter()]
+        for count, (r, k) in zip(sums, ((distinct, total), (ended, left))):
+            for row, f in zip(r.tolist(), k.tolist()):
+                for d in range(1, 5):
+                    if row[d - 1]:
+                        count[tuple(row[:d])] += f
+        edges = {tuple(distinct[i, :d].tolist()) for i in (0, -1) for d in range(1, 5) if distinct[i, d - 1]}
+        assert sums[1] == {p: f for p, f in sums[0].items() if f >= 30 or p in edges}
