@@ -156,7 +156,8 @@ def signatures(found: DataFrame, params: Params = Params()) -> DataFrame:
 
 def links(found: DataFrame, params: Params = Params()) -> DataFrame:
     """a, b: every two words one edit apart, once."""
-    signed = signatures(found, params)
+    # Spark sizes signatures by the bytes of their words, which are few: it would send a table of many times that size to every executor.
+    signed = signatures(found, params).hint("merge")
     roles = "(a.role = 0 AND b.role = 0 AND a.word < b.word OR a.role = 1 AND b.role = 2)"
     met = signed.alias("a").join(signed.alias("b"), F.expr(f"a.key = b.key AND {roles} AND levenshtein(a.word, b.word, 1) = 1"))
     return met.select(F.col("a.word").alias("a"), F.col("b.word").alias("b")).distinct()
@@ -167,19 +168,20 @@ def forms(found: DataFrame, params: Params = Params()) -> DataFrame:
     found = written(found, "variant-words")
     pairs = written(links(found, params), "variant-links")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).union(pairs.select("b", "a"))
-    both = both.join(found.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    # Tables of words grow with the corpus and are sized by packed files: no join broadcasts one.
+    both = both.join(found.select(F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), "near")
     # The largest n, then the smallest word: the least of (-n, word).
     near = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("best"))
     keep = -F.col("best.m") >= F.lit(params.ratio) * F.col("n")
-    out = found.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(keep, F.col("best.near")).alias("form"), F.when(keep, -F.col("best.m")).alias("form_n"))
+    out = found.join(near.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(keep, F.col("best.near")).alias("form"), F.when(keep, -F.col("best.m")).alias("form_n"))
     out = written(out, "variant-forms")
     # A form is ratio times as frequent as its word, so a chain of forms has few steps, and each round doubles what it follows.
     most = out.agg(F.max("n")).first()[0] or 1
     steps = out.where("form IS NOT NULL").select("word", F.col("form").alias("to"))
     for _ in range(math.ceil(math.log2(1 + math.log(max(most, 2), max(params.ratio, 2))))):
         further = steps.select(F.col("word").alias("to"), F.col("to").alias("further"))
-        steps = written(steps.join(further, "to", "left").select("word", F.coalesce("further", "to").alias("to")), "variant-steps")
-    return out.join(steps, "word", "left").select("word", "form", F.coalesce("to", "word").alias("root"), "n", "n_near", "form_n")
+        steps = written(steps.join(further.hint("merge"), "to", "left").select("word", F.coalesce("further", "to").alias("to")), "variant-steps")
+    return out.join(steps.hint("merge"), "word", "left").select("word", "form", F.coalesce("to", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op11_spelling_variants(spark, sf_dir: str) -> DataFrame:

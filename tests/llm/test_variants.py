@@ -98,3 +98,15 @@ def test_checksums_of_pairs():
     heads, tails = ([rng.randbytes(rng.randint(0, 40)) for _ in range(500)] for _ in range(2))
     got = variants.checksums(*(np.array([*map(zlib.crc32, x)], np.uint32) for x in (heads, tails)), np.array([*map(len, tails)]))
     assert got.tolist() == [zlib.crc32(a + b) for a, b in zip(heads, tails, strict=True)]
+
+
+def test_no_join_broadcasts_words_or_signatures(spark, monkeypatch):
+    """Their sizes are taken from few and packed bytes, some twenty signatures a word with them: the estimate stays small as they grow."""
+    plans = []
+    written = variants.written
+    monkeypatch.setattr(variants, "written", lambda df, name, **how: plans.append(df) or written(df, name, **how))
+    rows = [(f"letters{chr(97 + i % 26)}{chr(97 + i // 26)}", 1 + 100 * (i % 7 == 0)) for i in range(200)]
+    plans.append(variants.forms(spark.createDataFrame(rows, "word string, n long")))
+    for df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString() for df in plans)
