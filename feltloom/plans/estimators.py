@@ -212,13 +212,16 @@ REPLAY = f"""{ledger.STATES}, hn AS (SELECT site, player, day, round(round(net_b
     v AS (SELECT site, player, hand_id, day, a, s_core, s_fine, round(round(reward_bb, 6) * 1000000)::BIGINT / 1000000.0::DOUBLE AS reward_bb FROM s3)"""
 
 
+REPLAYED = ("site", "player", "hand_id", "day", "a", "s_core", "s_fine", "board", "reward_bb")
+
+
 def micro(c: str):
     return F.round(F.round(c, 6) * 1000000).cast("bigint")
 
 
 def replayed(spark, d):
     """Enriched decisions of the replay."""
-    return ledger.enriched(spark, d).withColumn("r_c", micro("reward_bb")).withColumn("reward_bb", F.col("r_c") / F.lit(1000000.0))
+    return ledger.narrow(spark, d, "replayed", *REPLAYED).withColumn("r_c", micro("reward_bb")).withColumn("reward_bb", F.col("r_c") / F.lit(1000000.0))
 
 
 def replayed_sheet(spark, d):

@@ -101,3 +101,15 @@ def test_position_labels(n, labels):
 
 def test_single_seat_gives_nothing(spark):
     assert replay(spark, hand([], stacks=(5.0,))).count() == 0
+
+
+def test_named_decisions_are_those_of_all_columns(spark):
+    rng = random.Random(6)
+    odd = ["d db Ah", "d dh p2 AhAh", "p9 cbr 4", "p0 cc", "p1 cbr x", "p1 cc extra", "# note", "d db 2c3c\n", "p1 sm KdKc", "p2 f\n", ""]
+    rows = [hand([rng.choice([*odd, "p1 cc", "p2 cc", "p3 cc", "p1 cbr 6", "p2 f"]) for _ in range(25)]) for _ in range(50)]
+    done = replay(spark, *rows)
+    every = ledger.decisions(done)
+    for name in every.columns:
+        one = ledger.decisions(done, "hand_id", "seq", name) if name not in ("hand_id", "seq") else ledger.decisions(done, "hand_id", "seq")
+        assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, every.select(one.columns).collect()), key=repr)
+    assert every.where("pos_idx = 8 AND pos_label = '?' AND player IS NULL").count() > 0

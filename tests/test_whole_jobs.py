@@ -6,6 +6,8 @@ from feltloom.operators import ranges, reliability, texture
 from feltloom.plans import base, ledger, pairs, sources
 from feltloom.sources import parse
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_dynamicness_runs_with_the_operators_own_samples(spark, monkeypatch):
     flops = spark.createDataFrame([("k", "2c7dKh")], "key string, flop string")
@@ -56,3 +58,24 @@ def test_halves_in_natural_order_without_one_task_for_all(spark):
     assert sorted(tuple(r) for r in out.collect()) == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(_d" not in plan
+
+
+def test_a_query_makes_no_more_of_the_replay_than_it_shows(spark, monkeypatch):
+    made = []
+    kept = ledger.kept
+    monkeypatch.setattr(ledger, "kept", lambda spark, d, name, make: made.append(name) or kept(spark, d, name, make))
+    monkeypatch.setattr(ledger, "has", lambda *_: False)
+    for name in ("b8_action_faced", "b11_to_act_after", "b14_active_before", "b15_resolved_action", "b23_forward_reward", "c5_sized_action", "c7_state_keys", "c8_chosen_state", "c13_flop_prefix"):
+        base.QUERIES[name](spark, SF).schema
+    assert set(made) == {"hands"}
+
+
+def test_boards_need_no_replay(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(ledger, "kept", lambda spark, d, name, make: made.append(name) or make())
+    for name in ("b27_card_split", "g1_flop_combinations", "g3_class_representatives", "g6_observed_flops"):
+        base.QUERIES[name](spark, SF).schema
+    assert set(made) == {"hands"}
+    rows = [(["p1 cc", "d db 2c3c4d", "d dh p1 AhAd", "d db ", "d db 9h"],), (["p1 f"],), ([None, "d db Kd\n"],)]
+    got = spark.createDataFrame(rows, "actions array<string>").select(ledger.ledger.board(F.col("actions")).alias("b"))
+    assert sorted(r.b for r in got.collect()) == ["", "2c3c4d9h", "Kd\n"]
