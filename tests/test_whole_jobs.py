@@ -1,10 +1,12 @@
 """Queries do the whole job of their operators."""
 
+import pathlib
+
 from pyspark.sql import functions as F
 
 from feltloom.operators import ranges, reliability, texture
 from feltloom.plans import base, ledger, pairs, sources
-from feltloom.sources import parse
+from feltloom.sources import layout, parse
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +81,37 @@ def test_boards_need_no_replay(spark, monkeypatch):
     rows = [(["p1 cc", "d db 2c3c4d", "d dh p1 AhAd", "d db ", "d db 9h"],), (["p1 f"],), ([None, "d db Kd\n"],)]
     got = spark.createDataFrame(rows, "actions array<string>").select(ledger.ledger.board(F.col("actions")).alias("b"))
     assert sorted(r.b for r in got.collect()) == ["", "2c3c4d9h", "Kd\n"]
+
+
+def test_one_hand_files_lie_on_disk_some_at_a_time(spark, monkeypatch):
+    """Every hand is read from a file of its own; of 90 hands no more than a part are there at once, and none afterwards."""
+    rows = [(str(i), "S", 200, "T", 2, ["a", f"b{i}"], [1.0, 2.0], [100.0, 100.0], [], [], ["p1 f"], 2009, 7, 1) for i in range(90)]
+    monkeypatch.setattr(sources, "hands", lambda *_: spark.createDataFrame(rows, HAND))
+    there, reader = [], parse.one_hand_files
+
+    def counted(spark, path):
+        found = reader(spark, path)
+        there.append(path)
+        sizes.append(found.count())
+        return found
+
+    sizes = []
+    monkeypatch.setattr(parse, "one_hand_files", counted)
+    got = sources._one_hand(spark, "whole-jobs", most=30)
+    assert sorted(r.hand_id for r in got.collect()) == sorted(f"f={i}/{i}" for i in range(90))
+    assert len(sizes) == 3 and sum(sizes) == 90 and max(sizes) < 60
+    assert not any(pathlib.Path(p.removeprefix("file://")).exists() for p in there)
+
+
+def test_decisions_by_street_are_written_once(spark, tmp_path, monkeypatch):
+    made, settings = [], []
+    kept, written = ledger.kept, layout.partitioned
+    monkeypatch.setattr(ledger, "kept", lambda spark, d, name, make: made.append(name) or kept(spark, d, name, make))
+    monkeypatch.setattr(ledger, "has", lambda *_: False)
+    monkeypatch.setattr(layout, "partitioned", lambda rows, path, *by: settings.append(rows.columns) or written(rows, path, *by))
+    base.QUERIES["a21_enriched_by_street"](spark, SF).collect()
+    assert set(made) == {"hands"} and len(settings[0]) > 30
+    rows = spark.range(1000).selectExpr("id % 4 AS street", "id")
+    layout.partitioned(rows, f"file://{tmp_path}/t", "street")
+    assert spark.read.parquet(f"file://{tmp_path}/t").groupBy("street").count().where("count = 250").count() == 4
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) in (None, "0")
